@@ -35,7 +35,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session; a temporary one only where none is set (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -185,3 +185,61 @@ def labelled_sample(labels: DataFrame, column: str, bound: int) -> DataFrame:
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def first_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, fresh): a stable order that brings equal keys together, and whether an entry of it begins a new key."""
+    order = np.argsort(keys, kind="stable")
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = keys[order[1:]] != keys[order[:-1]]
+    return order, fresh
+
+
+class Lines:
+    """The \n-split lines of a chunk: start, end, doc, hash, words (counts) and repeated (equals an earlier line of its text and has a word)."""
+
+    def __init__(self, c: Chunk):
+        self.end = np.flatnonzero(c.data == 10)
+        self.start = np.concatenate([[0], self.end[:-1] + 1]) if len(self.end) else self.end
+        self.doc = np.searchsorted(c.end, self.end)
+        self.hash = span_hash(c.prefix, self.start, self.end)
+        self.w_lo, self.w_hi = np.searchsorted(c.w_start, self.start), np.searchsorted(c.w_start, self.end)
+        self.words = self.w_hi - self.w_lo
+        order, fresh = first_of(mix(self.hash ^ mix(self.doc.astype(np.uint64))))
+        self.repeated = np.zeros(len(self.end), bool)
+        self.repeated[order] = ~fresh
+        self.repeated &= self.words > 0
+
+
+def repeated_words(c: Chunk, n: int = 5) -> np.ndarray:
+    """For each word: whether it lies in a window of n words that its text has twice or more, the first included."""
+    inside = np.zeros(len(c.w_doc) + 1, np.int64)
+    grams = gram_hash(c.w_hash, n)
+    if len(grams):
+        at = np.flatnonzero(c.w_doc[: len(grams)] == c.w_doc[n - 1 :])
+        order, fresh = first_of(mix(grams[at] ^ mix(c.w_doc[at].astype(np.uint64))))
+        twice = ~fresh
+        twice[:-1] |= ~fresh[1:]
+        hit = at[order[twice]]
+        np.add.at(inside, hit, 1)
+        np.add.at(inside, hit + n, -1)
+    return np.cumsum(inside[:-1]) > 0
+
+
+def count_in(c: Chunk, mask: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many bytes of each span the mask marks."""
+    total = np.zeros(len(mask) + 1, np.int64)
+    np.cumsum(mask, out=total[1:])
+    return total[end] - total[start]
+
+
+def byte_set(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[np.frombuffer(chars, np.uint8)] = True
+    return out
+
+
+def training_rows(docs: DataFrame, chosen: DataFrame, make, schema: str) -> list:
+    """Features of the chosen labelled texts (a bounded sample, so broadcast is safe), ordered by id and text."""
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return sorted(map_texts(joined, make, schema).collect(), key=lambda r: (r.doc_id, bytes(r.features)))
