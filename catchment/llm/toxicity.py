@@ -23,7 +23,7 @@ CATEGORIES = ("low_quality", "toxic", "severe_toxic")
 #: Training rows at most; the model does not need more as the corpus grows.
 SAMPLE = 5000
 #: Terms that a link may use.
-TERMS = 768
+TERMS = 384
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.5
 _LETTER = np.zeros(256, bool)
