@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -22,6 +22,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text that one numpy step works on.
 CHUNK_BYTES = 2 << 20
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 2000
+#: Stands for a null id in orderings.
+LOWEST = -(1 << 63)
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -154,6 +158,9 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict
     chunk as Python lists (about ``limit`` characters of text) and returns columns of ``schema``.
     """
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()
@@ -168,6 +175,18 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict
     return df.mapInArrow(run, schema)
 
 
+def keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """doc (id, a null one as the lowest number), twin (number of the text among those of its id), text, columns.
+
+    Rows equal in id and text get the same key.
+    """
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc"), "text", *columns)
+    if base.groupBy("doc").count().filter("count > 1").take(1):
+        w = Window.partitionBy("doc").orderBy(F.coalesce("text", F.lit("")))
+        return base.withColumn("twin", F.dense_rank().over(w) - 1)
+    return base.withColumn("twin", F.lit(0))
+
+
 def held_out(doc_id: str = "doc_id") -> F.Column:
     """crc32 of the id as text is divisible by five: such rows never train a model."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0

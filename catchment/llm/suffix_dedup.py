@@ -25,10 +25,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Chunk, cut, first_of, map_texts, mix, prefix_hash, span_hash
+from .common import CHUNK_BYTES, LOWEST, Chunk, cut, first_of, keyed, map_texts, mix, prefix_hash, span_hash
 
 LENGTH = 100
 GRAM = 24
@@ -36,7 +36,6 @@ GRAM = 24
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text whose suffixes form a run.
 RUN_BYTES = 4 * CHUNK_BYTES
-_LOWEST = np.iinfo(np.int64).min
 _TOP = np.uint32(0xFFFFFFFF)
 
 
@@ -70,16 +69,7 @@ def anchors(c: Chunk, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pos, np.searchsorted(c.start, pos, "right") - 1
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc (id, null as the lowest), twin (number of the text among those of its id), text."""
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc"), "text")
-    if base.groupBy("doc").count().filter("count > 1").take(1):
-        w = Window.partitionBy("doc").orderBy(F.coalesce("text", F.lit("")))
-        return base.withColumn("twin", F.dense_rank().over(w) - 1)
-    return base.withColumn("twin", F.lit(0))
-
-
-def _anchor_blobs(keyed: DataFrame, parts: int) -> DataFrame:
+def _anchor_blobs(docs: DataFrame, parts: int) -> DataFrame:
     """part, blob: anchors of a chunk dealt by gram; kind 1 rows are copies within the chunk, dealt by document."""
 
     def make():
@@ -112,7 +102,7 @@ def _anchor_blobs(keyed: DataFrame, parts: int) -> DataFrame:
 
         return kernel
 
-    return map_texts(keyed, make, "part int, blob binary", limit=RUN_BYTES)
+    return map_texts(docs, make, "part int, blob binary", limit=RUN_BYTES)
 
 
 def _read_blob(b: bytes):
@@ -164,7 +154,7 @@ def front_code(suffixes: list[bytes]) -> tuple[np.ndarray, bytes]:
     return shared.astype(np.uint8), b"".join(s[k:] for s, k in zip(suffixes, shared.tolist()))
 
 
-def _runs(keyed: DataFrame, contested: DataFrame, parts: int) -> DataFrame:
+def _runs(docs: DataFrame, contested: DataFrame, parts: int) -> DataFrame:
     """part, run: each chunk's suffixes at contested anchors as sorted front-coded runs, with their left sides."""
     spots = contested.groupBy("doc", "twin").agg(F.collect_list("pos").alias("spots"))
 
@@ -194,7 +184,7 @@ def _runs(keyed: DataFrame, contested: DataFrame, parts: int) -> DataFrame:
 
         return kernel
 
-    return map_texts(keyed.join(spots, ["doc", "twin"]), make, "part int, run binary", limit=RUN_BYTES)
+    return map_texts(docs.join(spots, ["doc", "twin"]), make, "part int, run binary", limit=RUN_BYTES)
 
 
 class Run:
@@ -315,11 +305,11 @@ def _verdicts(runs: DataFrame) -> DataFrame:
     return runs.groupBy("part").applyInArrow(run, "doc long, twin int, lo int, hi int")
 
 
-def repeated_spans(keyed: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc, twin, lo, hi: byte ranges (overlapping, end perhaps beyond the text) that repeat earlier strings."""
-    parts = 4 * int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    settled = cut(_settle(_anchor_blobs(keyed, parts)))
-    sorted_out = _verdicts(_runs(keyed, settled.filter("contested"), parts))
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    settled = cut(_settle(_anchor_blobs(docs, parts)))
+    sorted_out = _verdicts(_runs(docs, settled.filter("contested"), parts))
     whole = settled.filter("not contested").select("doc", "twin", F.greatest(F.col("pos") - (WINDOW - 1), F.lit(0)).alias("lo"), (F.col("pos") + LENGTH).alias("hi"))
     return whole.unionByName(sorted_out)
 
@@ -335,8 +325,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 
 def _cut_texts(docs: DataFrame, give_text: bool) -> DataFrame:
-    keyed = _keyed(docs)
-    spans = repeated_spans(keyed).groupBy("doc", "twin").agg(F.collect_list(F.col("lo").cast("long") * (1 << 31) + F.col("hi")).alias("spans"))
+    base = keyed(docs)
+    spans = repeated_spans(base).groupBy("doc", "twin").agg(F.collect_list(F.col("lo").cast("long") * (1 << 31) + F.col("hi")).alias("spans"))
     schema = "doc_id long, text string" if give_text else "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def make():
@@ -352,7 +342,7 @@ def _cut_texts(docs: DataFrame, give_text: bool) -> DataFrame:
                     np.add.at(step, np.minimum(s & ((1 << 31) - 1), len(data)), -1)
                     gone = np.cumsum(step[:-1]) > 0
                 kept = data[~gone].tobytes()
-                out["doc_id"].append(None if doc == _LOWEST else doc)
+                out["doc_id"].append(None if doc == LOWEST else doc)
                 if give_text:
                     out["text"].append(kept.decode("utf-8", "replace"))
                 else:
@@ -364,4 +354,4 @@ def _cut_texts(docs: DataFrame, give_text: bool) -> DataFrame:
 
         return kernel
 
-    return map_texts(keyed.join(spans, ["doc", "twin"], "left"), make, schema)
+    return map_texts(base.join(spans, ["doc", "twin"], "left"), make, schema)
