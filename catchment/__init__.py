@@ -1,0 +1 @@
+"""Terrain analysis on gridded elevation as Spark DataFrames."""

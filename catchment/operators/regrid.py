@@ -1,0 +1,109 @@
+"""Mosaics, resampling, alignment, tile plans, and windows."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.geo import metres_per_degree
+from ..grid import GridMeta
+
+# fixed values: the export limits of a request
+TILE_BYTES = 32 * 1024 * 1024
+SAFETY = 0.7
+MOST_CELLS = 10_000
+RESAMPLING = ("nearest", "bilinear", "bicubic")
+
+
+def mosaic(tiles: DataFrame) -> DataFrame:
+    """r, c, z of overlapping rasters (r, c, z, priority): the valid value of the highest priority."""
+    return tiles.groupBy("r", "c").agg(F.max_by("z", F.when(F.col("z").isNotNull(), F.col("priority"))).alias("z"))
+
+
+def resample(cells: DataFrame, source: GridMeta, target: GridMeta, method: str = "bilinear") -> DataFrame:
+    """``cells`` on the target grid of the same CRS; NULL where a needed source cell is missing or NoData."""
+    if method not in RESAMPLING:
+        raise ValueError(f"resampling must be one of {', '.join(RESAMPLING)}")
+    spark = cells.sparkSession
+    every = spark.range(target.height * target.width).select((F.col("id") / target.width).cast("int").alias("r"), (F.col("id") % target.width).cast("int").alias("c"))
+    u = (target.c + target.a * (F.col("c") + 0.5) - source.c) / source.a
+    v = (target.f + target.e * (F.col("r") + 0.5) - source.f) / source.e
+    src = cells.select(F.col("r").alias("sr"), F.col("c").alias("sc"), "z")
+    if method == "nearest":
+        return every.select("r", "c", F.floor(v).cast("int").alias("sr"), F.floor(u).cast("int").alias("sc")).join(src, ["sr", "sc"], "left").select("r", "c", "z")
+    reach = range(0, 2) if method == "bilinear" else range(-1, 3)
+    placed = every.withColumn("x", u - 0.5).withColumn("y", v - 0.5).withColumn("x0", F.floor("x").cast("int")).withColumn("y0", F.floor("y").cast("int"))
+
+    def weight(t):
+        if method == "bilinear":
+            return 1 - F.abs(t)
+        a, d = -0.5, F.abs(t)
+        return F.when(d <= 1, (a + 2) * d * d * d - (a + 3) * d * d + 1).when(d < 2, a * d * d * d - 5 * a * d * d + 8 * a * d - 4 * a).otherwise(0.0)
+
+    offsets = F.explode(F.array(*[F.struct(F.lit(j).alias("dy"), F.lit(i).alias("dx")) for j in reach for i in reach])).alias("o")
+    need = placed.select("*", offsets).withColumn("sr", F.col("y0") + F.col("o.dy")).withColumn("sc", F.col("x0") + F.col("o.dx"))
+    need = need.withColumn("w", weight(F.col("x") - F.col("sc")) * weight(F.col("y") - F.col("sr"))).filter(F.abs("w") > 1e-12)
+    got = need.join(src, ["sr", "sc"], "left").groupBy("r", "c").agg(F.sum(F.col("w") * F.col("z")).alias("s"), F.count("*").alias("n"), F.count("z").alias("k"))
+    return got.select("r", "c", F.when(F.col("n") == F.col("k"), F.col("s")).alias("z"))
+
+
+def aligned(a: GridMeta, b: GridMeta) -> bool:
+    """Whether two rasters share transform, CRS and size."""
+    return a == b
+
+
+def alignment(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row: cells in both, only left, only right."""
+    l, r = left.select("r", "c", F.lit(1).alias("a")), right.select("r", "c", F.lit(1).alias("b"))
+    return l.join(r, ["r", "c"], "full").agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"), F.count_if(F.col("b").isNull()).alias("only_left"), F.count_if(F.col("a").isNull()).alias("only_right"))
+
+
+def tile_plan(width: int, height: int, bands: int = 1, bytes_per_cell: int = 4, limit: int = TILE_BYTES, safety: float = SAFETY, most: int = MOST_CELLS) -> tuple[int, int]:
+    """(columns, rows) of near-square tiles below a byte budget and a size limit."""
+    budget = int(limit * safety)
+    n = max(1, math.ceil(width * height * bands * bytes_per_cell / budget))
+    cols = math.ceil(math.sqrt(n))
+    rows = math.ceil(n / cols)
+    return max(cols, math.ceil(width / most)), max(rows, math.ceil(height / most))
+
+
+def refine_plan(cols: int, rows: int, mode: str = "double") -> tuple[int, int]:
+    if mode == "double":
+        return cols * 2, rows * 2
+    if mode == "add":
+        return cols + 1, rows + 1
+    raise ValueError("mode must be double or add")
+
+
+def windows(spark: SparkSession, width: int, height: int, cols: int, rows: int) -> DataFrame:
+    """index, row_idx, col_idx, col_off, row_off, width, height of tiles in row-major order; edges are truncated even steps."""
+    edge = lambda i, n, k: F.when(i == k, n).otherwise(F.floor(i * F.lit(n / k))).cast("int")
+    t = spark.range(cols * rows).select(F.col("id").cast("int").alias("index"), (F.col("id") / cols).cast("int").alias("row_idx"), (F.col("id") % cols).cast("int").alias("col_idx"))
+    x0, x1 = edge(F.col("col_idx"), width, cols), edge(F.col("col_idx") + 1, width, cols)
+    y0, y1 = edge(F.col("row_idx"), height, rows), edge(F.col("row_idx") + 1, height, rows)
+    return t.select("*", x0.alias("col_off"), y0.alias("row_off"), (x1 - x0).alias("width"), (y1 - y0).alias("height"))
+
+
+def window_bounds(tiles: DataFrame, meta: GridMeta, shrink: float = 1e-6) -> DataFrame:
+    """index, xmin, ymin, xmax, ymax of each window, drawn in by a part of a cell so that neighbours stay out."""
+    x0, x1 = meta.c + meta.a * (F.col("col_off") + shrink), meta.c + meta.a * (F.col("col_off") + F.col("width") - shrink)
+    y0, y1 = meta.f + meta.e * (F.col("row_off") + shrink), meta.f + meta.e * (F.col("row_off") + F.col("height") - shrink)
+    return tiles.select("index", F.least(x0, x1).alias("xmin"), F.least(y0, y1).alias("ymin"), F.greatest(x0, x1).alias("xmax"), F.greatest(y0, y1).alias("ymax"))
+
+
+def crop_window(meta: GridMeta, xmin: float, ymin: float, xmax: float, ymax: float, tol: float = 1e-9) -> tuple[int, int, int, int]:
+    """(col_off, row_off, width, height) of the cells that a rectangle touches."""
+    cs, rs = sorted(((xmin - meta.c) / meta.a, (xmax - meta.c) / meta.a)), sorted(((ymin - meta.f) / meta.e, (ymax - meta.f) / meta.e))
+    c0, c1, r0, r1 = math.floor(cs[0] + tol), math.ceil(cs[1] - tol), math.floor(rs[0] + tol), math.ceil(rs[1] - tol)
+    if c1 <= c0 or r1 <= r0:
+        raise ValueError("the region has no cells")
+    return c0, r0, c1 - c0, r1 - r0
+
+
+def buffered_bbox(points: DataFrame, km: float) -> DataFrame:
+    """xmin, ymin, xmax, ymax around points (x, y in degrees), widened by a distance on the ground."""
+    box = points.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    lat, lon = metres_per_degree((F.col("y0") + F.col("y1")) / 2)
+    return box.select((F.col("x0") - km * 1000 / lon).alias("xmin"), (F.col("y0") - km * 1000 / lat).alias("ymin"), (F.col("x1") + km * 1000 / lon).alias("xmax"), (F.col("y1") + km * 1000 / lat).alias("ymax"))
