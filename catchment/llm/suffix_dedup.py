@@ -35,7 +35,7 @@ GRAM = 24
 #: Grams in a string of LENGTH bytes; also one more than the furthest an anchor lies from its string's start.
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text whose suffixes form a run.
-RUN_BYTES = 4 * CHUNK_BYTES
+RUN_BYTES = CHUNK_BYTES
 _TOP = np.uint32(0xFFFFFFFF)
 
 
