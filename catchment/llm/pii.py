@@ -172,7 +172,8 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with entities in text replaced; n_entities counts them. Only rows with entities are shuffled."""
     female = F.regexp_extract_all("text", F.lit(KINDS["female"]), F.lit(0))
     names = [c for c in docs.columns if c != "n_entities"]
-    marked = docs.select(*names).withColumn("found", F.when(F.col("text").rlike(HINT), found(F.col("text"))))
+    # a row travels as one struct, so that its columns cannot clash with those made here
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text").withColumn("found", F.when(F.col("text").rlike(HINT), found(F.col("text"))))
     some = F.coalesce(F.size("found") > 0, F.lit(False))
     hits = marked.filter(some).withColumn("row_key", F.xxhash64("text")).withColumn("gender_of", female)
     table = assign(_entities(hits), key)
@@ -184,4 +185,5 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     fill = F.zip_with(parts, F.transform("found", lambda e: F.coalesce(F.element_at(F.col("s"), e), F.lit("[removed]"))), lambda p, x: F.concat(p, F.coalesce(x, F.lit(""))))
     done = hits.join(of_row, "row_key", "left").withColumn("text", F.array_join(fill, ""))
     n = F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_entities")
-    return marked.filter(~some).select(*names, F.lit(0).cast("long").alias("n_entities")).unionByName(done.select(*names, n))
+    out = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names]
+    return marked.filter(~some).select(*out, F.lit(0).cast("long").alias("n_entities")).unionByName(done.select(*out, n))
