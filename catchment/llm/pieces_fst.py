@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .common import Chunk, first_of, map_texts, prefix_hash, span_hash
 
 #: Units whose encodings a worker remembers before it starts afresh.
-CACHE = 400_000
+CACHE = 600_000
 _SPACE = "▁"
 
 
@@ -41,10 +41,16 @@ class Transducer:
         plain = [i for i in range(len(pieces)) if i not in special]
         self.id = {pieces[i]: i for i in plain}
         self.cost = {pieces[i]: -scores[i] for i in plain}
-        self.worst = max(self.cost.values(), default=0.0) + 1
-        self.prefixes = {p[:k] for p in self.id for k in range(1, len(p) + 1)}
+        self.trie: dict = {}
+        for p in self.id:
+            node = self.trie
+            for ch in p:
+                node = node.setdefault(ch, {})
+            node[""] = p
         self.follows: dict[tuple[str, str], bool] = {}
+        self.whole: dict[str, bool] = {}
         self.seen: dict[bytes, tuple[int, ...]] = {}
+        self.older: dict[bytes, tuple[int, ...]] = {}
         raw = [p.replace(_SPACE, " ").encode() for p in pieces]
         for byte, i in enumerate(fallback):
             if i >= 0:
@@ -91,7 +97,14 @@ class Transducer:
             del starts[at + 1], ends[at + 1]
             if starts[at] < border < ends[at]:
                 return False
-        return starts == [0, border]
+        return starts == ([0, border] if border < len(s) else [0])
+
+    def _whole(self, a: str) -> bool:
+        """Whether merging makes one piece of a."""
+        got = self.whole.get(a)
+        if got is None:
+            got = self.whole[a] = self._merged(a, len(a))
+        return got
 
     def _may_follow(self, a: str, b: str) -> bool:
         got = self.follows.get((a, b))
@@ -102,31 +115,43 @@ class Transducer:
         return got
 
     def shortest(self, s: str) -> list[str]:
-        """Pieces (or single characters without one) on the shortest path through the composition with s."""
-        n, cost, prefixes = len(s), self.cost, self.prefixes
-        states: list[dict[str, tuple[float, str]]] = [{} for _ in range(n + 1)]
-        states[0][""] = (0.0, "")
+        """Pieces (or single characters without one) on the shortest path through the composition with s.
+
+        A position is a state with its last piece. Since a prefix has one valid encoding, the first valid
+        arc into a position is the only one, and its cost (the sum of its pieces') needs no comparison.
+        """
+        n, root, follows = len(s), self.trie, self.follows
+        last = [""] * (n + 1)
         for i in range(n):
-            here = states[i]
-            if not here:
+            before = last[i]
+            if i and not before:
                 continue
-            for j in range(i + 1, n + 1):
-                arc = s[i:j]
-                weight = cost.get(arc)
-                if weight is None and j == i + 1:
-                    weight = self.worst
-                if weight is not None:
-                    there = states[j]
-                    for last, (sofar, _) in here.items():
-                        if (not last or self._may_follow(last, arc)) and (arc not in there or sofar + weight < there[arc][0]):
-                            there[arc] = (sofar + weight, last)
-                if arc not in prefixes:
+            node = root.get(s[i])
+            if not last[i + 1]:
+                arc = s[i]
+                if not before or self._may_follow(before, arc):
+                    last[i + 1] = arc
+            j = i + 1
+            while node is not None:
+                if j > i + 1 and not last[j]:
+                    arc = node.get("")
+                    if arc is not None:
+                        if before:
+                            fits = follows.get((before, arc))
+                            if fits is None:
+                                fits = self._may_follow(before, arc)
+                        else:
+                            fits = self._whole(arc)
+                        if fits:
+                            last[j] = arc
+                if j == n:
                     break
+                node = node.get(s[j])
+                j += 1
         out, j = [], n
-        last = min(states[n], key=lambda k: states[n][k][0]) if n else ""
         while j:
-            out.append(last)
-            last, j = states[j][last][1], j - len(last)
+            out.append(last[j])
+            j -= len(last[j])
         return out[::-1]
 
     def unit(self, s: str) -> tuple[int, ...]:
@@ -157,14 +182,17 @@ class Transducer:
         order, fresh = first_of(span_hash(prefix, starts, ends) + (ends - starts).astype(np.uint64))
         kind = np.empty(len(order), np.int64)
         kind[order] = np.cumsum(fresh) - 1
-        blob, seen, found = d.tobytes(), self.seen, []
-        if len(seen) > CACHE:
-            seen.clear()
+        if len(self.seen) > CACHE // 2:
+            self.seen, self.older = {}, self.seen
+        blob, seen, older, found = d.tobytes(), self.seen, self.older, []
         for a, b in zip(starts[order[fresh]].tolist(), ends[order[fresh]].tolist()):
             key = blob[a:b]
             got = seen.get(key)
             if got is None:
-                got = seen[key] = self.unit(key.decode("utf-8").replace(" ", _SPACE))
+                got = older.get(key)
+                if got is None:
+                    got = self.unit(key.decode("utf-8").replace(" ", _SPACE))
+                seen[key] = got
             found.append(got)
         size = np.array([len(f) for f in found], np.int64)
         flat = np.array([i for f in found for i in f], np.int32)
