@@ -175,7 +175,7 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     # a row travels as one struct, so that its columns cannot clash with those made here
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text").withColumn("found", F.when(F.col("text").rlike(HINT), found(F.col("text"))))
     some = F.coalesce(F.size("found") > 0, F.lit(False))
-    hits = marked.filter(some).withColumn("row_key", F.xxhash64("text")).withColumn("gender_of", female)
+    hits = cut(marked.filter(some).withColumn("row_key", F.xxhash64("text")).withColumn("gender_of", female))
     table = assign(_entities(hits), key)
     used = hits.select("row_key", "gender_of", F.explode(F.array_distinct("found")).alias("e")).withColumn("kind", kind_of(F.col("e")))
     used = used.withColumn("gender", F.when(F.col("kind") == "name", F.when(F.array_contains("gender_of", F.col("e")), "f").otherwise("m")).otherwise("")).withColumn("canonical", canonical(F.col("e"), F.col("kind")))
