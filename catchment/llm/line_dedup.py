@@ -1,18 +1,23 @@
-"""Removal of near-repeated lines by an exact set-similarity join, by DataFrame functions alone.
+"""Removal of near-repeated lines by an exact set-similarity join.
 
 A line is the set of its distinct words; a line goes if an earlier line (by id, then place in the text;
 removed or not) has Jaccard similarity of at least PERCENT percent. Words are ordered by rarity: corpus
-counts of 2**16 hash classes of words give each word a rank, and a word's token holds rank and hash, so
+counts of 2**18 hash classes of words give each word a rank, and a word's token holds rank and hash, so
 sorting tokens sorts by rarity. Equal sets are one class, led by its first line; only leads join:
 
 * prefix filter: similar sets share a token among the rarest n - ceil(t n) + 1 of each;
 * length filter: t times the larger set is at most the smaller;
-* positional filter: the tokens behind the shared one must suffice.
+* positional filter: the tokens behind the shared one must suffice;
+* parity filter: a token flips one of 64 bits of its line, so the bits in which two lines differ are
+  at most the tokens in which they differ.
 
 A token's lines form a group. In groups of up to SMALL leads each meets the others; a larger group
 goes in rounds of stars: about 4**r hubs a round, chosen by hash, meet those not yet settled, so a
 group of near copies ends early and no group is capped. Survivors are verified on whole sets.
 
+Words are counted and ranked in numpy, over bounded chunks of Arrow batches; the rest is DataFrame
+functions. (With array functions alone these two steps cost 480 CPU seconds a GB.)
+
 Lines without a word stay. A null text stays null. A null id sorts below all others, rows of equal id
 are ordered by text, and rows equal in both are one document. All columns are kept.
 """
@@ -20,92 +25,150 @@ are ordered by text, and rows equal in both are one document. All columns are ke
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, keyed
+from .common import Chunk, cut, keyed, map_texts, mix, pieces
 
 PERCENT = 80
-CLASSES = 1 << 16
+CLASS_BITS = 18
 SMALL = 32
-_HASH = (1 << 47) - 1
 _GAPS = r"[ \t-\r]+"
+_SHIFT = np.uint64(64 - CLASS_BITS)
+#: Two numbers below 2**31 in one long.
+_HALF = 1 << 31
 
 
 def _words(line: Column) -> Column:
     return F.array_remove(F.split(line, _GAPS), "")
 
 
-def _ranks(texts: DataFrame) -> Column:
-    """A literal array (fixed size) with the rarity rank of each hash class of words."""
-    counted = texts.select(F.explode(F.split("text", _GAPS)).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(CLASSES)).cast("int").alias("c")).count()
-    order = sorted((r["count"], r.c) for r in counted.collect())
-    rank = [0] * CLASSES
-    for i, (_, c) in enumerate(order):
-        rank[c] = i
-    return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<bigint>")
-
-
-def _tokens(line: Column, ranks: Column) -> Column:
-    """The sorted tokens of a line's distinct words, rarest first."""
-    hashes = F.transform(_words(line), lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(F.get(ranks, F.pmod(h, F.lit(CLASSES)).cast("int")), 47).bitwiseOR(h.bitwiseAND(F.lit(_HASH))))))
-
-
-def _lines(base: DataFrame) -> DataFrame:
-    return base.select("doc", "twin", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-
-
-def _prefix(n: Column, percent: int) -> Column:
-    return (n - F.ceil(n * percent / 100.0 - 1e-9) + 1).cast("int")
+def _ranks(texts: DataFrame) -> np.ndarray:
+    """The rarity rank of each hash class of words (an array of fixed size), from counts over all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CLASS_BITS, np.int64)
+        for batch in batches:
+            whole = batch.column(0).to_pylist()
+            for lo, hi in pieces(whole):
+                c = Chunk(whole[lo:hi])
+                c.words()
+                total += np.bincount((c.w_hash >> _SHIFT).astype(np.int64), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["c", "n"])
+
+    counted = texts.select("text").mapInArrow(run, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(1 << CLASS_BITS, np.int64)
+    total[counted.column("c").to_numpy()] = counted.column("n").to_numpy()
+    rank = np.empty(len(total), np.uint64)
+    rank[np.argsort(total, kind="stable")] = np.arange(len(total), dtype=np.uint64)
+    return rank
+
+
+def token_sets(texts: list[str | None], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token, start, doc, no): the sorted distinct tokens of each line that has any, where its tokens start, its text and number."""
+    c = Chunk(texts)
+    c.words()
+    ends = np.flatnonzero(c.data == 10)
+    line = np.searchsorted(ends, c.w_start)
+    token = (rank[(c.w_hash >> _SHIFT).astype(np.int64)] << _SHIFT) | (c.w_hash & np.uint64((1 << int(_SHIFT)) - 1))
+    by_token = np.argsort(token)
+    by_line = np.sort((line[by_token].astype(np.uint64) << np.uint64(32)) | np.arange(len(line), dtype=np.uint64))
+    token, line = token[by_token[(by_line & np.uint64(0xFFFFFFFF)).astype(np.int64)]], (by_line >> np.uint64(32)).astype(np.int64)
+    fresh = np.ones(len(token), bool)
+    fresh[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
+    token, line = token[fresh], line[fresh]
+    first = np.ones(len(line), bool)
+    first[1:] = line[1:] != line[:-1]
+    start = np.flatnonzero(first)
+    line = line[start]
+    doc = np.searchsorted(c.end, ends[line])
+    return token, start, doc, line - np.searchsorted(ends, c.start)[doc]
+
+
+def _lines(docs: DataFrame, percent: int) -> DataFrame:
+    """doc, place (number of the line, then twin), n, d1, d2 (digest of the set), parity, rare (32 bits of each token of the prefix)."""
+    ranks = docs.sparkSession.sparkContext.broadcast(_ranks(docs))
+
+    def make():
+        rank = ranks.value
+
+        def kernel(cols):
+            token, start, doc, no = token_sets(cols["text"], rank)
+            n = np.diff(np.append(start, len(token)))
+            if not len(n):
+                return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))], names=names)
+            h = mix(token)
+            d1, d2 = (np.add.reduceat(mix(h ^ np.uint64(salt)), start).view(np.int64) for salt in (1, 2))
+            parity = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), start).view(np.int64)
+            size = n + (-n * percent) // 100 + 1
+            at = np.arange(len(token)) - np.repeat(start, n)
+            rare = h[at < np.repeat(size, n)].astype(np.uint32).view(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(rare))
+            ids = np.asarray(cols["doc"], np.int64)[doc]
+            place = no * _HALF + np.asarray(cols["twin"], np.int64)[doc]
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(place), pa.array(n, pa.int32()), pa.array(d1), pa.array(d2), pa.array(parity), lists], names=names)
+
+        return kernel
+
+    names = ["doc", "place", "n", "d1", "d2", "parity", "rare"]
+    return map_texts(docs.select("doc", "twin", "text"), make, "doc long, place long, n int, d1 long, d2 long, parity long, rare array<int>")
 
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc, twin, no of every line to remove; ``docs`` has doc, twin, text (see ``keyed``)."""
-    ranks = _ranks(docs)
-    t = F.col("tokens")
-    # a prefix needs only 32 bits of each token: what a collision lets through fails verification
-    lines = _lines(docs).select("doc", "twin", "no", _tokens(F.col("line"), ranks).alias("tokens")).withColumn("n", F.size(t)).filter("n > 0")
-    lines = cut(lines.select("doc", "twin", "no", "n", F.xxhash64(t).alias("d1"), F.xxhash64(F.lit(1), t).alias("d2"), F.transform(F.slice(t, 1, _prefix(F.col("n"), percent)), lambda x: F.hash(x)).alias("rare")))
-    first = F.struct("doc", "no", "twin")
-    classes = lines.groupBy("d1", "d2").agg(F.min(first).alias("lead"), F.count("*").alias("m"))
-    again = lines.join(classes.filter("m > 1").select("d1", "d2", "lead"), ["d1", "d2"])
-    copies = again.filter(first != F.col("lead")).select("doc", "twin", "no", F.lit(True).alias("copy"))
-    # of a class only its lead joins; identical rows give equal leads, which distinct() folds
-    leads = lines.join(copies, ["doc", "twin", "no"], "left_anti").select("doc", "no", "twin", "n", F.posexplode("rare").alias("at", "tok"))
-    me = F.struct("doc", "no", "twin")
-    rank = F.xxhash64("doc", "no", "twin", "tok")
-    groups = leads.groupBy("tok").agg(F.count("*").alias("m"), F.min(rank).alias("least")).filter("m > 1")
+    lines = cut(_lines(docs, percent))
+    # of a class only its first line joins
+    leads = lines.groupBy("d1", "d2").agg(F.min(F.struct("doc", "place")).alias("lead")).select("lead.doc", "lead.place")
+    copies = lines.select("doc", "place").join(leads, ["doc", "place"], "left_anti")
+    size_at = (F.col("n").cast("long") * _HALF + F.col("at")).alias("size_at")
+    index = lines.select("doc", "place", "n", "parity", "rare").join(leads, ["doc", "place"]).select("doc", "place", "n", "parity", F.posexplode("rare").alias("at", "tok")).select("tok", "doc", "place", size_at, "parity")
+    members = index.withColumn("m", F.count("*").over(Window.partitionBy("tok")))
+    n, at, hn, hat = F.shiftright("size_at", 31), F.col("size_at").bitwiseAND(F.lit(_HALF - 1)), F.shiftright("h_size_at", 31), F.col("h_size_at").bitwiseAND(F.lit(_HALF - 1))
+    need = F.ceil((n + hn) * percent / (100.0 + percent) - 1e-9)
+    fits = (
+        (F.bit_count(F.col("parity").bitwiseXOR(F.col("h_parity"))) <= n + hn - 2 * need)
+        & (100 * F.least(n, hn) >= percent * F.greatest(n, hn)) & (F.least(n - at, hn - hat) >= need)
+    )
+    me, hub_id = F.struct("doc", "place"), F.struct(F.col("h_doc").alias("doc"), F.col("h_place").alias("place"))
+    later = (F.col("doc") > F.col("h_doc")) | ((F.col("doc") == F.col("h_doc")) & (F.col("place") > F.col("h_place")))
+    hubs = lambda df, *more: df.select("tok", *[F.col(c).alias(f"h_{c}") for c in ("doc", "place", "size_at", "parity", *more)])
+    few = members.filter(f"m > 1 and m <= {SMALL}").drop("m")
+    pairs = cut(few.join(hubs(few), "tok").filter(later & fits).select(hub_id.alias("a"), me.alias("b")).distinct())
+    gone = cut(_verified(docs, pairs, percent))
+    rank = F.xxhash64("doc", "place", "tok")
     share = (rank.cast("double") / 2.0**64 + 0.5) * F.col("m")
-    tier = F.when(F.col("m") <= SMALL, 0).when(rank == F.col("least"), 0).otherwise(1 + F.greatest(F.lit(0), F.floor(F.log(share) / math.log(4)))).cast("int")
-    members = cut(leads.join(groups, "tok").select("tok", me.alias("id"), "n", "at", tier.alias("tier"), (F.col("m") <= SMALL).alias("small")))
-    last = members.agg(F.max("tier")).first()[0]
-    gone = cut(members.select("id").limit(0))
-    if last is None:
-        return again.filter(first != F.col("lead")).select("doc", "twin", "no")
-    for r in range(last + 1):
-        now = members.join(gone.withColumn("gone", F.lit(True)), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False))) if r else members.withColumn("gone", F.lit(False))
-        if r:
-            now = now.filter(f"not small and tier >= {r}")
-        hub = now.filter(F.col("tier") == r).select("tok", F.col("id").alias("h"), F.col("n").alias("hn"), F.col("at").alias("hat"), F.col("gone").alias("hgone"))
-        need = F.ceil((F.col("n") + F.col("hn")) * percent / (100.0 + percent) - 1e-9)
-        later_open = F.when(F.col("id") > F.col("h"), ~F.col("gone")).otherwise(~F.col("hgone"))
-        fits = (
-            (100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")) & (1 + F.least(F.col("n") - F.col("at"), F.col("hn") - F.col("hat")) - 1 >= need)
-            & later_open & ((F.col("tier") > r) | (F.col("id") > F.col("h")))
-        )
-        pairs = now.join(hub, "tok").filter(fits).select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
-        pairs = cut(pairs)
-        if not pairs.take(1):
-            continue
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().select("id.doc", "id.twin", "id.no")
-        texts = docs.join(wanted.select("doc", "twin").distinct(), ["doc", "twin"], "left_semi")
-        sets = cut(_lines(texts).join(wanted, ["doc", "twin", "no"], "left_semi").select(me.alias("id"), F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("set")).distinct())
-        both = F.size(F.array_intersect("sa", "sb"))
-        found = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select(F.col("b").alias("id"))
-        gone = cut(gone.union(found).distinct())
-    return again.filter(first != F.col("lead")).select("doc", "twin", "no").union(gone.select("id.doc", "id.twin", "id.no"))
+    least = F.min(rank).over(Window.partitionBy("tok"))
+    tier = F.when(rank == least, 0).otherwise(1 + F.greatest(F.lit(0), F.floor(F.log(share) / math.log(4)))).cast("int")
+    many = cut(members.filter(f"m > {SMALL}").withColumn("tier", tier).drop("m"))
+    last = many.agg(F.max("tier")).first()[0]
+    for r in range(-1 if last is None else last + 1):
+        settled = gone.select("id.doc", "id.place", F.lit(True).alias("gone"))
+        now = many.filter(f"tier >= {r}").join(settled, ["doc", "place"], "left").withColumn("gone", F.col("gone").isNotNull())
+        hub = hubs(now.filter(f"tier = {r}"), "gone")
+        open_ = F.when(later, ~F.col("gone")).otherwise(~F.col("h_gone"))
+        other = (F.col("doc") != F.col("h_doc")) | (F.col("place") != F.col("h_place"))
+        pairs = cut(now.join(hub, "tok").filter(fits & open_ & other & ((F.col("tier") > r) | later)).select(F.least(me, hub_id).alias("a"), F.greatest(me, hub_id).alias("b")).distinct())
+        if pairs.take(1):
+            gone = cut(gone.union(_verified(docs, pairs, percent)).distinct())
+    removed = copies.select("doc", "place").union(gone.select("id.doc", "id.place"))
+    return removed.select("doc", F.col("place").bitwiseAND(F.lit(_HALF - 1)).cast("int").alias("twin"), F.shiftright("place", 31).cast("int").alias("no"))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """id: the later line of each pair (a, b) whose whole sets are similar."""
+    wanted = pairs.select("a.doc", "a.place").union(pairs.select("b.doc", "b.place")).distinct()
+    texts = docs.join(wanted.select("doc").distinct(), "doc", "left_semi")
+    lines = texts.select("doc", "twin", F.posexplode(F.split("text", "\n")).alias("no", "line")).select("doc", (F.col("no").cast("long") * _HALF + F.col("twin")).alias("place"), "line")
+    words = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    sets = cut(lines.join(wanted, ["doc", "place"], "left_semi").select(F.struct("doc", "place").alias("id"), words.alias("set")).distinct())
+    both = F.size(F.array_intersect("sa", "sb"))
+    found = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
+    return found.select(F.col("b").alias("id")).distinct()
 
 
 def drop_repeated_lines(docs: DataFrame, percent: int = PERCENT, counts: bool = False) -> DataFrame:
