@@ -11,7 +11,7 @@ sorting tokens sorts by rarity. Equal sets are one class, led by its first line;
 * parity filter: a token flips one of 64 bits of its line, so the bits in which two lines differ are
   at most the tokens in which they differ.
 
-A token's lines form a group. In groups of up to SMALL leads each meets the others; a larger group
+A token's lines form a group. In groups of up to SMALL (or ``small``) leads each meets the others; a larger group
 goes in rounds of stars: about 4**r hubs a round, chosen by hash, meet those not yet settled, so a
 group of near copies ends early and no group is capped. Survivors are verified on whole sets.
 
@@ -36,7 +36,7 @@ from .common import Chunk, cut, keyed, map_texts, mix, pieces
 
 PERCENT = 80
 CLASS_BITS = 18
-SMALL = 32
+SMALL = 512
 _GAPS = r"[ \t-\r]+"
 _SHIFT = np.uint64(64 - CLASS_BITS)
 #: Two numbers below 2**31 in one long.
@@ -119,7 +119,7 @@ def _lines(docs: DataFrame, percent: int) -> DataFrame:
     return map_texts(docs.select("doc", "twin", "text"), make, "doc long, place long, n int, d1 long, d2 long, parity long, rare array<int>")
 
 
-def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def repeated_lines(docs: DataFrame, percent: int = PERCENT, small: int = SMALL) -> DataFrame:
     """doc, twin, no of every line to remove; ``docs`` has doc, twin, text (see ``keyed``)."""
     lines = cut(_lines(docs, percent))
     # of a class only its first line joins
@@ -137,14 +137,14 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     me, hub_id = F.struct("doc", "place"), F.struct(F.col("h_doc").alias("doc"), F.col("h_place").alias("place"))
     later = (F.col("doc") > F.col("h_doc")) | ((F.col("doc") == F.col("h_doc")) & (F.col("place") > F.col("h_place")))
     hubs = lambda df, *more: df.select("tok", *[F.col(c).alias(f"h_{c}") for c in ("doc", "place", "size_at", "parity", *more)])
-    few = members.filter(f"m > 1 and m <= {SMALL}").drop("m")
+    few = members.filter(f"m > 1 and m <= {small}").drop("m")
     pairs = cut(few.join(hubs(few), "tok").filter(later & fits).select(hub_id.alias("a"), me.alias("b")).distinct())
     gone = cut(_verified(docs, pairs, percent))
     rank = F.xxhash64("doc", "place", "tok")
     share = (rank.cast("double") / 2.0**64 + 0.5) * F.col("m")
     least = F.min(rank).over(Window.partitionBy("tok"))
     tier = F.when(rank == least, 0).otherwise(1 + F.greatest(F.lit(0), F.floor(F.log(share) / math.log(4)))).cast("int")
-    many = cut(members.filter(f"m > {SMALL}").withColumn("tier", tier).drop("m"))
+    many = cut(members.filter(f"m > {small}").withColumn("tier", tier).drop("m"))
     last = many.agg(F.max("tier")).first()[0]
     for r in range(-1 if last is None else last + 1):
         settled = gone.select("id.doc", "id.place", F.lit(True).alias("gone"))
@@ -171,11 +171,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return found.select(F.col("b").alias("id")).distinct()
 
 
-def drop_repeated_lines(docs: DataFrame, percent: int = PERCENT, counts: bool = False) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, percent: int = PERCENT, counts: bool = False, small: int = SMALL) -> DataFrame:
     """``docs`` with repeated lines removed from text; ``counts`` adds n_lines and n_removed."""
     names = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
     base = keyed(docs.select("doc_id", "text"))
-    gone = repeated_lines(base, percent).groupBy("doc", "twin").agg(F.collect_set("no").alias("gone"))
+    gone = repeated_lines(base, percent, small).groupBy("doc", "twin").agg(F.collect_set("no").alias("gone"))
     rest = [c for c in names if c not in ("doc_id", "text")]
     rows = keyed(docs, F.struct("doc_id", *rest).alias("row")).join(gone, ["doc", "twin"], "left")
     parts = F.split("text", "\n")
