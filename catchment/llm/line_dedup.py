@@ -9,7 +9,7 @@ sorting tokens sorts by rarity. Equal sets are one class, led by its first line;
 * length filter: t times the larger set is at most the smaller;
 * positional filter: the tokens behind the shared one must suffice;
 * parity filter: a token flips one of 64 bits of its line, so the bits in which two lines differ are
-  at most the tokens in which they differ.
+  at most the tokens in which they differ; candidates left are tested likewise on 256 bits.
 
 A token's lines form a group. In groups of up to SMALL (or ``small``) leads each meets the others; a larger group
 goes in rounds of stars: about 4**r hubs a round, chosen by hash, meet those not yet settled, so a
@@ -37,6 +37,8 @@ from .common import Chunk, cut, keyed, map_texts, mix, pieces
 PERCENT = 80
 CLASS_BITS = 18
 SMALL = 512
+#: Longs of the second parity filter.
+WIDE = 4
 _GAPS = r"[ \t-\r]+"
 _SHIFT = np.uint64(64 - CLASS_BITS)
 #: Two numbers below 2**31 in one long.
@@ -91,7 +93,7 @@ def token_sets(texts: list[str | None], rank: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _lines(docs: DataFrame, percent: int) -> DataFrame:
-    """doc, place (number of the line, then twin), n, d1, d2 (digest of the set), parity, rare (32 bits of each token of the prefix)."""
+    """doc, place (number of the line, then twin), n, d1, d2 (digest of the set), parity, wide (parity of more bits), rare (32 bits of each token of the prefix)."""
     ranks = docs.sparkSession.sparkContext.broadcast(_ranks(docs))
 
     def make():
@@ -101,22 +103,27 @@ def _lines(docs: DataFrame, percent: int) -> DataFrame:
             token, start, doc, no = token_sets(cols["text"], rank)
             n = np.diff(np.append(start, len(token)))
             if not len(n):
-                return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))], names=names)
+                return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))], names=names)
             h = mix(token)
             d1, d2 = (np.add.reduceat(mix(h ^ np.uint64(salt)), start).view(np.int64) for salt in (1, 2))
             parity = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), start).view(np.int64)
+            wide = np.zeros((len(n), WIDE), np.int64)
+            for k in range(WIDE):
+                bits = np.where(h % np.uint64(WIDE) == k, np.uint64(1) << ((h >> np.uint64(52)) & np.uint64(63)), np.uint64(0))
+                wide[:, k] = np.bitwise_xor.reduceat(bits, start).view(np.int64)
             size = n + (-n * percent) // 100 + 1
             at = np.arange(len(token)) - np.repeat(start, n)
             rare = h[at < np.repeat(size, n)].astype(np.uint32).view(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(rare))
+            wides = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * WIDE, pa.int32()), pa.array(wide.ravel()))
             ids = np.asarray(cols["doc"], np.int64)[doc]
             place = no * _HALF + np.asarray(cols["twin"], np.int64)[doc]
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(place), pa.array(n, pa.int32()), pa.array(d1), pa.array(d2), pa.array(parity), lists], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(place), pa.array(n, pa.int32()), pa.array(d1), pa.array(d2), pa.array(parity), wides, lists], names=names)
 
         return kernel
 
-    names = ["doc", "place", "n", "d1", "d2", "parity", "rare"]
-    return map_texts(docs.select("doc", "twin", "text"), make, "doc long, place long, n int, d1 long, d2 long, parity long, rare array<int>")
+    names = ["doc", "place", "n", "d1", "d2", "parity", "wide", "rare"]
+    return map_texts(docs.select("doc", "twin", "text"), make, "doc long, place long, n int, d1 long, d2 long, parity long, wide array<long>, rare array<int>")
 
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT, small: int = SMALL) -> DataFrame:
@@ -139,7 +146,7 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, small: int = SMALL)
     hubs = lambda df, *more: df.select("tok", *[F.col(c).alias(f"h_{c}") for c in ("doc", "place", "size_at", "parity", *more)])
     few = members.filter(f"m > 1 and m <= {small}").drop("m")
     pairs = cut(few.join(hubs(few), "tok").filter(later & fits).select(hub_id.alias("a"), me.alias("b")).distinct())
-    gone = cut(_verified(docs, pairs, percent))
+    gone = cut(_verified(docs, lines, pairs, percent))
     rank = F.xxhash64("doc", "place", "tok")
     share = (rank.cast("double") / 2.0**64 + 0.5) * F.col("m")
     least = F.min(rank).over(Window.partitionBy("tok"))
@@ -154,13 +161,18 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, small: int = SMALL)
         other = (F.col("doc") != F.col("h_doc")) | (F.col("place") != F.col("h_place"))
         pairs = cut(now.join(hub, "tok").filter(fits & open_ & other & ((F.col("tier") > r) | later)).select(F.least(me, hub_id).alias("a"), F.greatest(me, hub_id).alias("b")).distinct())
         if pairs.take(1):
-            gone = cut(gone.union(_verified(docs, pairs, percent)).distinct())
+            gone = cut(gone.union(_verified(docs, lines, pairs, percent)).distinct())
     removed = copies.select("doc", "place").union(gone.select("id.doc", "id.place"))
     return removed.select("doc", F.col("place").bitwiseAND(F.lit(_HALF - 1)).cast("int").alias("twin"), F.shiftright("place", 31).cast("int").alias("no"))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """id: the later line of each pair (a, b) whose whole sets are similar."""
+    bits = lines.select(F.struct("doc", "place").alias("id"), "n", "wide")
+    total = F.col("na") + F.col("nb")
+    differ = sum((F.bit_count(F.col("wa")[k].bitwiseXOR(F.col("wb")[k])) for k in range(WIDE)), F.lit(0))
+    close = differ <= total - 2 * F.ceil(total * percent / (100.0 + percent) - 1e-9)
+    pairs = cut(pairs.join(bits.toDF("a", "na", "wa"), "a").join(bits.toDF("b", "nb", "wb"), "b").filter(close).select("a", "b"))
     wanted = pairs.select("a.doc", "a.place").union(pairs.select("b.doc", "b.place")).distinct()
     texts = docs.join(wanted.select("doc").distinct(), "doc", "left_semi")
     lines = texts.select("doc", "twin", F.posexplode(F.split("text", "\n")).alias("no", "line")).select("doc", (F.col("no").cast("long") * _HALF + F.col("twin")).alias("place"), "line")
