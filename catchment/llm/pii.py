@@ -45,8 +45,8 @@ KINDS = {
     "female": rf"(?<=\b(?:{'|'.join(FEMALE_TITLES)})\.? ){_NAME}",
 }
 PATTERN = "|".join(KINDS.values())
-#: A cheap necessary condition of any match.
-HINT = r"[@=]|\d{3}|\d\.\d|[0-9a-f]{32}|" + "|".join(MALE_TITLES + FEMALE_TITLES)
+#: A cheap necessary condition of any match: every match of each kind holds one of these signs.
+HINT = r"[@=]|\d{3}|\d[ .-]\d|[0-9a-f]{32}|AKIA|ASIA|[A-Z]{2}\d{2}|" + "|".join(MALE_TITLES + FEMALE_TITLES)
 
 
 def found(text: Column) -> Column:
@@ -173,9 +173,9 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     female = F.regexp_extract_all("text", F.lit(KINDS["female"]), F.lit(0))
     names = [c for c in docs.columns if c != "n_entities"]
     # a row travels as one struct, so that its columns cannot clash with those made here
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text").withColumn("found", F.when(F.col("text").rlike(HINT), found(F.col("text"))))
-    some = F.coalesce(F.size("found") > 0, F.lit(False))
-    hits = cut(marked.filter(some).withColumn("row_key", F.xxhash64("text")).withColumn("gender_of", female))
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text")
+    some = F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(PATTERN), F.lit(False))
+    hits = cut(marked.filter(some).withColumn("found", found(F.col("text"))).withColumn("row_key", F.xxhash64("text")).withColumn("gender_of", female))
     table = assign(_entities(hits), key)
     used = hits.select("row_key", "gender_of", F.explode(F.array_distinct("found")).alias("e")).withColumn("kind", kind_of(F.col("e")))
     used = used.withColumn("gender", F.when(F.col("kind") == "name", F.when(F.array_contains("gender_of", F.col("e")), "f").otherwise("m")).otherwise("")).withColumn("canonical", canonical(F.col("e"), F.col("kind")))
