@@ -4,21 +4,26 @@ One pattern finds e-mail and IPv4 addresses, card, phone, social-security and ac
 keys, hexadecimal secrets, assigned passwords, and names after a gendered title. Each entity is reduced
 to a canonical form (so that spellings of one entity share a surrogate), and a keyed SHA-256 of it drives
 a replacement of the same type: digits for digits, letters of the same case, hexadecimal for hexadecimal,
-separators kept, check digits of cards kept valid, names of the same gender and script. Surrogates are
-checked over the whole corpus: where two entities of a type share one, or one equals an entity that
-occurs, all but the first get another attempt, until all are distinct. Everything else in a text stays.
+separators kept, check digits of cards kept valid, names of the same gender and script; in assigned
+passwords every other letter or symbol also becomes one of its class. Surrogates are checked over the
+whole corpus: where two entities of a type share one, or one equals an entity that occurs, all but the
+first get another attempt; what is left after a few is numbered, and the number goes into a longer
+surrogate (an address gets the free address of its number), so that all are distinct in the end.
+Everything else in a text stays.
 
 A null text stays null and has no entities; repeated rows get equal results. All columns are kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
 KEY = "surrogates-1"
+#: Attempts before the entities left are numbered.
+ATTEMPTS = 8
 
 # fixed values: titles and given names by gender and script
 MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Господин"]
@@ -28,6 +33,20 @@ FEMALE_LATIN = ["Alma", "Bianca", "Clara", "Dora", "Elena", "Flora", "Greta", "H
 MALE_CYRILLIC = ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Максим", "Олег", "Павел", "Роман", "Степан", "Тимур", "Фёдор", "Юрий"]
 FEMALE_CYRILLIC = ["Анна", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Зоя", "Ирина", "Ксения", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Софья", "Юлия"]
 
+#: Class of characters in passwords, and what they become; the first that matches counts.
+CLASSES = [
+    (r"[0-9]", "0123456789"), (r"[a-z]", "abcdefghijklmnopqrstuvwxyz"), (r"[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    (r"(?=\p{IsCyrillic})\p{Lu}", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"), (r"(?=\p{IsCyrillic})\p{L}", "абвгдежзиклмнопрстуфхцчшэюя"),
+    (r"(?=\p{IsGreek})\p{Lu}", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"), (r"(?=\p{IsGreek})\p{L}", "αβγδεζηθικλμνξοπρστυφχψω"),
+    (r"(?=\p{IsLatin})\p{Lu}", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜ"), (r"(?=\p{IsLatin})\p{L}", "àáâãäåæçèéêëìíîïñòóôõöøùúûü"),
+    (r"\p{IsHan}", "一丁七万三上下不中久之也二五人今以六十千口土大女子小山川工"), (r"\p{IsHiragana}", "あいうえおかきくけこさしすせそたちつてと"),
+    (r"\p{IsKatakana}", "アイウエオカキクケコサシスセソタチツテト"), (r"\p{IsHangul}", "가나다라마바사아자차카타파하거너더러머버"),
+    (r"(?=\p{IsArabic})\p{L}", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"), (r"(?=\p{IsHebrew})\p{L}", "אבגדהוזחטיכלמנסעפצקרשת"),
+    (r"(?=\p{IsDevanagari})\p{L}", "कखगघचछजझटठडढतथदधनपफबभमयरलवशषसह"), (r"\p{Lu}", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (r"\p{L}", "abcdefghijklmnopqrstuvwxyz"),
+    (r"\p{N}", "0123456789"), (r"\p{M}", "\u0300\u0301\u0302\u0303\u0304\u0306\u0308\u030a"), (r"\p{So}", "☀☁☂☃★☆☎♠♣♥♦♪"), (r"\p{Sc}", "$¢£¥₩€"),
+]
+SYMBOLS = "!#%&*+-./:<>?@^_|~"
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"\p{Lu}\p{Ll}+"
 #: Each kind's pattern; the first that matches at a place counts.
@@ -96,6 +115,19 @@ def _masked(value: Column, h: Column, hexadecimal: bool = False) -> Column:
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
+def _reclassed(value: Column, h: Column) -> Column:
+    """As _masked, but every character is replaced, letters within their script and symbols by symbols."""
+
+    def one(c, i):
+        n = _byte(h, i)
+        out = F.when(c.rlike(CLASSES[0][0]), _pick(CLASSES[0][1], n))
+        for form, alphabet in CLASSES[1:]:
+            out = out.when(c.rlike(form), _pick(alphabet, n))
+        return out.otherwise(_pick(SYMBOLS, n))
+
+    return F.array_join(F.transform(F.split(value, ""), one), "")
+
+
 def _luhn_sum(digits: Column) -> Column:
     """Luhn sum of a number without its check digit."""
     d = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 0, F.when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)).otherwise(c.cast("int")))
@@ -131,7 +163,7 @@ def surrogate(value: Column, kind: Column, gender: Column, attempt: Column, key:
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone)
         .when(kind == "hex", _masked(value, h, True)).when(kind == "access_key", F.concat(F.substring(value, 1, 4), _masked(F.expr("substring(canonical, 5)"), h)))
-        .when(kind == "iban", iban).when(kind == "name", F.concat(given, tail)).otherwise(digits)
+        .when(kind == "iban", iban).when(kind == "name", F.concat(given, tail)).otherwise(_reclassed(value, h))
     )
 
 
@@ -141,7 +173,8 @@ def _dressed(e: Column, kind: Column, s: Column) -> Column:
         F.transform(F.split(e, ""), lambda c, i: F.when(c.rlike("[0-9A-Z]"), F.substring(s, F.length(F.regexp_replace(F.substring(e, F.lit(1), i + 1), "[^0-9A-Z]", "")), F.lit(1))).otherwise(c)),
         "",
     )
-    return F.when(kind.isin("card", "phone", "ssn", "iban"), shown).otherwise(s)
+    rest = F.substring(s, F.length(F.regexp_replace(e, "[^0-9A-Z]", "")) + 1, F.length(s))
+    return F.when(kind.isin("card", "phone", "ssn", "iban"), F.concat(shown, rest)).otherwise(s)
 
 
 def _entities(hits: DataFrame) -> DataFrame:
@@ -151,21 +184,71 @@ def _entities(hits: DataFrame) -> DataFrame:
     return e.select("kind", gender.alias("gender"), canonical(F.col("e"), F.col("kind")).alias("canonical")).distinct()
 
 
+def _numbered(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with rank, from 0 in steps of 1, and total; rows are numbered within blocks, only the blocks' sizes meet."""
+    df = cut(df.withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(1024))))
+    sizes = df.groupBy("block").agg(F.count("*").alias("size"))
+    start = sizes.select("block", (F.sum("size").over(Window.orderBy("block")) - F.col("size")).alias("start"), F.sum("size").over(Window.partitionBy()).alias("total"))
+    within = F.row_number().over(Window.partitionBy("block").orderBy(*keys)) - 1
+    return df.withColumn("within", within).join(F.broadcast(start), "block").withColumn("rank", F.col("start") + F.col("within")).drop("block", "within", "start")
+
+
+def _longer(kind: Column, canonical: Column, surrogate: Column, more: Column) -> Column:
+    """A surrogate with the digits or letters of its number put in, all numbers of one length."""
+    letters = F.translate(more, "0123456789", "aeioubdlnr")
+    valid = _check_digit(F.substring(canonical, F.lit(1), F.length(canonical) - 1)) == F.substring(canonical, -1, 1)
+    body = F.concat(F.substring(surrogate, F.lit(1), F.length(surrogate) - 1), more)
+    return (
+        F.when(kind == "email", F.concat(F.substring_index(surrogate, "@", 1), more, F.lit("@"), F.substring_index(surrogate, "@", -1)))
+        .when(kind == "card", F.concat(body, F.when(valid, _check_digit(body)).otherwise(F.substring(surrogate, -1, 1))))
+        .when(kind == "name", F.concat(surrogate, F.when(surrogate.rlike(r"\p{IsCyrillic}"), F.translate(more, "0123456789", "аеиоубдлнр")).otherwise(letters)))
+        .otherwise(F.concat(surrogate, more))
+    )
+
+
+def _free_addresses(left: DataFrame, settled: DataFrame, occur: DataFrame) -> DataFrame:
+    """The addresses of ``left`` with free ones: of as many as are used and wanted, counted on from 10.0.0.0, enough are free."""
+    used = settled.filter("kind = 'ip'").select("surrogate").union(occur.filter("kind = 'ip'").select("surrogate")).distinct()
+    want = _numbered(left.filter("kind = 'ip'"), "gender", "canonical").drop("total")
+    n = want.count()
+    if not n:
+        return left.filter("kind = 'ip'")
+    at = F.pmod(F.col("id") + (10 << 24), F.lit(1 << 32))
+    octets = [F.shiftright(at, k).bitwiseAND(F.lit(255)).cast("string") for k in (24, 16, 8, 0)]
+    free = left.sparkSession.range(n + used.count()).select(F.concat_ws(".", *octets).alias("surrogate")).join(used, "surrogate", "left_anti")
+    return want.drop("surrogate").join(_numbered(free, "surrogate").select("surrogate", "rank"), "rank").select(left.columns)
+
+
+def _finished(judged: DataFrame, occur: DataFrame) -> DataFrame:
+    """The bad ones of ``judged`` numbered; the rest keep their surrogates, and the numbered ones grow until they meet none."""
+    settled, left = judged.filter("not bad").select("kind", "gender", "canonical", "surrogate"), judged.filter("bad").select("kind", "gender", "canonical", "surrogate")
+    addresses = _free_addresses(left, settled, occur)
+    used = settled.select("kind", "surrogate").union(occur).distinct()
+    now = cut(_numbered(left.filter("kind <> 'ip'"), "kind", "gender", "canonical"))
+    done, grown = settled.unionByName(addresses), 0
+    while True:
+        # numbers of one length keep them distinct; one longer than all in use meets none, so this ends
+        more = F.lpad(F.col("rank").cast("string"), F.length((F.col("total") - 1).cast("string")) + grown, "0")
+        tried = cut(now.withColumn("long", _longer(F.col("kind"), F.col("canonical"), F.col("surrogate"), more)))
+        if not tried.join(used.withColumnRenamed("surrogate", "long"), ["kind", "long"], "left_semi").take(1):
+            return cut(done.unionByName(tried.select("kind", "gender", "canonical", F.col("long").alias("surrogate"))))
+        grown += 1
+
+
 def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     """kind, gender, canonical, surrogate: distinct within each kind, and none an entity that occurs."""
     given = F.col
     now = cut(entities.withColumn("attempt", F.lit(0)))
-    while True:
+    occur = cut(now.select("kind", F.col("canonical").alias("surrogate")).distinct())
+    for round_ in range(ATTEMPTS):
         now = cut(now.withColumn("surrogate", surrogate(given("canonical"), given("kind"), given("gender"), given("attempt"), key)))
         shared = now.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("gender", "canonical")).alias("first")).filter("n > 1").select("kind", "surrogate", "first")
-        taken = now.select("kind", F.col("canonical").alias("surrogate")).distinct().withColumn("taken", F.lit(True))
         bad = (F.col("first").isNotNull() & (F.col("first") != F.struct("gender", "canonical"))) | F.col("taken").isNotNull()
-        # where all spellings are used up (a name list, a password of one character class) the check ends after 40 attempts
-        bad = bad & (F.col("attempt") < 40)
-        judged = cut(now.join(shared, ["kind", "surrogate"], "left").join(taken, ["kind", "surrogate"], "left").withColumn("bad", bad).drop("first", "taken"))
+        judged = cut(now.join(shared, ["kind", "surrogate"], "left").join(occur.withColumn("taken", F.lit(True)), ["kind", "surrogate"], "left").withColumn("bad", bad).drop("first", "taken"))
         if not judged.filter("bad").take(1):
             return judged.select("kind", "gender", "canonical", "surrogate")
         now = judged.select("kind", "gender", "canonical", (F.col("attempt") + F.col("bad").cast("int")).alias("attempt"))
+    return _finished(judged, occur)
 
 
 def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:

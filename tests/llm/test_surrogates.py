@@ -22,3 +22,32 @@ def test_each_kind_alone_in_a_text(spark):
     for i, t in enumerate(ALONE):
         secret = re.split(r"write to |password=|key |Mr |Frau ", t)[-1].rstrip(".")
         assert got[i].n_entities == 1 and secret not in got[i].text, t
+
+
+def test_every_character_of_a_password_changes_within_its_class(spark):
+    secrets = ["пароль", "!!!!!!??", "ΚΩΔΙΚΟΣ", "密码密码密码", "äöüßÄÖ", "🔑🔑🔑🔑🔑🔑", "パスワード語", "כניסהבית", "ⅫⅫⅫⅫⅫⅫ"]
+    got = replaced(spark, [f"password={s}" for s in secrets])
+    new = [got[i].text.removeprefix("password=") for i in range(len(secrets))]
+    assert all(a != b and len(a) == len(b) and got[i].text.startswith("password=") for i, (a, b) in enumerate(zip(secrets, new)))
+    assert re.fullmatch("[а-я]{6}", new[0]) and re.fullmatch(r"[!#%&*+\-./:<>?@^_|~]{8}", new[1]) and re.fullmatch("[Α-Ω]{7}", new[2])
+
+
+def test_used_up_spaces_end_with_distinct_surrogates(spark):
+    mails = [f"{a}@{b}.org" for a in "abcdefghijklmnopqrstuvwxyz0123456789" for b in ("x", "y")]
+    nets = [f"192.168.{i}.{j}" for i in range(256) for j in range(0, 256)]
+    known = [(k, "", v) for k, vs in (("email", mails), ("ip", nets), ("password", ["------", "______"]), ("card", ["4111111111111111"])) for v in vs]
+    got = pii.assign(spark.createDataFrame(known, "kind string, gender string, canonical string")).collect()
+    assert len(got) == len(known) and not {(r.kind, r.surrogate) for r in got} & {(r.kind, r.canonical) for r in got}
+    assert len({(r.kind, r.surrogate) for r in got}) == len(known)
+    assert all(re.fullmatch(rf"{pii._OCTET}(\.{pii._OCTET}){{3}}", r.surrogate) for r in got if r.kind == "ip")
+    assert all(re.fullmatch(r"\w+@[a-z]{8}\.example", r.surrogate) for r in got if r.kind == "email")
+
+
+def test_a_longer_card_stays_valid_and_shows_its_digits(spark):
+    from pyspark.sql import functions as F
+
+    e = spark.createDataFrame([("4111 1111 1111 1111", "4111111111111111", "4222222222222220")], "e string, canonical string, s string")
+    row = e.withColumn("s", pii._longer(F.lit("card"), F.col("canonical"), F.col("s"), F.lit("07"))).withColumn("shown", pii._dressed(F.col("e"), F.lit("card"), F.col("s"))).first()
+    digits = [int(c) for c in row.s][::-1]
+    assert len(row.s) == 18 and sum(sum(divmod(d * 2, 10)) if k % 2 else d for k, d in enumerate(digits)) % 10 == 0
+    assert row.shown.replace(" ", "") == row.s and row.shown.count(" ") == 3
