@@ -1,7 +1,9 @@
 """Surrogates for personal data, by DataFrame functions alone.
 
 One pattern finds e-mail and IPv4 addresses, card, phone, social-security and account numbers, access
-keys, hexadecimal secrets, assigned passwords, and names after a gendered title. Each entity is reduced
+keys, hexadecimal secrets, assigned passwords, and names after a gendered title: all capitalised parts,
+particles between them and degrees before them left as they are. Each part of a name is an entity, and so
+is every other mention of it, as a whole word, in the same text. Each entity is reduced
 to a canonical form (so that spellings of one entity share a surrogate), and a keyed SHA-256 of it drives
 a replacement of the same type: digits for digits, letters of the same case, hexadecimal for hexadecimal,
 separators kept, check digits of cards kept valid, names of the same gender and script; in assigned
@@ -48,7 +50,14 @@ CLASSES = [
 SYMBOLS = "!#%&*+-./:<>?@^_|~"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"\p{Lu}\p{Ll}+"
+#: A run of letters: O'Neill is one, without the s of a possessive. A name's word: such runs with hyphens, of two letters at least.
+_RUN = r"\p{L}[\p{L}\p{M}]*+(?:['’](?!s(?![\p{L}\p{M}]))\p{L}[\p{L}\p{M}]*+)*+"
+_WORD = rf"(?=(?:[dl]['’])?\p{{Lu}}[\p{{L}}\p{{M}}'’-]){_RUN}(?:-{_RUN})*+"
+#: Left as they are: particles, and degrees before a name. Initials too.
+PARTICLES = ["von", "van", "vom", "zu", "zum", "zur", "de", "der", "den", "des", "du", "del", "della", "di", "da", "das", "do", "dos", "la", "le", "el", "al", "bin", "ibn", "ter", "ten", "y", "e"]
+DEGREES = ["Dr", "Prof", "Доктор", "Профессор"]
+_LINK = rf"(?:(?:{'|'.join(PARTICLES)})(?![\p{{L}}\p{{M}}])[ -]|(?:{'|'.join(DEGREES)})\.? |\p{{Lu}}\. ?|\p{{Lu}} )"
+_NAME = rf"{_LINK}*+{_WORD}(?: {_LINK}*+{_WORD})*+"
 #: Each kind's pattern; the first that matches at a place counts.
 KINDS = {
     "email": r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -64,13 +73,23 @@ KINDS = {
     "female": rf"(?<=\b(?:{'|'.join(FEMALE_TITLES)})\.? ){_NAME}",
 }
 PATTERN = "|".join(KINDS.values())
+NAMELESS = "|".join(p for k, p in KINDS.items() if k not in ("male", "female"))
 #: A cheap necessary condition of any match: every match of each kind holds one of these signs.
 HINT = r"[@=]|\d{3}|\d[ .-]\d|[0-9a-f]{32}|AKIA|ASIA|[A-Z]{2}\d{2}|" + "|".join(MALE_TITLES + FEMALE_TITLES)
 
 
-def found(text: Column) -> Column:
-    """All entities of a text, in order."""
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+def parts_of(text: Column, title: str) -> Column:
+    """The parts of the names after titles of a gender, each once."""
+    kept = F.array(*map(F.lit, PARTICLES + DEGREES))
+    runs = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(KINDS[title]), F.lit(0)), lambda n: F.regexp_extract_all(n, F.lit(_RUN), F.lit(0))))
+    return F.array_distinct(F.filter(runs, lambda x: (F.length(x) > 1) & ~F.array_contains(kept, x)))
+
+
+def pattern_of(names: Column) -> Column:
+    """The pattern of a text's entities: the kinds besides names, and the parts of its names as whole words."""
+    # not within a longer word; an apostrophe binds letters except before a possessive s
+    words = F.concat(F.lit(r"|(?<![\p{L}\p{M}\p{N}_])(?<!\p{L}['’])(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}_])(?!['’](?!s(?![\p{L}\p{M}]))\p{L})"))
+    return F.concat(F.lit(NAMELESS), F.when(F.size(names) > 0, words).otherwise(""))
 
 
 def kind_of(e: Column) -> Column:
@@ -177,11 +196,12 @@ def _dressed(e: Column, kind: Column, s: Column) -> Column:
     return F.when(kind.isin("card", "phone", "ssn", "iban"), F.concat(shown, rest)).otherwise(s)
 
 
-def _entities(hits: DataFrame) -> DataFrame:
-    """kind, gender, canonical of all entities that occur, each once."""
-    e = hits.select(F.explode("found").alias("e"), F.col("gender_of")).withColumn("kind", kind_of(F.col("e")))
+def _typed(hits: DataFrame) -> DataFrame:
+    """The entities e of ``hits`` with row_key, each once a row, and their kind, gender and canonical form."""
+    e = hits.select("row_key", "names", "gender_of", F.explode(F.array_distinct("found")).alias("e"))
+    e = e.withColumn("kind", F.when(F.array_contains("names", F.col("e")), "name").otherwise(kind_of(F.col("e"))))
     gender = F.when(F.col("kind") == "name", F.when(F.array_contains("gender_of", F.col("e")), "f").otherwise("m")).otherwise("")
-    return e.select("kind", gender.alias("gender"), canonical(F.col("e"), F.col("kind")).alias("canonical")).distinct()
+    return e.select("row_key", "e", "kind", gender.alias("gender"), canonical(F.col("e"), F.col("kind")).alias("canonical"))
 
 
 def _numbered(df: DataFrame, *keys: str) -> DataFrame:
@@ -253,18 +273,18 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with entities in text replaced; n_entities counts them. Only rows with entities are shuffled."""
-    female = F.regexp_extract_all("text", F.lit(KINDS["female"]), F.lit(0))
     names = [c for c in docs.columns if c != "n_entities"]
     # a row travels as one struct, so that its columns cannot clash with those made here
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text")
     some = F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(PATTERN), F.lit(False))
-    hits = cut(marked.filter(some).withColumn("found", found(F.col("text"))).withColumn("row_key", F.xxhash64("text")).withColumn("gender_of", female))
-    table = assign(_entities(hits), key)
-    used = hits.select("row_key", "gender_of", F.explode(F.array_distinct("found")).alias("e")).withColumn("kind", kind_of(F.col("e")))
-    used = used.withColumn("gender", F.when(F.col("kind") == "name", F.when(F.array_contains("gender_of", F.col("e")), "f").otherwise("m")).otherwise("")).withColumn("canonical", canonical(F.col("e"), F.col("kind")))
+    female = marked.filter(some).withColumn("row_key", F.xxhash64("text")).withColumn("gender_of", parts_of(F.col("text"), "female"))
+    named = female.withColumn("names", F.array_union("gender_of", parts_of(F.col("text"), "male"))).withColumn("pattern", pattern_of(F.col("names")))
+    hits = cut(named.withColumn("found", F.regexp_extract_all("text", F.col("pattern"), F.lit(0))))
+    used = _typed(hits)
+    table = assign(used.select("kind", "gender", "canonical").distinct(), key)
     used = used.join(table, ["kind", "gender", "canonical"]).select("row_key", "e", _dressed(F.col("e"), F.col("kind"), F.col("surrogate")).alias("s")).distinct()
     of_row = used.groupBy("row_key").agg(F.map_from_entries(F.collect_set(F.struct("e", "s"))).alias("s"))
-    parts = F.split("text", PATTERN, -1)
+    parts = F.split("text", F.col("pattern"), -1)
     fill = F.zip_with(parts, F.transform("found", lambda e: F.coalesce(F.element_at(F.col("s"), e), F.lit("[removed]"))), lambda p, x: F.concat(p, F.coalesce(x, F.lit(""))))
     done = hits.join(of_row, "row_key", "left").withColumn("text", F.array_join(fill, ""))
     n = F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_entities")

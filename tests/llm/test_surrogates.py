@@ -51,3 +51,24 @@ def test_a_longer_card_stays_valid_and_shows_its_digits(spark):
     digits = [int(c) for c in row.s][::-1]
     assert len(row.s) == 18 and sum(sum(divmod(d * 2, 10)) if k % 2 else d for k, d in enumerate(digits)) % 10 == 0
     assert row.shown.replace(" ", "") == row.s and row.shown.count(" ") == 3
+
+
+def test_whole_names_and_their_later_mentions(spark):
+    texts = [
+        "Mr John Smith met us. Smith said that John's car, and Smith's dog, left Smithfield.", "Mrs O'Neill called; O'Neill it was.", "Ms Anne-Marie Weber, later Marie and Weber-Anne", "Herr Dr. Karl von Moltke", "Mr J. R. Tolkien wrote",
+        "Господин Иван Петров-Водкин и Петров", "Miss McDonald-Smith", "Frau d'Alembert", "Mr Smith and Mrs Smith", "Mr Müller (mueller.Müller@x.org) password=Müller12",
+    ]
+    new = {i: r.text for i, r in replaced(spark, texts).items()}
+    m = re.fullmatch(r"Mr (\w+) (\w+) met us\. (\w+) said that (\w+)'s car, and (\w+)'s dog, left Smithfield\.", new[0])
+    assert m and m[2] == m[3] == m[5] != "Smith" and m[1] == m[4] != "John" and m[1] != m[2]
+    m = re.fullmatch(r"Mrs (\w+) called; (\w+) it was\.", new[1])
+    assert m and m[1] == m[2]
+    m = re.fullmatch(r"Ms (\w+)-(\w+) (\w+), later (\w+) and (\w+)-(\w+)", new[2])
+    assert m and (m[2], m[3], m[1]) == (m[4], m[5], m[6]) and not {"Anne", "Marie", "Weber"} & set(m.groups())
+    m = re.fullmatch(r"Herr Dr\. (\w+) von (\w+)", new[3])
+    assert m and "Moltke" not in m.groups()
+    assert re.fullmatch(r"Mr J\. R\. \w+ wrote", new[4]) and "Tolkien" not in new[4]
+    m = re.fullmatch(r"Господин ([а-яё]+) ([а-яё]+)-([а-яё]+) и ([а-яё]+)", new[5], re.I)
+    assert m and m[2] == m[4] != "Петров" and m[1] != "Иван" and m[3] != "Водкин"
+    assert not re.search("McDonald|Smith", new[6]) and re.fullmatch(r"Mr (\w+) and Mrs \1", new[8])
+    assert "Alembert" not in new[7] and not re.search("(?i)müller", new[9])
