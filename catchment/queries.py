@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -156,6 +157,37 @@ def resample_bilinear(spark, sf_dir):
     return regrid.resample(cells, source, GridMeta(30, 60, 0.8, 0.0, 0.3, 0.0, 0.75, 1.1), "bilinear").select("r", "c", F.round("z", 6).alias("z"))
 
 
+# the same over the whole table: the target's size follows from the source's
+WHOLE = "g AS (SELECT ceil((max(r) + 1 - 1.1::DOUBLE) / 0.75::DOUBLE)::BIGINT AS th, ceil((max(c) + 1 - 0.3::DOUBLE) / 0.8::DOUBLE)::BIGINT AS tw FROM cells), t AS (SELECT (i // (SELECT tw FROM g))::INT AS r, (i % (SELECT tw FROM g))::INT AS c FROM range(0, (SELECT th * tw FROM g)) v(i))"
+
+
+def _resampled_whole(spark, sf_dir, method):
+    cells, source = view(spark, sf_dir, "dem_part", void=True)
+    source = GridMeta(source.height, source.width, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0)
+    target = GridMeta(math.ceil((source.height - 1.1) / 0.75), math.ceil((source.width - 0.3) / 0.8), 0.8, 0.0, 0.3, 0.0, 0.75, 1.1)
+    return regrid.resample(cells, source, target, method)
+
+
+@query(f"WITH {VOID}, {WHOLE} SELECT t.r, t.c, s.z FROM t LEFT JOIN cells s ON s.r = floor((t.r + 0.5) * 0.75 + 1.1) AND s.c = floor((t.c + 0.5) * 0.8 + 0.3)")
+def resample_nearest_whole(spark, sf_dir):
+    return _resampled_whole(spark, sf_dir, "nearest")
+
+
+@query(f"""WITH {VOID}, {WHOLE}, p AS (SELECT r, c, (0.3 + 0.8 * (c + 0.5)) - 0.5 AS x, (1.1 + 0.75 * (r + 0.5)) - 0.5 AS y FROM t),
+n AS (SELECT p.*, floor(x)::INT + dx AS sc, floor(y)::INT + dy AS sr FROM p, range(0, 2) a(dx), range(0, 2) b(dy)),
+w AS (SELECT *, (1 - abs(x - sc)) * (1 - abs(y - sr)) AS w FROM n WHERE abs((1 - abs(x - sc)) * (1 - abs(y - sr))) > 1e-12)
+SELECT w.r, w.c, round(CASE WHEN count(*) = count(s.z) THEN sum(w.w * s.z) END, 6) AS z FROM w LEFT JOIN cells s ON s.r = w.sr AND s.c = w.sc GROUP BY w.r, w.c""")
+def resample_bilinear_whole(spark, sf_dir):
+    return _resampled_whole(spark, sf_dir, "bilinear").select("r", "c", F.round("z", 6).alias("z"))
+
+
+@query(f"WITH {PART}, rows AS (SELECT range::INT AS r FROM range(0, (SELECT max(r) + 1 FROM cells))) SELECT r, round({DX}, 6) AS dx, round({DY}, 6) AS dy, round(sqrt({DX} * {DX} + {DY} * {DY}), 6) AS diag FROM rows")
+def step_lengths_whole(spark, sf_dir):
+    _, meta = view(spark, sf_dir, "dem_part")
+    dx, dy = geo.row_steps(meta)
+    return spark.range(meta.height).select(F.col("id").cast("int").alias("r")).select("r", F.round(dx, 6).alias("dx"), F.round(dy, 6).alias("dy"), F.round(F.sqrt(dx * dx + dy * dy), 6).alias("diag"))
+
+
 @query("SELECT w::INT AS width, h::INT AS height, greatest(ceil(sqrt(n)), ceil(w / 10000.0))::INT AS cols, greatest(ceil(n / ceil(sqrt(n))), ceil(h / 10000.0))::INT AS rows FROM (SELECT w, h, greatest(1, ceil(w * h * 4 / 23488102.0)) AS n FROM (VALUES (1000, 1000), (4000, 4000), (30000, 100), (12345, 6789)) t(w, h))")
 def tile_plan(spark, sf_dir):
     sizes = [(1000, 1000), (4000, 4000), (30000, 100), (12345, 6789)]
