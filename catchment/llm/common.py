@@ -36,29 +36,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a temporary one only where none is set (tests)."""
+    """The shared checkpoint folder of the session; a temporary one only on a local master where none is set (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
+#: Folders of results of ``cut`` that still exist.
+_CUTS: dict[str, SparkSession] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes ``df`` as Parquet under the shared checkpoint folder and reads it back."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    _CUTS[path] = spark
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def release(*cuts: DataFrame | None) -> None:
+    """Deletes the files of superseded results of ``cut``, and lets Spark's cleaner drop the shuffle files of finished jobs."""
+    for df in cuts:
+        if df is not None and df.cut_path in _CUTS:
+            spark = _CUTS.pop(df.cut_path)
+            _remove(spark, df.cut_path)
+            spark.sparkContext._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone at exit
-        return
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def _clear() -> None:
+    for path, spark in _CUTS.items():
+        try:
+            _remove(spark, path)
+        except Exception:  # the session may be gone at exit
+            return
+
+
+#: Slots of a bit table; its size never depends on the data.
+SLOTS = 1 << 16
+
+
+def marks(keys: DataFrame, *columns: str) -> DataFrame:
+    """slot, bits: a table of at most SLOTS rows in which each key sets one of 64 bits of a slot."""
+    h = F.xxhash64(*columns)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(63)).cast("int"))
+    return keys.select(h.bitwiseAND(F.lit(SLOTS - 1)).alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+
+
+def seen_in(df: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """The rows of ``df`` whose key may be among those of ``marks``, with no shuffle of ``df``: others may stay, none is missed."""
+    h = F.xxhash64(*columns)
+    shift = F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(63)).cast("int")
+    joined = df.withColumn("slot", h.bitwiseAND(F.lit(SLOTS - 1))).join(F.broadcast(table), "slot")
+    return joined.filter(F.call_function("shiftright", F.col("bits"), shift).bitwiseAND(F.lit(1)) == 1).select(df.columns)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -1,22 +1,21 @@
-"""Removal of near-repeated lines by an exact set-similarity join.
+"""Removal of near-repeated lines by an exact set-similarity join, in DataFrame functions alone.
 
 A line is the set of its distinct words; a line goes if an earlier line (by id, then place in the text;
 removed or not) has Jaccard similarity of at least PERCENT percent. Words are ordered by rarity: corpus
-counts of 2**18 hash classes of words give each word a rank, and a word's token holds rank and hash, so
-sorting tokens sorts by rarity. Equal sets are one class, led by its first line; only leads join:
+counts of 2**CLASS_BITS hash classes of words give each class a rank, and a word's token holds rank and
+hash, so sorting tokens sorts by rarity. Equal sets are one class, led by its first line; only leads join:
 
 * prefix filter: similar sets share a token among the rarest n - ceil(t n) + 1 of each;
 * length filter: t times the larger set is at most the smaller;
 * positional filter: the tokens behind the shared one must suffice;
 * parity filter: a token flips one of 64 bits of its line, so the bits in which two lines differ are
-  at most the tokens in which they differ; candidates left are tested likewise on 256 bits.
+  at most the tokens in which they differ.
 
-A token's lines form a group. In groups of up to SMALL (or ``small``) leads each meets the others; a larger group
-goes in rounds of stars: about 4**r hubs a round, chosen by hash, meet those not yet settled, so a
-group of near copies ends early and no group is capped. Survivors are verified on whole sets.
-
-Words are counted and ranked in numpy, over bounded chunks of Arrow batches; the rest is DataFrame
-functions. (With array functions alone these two steps cost 480 CPU seconds a GB.)
+The join goes in rounds of hubs. In a round of share k the earlier line of a pair is one of those leads
+whose hash falls into one of k parts and that were no hub before; the later line is any lead not yet known
+to repeat one. So a crowd of near copies ends with its first few hubs instead of meeting pair by pair, and
+the last round (share 1) leaves no pair untested: nothing is capped. What passes the filters is verified
+on the words themselves. A token that very many lines share is one key of an inner join, which Spark splits.
 
 Lines without a word stay. A null text stays null. A null id sorts below all others, rows of equal id
 are ordered by text, and rows equal in both are one document. All columns are kept.
@@ -24,170 +23,123 @@ are ordered by text, and rows equal in both are one document. All columns are ke
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Chunk, cut, keyed, map_texts, mix, pieces
+from .common import cut, keyed, marks, release, seen_in
 
 PERCENT = 80
-CLASS_BITS = 18
-SMALL = 512
-#: Longs of the second parity filter.
-WIDE = 4
-_GAPS = r"[ \t-\r]+"
-_SHIFT = np.uint64(64 - CLASS_BITS)
+CLASS_BITS = 16
+#: Parts of the leads of which one serves as hubs in each round; about the size of the largest crowd of near copies is a good first number.
+SHARES = (256, 1)
 #: Two numbers below 2**31 in one long.
 _HALF = 1 << 31
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, _GAPS), "")
-
-
-def _ranks(texts: DataFrame) -> np.ndarray:
-    """The rarity rank of each hash class of words (an array of fixed size), from counts over all texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CLASS_BITS, np.int64)
-        for batch in batches:
-            whole = batch.column(0).to_pylist()
-            for lo, hi in pieces(whole):
-                c = Chunk(whole[lo:hi])
-                c.words()
-                total += np.bincount((c.w_hash >> _SHIFT).astype(np.int64), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["c", "n"])
-
-    counted = texts.select("text").mapInArrow(run, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(1 << CLASS_BITS, np.int64)
-    total[counted.column("c").to_numpy()] = counted.column("n").to_numpy()
-    rank = np.empty(len(total), np.uint64)
-    rank[np.argsort(total, kind="stable")] = np.arange(len(total), dtype=np.uint64)
-    return rank
-
-
-def token_sets(texts: list[str | None], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(token, start, doc, no): the sorted distinct tokens of each line that has any, where its tokens start, its text and number."""
-    c = Chunk(texts)
-    c.words()
-    ends = np.flatnonzero(c.data == 10)
-    line = np.searchsorted(ends, c.w_start)
-    token = (rank[(c.w_hash >> _SHIFT).astype(np.int64)] << _SHIFT) | (c.w_hash & np.uint64((1 << int(_SHIFT)) - 1))
-    by_token = np.argsort(token)
-    by_line = np.sort((line[by_token].astype(np.uint64) << np.uint64(32)) | np.arange(len(line), dtype=np.uint64))
-    token, line = token[by_token[(by_line & np.uint64(0xFFFFFFFF)).astype(np.int64)]], (by_line >> np.uint64(32)).astype(np.int64)
-    fresh = np.ones(len(token), bool)
-    fresh[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
-    token, line = token[fresh], line[fresh]
-    first = np.ones(len(line), bool)
-    first[1:] = line[1:] != line[:-1]
-    start = np.flatnonzero(first)
-    line = line[start]
-    doc = np.searchsorted(c.end, ends[line])
-    return token, start, doc, line - np.searchsorted(ends, c.start)[doc]
+def _lines_of(text: Column) -> Column:
+    """The lines of a text, their words parted by spaces alone."""
+    odd = F.lit(False)
+    for c in "\t\v\f\r":
+        odd = odd | F.contains(text, F.lit(c))
+    return F.split(F.when(odd, F.translate(text, "\t\v\f\r", "    ")).otherwise(text), "\n")
+
+
+def _ranks(docs: DataFrame) -> Column:
+    """The rarity rank of each hash class of words, as an array of fixed size, from counts over all texts."""
+    words = docs.select(F.explode(F.split("text", r"[ \t-\r]+")).alias("w")).filter("w <> ''")
+    counted = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - CLASS_BITS).alias("c")).count().collect()
+    n = {r.c: r["count"] for r in counted}
+    rank = {c: i for i, c in enumerate(sorted(range(1 << CLASS_BITS), key=lambda c: (n.get(c, 0), c)))}
+    # what turns the class in a hash's top bits into its rank, lowest rank first in the order of signed numbers
+    flip = [(rank[c] ^ c ^ (1 << (CLASS_BITS - 1))) << (64 - CLASS_BITS) for c in range(1 << CLASS_BITS)]
+    return F.split(F.lit(",".join(str(x - (1 << 64) if x >> 63 else x) for x in flip)), ",").cast("array<bigint>")
+
+
+def tokens(line: Column, ranks: Column) -> Column:
+    """The sorted distinct tokens of a line, the rarest first."""
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    flip = lambda h: F.coalesce(F.get(ranks, F.shiftrightunsigned(h, 64 - CLASS_BITS).cast("int")), F.lit(0).cast("long"))
+    return F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(flip(h))))
 
 
 def _lines(docs: DataFrame, percent: int) -> DataFrame:
-    """doc, place (number of the line, then twin), n, d1, d2 (digest of the set), parity, wide (parity of more bits), rare (32 bits of each token of the prefix)."""
-    ranks = docs.sparkSession.sparkContext.broadcast(_ranks(docs))
-
-    def make():
-        rank = ranks.value
-
-        def kernel(cols):
-            token, start, doc, no = token_sets(cols["text"], rank)
-            n = np.diff(np.append(start, len(token)))
-            if not len(n):
-                return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))], names=names)
-            h = mix(token)
-            d1, d2 = (np.add.reduceat(mix(h ^ np.uint64(salt)), start).view(np.int64) for salt in (1, 2))
-            parity = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), start).view(np.int64)
-            wide = np.zeros((len(n), WIDE), np.int64)
-            for k in range(WIDE):
-                bits = np.where(h % np.uint64(WIDE) == k, np.uint64(1) << ((h >> np.uint64(52)) & np.uint64(63)), np.uint64(0))
-                wide[:, k] = np.bitwise_xor.reduceat(bits, start).view(np.int64)
-            size = n + (-n * percent) // 100 + 1
-            at = np.arange(len(token)) - np.repeat(start, n)
-            rare = h[at < np.repeat(size, n)].astype(np.uint32).view(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(rare))
-            wides = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * WIDE, pa.int32()), pa.array(wide.ravel()))
-            ids = np.asarray(cols["doc"], np.int64)[doc]
-            place = no * _HALF + np.asarray(cols["twin"], np.int64)[doc]
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(place), pa.array(n, pa.int32()), pa.array(d1), pa.array(d2), pa.array(parity), wides, lists], names=names)
-
-        return kernel
-
-    names = ["doc", "place", "n", "d1", "d2", "parity", "wide", "rare"]
-    return map_texts(docs.select("doc", "twin", "text"), make, "doc long, place long, n int, d1 long, d2 long, parity long, wide array<long>, rare array<int>")
-
-
-def repeated_lines(docs: DataFrame, percent: int = PERCENT, small: int = SMALL) -> DataFrame:
-    """doc, twin, no of every line to remove; ``docs`` has doc, twin, text (see ``keyed``)."""
+    """doc, place (number of the line, then twin), n, d1, d2 (digest of the set), parity, rare (31 bits of each token of the prefix)."""
+    ranks = _ranks(docs)
+    place = (F.col("no").cast("long") * _HALF + F.col("twin")).alias("place")
+    lines = docs.select("doc", "twin", F.posexplode(_lines_of(F.col("text"))).alias("no", "line")).filter(F.trim("line") != "").select("doc", place, tokens(F.col("line"), ranks).alias("t"))
+    n = F.size("t")
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    size = n - F.ceil(n * percent / 100 - 1e-9).cast("int") + 1
+    return lines.select(
+        "doc", "place", n.alias("n"), F.xxhash64("t").alias("d1"), F.xxhash64(F.lit(1), "t").alias("d2"),
+        F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t))).alias("parity"),
+        F.transform(F.slice("t", F.lit(1), size), lambda t: t.bitwiseAND(F.lit(_HALF - 1)).cast("int")).alias("rare"),
+    )
+
+
+def _index(leads: DataFrame) -> DataFrame:
+    """A row for each token of each prefix."""
+    size_at = F.col("n").cast("long") * _HALF + F.col("at")
+    return leads.select("doc", "place", "n", "parity", F.posexplode("rare").alias("at", "tok")).select("tok", "doc", "place", size_at.alias("size_at"), "parity")
+
+
+def repeated_lines(docs: DataFrame, percent: int = PERCENT, shares: tuple[int, ...] = SHARES) -> DataFrame:
+    """doc, twin, no of every line to remove; ``docs`` has doc, twin, text (see ``keyed``). The last share must be 1."""
     lines = cut(_lines(docs, percent))
     # of a class only its first line joins
-    leads = lines.groupBy("d1", "d2").agg(F.min(F.struct("doc", "place")).alias("lead")).select("lead.doc", "lead.place")
-    copies = lines.select("doc", "place").join(leads, ["doc", "place"], "left_anti")
-    size_at = (F.col("n").cast("long") * _HALF + F.col("at")).alias("size_at")
-    index = lines.select("doc", "place", "n", "parity", "rare").join(leads, ["doc", "place"]).select("doc", "place", "n", "parity", F.posexplode("rare").alias("at", "tok")).select("tok", "doc", "place", size_at, "parity")
-    members = index.withColumn("m", F.count("*").over(Window.partitionBy("tok")))
+    lead = F.min(F.struct("doc", "place", "n", "parity", "rare")).alias("lead")
+    classes = cut(lines.groupBy("d1", "d2").agg(lead).select("d1", "d2", "lead.*"))
+    first = classes.select("d1", "d2", F.col("doc").alias("l_doc"), F.col("place").alias("l_place"))
+    copy = (F.col("doc") != F.col("l_doc")) | (F.col("place") != F.col("l_place"))
+    copies = cut(lines.select("doc", "place", "d1", "d2").join(first, ["d1", "d2"]).filter(copy).select("doc", "place"))
+    release(lines)
+    leads = classes.select("doc", "place", "n", "parity", "rare")
     n, at, hn, hat = F.shiftright("size_at", 31), F.col("size_at").bitwiseAND(F.lit(_HALF - 1)), F.shiftright("h_size_at", 31), F.col("h_size_at").bitwiseAND(F.lit(_HALF - 1))
     need = F.ceil((n + hn) * percent / (100.0 + percent) - 1e-9)
     fits = (
         (F.bit_count(F.col("parity").bitwiseXOR(F.col("h_parity"))) <= n + hn - 2 * need)
         & (100 * F.least(n, hn) >= percent * F.greatest(n, hn)) & (F.least(n - at, hn - hat) >= need)
     )
-    me, hub_id = F.struct("doc", "place"), F.struct(F.col("h_doc").alias("doc"), F.col("h_place").alias("place"))
     later = (F.col("doc") > F.col("h_doc")) | ((F.col("doc") == F.col("h_doc")) & (F.col("place") > F.col("h_place")))
-    hubs = lambda df, *more: df.select("tok", *[F.col(c).alias(f"h_{c}") for c in ("doc", "place", "size_at", "parity", *more)])
-    few = members.filter(f"m > 1 and m <= {small}").drop("m")
-    pairs = cut(few.join(hubs(few), "tok").filter(later & fits).select(hub_id.alias("a"), me.alias("b")).distinct())
-    gone = cut(_verified(docs, lines, pairs, percent))
-    rank = F.xxhash64("doc", "place", "tok")
-    share = (rank.cast("double") / 2.0**64 + 0.5) * F.col("m")
-    least = F.min(rank).over(Window.partitionBy("tok"))
-    tier = F.when(rank == least, 0).otherwise(1 + F.greatest(F.lit(0), F.floor(F.log(share) / math.log(4)))).cast("int")
-    many = cut(members.filter(f"m > {small}").withColumn("tier", tier).drop("m"))
-    last = many.agg(F.max("tier")).first()[0]
-    for r in range(-1 if last is None else last + 1):
-        settled = gone.select("id.doc", "id.place", F.lit(True).alias("gone"))
-        now = many.filter(f"tier >= {r}").join(settled, ["doc", "place"], "left").withColumn("gone", F.col("gone").isNotNull())
-        hub = hubs(now.filter(f"tier = {r}"), "gone")
-        open_ = F.when(later, ~F.col("gone")).otherwise(~F.col("h_gone"))
-        other = (F.col("doc") != F.col("h_doc")) | (F.col("place") != F.col("h_place"))
-        pairs = cut(now.join(hub, "tok").filter(fits & open_ & other & ((F.col("tier") > r) | later)).select(F.least(me, hub_id).alias("a"), F.greatest(me, hub_id).alias("b")).distinct())
-        if pairs.take(1):
-            gone = cut(gone.union(_verified(docs, lines, pairs, percent)).distinct())
-    removed = copies.select("doc", "place").union(gone.select("id.doc", "id.place"))
+    gone, been = None, None
+    for share in shares:
+        mine = F.pmod(F.xxhash64("doc", "place"), F.lit(share)) == 0
+        hubs = leads.filter(mine if been is None else mine & ~been)
+        been = mine if been is None else been | mine
+        hub = _index(hubs).toDF("tok", "h_doc", "h_place", "h_size_at", "h_parity")
+        open_ = _index(leads if gone is None else leads.join(gone, ["doc", "place"], "left_anti"))
+        if share > 1:  # most tokens belong to no hub: their rows need no shuffle
+            open_ = seen_in(open_, marks(hub, "tok"), "tok")
+        pairs = cut(open_.join(hub, "tok").filter(later & fits).select(F.struct(F.col("h_doc").alias("doc"), F.col("h_place").alias("place")).alias("a"), F.struct("doc", "place").alias("b"), (n + hn).alias("n")).distinct())
+        new, texts = _verified(docs, pairs, percent)
+        whole = cut(new if gone is None else gone.union(new))
+        release(pairs, texts, gone)
+        gone = whole
+    removed = cut(copies.union(gone))
+    release(copies, gone, classes)
     return removed.select("doc", F.col("place").bitwiseAND(F.lit(_HALF - 1)).cast("int").alias("twin"), F.shiftright("place", 31).cast("int").alias("no"))
 
 
-def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """id: the later line of each pair (a, b) whose whole sets are similar."""
-    bits = lines.select(F.struct("doc", "place").alias("id"), "n", "wide")
-    total = F.col("na") + F.col("nb")
-    differ = sum((F.bit_count(F.col("wa")[k].bitwiseXOR(F.col("wb")[k])) for k in range(WIDE)), F.lit(0))
-    close = differ <= total - 2 * F.ceil(total * percent / (100.0 + percent) - 1e-9)
-    pairs = cut(pairs.join(bits.toDF("a", "na", "wa"), "a").join(bits.toDF("b", "nb", "wb"), "b").filter(close).select("a", "b"))
+def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """doc, place of the later line of each pair (a, b) whose word sets are similar, each once; and the lines read for it, to be released afterwards."""
     wanted = pairs.select("a.doc", "a.place").union(pairs.select("b.doc", "b.place")).distinct()
-    texts = docs.join(wanted.select("doc").distinct(), "doc", "left_semi")
-    lines = texts.select("doc", "twin", F.posexplode(F.split("text", "\n")).alias("no", "line")).select("doc", (F.col("no").cast("long") * _HALF + F.col("twin")).alias("place"), "line")
-    words = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-    sets = cut(lines.join(wanted, ["doc", "place"], "left_semi").select(F.struct("doc", "place").alias("id"), words.alias("set")).distinct())
-    both = F.size(F.array_intersect("sa", "sb"))
-    found = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
-    return found.select(F.col("b").alias("id")).distinct()
-
-
-def drop_repeated_lines(docs: DataFrame, percent: int = PERCENT, counts: bool = False, small: int = SMALL) -> DataFrame:
+    # only texts that may hold a wanted line are split, and only lines that may be wanted are shuffled
+    texts = seen_in(docs, marks(wanted, "doc"), "doc")
+    place = (F.col("no").cast("long") * _HALF + F.col("twin")).alias("place")
+    lines = texts.select("doc", "twin", F.posexplode(_lines_of(F.col("text"))).alias("no", "line")).select("doc", place, "line")
+    lines = seen_in(lines, marks(wanted, "doc", "place"), "doc", "place").join(wanted, ["doc", "place"], "left_semi")
+    lines = cut(lines.select(F.struct("doc", "place").alias("id"), "line"))
+    both = F.size(F.array_remove(F.array_intersect(F.split("la", " "), F.split("lb", " ")), ""))
+    # |A and B| over |A or B|, so written that the words are compared once
+    similar = both * (100 + percent) >= percent * F.col("n")
+    return pairs.join(lines.toDF("a", "la"), "a").join(lines.toDF("b", "lb"), "b").filter(similar).select("b.doc", "b.place").distinct(), lines
+
+
+def drop_repeated_lines(docs: DataFrame, percent: int = PERCENT, counts: bool = False, shares: tuple[int, ...] = SHARES) -> DataFrame:
     """``docs`` with repeated lines removed from text; ``counts`` adds n_lines and n_removed."""
     names = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
     base = keyed(docs.select("doc_id", "text"))
-    gone = repeated_lines(base, percent, small).groupBy("doc", "twin").agg(F.collect_set("no").alias("gone"))
+    gone = repeated_lines(base, percent, shares).groupBy("doc", "twin").agg(F.collect_set("no").alias("gone"))
     rest = [c for c in names if c not in ("doc_id", "text")]
     rows = keyed(docs, F.struct("doc_id", *rest).alias("row")).join(gone, ["doc", "twin"], "left")
     parts = F.split("text", "\n")

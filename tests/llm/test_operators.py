@@ -90,8 +90,8 @@ def test_loser_tree_merges_front_coded_runs():
         assert m == k
 
 
-@pytest.mark.parametrize("small", [line_dedup.SMALL, 2])
-def test_line_dedup_matches_brute_force(spark, corpus, small):
+@pytest.mark.parametrize("shares", [line_dedup.SHARES, (1,), (8, 2, 1)])
+def test_line_dedup_matches_brute_force(spark, corpus, shares):
     seen, want = [], {}
     for i, t in corpus:
         kept = []
@@ -102,7 +102,7 @@ def test_line_dedup_matches_brute_force(spark, corpus, small):
             if s:
                 seen.append(s)
         want[i] = "\n".join(kept)
-    assert {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs_of(spark, corpus).repartition(3), small=small).collect()} == want
+    assert {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs_of(spark, corpus).repartition(3), shares=shares).collect()} == want
 
 
 def test_pieces_are_the_models_own(spark, corpus):
