@@ -1,4 +1,4 @@
-"""Cuts the lineage of iterative plans with files that outlive a lost executor."""
+"""Cuts the lineage of iterative plans with files that outlive a lost executor; and tables of bits that tell absent keys."""
 
 from __future__ import annotations
 
@@ -6,25 +6,82 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Folders of materialized results that still exist.
+_KEPT: dict[str, SparkSession] = {}
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes ``df`` under the session's shared checkpoint folder and reads it back; removed at exit."""
-    spark = df.sparkSession
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder of the session; a temporary one only on a local master where none is set (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Writes ``df`` as Parquet under the shared checkpoint folder and reads it back."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    _KEPT[path] = spark
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def release(*results: DataFrame | None) -> None:
+    """Deletes the files of superseded results of ``materialize``, and lets Spark's cleaner drop the shuffle files of finished jobs."""
+    for df in results:
+        if df is not None and df.kept_at in _KEPT:
+            spark = _KEPT.pop(df.kept_at)
+            _remove(spark, df.kept_at)
+            spark.sparkContext._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone at exit
-        return
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def _clear() -> None:
+    for path, spark in _KEPT.items():
+        try:
+            _remove(spark, path)
+        except Exception:  # the session may be gone at exit
+            return
+
+
+#: Slots of a bit table; its size never depends on the data.
+SLOTS = 1 << 16
+
+
+def _pattern(h: Column) -> Column:
+    """Two of 64 bits, chosen by a hash."""
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, at).bitwiseAND(F.lit(63)).cast("int"))
+    return bit(32).bitwiseOR(bit(48))
+
+
+def marks(keys: DataFrame, *columns: str) -> DataFrame:
+    """slot, bits: a table of at most SLOTS rows in which each key sets two of the 64 bits of a slot."""
+    h = F.xxhash64(*columns)
+    return keys.select(h.bitwiseAND(F.lit(SLOTS - 1)).alias("slot"), _pattern(h).alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+
+
+def with_seen(df: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with seen: whether the key may be among those of ``marks``. No shuffle of ``df``; true for some others, false for none of them."""
+    h = F.xxhash64(*columns)
+    joined = df.withColumn("slot", h.bitwiseAND(F.lit(SLOTS - 1))).join(F.broadcast(table), "slot", "left")
+    return joined.select(*df.columns, F.coalesce(F.col("bits").bitwiseAND(_pattern(h)) == _pattern(h), F.lit(False)).alias("seen"))
+
+
+def seen_in(df: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """The rows of ``df`` whose key may be among those of ``marks``."""
+    return with_seen(df, table, *columns).filter("seen").drop("seen")
