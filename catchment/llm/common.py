@@ -1,10 +1,7 @@
-"""Shared helpers of the text operators: batches of texts as byte arrays, hashing, checkpoints."""
+"""Shared helpers of the text operators: batches of texts as byte arrays, hashing, keys, training rows."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..checkpoints import checkpoint_dir, marks, release, seen_in, with_seen  # noqa: F401
+from ..checkpoints import materialize as cut  # noqa: F401
+
 #: Word separators of every operator here: space and U+0009 to U+000D.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -35,75 +35,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a temporary one only on a local master where none is set (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-#: Folders of results of ``cut`` that still exist.
-_CUTS: dict[str, SparkSession] = {}
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as Parquet under the shared checkpoint folder and reads it back."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
-    _CUTS[path] = spark
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.cut_path = path
-    return out
-
-
-def release(*cuts: DataFrame | None) -> None:
-    """Deletes the files of superseded results of ``cut``, and lets Spark's cleaner drop the shuffle files of finished jobs."""
-    for df in cuts:
-        if df is not None and df.cut_path in _CUTS:
-            spark = _CUTS.pop(df.cut_path)
-            _remove(spark, df.cut_path)
-            spark.sparkContext._jvm.System.gc()
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _clear() -> None:
-    for path, spark in _CUTS.items():
-        try:
-            _remove(spark, path)
-        except Exception:  # the session may be gone at exit
-            return
-
-
-#: Slots of a bit table; its size never depends on the data.
-SLOTS = 1 << 16
-
-
-def marks(keys: DataFrame, *columns: str) -> DataFrame:
-    """slot, bits: a table of at most SLOTS rows in which each key sets one of 64 bits of a slot."""
-    h = F.xxhash64(*columns)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(63)).cast("int"))
-    return keys.select(h.bitwiseAND(F.lit(SLOTS - 1)).alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
-
-
-def seen_in(df: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
-    """The rows of ``df`` whose key may be among those of ``marks``, with no shuffle of ``df``: others may stay, none is missed."""
-    h = F.xxhash64(*columns)
-    shift = F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(63)).cast("int")
-    joined = df.withColumn("slot", h.bitwiseAND(F.lit(SLOTS - 1))).join(F.broadcast(table), "slot")
-    return joined.filter(F.call_function("shiftright", F.col("bits"), shift).bitwiseAND(F.lit(1)) == 1).select(df.columns)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64 on uint64."""
     h = h + _R
@@ -112,38 +43,65 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand and kept for a worker."""
+#: Spans of bytes are hashed as polynomials modulo this prime: no family of texts collides whatever the base.
+PRIME = np.uint64((1 << 61) - 1)
+_LOW31, _LOW30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_S1, _S30, _S31, _S61 = (np.uint64(k) for k in (1, 30, 31, 61))
 
-    def __init__(self, base: int = 0x2545F4914F6CDD1D):
-        self.base, self.inverse, self.size = base, pow(base, -1, 1 << 64), 0
-        self.up = self.down = np.empty(0, np.uint64)
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.size:
-            self.size = max(n, 2 * self.size, 1 << 16)
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                p = np.full(self.size, b, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
-        return self.up, self.down
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for x of 64 bits."""
+    x = (x & PRIME) + (x >> _S61)
+    return np.where(x >= PRIME, x - PRIME, x)
 
 
-POWERS = Powers()
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, both reduced; products are made of halves of 30 and 31 bits."""
+    a1, a0, b1, b0 = a >> _S31, a & _LOW31, b >> _S31, b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return _reduced(((a1 * b1) << _S1) + (middle >> _S30) + ((middle & _LOW30) << _S31) + a0 * b0)
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """P with P[i] the polynomial hash of data[:i]; spans are then hashed by ``span_hash``."""
-    up, _ = POWERS.get(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:])
+class Powers:
+    """Powers of a base (as halves) and of its inverse modulo PRIME, grown on demand and kept for a worker."""
+
+    def __init__(self, base: int):
+        self.base, self.inverse = base, pow(base, -1, int(PRIME))
+        self.low = self.high = self.down = np.empty(0, np.uint64)
+
+    def grow(self, n: int) -> None:
+        if n <= len(self.down):
+            return
+        size = 1 << max(16, (n - 1).bit_length())
+        tables = []
+        for b in (self.base, self.inverse):
+            p = np.ones(1, np.uint64)
+            while len(p) < size:
+                p = np.concatenate([p, times(p, np.uint64(pow(b, len(p), int(PRIME))))])
+            tables.append(p)
+        self.low, self.high, self.down = tables[0] & _LOW31, tables[0] >> _S31, tables[1]
+
+
+# fixed values: two bases drawn once
+POWERS = Powers(0x0545F4914F6CDD1D), Powers(0x19E3779B97F4A7C3)
+
+
+def prefix_hash(data: np.ndarray, which: int = 0) -> np.ndarray:
+    """Running sums over data of byte times power, for both halves of the powers; spans are then hashed by ``span_hash``."""
+    powers = POWERS[which]
+    powers.grow(len(data) + 1)
+    out = np.zeros((2, len(data) + 1), np.uint64)
+    d = data.astype(np.uint64) + np.uint64(1)
+    np.cumsum(d * powers.low[: len(d)], out=out[0, 1:])
+    np.cumsum(d * powers.high[: len(d)], out=out[1, 1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Position-independent 64-bit hashes of the spans [start, end)."""
-    _, down = POWERS.get(len(prefix))
-    return mix((prefix[end] - prefix[start]) * down[start])
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Position-independent 64-bit hashes of the spans [start, end), mixed from 61 bits; spans stay below 16 MB each to be exact."""
+    low, high = (_reduced(row[end] - row[start]) for row in prefix)
+    value = _reduced(((high & _LOW30) << _S31) + (high >> _S30) + low)
+    return mix(times(value, POWERS[which].down[start]))
 
 
 class Chunk:
@@ -198,7 +156,9 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict
     """Runs a kernel over bounded chunks of rows in Arrow batches.
 
     ``make`` is called once in each task and returns the kernel; the kernel gets the columns of a
-    chunk as Python lists (about ``limit`` characters of text) and returns columns of ``schema``.
+    chunk as Python lists (about ``limit`` characters of text) and returns columns of ``schema``. The
+    session's rows per Arrow batch are lowered to BATCH_ROWS and stay so: Spark reads that setting only when
+    the query runs, and batches of ten thousand long texts would not fit a worker.
     """
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     conf = df.sparkSession.conf
@@ -218,6 +178,12 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict
     return df.mapInArrow(run, schema)
 
 
+def scan_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of the bytes that ``df`` reads, without a job; for sizing partitions. 0 where it has none."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 56 else 0
+
+
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """doc (id, a null one as the lowest number), twin (number of the text among those of its id), text, columns.
 
@@ -231,8 +197,8 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
-    """crc32 of the id as text is divisible by five: such rows never train a model."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    """crc32 of the id as text is divisible by five: such rows never train a model. A null id is not held out (and has no label)."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def labelled_sample(labels: DataFrame, column: str, bound: int) -> DataFrame:
@@ -301,7 +267,18 @@ def byte_set(chars: bytes) -> np.ndarray:
     return out
 
 
-def training_rows(docs: DataFrame, chosen: DataFrame, make, schema: str) -> list:
-    """Features of the chosen labelled texts (a bounded sample, so broadcast is safe), ordered by id and text."""
+def training_rows(docs: DataFrame, chosen: DataFrame, make, schema: str, most_lines: int | None = None) -> list:
+    """Features of the chosen labelled texts (a bounded sample, so broadcast is safe), ordered by id and text.
+
+    With ``most_lines`` documents are taken whole, in hash order of their ids, while their lines together are no more than that.
+    """
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    if most_lines is not None:
+        sizes = joined.groupBy("doc_id").agg(F.sum(F.coalesce(F.size(F.split("text", "\n")), F.lit(1))).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+        total, ids = 0, []
+        for r in sizes:
+            if total + r.n <= most_lines:
+                total += r.n
+                ids.append((r.doc_id,))
+        joined = joined.join(F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long")), "doc_id")
     return sorted(map_texts(joined, make, schema).collect(), key=lambda r: (r.doc_id, bytes(r.features)))

@@ -8,14 +8,14 @@ hash, so sorting tokens sorts by rarity. Equal sets are one class, led by its fi
 * prefix filter: similar sets share a token among the rarest n - ceil(t n) + 1 of each;
 * length filter: t times the larger set is at most the smaller;
 * positional filter: the tokens behind the shared one must suffice;
-* parity filter: a token flips one of 64 bits of its line, so the bits in which two lines differ are
-  at most the tokens in which they differ.
+* parity filter: a token flips one of 64 bits of its line (128 where both lines have more than WIDE words),
+  so the bits in which two lines differ are at most the tokens in which they differ.
 
 The join goes in rounds of hubs. In a round of share k the earlier line of a pair is one of those leads
-whose hash falls into one of k parts and that were no hub before; the later line is any lead not yet known
-to repeat one. So a crowd of near copies ends with its first few hubs instead of meeting pair by pair, and
+whose hash falls into one of k parts; the later line is any lead not yet known to repeat one. So a crowd of near copies ends with its first few hubs instead of meeting pair by pair, and
 the last round (share 1) leaves no pair untested: nothing is capped. What passes the filters is verified
-on the words themselves. A token that very many lines share is one key of an inner join, which Spark splits.
+on the words themselves, first for each later line the partner that differs in the fewest bits, then the
+other partners of lines still open. A token that very many lines share is one key of an inner join, which Spark splits.
 
 Lines without a word stay. A null text stays null. A null id sorts below all others, rows of equal id
 are ordered by text, and rows equal in both are one document. All columns are kept.
@@ -31,7 +31,9 @@ from .common import cut, keyed, marks, release, seen_in
 PERCENT = 80
 CLASS_BITS = 16
 #: Parts of the leads of which one serves as hubs in each round; about the size of the largest crowd of near copies is a good first number.
-SHARES = (256, 1)
+SHARES = (80, 1)
+#: Lines of more words have 128 parity bits.
+WIDE = 96
 #: Two numbers below 2**31 in one long.
 _HALF = 1 << 31
 
@@ -46,7 +48,7 @@ def _lines_of(text: Column) -> Column:
 
 def _ranks(docs: DataFrame) -> Column:
     """The rarity rank of each hash class of words, as an array of fixed size, from counts over all texts."""
-    words = docs.select(F.explode(F.split("text", r"[ \t-\r]+")).alias("w")).filter("w <> ''")
+    words = docs.select(F.explode(_lines_of(F.col("text"))).alias("line")).select(F.explode(F.split("line", " ")).alias("w"))
     counted = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - CLASS_BITS).alias("c")).count().collect()
     n = {r.c: r["count"] for r in counted}
     rank = {c: i for i, c in enumerate(sorted(range(1 << CLASS_BITS), key=lambda c: (n.get(c, 0), c)))}
@@ -57,71 +59,84 @@ def _ranks(docs: DataFrame) -> Column:
 
 def tokens(line: Column, ranks: Column) -> Column:
     """The sorted distinct tokens of a line, the rarest first."""
-    hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    hashes = F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
+    gaps = F.contains(line, F.lit("  ")) | line.startswith(" ") | line.endswith(" ")
+    hashes = F.when(gaps, F.array_remove(hashes, F.xxhash64(F.lit("")))).otherwise(hashes)
     flip = lambda h: F.coalesce(F.get(ranks, F.shiftrightunsigned(h, 64 - CLASS_BITS).cast("int")), F.lit(0).cast("long"))
     return F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(flip(h))))
 
 
 def _lines(docs: DataFrame, percent: int) -> DataFrame:
-    """doc, place (number of the line, then twin), n, d1, d2 (digest of the set), parity, rare (31 bits of each token of the prefix)."""
+    """doc, place (number of the line, then twin), n, d1, d2 (digest of the set), parity, upper (of the parity, the part of tokens with bit 6 set; 0 in short lines), rare (31 bits of each token of the prefix)."""
     ranks = _ranks(docs)
     place = (F.col("no").cast("long") * _HALF + F.col("twin")).alias("place")
     lines = docs.select("doc", "twin", F.posexplode(_lines_of(F.col("text"))).alias("no", "line")).filter(F.trim("line") != "").select("doc", place, tokens(F.col("line"), ranks).alias("t"))
     n = F.size("t")
+    parity = lambda ts: F.aggregate(ts, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t)))
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
     size = n - F.ceil(n * percent / 100 - 1e-9).cast("int") + 1
     return lines.select(
         "doc", "place", n.alias("n"), F.xxhash64("t").alias("d1"), F.xxhash64(F.lit(1), "t").alias("d2"),
-        F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t))).alias("parity"),
+        parity(F.col("t")).alias("parity"), F.when(n > WIDE, parity(F.filter("t", lambda t: t.bitwiseAND(F.lit(64)) != 0))).otherwise(0).cast("long").alias("upper"),
         F.transform(F.slice("t", F.lit(1), size), lambda t: t.bitwiseAND(F.lit(_HALF - 1)).cast("int")).alias("rare"),
     )
 
 
 def _index(leads: DataFrame) -> DataFrame:
-    """A row for each token of each prefix."""
-    size_at = F.col("n").cast("long") * _HALF + F.col("at")
-    return leads.select("doc", "place", "n", "parity", F.posexplode("rare").alias("at", "tok")).select("tok", "doc", "place", size_at.alias("size_at"), "parity")
+    """A row for each token of each prefix; size_rest holds n, the tokens from this one on, and shut (1 for a line known to repeat one)."""
+    size_rest = (F.col("n").cast("long") * _HALF + F.col("n") - F.col("at")) * 2 + F.col("shut")
+    return leads.select("doc", "place", "n", "parity", "upper", "shut", F.posexplode("rare").alias("at", "tok")).select("tok", "doc", "place", size_rest.alias("size_rest"), "parity", "upper")
 
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT, shares: tuple[int, ...] = SHARES) -> DataFrame:
     """doc, twin, no of every line to remove; ``docs`` has doc, twin, text (see ``keyed``). The last share must be 1."""
     lines = cut(_lines(docs, percent))
     # of a class only its first line joins
-    lead = F.min(F.struct("doc", "place", "n", "parity", "rare")).alias("lead")
+    lead = F.min(F.struct("doc", "place", "n", "parity", "upper", "rare")).alias("lead")
     classes = cut(lines.groupBy("d1", "d2").agg(lead).select("d1", "d2", "lead.*"))
     first = classes.select("d1", "d2", F.col("doc").alias("l_doc"), F.col("place").alias("l_place"))
     copy = (F.col("doc") != F.col("l_doc")) | (F.col("place") != F.col("l_place"))
     copies = cut(lines.select("doc", "place", "d1", "d2").join(first, ["d1", "d2"]).filter(copy).select("doc", "place"))
     release(lines)
-    leads = classes.select("doc", "place", "n", "parity", "rare")
-    n, at, hn, hat = F.shiftright("size_at", 31), F.col("size_at").bitwiseAND(F.lit(_HALF - 1)), F.shiftright("h_size_at", 31), F.col("h_size_at").bitwiseAND(F.lit(_HALF - 1))
-    need = F.ceil((n + hn) * percent / (100.0 + percent) - 1e-9)
+    n, hn = F.shiftright("l_size_rest", 32), F.shiftright("h_size_rest", 32)
+    rest, hrest = (F.shiftright(x, 1).bitwiseAND(F.lit(_HALF - 1)) for x in ("l_size_rest", "h_size_rest"))
+    # a shut line differs in more bits than there are; as a condition of its own it would part the two sides' plans
+    shut = F.col("l_size_rest").bitwiseAND(F.lit(1)) * _HALF
+    all_, upper = F.col("l_parity").bitwiseXOR(F.col("h_parity")), F.col("l_upper").bitwiseXOR(F.col("h_upper"))
+    off = F.when(F.least(n, hn) > WIDE, F.bit_count(all_.bitwiseXOR(upper)) + F.bit_count(upper)).otherwise(F.bit_count(all_))
+    # whole numbers alone: a shared count k suffices if k (100 + percent) >= percent (n + hn)
     fits = (
-        (F.bit_count(F.col("parity").bitwiseXOR(F.col("h_parity"))) <= n + hn - 2 * need)
-        & (100 * F.least(n, hn) >= percent * F.greatest(n, hn)) & (F.least(n - at, hn - hat) >= need)
+        (100 * F.least(n, hn) >= percent * F.greatest(n, hn)) & ((100 + percent) * F.least(rest, hrest) >= percent * (n + hn))
+        & ((100 + percent) * F.shiftright(n + hn - off - shut, 1) >= percent * (n + hn))
     )
-    later = (F.col("doc") > F.col("h_doc")) | ((F.col("doc") == F.col("h_doc")) & (F.col("place") > F.col("h_place")))
-    gone, been = None, None
+    later = (F.col("l_doc") > F.col("h_doc")) | ((F.col("l_doc") == F.col("h_doc")) & (F.col("l_place") > F.col("h_place")))
+    side = lambda index, k: index.toDF("tok", *[f"{k}_{c}" for c in ("doc", "place", "size_rest", "parity", "upper")])
+    line = lambda k: F.struct(F.col(f"{k}_doc").alias("doc"), F.col(f"{k}_place").alias("place"))
+    gone = None
     for share in shares:
-        mine = F.pmod(F.xxhash64("doc", "place"), F.lit(share)) == 0
-        hubs = leads.filter(mine if been is None else mine & ~been)
-        been = mine if been is None else been | mine
-        hub = _index(hubs).toDF("tok", "h_doc", "h_place", "h_size_at", "h_parity")
-        open_ = _index(leads if gone is None else leads.join(gone, ["doc", "place"], "left_anti"))
+        leads = classes.select("doc", "place", "n", "parity", "upper", "rare")
+        if gone is None:
+            leads = leads.withColumn("shut", F.lit(0))
+        else:
+            leads = leads.join(gone.withColumn("gone", F.lit(True)), ["doc", "place"], "left").withColumn("shut", F.col("gone").isNotNull().cast("int"))
         if share > 1:  # most tokens belong to no hub: their rows need no shuffle
-            open_ = seen_in(open_, marks(hub, "tok"), "tok")
-        pairs = cut(open_.join(hub, "tok").filter(later & fits).select(F.struct(F.col("h_doc").alias("doc"), F.col("h_place").alias("place")).alias("a"), F.struct("doc", "place").alias("b"), (n + hn).alias("n")).distinct())
-        new, texts = _verified(docs, pairs, percent)
+            hub = _index(leads.filter(F.pmod(F.xxhash64("doc", "place"), F.lit(share)) == 0))
+            open_ = seen_in(_index(leads.filter("shut = 0")), marks(hub, "tok"), "tok")
+        else:  # one shuffle serves both sides
+            hub = open_ = _index(leads)
+        met = side(open_, "l").join(side(hub, "h"), "tok").filter(fits & later)
+        pairs = cut(met.select(line("h").alias("a"), line("l").alias("b"), (n + hn).alias("n"), off.alias("off")).distinct())
+        new, used = _verified(docs, pairs, percent)
         whole = cut(new if gone is None else gone.union(new))
-        release(pairs, texts, gone)
+        release(pairs, gone, *used)
         gone = whole
     removed = cut(copies.union(gone))
     release(copies, gone, classes)
     return removed.select("doc", F.col("place").bitwiseAND(F.lit(_HALF - 1)).cast("int").alias("twin"), F.shiftright("place", 31).cast("int").alias("no"))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """doc, place of the later line of each pair (a, b) whose word sets are similar, each once; and the lines read for it, to be released afterwards."""
+def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """doc, place of the later line of each pair (a, b) whose word sets are similar, each once; and what may be released afterwards."""
     wanted = pairs.select("a.doc", "a.place").union(pairs.select("b.doc", "b.place")).distinct()
     # only texts that may hold a wanted line are split, and only lines that may be wanted are shuffled
     texts = seen_in(docs, marks(wanted, "doc"), "doc")
@@ -131,8 +146,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFram
     lines = cut(lines.select(F.struct("doc", "place").alias("id"), "line"))
     both = F.size(F.array_remove(F.array_intersect(F.split("la", " "), F.split("lb", " ")), ""))
     # |A and B| over |A or B|, so written that the words are compared once
-    similar = both * (100 + percent) >= percent * F.col("n")
-    return pairs.join(lines.toDF("a", "la"), "a").join(lines.toDF("b", "lb"), "b").filter(similar).select("b.doc", "b.place").distinct(), lines
+    same = both * (100 + percent) >= percent * F.col("n")
+    similar = lambda some: some.join(lines.toDF("a", "la"), "a").join(lines.toDF("b", "lb"), "b").filter(same).select("b").distinct()
+    sure = cut(similar(pairs.groupBy("b").agg(F.min(F.struct("off", "a", "n")).alias("best")).select("best.a", "b", "best.n")))
+    rest = similar(pairs.select("a", "b", "n").join(sure, "b", "left_anti"))
+    return sure.union(rest).select("b.doc", "b.place"), [lines, sure]
 
 
 def drop_repeated_lines(docs: DataFrame, percent: int = PERCENT, counts: bool = False, shares: tuple[int, ...] = SHARES) -> DataFrame:
