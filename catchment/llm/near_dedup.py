@@ -6,8 +6,10 @@ bands, and documents whose bands agree share a bucket. Equal sets are one node f
 copies cost one row each. Within a bucket candidate edges are stars: members get tiers by a hash, tier r
 having about 4**r members, and in round r the members of tier r are compared with the members above, but
 only across components not yet joined. So a bucket of near copies ends after its first star, while a
-bucket of strangers is still compared completely; no bucket or partner is capped. Every link is
-confirmed on full sets, exactly.
+bucket of strangers is still compared completely; no bucket or partner is capped. A pair leaves the
+bucket's join only if its sketches allow the similarity: each shingle flips one of SKETCH bits, so the bits
+in which two sketches differ are at most the shingles in which the sets differ. Pairs just below the
+threshold end there. Every link is confirmed on full sets, exactly.
 
 Rows with a null id or without words are linked with nothing (component_id is their own id). Rows that
 share an id count as one document with several sets. n_shingles is each row's own set size.
@@ -28,6 +30,8 @@ from .components import merge_components
 SLOTS = 256
 #: A pair right at the threshold may miss all bands with at most this probability.
 MISS = 1e-5
+#: Bits of a sketch; a multiple of 64.
+SKETCH = 1024
 
 
 def banding(percent: int, slots: int = SLOTS, miss: float = MISS) -> tuple[int, int]:
@@ -94,7 +98,7 @@ def _digest(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, salt: int) -> np.ndar
 
 
 def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, d1, d2 (digest of the set), bands (null for an empty set)."""
+    """doc_id, n, d1, d2 (digest of the set), bits (parity sketch), bands (null for an empty set)."""
     bands, rows = banding(percent)
 
     def make():
@@ -108,11 +112,13 @@ def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for r in range(rows):
                 key = mix(key ^ mix(sig[:, :, r] + np.uint64(r << 32)))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(np.ascontiguousarray(key).view(np.int64).ravel()), mask=pa.array(size == 0))
-            return pa.RecordBatch.from_arrays([pa.array(cols["doc_id"], pa.int64()), pa.array(size), pa.array(_digest(h, cuts[:-1], cuts[1:], 1)), pa.array(_digest(h, cuts[:-1], cuts[1:], 2)), lists], names=["doc_id", "n", "d1", "d2", "bands"])
+            odd = np.bincount(doc * SKETCH + (mix(h ^ np.uint64(3)) % np.uint64(SKETCH)).astype(np.int64), minlength=n * SKETCH).astype(np.uint8) & 1
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (SKETCH // 64), pa.int32()), pa.array(np.packbits(odd).view(np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array(cols["doc_id"], pa.int64()), pa.array(size), pa.array(_digest(h, cuts[:-1], cuts[1:], 1)), pa.array(_digest(h, cuts[:-1], cuts[1:], 2)), bits, lists], names=["doc_id", "n", "d1", "d2", "bits", "bands"])
 
         return kernel
 
-    return map_texts(docs.select("doc_id", "text"), make, "doc_id long, n long, d1 long, d2 long, bands array<long>")
+    return map_texts(docs.select("doc_id", "text"), make, "doc_id long, n long, d1 long, d2 long, bits array<long>, bands array<long>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -135,12 +141,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     signed = cut(_signed(docs, words, percent))
     some = signed.filter("n > 0 and doc_id is not null")
     classes = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"))
-    banded = some.join(classes.select(F.col("node").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi").select(F.col("doc_id").alias("node"), "n", F.explode("bands").alias("key"))
+    firsts = some.join(classes.select(F.col("node").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi").withColumnRenamed("doc_id", "node")
+    banded = firsts.select("node", "n", F.explode("bands").alias("key"))
     rank = F.xxhash64("node", "key")
     shared = banded.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(rank).alias("least")).filter("lo < hi").select("key", "m", "least")
     share = (rank.cast("double") / 2.0**64 + 0.5) * F.col("m")
     tier = F.when(rank == F.col("least"), 0).otherwise(1 + F.greatest(F.lit(0), F.floor(F.log(share) / math.log(4)))).cast("int")
-    members = cut(banded.join(shared, "key").select("key", "node", "n", tier.alias("tier")))
+    members = cut(banded.join(shared, "key").select("key", "node", "n", tier.alias("tier")).join(firsts.select("node", "bits").distinct(), "node"))
     nodes = cut(members.select("node").distinct())
     last = members.agg(F.max("tier")).first()[0]
     comp = nodes.select("node", F.col("node").alias("comp"))
@@ -151,8 +158,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             if r:
                 mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("tier").alias("top")).filter(f"lo < hi and top >= {r}").select("key")
                 now = cut(now.filter(F.col("tier") >= r).join(mixed, "key", "left_semi"))
-            hub = now.filter(F.col("tier") == r).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+            hub = now.filter(F.col("tier") == r).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("bits").alias("ba"))
             near = (F.col("comp") != F.col("ca")) & (100 * F.least("n", "na") >= percent * F.greatest("n", "na")) & ((F.col("tier") > r) | (F.col("node") > F.col("a")))
+            differ = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("ba")[k])) for k in range(SKETCH // 64)), F.lit(0))
+            near = near & (differ <= F.col("n") + F.col("na") - 2 * F.ceil((F.col("n") + F.col("na")) * percent / (100.0 + percent) - 1e-9))
             pairs = now.join(hub, "key").filter(near).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
             pairs = cut(pairs)
             if not pairs.take(1):
