@@ -3,10 +3,13 @@
 One pattern finds e-mail and IPv4 addresses, card, phone, social-security and account numbers, access
 keys, hexadecimal secrets, assigned passwords, and names after a gendered title: all capitalised parts,
 particles between them and degrees before them left as they are. Each part of a name is an entity, and so
-is every other mention of it, as a whole word, in the same text. Each entity is reduced
+is every other mention of it, as a whole word, in the same text. The last word after a title is a surname,
+words before it are given names; a given name is of the title's gender (of neither if a text has it after
+titles of both), a surname of a gender only where its script forms two. Each entity is reduced
 to a canonical form (so that spellings of one entity share a surrogate), and a keyed SHA-256 of it drives
 a replacement of the same type: digits for digits, letters of the same case, hexadecimal for hexadecimal,
-separators kept, check digits of cards kept valid, names of the same gender and script; in assigned
+separators kept, check digits of cards kept valid; names are made of syllables of their script with an
+ending of their gender, surnames as surnames, capitals as capitals; in assigned
 passwords every other letter or symbol also becomes one of its class. Surrogates are checked over the
 whole corpus: where two entities of a type share one, or one equals an entity that occurs, all but the
 first get another attempt; what is left after a few is numbered, and the number goes into a longer
@@ -21,19 +24,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, marks, with_seen
 
 KEY = "surrogates-1"
 #: Attempts before the entities left are numbered.
 ATTEMPTS = 8
 
-# fixed values: titles and given names by gender and script
+# fixed values: titles by gender
 MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Господин"]
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа"]
-MALE_LATIN = ["Adrian", "Bruno", "Conrad", "Daniel", "Edgar", "Felix", "Gregor", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Martin", "Nils", "Oscar", "Paul"]
-FEMALE_LATIN = ["Alma", "Bianca", "Clara", "Dora", "Elena", "Flora", "Greta", "Hanna", "Ines", "Julia", "Karin", "Lena", "Marta", "Nora", "Olga", "Paula"]
-MALE_CYRILLIC = ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Максим", "Олег", "Павел", "Роман", "Степан", "Тимур", "Фёдор", "Юрий"]
-FEMALE_CYRILLIC = ["Анна", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Зоя", "Ирина", "Ксения", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Софья", "Юлия"]
+
+#: Syllables of made names: onsets, vowels, codas by script; and the endings of each part of a name and gender (n: neither).
+SYLLABLES = {
+    "latin": (["b", "d", "f", "g", "h", "k", "l", "m", "n", "p", "r", "s", "t", "v", "w", "br", "dr", "fl", "gr", "kl", "kr", "st", "tr"], ["a", "e", "i", "o", "u"], ["l", "n", "r", "s", "t", "m", "nd", "rt", "ld"]),
+    "cyrillic": (["б", "в", "г", "д", "з", "к", "л", "м", "н", "п", "р", "с", "т", "х", "бр", "гр", "др", "кр", "ст", "тр"], ["а", "е", "и", "о", "у"], ["л", "н", "р", "с", "т", "м", "в"]),
+}
+ENDINGS = {
+    ("latin", "given", "m"): ["ard", "win", "mar", "ian", "us", "rik", "bert", "o"], ("latin", "given", "f"): ["a", "ina", "elle", "ia", "ette", "lyn", "ora", "eth"], ("latin", "given", "n"): ["y", "is", "en", "ey"],
+    ("latin", "surname", "n"): ["berg", "mann", "ton", "ley", "ner", "sen", "field", "wick", "hart", "ford"],
+    ("cyrillic", "given", "m"): ["ан", "ий", "ислав", "имир"], ("cyrillic", "given", "f"): ["ана", "ия", "ислава", "ина"], ("cyrillic", "given", "n"): ["ша", "ня"],
+    ("cyrillic", "surname", "m"): ["ов", "ев", "ин", "ский"], ("cyrillic", "surname", "f"): ["ова", "ева", "ина", "ская"], ("cyrillic", "surname", "n"): ["енко", "ук", "ко", "ых"],
+}
 
 #: Class of characters in passwords, and what they become; the first that matches counts.
 CLASSES = [
@@ -78,11 +89,13 @@ NAMELESS = "|".join(p for k, p in KINDS.items() if k not in ("male", "female"))
 HINT = r"[@=]|\d{3}|\d[ .-]\d|[0-9a-f]{32}|AKIA|ASIA|[A-Z]{2}\d{2}|" + "|".join(MALE_TITLES + FEMALE_TITLES)
 
 
-def parts_of(text: Column, title: str) -> Column:
-    """The parts of the names after titles of a gender, each once."""
+def parts_of(text: Column, title: str) -> tuple[Column, Column]:
+    """The given names and the surnames after titles of a gender, part by part, each once, also in capitals and with one capital."""
     kept = F.array(*map(F.lit, PARTICLES + DEGREES))
-    runs = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(KINDS[title]), F.lit(0)), lambda n: F.regexp_extract_all(n, F.lit(_RUN), F.lit(0))))
-    return F.array_distinct(F.filter(runs, lambda x: (F.length(x) > 1) & ~F.array_contains(kept, x)))
+    names = F.transform(F.regexp_extract_all(text, F.lit(KINDS[title]), F.lit(0)), lambda n: F.regexp_extract_all(n, F.lit(_WORD), F.lit(0)))
+    runs = lambda words: F.array_distinct(F.filter(F.flatten(F.transform(F.flatten(words), lambda w: F.regexp_extract_all(w, F.lit(_RUN), F.lit(0)))), lambda x: (F.length(x) > 1) & ~F.array_contains(kept, x)))
+    spelt = lambda parts: F.array_distinct(F.concat(parts, F.transform(parts, lambda x: F.initcap(F.lower(x))), F.transform(parts, lambda x: F.upper(x))))
+    return spelt(runs(F.transform(names, lambda n: F.slice(n, F.lit(1), F.greatest(F.size(n) - 1, F.lit(0)))))), spelt(runs(F.transform(names, lambda n: F.slice(n, F.greatest(F.size(n), F.lit(1)), F.lit(1)))))
 
 
 def pattern_of(names: Column) -> Column:
@@ -104,14 +117,13 @@ def kind_of(e: Column) -> Column:
         .when(e.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]+$"), "iban")
         .when(e.rlike(r"^\d[\d -]*$") & (F.length(digits) >= 13), "card")
         .when(e.rlike(r"^[+(\d][\d ().+-]*$") & (F.length(digits) >= 8), "phone")
-        .when(e.rlike(r"^\p{Lu}\p{Ll}+$"), "name")
         .otherwise("password")
     )
 
 
 def canonical(e: Column, kind: Column) -> Column:
     bare = F.regexp_replace(e, r"\D", "")
-    return F.when(kind == "email", F.lower(e)).when(kind.isin("card", "phone", "ssn"), bare).when(kind == "iban", F.regexp_replace(e, " ", "")).otherwise(e)
+    return F.when(kind == "email", F.lower(e)).when(kind.isin("given", "surname"), F.initcap(F.lower(e))).when(kind.isin("card", "phone", "ssn"), bare).when(kind == "iban", F.regexp_replace(e, " ", "")).otherwise(e)
 
 
 def _byte(h: Column, i: Column) -> Column:
@@ -175,14 +187,23 @@ def surrogate(value: Column, kind: Column, gender: Column, attempt: Column, key:
     phone = F.concat(F.substring(value, 1, 1), digits.substr(F.lit(2), size - 1))
     iban = F.concat(F.substring(value, 1, 2), _masked(F.expr("substring(canonical, 3)"), h))
     cyrillic = value.rlike(r"\p{IsCyrillic}")
-    word = lambda names: F.element_at(F.array(*map(F.lit, names)), F.pmod(_byte(h, F.lit(0)), F.lit(len(names))) + 1)
-    given = F.when(cyrillic & (gender == "f"), word(FEMALE_CYRILLIC)).when(cyrillic, word(MALE_CYRILLIC)).when(gender == "f", word(FEMALE_LATIN)).otherwise(word(MALE_LATIN))
-    # beyond the list's names, a second part keeps names distinct
-    tail = F.when(attempt < 2, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.least(attempt, F.lit(12))), lambda i: F.when(cyrillic, _pick("аеиоунрст", _byte(h, i + 7))).otherwise(_pick("aeiounrst", _byte(h, i + 7)))), ""))
+    pick = lambda items, i: F.element_at(F.array(*map(F.lit, items)), F.pmod(_byte(h, i), F.lit(len(items))) + 1)
+
+    def made(script: str) -> Column:
+        """A syllable, one more for each attempt before, and the ending."""
+        onsets, vowels, codas = SYLLABLES[script]
+        stem = F.array_join(F.transform(F.sequence(F.lit(0), attempt), lambda k: F.concat(pick(onsets, 9 * k), pick(vowels, 9 * k + 3), pick(codas, 9 * k + 6))), "")
+        end = F.lit("")
+        for (s, part, g), items in ENDINGS.items():
+            if s == script:
+                end = F.when((kind == part) & ((gender == g) | F.lit((s, part) == ("latin", "surname"))), pick(items, F.lit(31))).otherwise(end)
+        return F.initcap(F.concat(stem, end))
+
+    name = F.when(value.rlike(r"\p{IsCyrillic}"), made("cyrillic")).when(value.rlike(r"\p{IsLatin}"), made("latin")).otherwise(_reclassed(value, h))
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone)
         .when(kind == "hex", _masked(value, h, True)).when(kind == "access_key", F.concat(F.substring(value, 1, 4), _masked(F.expr("substring(canonical, 5)"), h)))
-        .when(kind == "iban", iban).when(kind == "name", F.concat(given, tail)).otherwise(_reclassed(value, h))
+        .when(kind == "iban", iban).when(kind.isin("given", "surname"), name).otherwise(_reclassed(value, h))
     )
 
 
@@ -193,15 +214,20 @@ def _dressed(e: Column, kind: Column, s: Column) -> Column:
         "",
     )
     rest = F.substring(s, F.length(F.regexp_replace(e, "[^0-9A-Z]", "")) + 1, F.length(s))
-    return F.when(kind.isin("card", "phone", "ssn", "iban"), F.concat(shown, rest)).otherwise(s)
+    capitals = kind.isin("given", "surname") & (F.upper(e) == e)
+    return F.when(kind.isin("card", "phone", "ssn", "iban"), F.concat(shown, rest)).when(capitals, F.upper(s)).otherwise(s)
 
 
 def _typed(hits: DataFrame) -> DataFrame:
     """The entities e of ``hits`` with row_key, each once a row, and their kind, gender and canonical form."""
-    e = hits.select("row_key", "names", "gender_of", F.explode(F.array_distinct("found")).alias("e"))
-    e = e.withColumn("kind", F.when(F.array_contains("names", F.col("e")), "name").otherwise(kind_of(F.col("e"))))
-    gender = F.when(F.col("kind") == "name", F.when(F.array_contains("gender_of", F.col("e")), "f").otherwise("m")).otherwise("")
-    return e.select("row_key", "e", "kind", gender.alias("gender"), canonical(F.col("e"), F.col("kind")).alias("canonical"))
+    e = hits.select("row_key", "parts", F.explode(F.array_distinct("found")).alias("e"))
+    has = lambda k: F.array_contains(f"parts.{k}", F.col("e"))
+    last = has("last_f") | has("last_m")
+    kind = F.when(last, "surname").when(has("first_f") | has("first_m"), "given").otherwise(kind_of(F.col("e")))
+    she, he = F.when(last, has("last_f")).otherwise(has("first_f")), F.when(last, has("last_m")).otherwise(has("first_m"))
+    of_name = F.when((she & he) | (last & ~F.col("e").rlike(r"\p{IsCyrillic}")), "n").when(she, "f").otherwise("m")
+    e = e.withColumn("kind", kind).withColumn("gender", F.when(F.col("kind").isin("given", "surname"), of_name).otherwise(""))
+    return e.select("row_key", "e", "kind", "gender", canonical(F.col("e"), F.col("kind")).alias("canonical"))
 
 
 def _numbered(df: DataFrame, *keys: str) -> DataFrame:
@@ -221,7 +247,7 @@ def _longer(kind: Column, canonical: Column, surrogate: Column, more: Column) ->
     return (
         F.when(kind == "email", F.concat(F.substring_index(surrogate, "@", 1), more, F.lit("@"), F.substring_index(surrogate, "@", -1)))
         .when(kind == "card", F.concat(body, F.when(valid, _check_digit(body)).otherwise(F.substring(surrogate, -1, 1))))
-        .when(kind == "name", F.concat(surrogate, F.when(surrogate.rlike(r"\p{IsCyrillic}"), F.translate(more, "0123456789", "аеиоубдлнр")).otherwise(letters)))
+        .when(kind.isin("given", "surname"), F.concat(surrogate, F.when(surrogate.rlike(r"\p{IsCyrillic}"), F.translate(more, "0123456789", "аеиоубдлнр")).otherwise(letters)))
         .otherwise(F.concat(surrogate, more))
     )
 
@@ -272,13 +298,18 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with entities in text replaced; n_entities counts them. Only rows with entities are shuffled."""
+    """``docs`` with entities in text replaced; n_entities counts them.
+
+    Texts are searched once. Rows with entities are written and shuffled; the others are told by a bit table of fixed
+    size over the hashes of texts, and only those that it cannot tell are joined to the list of texts with entities.
+    """
     names = [c for c in docs.columns if c != "n_entities"]
     # a row travels as one struct, so that its columns cannot clash with those made here
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text")
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text", F.xxhash64("text").alias("row_key"), F.xxhash64(F.lit(1), "text").alias("row_key2"))
     some = F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(PATTERN), F.lit(False))
-    female = marked.filter(some).withColumn("row_key", F.xxhash64("text")).withColumn("gender_of", parts_of(F.col("text"), "female"))
-    named = female.withColumn("names", F.array_union("gender_of", parts_of(F.col("text"), "male"))).withColumn("pattern", pattern_of(F.col("names")))
+    (first_f, last_f), (first_m, last_m) = parts_of(F.col("text"), "female"), parts_of(F.col("text"), "male")
+    named = marked.filter(some).withColumn("parts", F.struct(first_f.alias("first_f"), last_f.alias("last_f"), first_m.alias("first_m"), last_m.alias("last_m")))
+    named = named.withColumn("pattern", pattern_of(F.array_distinct(F.concat("parts.first_f", "parts.last_f", "parts.first_m", "parts.last_m"))))
     hits = cut(named.withColumn("found", F.regexp_extract_all("text", F.col("pattern"), F.lit(0))))
     used = _typed(hits)
     table = assign(used.select("kind", "gender", "canonical").distinct(), key)
@@ -289,4 +320,7 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     done = hits.join(of_row, "row_key", "left").withColumn("text", F.array_join(fill, ""))
     n = F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_entities")
     out = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names]
-    return marked.filter(~some).select(*out, F.lit(0).cast("long").alias("n_entities")).unionByName(done.select(*out, n))
+    keys = hits.select("row_key", "row_key2").distinct()
+    told = with_seen(marked, marks(keys, "row_key"), "row_key")
+    rest = told.filter("text is null or not seen").unionByName(told.filter("text is not null and seen").join(keys, ["row_key", "row_key2"], "left_anti").select(told.columns))
+    return rest.select(*out, F.lit(0).cast("long").alias("n_entities")).unionByName(done.select(*out, n))

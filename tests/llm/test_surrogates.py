@@ -72,3 +72,27 @@ def test_whole_names_and_their_later_mentions(spark):
     assert m and m[2] == m[4] != "Петров" and m[1] != "Иван" and m[3] != "Водкин"
     assert not re.search("McDonald|Smith", new[6]) and re.fullmatch(r"Mr (\w+) and Mrs \1", new[8])
     assert "Alembert" not in new[7] and not re.search("(?i)müller", new[9])
+
+
+def test_names_keep_their_part_gender_and_capitals(spark):
+    texts = ["Mr Kim met Ms Kim", "Mr Kim Lee and Ms Kim Lee", "Mr John Smith saw Mrs Mary Smith", "Господин Пётр Орлов и Госпожа Анна Орлова", "Mr SMITH and Smith", "password=Secret1 or password=Hidden"]
+    new = {i: r.text for i, r in replaced(spark, texts).items()}
+    ends = lambda word, *key: word.endswith(tuple(pii.ENDINGS[key]))
+    m = re.fullmatch(r"Mr (\w+) met Ms \1", new[0])
+    assert m and m[1] != "Kim" and ends(m[1], "latin", "surname", "n")
+    m = re.fullmatch(r"Mr (\w+) (\w+) and Ms \1 \2", new[1])
+    assert m and ends(m[1], "latin", "given", "n") and ends(m[2], "latin", "surname", "n")
+    m = re.fullmatch(r"Mr (\w+) (\w+) saw Mrs (\w+) \2", new[2])
+    assert m and ends(m[1], "latin", "given", "m") and ends(m[3], "latin", "given", "f")
+    m = re.fullmatch(r"Господин (\w+) (\w+) и Госпожа (\w+) (\w+)", new[3])
+    assert m and [ends(m[k], "cyrillic", part, g) for k, part, g in ((1, "given", "m"), (2, "surname", "m"), (3, "given", "f"), (4, "surname", "f"))] == [True] * 4
+    m = re.fullmatch(r"Mr ([A-Z]+) and (\w+)", new[4])
+    assert m and m[1] == m[2].upper() != "SMITH"
+    assert re.fullmatch(r"password=[A-Z][a-z]{5}\d or password=[A-Z][a-z]{5}", new[5])
+
+
+def test_a_text_without_entities_and_one_with_them_keep_their_rows(spark):
+    rows = [(i, f"plain {i}") for i in range(300)] + [(1000 + i, f"to u{i}@x.org") for i in range(20)] + [(2000, "plain 1"), (2001, "to u1@x.org"), (None, None)]
+    got = pii.replace_pii(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == len(rows) and sum(r.n_entities for r in got) == 21
+    assert all(r.text == dict(rows)[r.doc_id] for r in got if r.n_entities == 0)
