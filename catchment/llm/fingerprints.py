@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Chunk, gram_hash, map_texts, mix, pieces
+from .common import LOWER, Chunk, gram_hash, map_texts, mix, pieces, scan_bytes
 
 BITS = 128
+#: Bytes of input for each range of ids.
+RANGE_BYTES = 16 << 20
 _HALF = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) * 2.0 - 1
 
@@ -114,7 +116,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     Columns: part, ord, own, doc_id, text. Rows that only serve as another range's predecessor have own =
     false; the whole table's last row precedes its first. Rows of equal id are ordered by text.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), scan_bytes(docs) // RANGE_BYTES)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cuts = _splitters(docs, 4 * n)
 

@@ -2,18 +2,26 @@
 
 The transducer is the composition of a normaliser (a space before the text; spaces written as U+2581),
 the pieces (one path each, weight the negated score), and a byte fallback (a path of byte pieces for a
-character without a piece, at a cost above any piece). For a model trained by byte-pair encoding the
-states also hold the last piece: an arc may follow a piece only if merging both pieces' characters by
-rank gives these two pieces again. A merge sequence is valid exactly if all its neighbours are, so the
-shortest path in the tropical semiring is the model's own encoding. Pieces never cross the start of a
-run of spaces or a line break, so texts are composed unit by unit and equal units of a chunk once.
-
-A null or empty text has no pieces. The character U+2581 in a text reads as a space. Rows are encoded
-on their own, so repeated rows get equal results.
+character without a piece, at a cost above any piece). Composed with an input its states are the input's
+positions, and the encoding is the shortest path in the tropical semiring: costs add along a path, the
+cheaper of two paths into a state stays. That is the unigram model's encoding as it stands.
+
+For a model trained by byte-pair encoding the states also hold the last piece: an arc may follow a piece only
+if merging both pieces' characters by rank gives these two pieces again. A merge sequence is valid exactly if
+all its neighbours are, so one path alone is left, whatever its cost: the search then takes the only valid arc
+into each position and has no costs to compare. Models of other types, with a table of character replacements
+or with pieces that run on over a space are refused.
+
+Pieces never cross the start of a run of spaces or a line break, so texts are composed unit by unit and equal
+units of a chunk once. A null or empty text has no pieces. The character U+2581 in a text reads as a space.
+Rows are encoded on their own, so repeated rows get equal results.
 """
 
 from __future__ import annotations
 
+import math
+import os
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -25,22 +33,52 @@ from .common import Chunk, first_of, map_texts, prefix_hash, span_hash
 #: Units whose encodings a worker remembers before it starts afresh.
 CACHE = 600_000
 _SPACE = "▁"
+#: Folder of public tokenizers' files, on the driver; the model travels with the tasks.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def default_model() -> str:
-    import public_tokenizers
+    return os.path.join(TOKENIZERS, "piece_bpe_32k.model")
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+
+def _fields(b: bytes):
+    """(number, value) of the fields of a serialised message; numbers and length-delimited bytes."""
+    at = 0
+
+    def number():
+        nonlocal at
+        out = shift = 0
+        while True:
+            out |= (b[at] & 127) << shift
+            shift += 7
+            at += 1
+            if b[at - 1] < 128:
+                return out
+
+    while at < len(b):
+        tag = number()
+        if tag & 7 == 0:
+            yield tag >> 3, number()
+        else:
+            size = {1: 8, 5: 4}.get(tag & 7) or number()
+            yield tag >> 3, b[at : at + size]
+            at += size
+
+
+# fixed values: numbers of the model file's format
+_UNIGRAM, _BPE = 1, 2
+_NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
 
 class Transducer:
-    """Compiled from a model's pieces and scores."""
+    """Compiled from a model's pieces and scores; ``kind`` is _UNIGRAM or _BPE."""
 
-    def __init__(self, pieces: list[str], scores: list[float], fallback: list[int], unknown: int, special: set[int]):
-        self.pieces, self.fallback, self.unknown = pieces, fallback, unknown
+    def __init__(self, pieces: list[str], scores: list[float], fallback: list[int], unknown: int, special: set[int], kind: int = _BPE):
+        self.pieces, self.fallback, self.unknown, self.kind = pieces, fallback, unknown, kind
         plain = [i for i in range(len(pieces)) if i not in special]
         self.id = {pieces[i]: i for i in plain}
         self.cost = {pieces[i]: -scores[i] for i in plain}
+        self.dearest = max(self.cost.values(), default=0.0)
         self.trie: dict = {}
         for p in self.id:
             node = self.trie
@@ -63,23 +101,37 @@ class Transducer:
 
     @staticmethod
     def load(path: str) -> Transducer:
-        import sentencepiece
-
-        return Transducer.of(sentencepiece.SentencePieceProcessor(model_file=path))
+        with open(path, "rb") as f:
+            return Transducer.of(f.read())
 
     @staticmethod
-    def of(model) -> Transducer:
-        n = model.get_piece_size()
-        pieces = [model.id_to_piece(i) for i in range(n)]
+    def of(model: bytes) -> Transducer:
+        """Compiles a serialised model; one whose encoding would come out wrong raises ValueError."""
+        pieces, scores, kinds, trainer, rules = [], [], [], {}, {}
+        for number, value in _fields(model):
+            if number == 1:
+                one = dict(_fields(value))
+                pieces.append(one[1].decode())
+                scores.append(struct.unpack("<f", one[2])[0] if 2 in one else 0.0)
+                kinds.append(one.get(3, _NORMAL))
+            elif number == 2:
+                trainer = dict(_fields(value))
+            elif number == 3:
+                rules = dict(_fields(value))
+        kind = trainer.get(3, _UNIGRAM)
+        if kind not in (_UNIGRAM, _BPE):
+            raise ValueError("only unigram and byte-pair models can be encoded")
+        if rules.get(2) or rules.get(4, 1) or not rules.get(3, 1) or not rules.get(5, 1) or trainer.get(24, 0):
+            raise ValueError("the model's normaliser does more than put a space before the text and write spaces as U+2581")
+        if any(k not in (_NORMAL, _UNKNOWN, _CONTROL, 5, _BYTE) for k in kinds):
+            raise ValueError("models with user-defined pieces cannot be encoded")
+        if any("\n" in p or _SPACE in p.lstrip(_SPACE) for p, k in zip(pieces, kinds) if k == _NORMAL):
+            raise ValueError("pieces that run on over a space or a line break cannot be encoded")
         fallback = [-1] * 256
-        special = set()
-        for i in range(n):
-            if model.is_byte(i):
+        for i, k in enumerate(kinds):
+            if k == _BYTE:
                 fallback[int(pieces[i][1:-1], 16)] = i
-                special.add(i)
-            elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
-                special.add(i)
-        return Transducer(pieces, [model.get_score(i) for i in range(n)], fallback, model.unk_id(), special)
+        return Transducer(pieces, scores, fallback, kinds.index(_UNKNOWN), {i for i, k in enumerate(kinds) if k != _NORMAL}, kind)
 
     def _merged(self, s: str, border: int) -> bool:
         """Whether merging the characters of s by rank leaves exactly the two parts that meet at ``border``."""
@@ -114,6 +166,28 @@ class Transducer:
             got = self.follows[a, b] = self._merged(a + b, len(a))
         return got
 
+    def lightest(self, s: str) -> list[str]:
+        """Pieces (or single characters without one) on the shortest path, for pieces that may follow freely."""
+        n = len(s)
+        cost, back = [0.0] + [math.inf] * n, [0] * (n + 1)
+        unknown = self.dearest + 10.0
+        for i in range(n):
+            node, j, single = self.trie, i, False
+            while j < n and (node := node.get(s[j])) is not None:
+                j += 1
+                piece = node.get("")
+                if piece is not None:
+                    single = single or j == i + 1
+                    if cost[i] + self.cost[piece] < cost[j]:
+                        cost[j], back[j] = cost[i] + self.cost[piece], i
+            if not single and cost[i] + unknown < cost[i + 1]:
+                cost[i + 1], back[i + 1] = cost[i] + unknown, i
+        out, j = [], n
+        while j:
+            out.append(s[back[j] : j])
+            j = back[j]
+        return out[::-1]
+
     def shortest(self, s: str) -> list[str]:
         """Pieces (or single characters without one) on the shortest path through the composition with s.
 
@@ -156,10 +230,13 @@ class Transducer:
 
     def unit(self, s: str) -> tuple[int, ...]:
         out: list[int] = []
-        for p in self.shortest(s):
+        for p in self.lightest(s) if self.kind == _UNIGRAM else self.shortest(s):
             i = self.id.get(p)
             if i is not None:
                 out.append(i)
+            elif self.kind == _UNIGRAM and max(self.fallback) < 0:
+                if out[-1:] != [self.unknown]:  # neighbouring characters without a piece are one unknown
+                    out.append(self.unknown)
             else:
                 out += [self.fallback[b] if self.fallback[b] >= 0 else self.unknown for b in p.encode("utf-8", "replace")]
         return tuple(out)
@@ -213,9 +290,7 @@ class Transducer:
 
 @lru_cache(maxsize=2)
 def _worker(model: bytes) -> Transducer:
-    import sentencepiece
-
-    return Transducer.of(sentencepiece.SentencePieceProcessor(model_proto=model))
+    return Transducer.of(model)
 
 
 def _shipped(path: str | None) -> bytes:

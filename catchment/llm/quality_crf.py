@@ -18,6 +18,8 @@ from .common import Chunk, Lines, byte_set, count_in, first_of, held_out, labell
 
 #: Training rows at most.
 SAMPLE = 3000
+#: Lines of the training rows together at most: their features (49 floats a line, so 20 MB) meet on the driver.
+MOST_LINES = 100_000
 KEEP_AT = 0.3
 #: Lines of a training sequence; longer documents are cut into several sequences for training only.
 SEGMENT = 64
@@ -156,7 +158,8 @@ def fit_crf(x: np.ndarray, doc: np.ndarray, size: np.ndarray, quality: np.ndarra
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_lines: int = MOST_LINES) -> Crf:
+    """Fits on labelled documents, whole ones, within both bounds."""
     chosen = labelled_sample(labels, "quality", sample)
 
     def make():
@@ -167,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf:
 
         return kernel
 
-    got = training_rows(docs, chosen, make, "doc_id long, quality int, features binary")
+    got = training_rows(docs, chosen, make, "doc_id long, quality int, features binary", most_lines)
     lines = [np.frombuffer(r.features, np.float32).reshape(-1, WIDTH + 1) for r in got]
     every = np.vstack(lines) if lines else np.zeros((0, WIDTH + 1), np.float32)
     doc = np.repeat(np.arange(len(lines)), [len(x) for x in lines]) if lines else np.empty(0, int)

@@ -3,7 +3,7 @@
 A byte goes if a string of LENGTH bytes that covers it also starts earlier (smaller doc_id, or earlier in
 the same document). Sorting every suffix of the corpus would move a hundred times its size, so suffixes
 are first thinned without loss: anchors are positions chosen by content alone, such that each string of
-LENGTH bytes holds an anchor and its equal strings hold the same one. Anchors meet by hash:
+LENGTH bytes holds an anchor and its equal strings hold the same one. Anchors meet by hash (contexts by 122 bits):
 
 * An anchor whose whole context (all strings through it) occurs earlier is settled: all of them repeat.
 * An anchor whose first GRAM bytes occur nowhere else with another context is settled: none repeats.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, LOWEST, Chunk, cut, first_of, keyed, map_texts, mix, prefix_hash, span_hash
+from .common import CHUNK_BYTES, LOWEST, Chunk, cut, first_of, keyed, map_texts, mix, prefix_hash, scan_bytes, span_hash
 
 LENGTH = 100
 GRAM = 24
@@ -36,6 +36,8 @@ GRAM = 24
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text whose suffixes form a run.
 RUN_BYTES = CHUNK_BYTES
+#: Bytes of input for each group of anchors that meets in one task.
+PART_BYTES = 16 << 20
 _TOP = np.uint32(0xFFFFFFFF)
 
 
@@ -79,12 +81,14 @@ def _anchor_blobs(docs: DataFrame, parts: int) -> DataFrame:
             pos, row = anchors(c, prefix)
             doc, twin = np.array(cols["doc"], np.int64), np.array(cols["twin"], np.int64)
             lo, hi = np.maximum(pos - (WINDOW - 1), c.start[row]), np.minimum(pos + LENGTH, c.end[row])
-            context = mix(span_hash(prefix, lo, hi) ^ ((pos - lo) * 1000 + (hi - pos)).astype(np.uint64))
+            shape = ((pos - lo) * 1000 + (hi - pos)).astype(np.uint64)
+            context = mix(span_hash(prefix, lo, hi) ^ shape)
+            more = mix(span_hash(prefix_hash(c.data, 1), lo, hi, 1) ^ shape)
             gram = span_hash(prefix, pos, pos + GRAM)
             own = pos - c.start[row]
-            order = np.lexsort((own, twin[row], doc[row], context)) if len(pos) else np.empty(0, np.int64)
+            order = np.lexsort((own, twin[row], doc[row], more, context)) if len(pos) else np.empty(0, np.int64)
             again = np.zeros(len(pos), bool)
-            again[order[1:]] = context[order[1:]] == context[order[:-1]]
+            again[order[1:]] = (context[order[1:]] == context[order[:-1]]) & (more[order[1:]] == more[order[:-1]])
             part = np.where(again, mix(doc[row].view(np.uint64)), gram) % np.uint64(parts)
             by = np.lexsort((own, twin[row], doc[row], again, part))
             cuts = np.searchsorted(part[by], np.arange(parts + 1, dtype=np.uint64))
@@ -95,7 +99,7 @@ def _anchor_blobs(docs: DataFrame, parts: int) -> DataFrame:
                 first, d = s[:k], doc[row[s]]
                 step = np.concatenate([d[:1], np.diff(d[:k]), d[k : k + 1] if k else [], np.diff(d[k:])]) if k else np.concatenate([d[:1], np.diff(d)])
                 g = gram[first] >> np.uint64(24)
-                columns = [step.astype("<i8"), twin[row[s]].astype("<i4"), own[s].astype("<i4"), (g & np.uint64(0xFFFFFFFF)).astype("<u4"), (g >> np.uint64(32)).astype("<u1"), context[first].astype("<u8")]
+                columns = [step.astype("<i8"), twin[row[s]].astype("<i4"), own[s].astype("<i4"), (g & np.uint64(0xFFFFFFFF)).astype("<u4"), (g >> np.uint64(32)).astype("<u1"), context[first].astype("<u8"), more[first].astype("<u8")]
                 out["part"].append(p)
                 out["blob"].append(np.array([len(s), k], "<i8").tobytes() + b"".join(x.tobytes() for x in columns))
             return out
@@ -108,12 +112,12 @@ def _anchor_blobs(docs: DataFrame, parts: int) -> DataFrame:
 def _read_blob(b: bytes):
     n, k = np.frombuffer(b, "<i8", 2).tolist()
     at, out = 16, []
-    for kind, m in (("<i8", n), ("<i4", n), ("<i4", n), ("<u4", k), ("<u1", k), ("<u8", k)):
+    for kind, m in (("<i8", n), ("<i4", n), ("<i4", n), ("<u4", k), ("<u1", k), ("<u8", k), ("<u8", k)):
         out.append(np.frombuffer(b, kind, m, at))
         at += m * int(kind[2])
-    step, twin, pos, low, high, context = out
+    step, twin, pos, low, high, context, more = out
     doc = np.concatenate([np.cumsum(step[:k]), np.cumsum(step[k:])]) if k else np.cumsum(step)
-    return doc, twin, pos, low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)), context, k
+    return doc, twin, pos, low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)), context, more, k
 
 
 def _settle(blobs: DataFrame) -> DataFrame:
@@ -121,12 +125,13 @@ def _settle(blobs: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         got = [_read_blob(b) for b in table.column("blob").to_pylist()]
-        doc, twin, pos = (np.concatenate([g[i][: g[5]] for g in got]) for i in range(3))
-        copies = [np.concatenate([g[i][g[5] :] for g in got]) for i in range(3)]
-        gram, context = (np.concatenate([g[i] for g in got]) for i in (3, 4))
-        order = np.lexsort((pos, twin, doc, context))
-        doc, twin, pos, gram, context = (x[order] for x in (doc, twin, pos, gram, context))
-        lead = np.maximum.accumulate(np.where(np.concatenate([[True], context[1:] != context[:-1]]), np.arange(len(context)), 0)) if len(context) else np.empty(0, np.int64)
+        doc, twin, pos = (np.concatenate([g[i][: g[6]] for g in got]) for i in range(3))
+        copies = [np.concatenate([g[i][g[6] :] for g in got]) for i in range(3)]
+        gram, context, more = (np.concatenate([g[i] for g in got]) for i in (3, 4, 5))
+        order = np.lexsort((pos, twin, doc, more, context))
+        doc, twin, pos, gram, context, more = (x[order] for x in (doc, twin, pos, gram, context, more))
+        begins = np.concatenate([[True], (context[1:] != context[:-1]) | (more[1:] != more[:-1])])
+        lead = np.maximum.accumulate(np.where(begins, np.arange(len(context)), 0)) if len(context) else np.empty(0, np.int64)
         covered = (doc != doc[lead]) | (twin != twin[lead]) | (pos != pos[lead])
         leads = np.flatnonzero(lead == np.arange(len(lead)))
         by, fresh = first_of(gram[leads])
@@ -307,7 +312,7 @@ def _verdicts(runs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc, twin, lo, hi: byte ranges (overlapping, end perhaps beyond the text) that repeat earlier strings."""
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), scan_bytes(docs) // PART_BYTES)
     settled = cut(_settle(_anchor_blobs(docs, parts)))
     sorted_out = _verdicts(_runs(docs, settled.filter("contested"), parts))
     whole = settled.filter("not contested").select("doc", "twin", F.greatest(F.col("pos") - (WINDOW - 1), F.lit(0)).alias("lo"), (F.col("pos") + LENGTH).alias("hi"))

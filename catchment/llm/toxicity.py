@@ -6,7 +6,9 @@ out-of-fold predictions, so that a later link never learns from an earlier one's
 
 Categories of the default chain: ``low_quality`` (labels.quality = 0), ``toxic`` (labels.toxic = 1),
 ``severe_toxic`` (toxic with at least three distinct terms that mark toxic texts).
-A null or empty text has no features and gets each link's prior.
+The first is no toxicity: junk and abuse share words, so the chain predicts it first for the later links to
+discount. The tables label no degree of toxicity, so the third is derived from the training rows themselves.
+A null or empty text has no features and gets each link's prior. Repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import POWERS, Chunk, labelled_sample, map_texts, prefix_hash, sigmoid, span_hash  # noqa: F401
+from .common import Chunk, labelled_sample, map_texts, prefix_hash, sigmoid, span_hash
 
 CATEGORIES = ("low_quality", "toxic", "severe_toxic")
 #: Training rows at most; the model does not need more as the corpus grows.
@@ -70,10 +72,11 @@ def _solve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -
     return w
 
 
-def _choose(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    """The terms that separate the classes best, by the signed root of the likelihood ratio; ties by term."""
+def _choose(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, most: int, train: np.ndarray) -> np.ndarray:
+    """The terms that separate the classes of the training rows best, by the signed root of the likelihood ratio; ties by term."""
+    rows, terms = rows[train[rows]], terms[train[rows]]
     names, index = np.unique(terms, return_inverse=True)
-    pos, neg = max(1, y.sum()), max(1, (1 - y).sum())
+    pos, neg = max(1, y[train].sum()), max(1, (1 - y[train]).sum())
     a = np.bincount(index, weights=y[rows], minlength=len(names))
     b = np.bincount(index, minlength=len(names)) - a
     gain = np.abs(np.sqrt(a / pos) - np.sqrt(b / neg)) * np.sqrt(a + b)
@@ -105,11 +108,11 @@ def fit_chain(features: list[np.ndarray], labels: np.ndarray, folds: int = 5, te
         out = np.zeros(n)
         for k in range(folds):
             train = fold != k
-            names = _choose(rows[train[rows]], flat[train[rows]], np.where(train, y, 0), terms)
+            names = _choose(rows, flat, y, terms, train)
             x = np.hstack([_matrix(rows, flat, names, n), fed])
             w = _solve(x[train], y[train])
             out[~train] = sigmoid(x[~train] @ w[:-1] + w[-1])
-        names = _choose(rows, flat, y, terms)
+        names = _choose(rows, flat, y, terms, np.ones(n, bool))
         w = _solve(np.hstack([_matrix(rows, flat, names, n), fed]), y)
         chain.append(Link(names, w[: len(names)], w[len(names) : -1], float(w[-1])))
         fed = np.hstack([fed, out[:, None]])
