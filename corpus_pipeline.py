@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from catchment.llm.common import cut, table
 from catchment.llm.line_dedup import drop_repeated_lines
@@ -21,8 +22,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that nearly repeat an earlier line go; a document without lines left keeps its row with an empty text."""
-    return with_lengths(drop_repeated_lines(docs.select(COLUMNS))).select(COLUMNS)
+    """Lines that nearly repeat an earlier line go, and with them a document that has no other words; one without words before stays."""
+    left = drop_repeated_lines(docs.select(COLUMNS), counts=True)
+    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^ \t-\r]")
+    return with_lengths(left.filter(~F.coalesce(emptied, F.lit(False)))).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +45,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("line dedup", lines), ("near dedup", near_duplicates), ("pii", private_data), ("packing", packing)]
 
-#: SQL expresses neither the classifier nor MinHash; tests/llm/test_pipeline.py holds run() against brute force.
+#: SQL expresses neither the classifier nor MinHash; tests/llm/test_pipeline.py holds run() against the stages in plain Python.
 ORACLE_SQL = None
 
 
