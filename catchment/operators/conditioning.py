@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import materialize
 from ..grid import GridMeta, is_edge, neighbours
-from ..tiles import SIZE, Field, from_tiles, relax, shifted, to_tiles
+from ..tiles import SIZE, Field, from_tiles, relax, shifted, sweep, to_tiles
 
 EPSILON = 1e-5
 _FAR = 2**62
@@ -26,17 +26,9 @@ def seeds(cells: DataFrame, meta: GridMeta, nodata_outlets: bool = True) -> Data
 
 
 def _flood(p: dict[str, np.ndarray]) -> np.ndarray:
-    z, level = p["z"][1:-1, 1:-1], p["level"].copy()
-    inner, valid = level[1:-1, 1:-1], ~np.isnan(p["z"][1:-1, 1:-1])
-    floor = np.where(valid, z, np.inf)
-    while True:
-        low = shifted(level, 0)
-        for k in range(1, 8):
-            low = np.minimum(low, shifted(level, k))
-        new = np.minimum(inner, np.maximum(floor, low))
-        if np.array_equal(new, inner):
-            return new.copy()
-        inner[...] = new
+    z = p["z"][1:-1, 1:-1]
+    floor = np.where(np.isnan(z), np.inf, z)
+    return sweep(p["level"].copy(), lambda k, level, at: np.maximum(floor[at], level))
 
 
 def fill_depressions(cells: DataFrame, meta: GridMeta, nodata_outlets: bool = True, size: int = SIZE) -> DataFrame:
@@ -67,29 +59,16 @@ def flat_cells(cells: DataFrame, meta: GridMeta, edges_drain: bool = True) -> Da
 
 
 def _spread_label(p: dict[str, np.ndarray]) -> np.ndarray:
-    z, label = p["z"], p["label"].copy()
-    inner = label[1:-1, 1:-1]
+    z = p["z"]
     same = [shifted(z, k) == z[1:-1, 1:-1] for k in range(8)]
-    while True:
-        new = inner
-        for k in range(8):
-            new = np.minimum(new, np.where(same[k], shifted(label, k), _FAR))
-        if np.array_equal(new, inner):
-            return new.copy()
-        inner[...] = new
+    return sweep(p["label"].copy(), lambda k, label, at: np.where(same[k][at], label, _FAR))
 
 
 def _spread_distance(p: dict[str, np.ndarray]) -> np.ndarray:
-    label, far, open_ = p["label"], p["dist"].copy(), p["candidate"][1:-1, 1:-1] == 1
-    inner = far[1:-1, 1:-1]
-    same = [(shifted(label, k) == label[1:-1, 1:-1]) & open_ & (label[1:-1, 1:-1] < _FAR) for k in range(8)]
-    while True:
-        new = inner
-        for k in range(8):
-            new = np.minimum(new, np.where(same[k], shifted(far, k), _FAR) + 1)
-        if np.array_equal(new, inner):
-            return new.copy()
-        inner[...] = new
+    label = p["label"]
+    open_ = (p["candidate"][1:-1, 1:-1] == 1) & (label[1:-1, 1:-1] < _FAR)
+    same = [(shifted(label, k) == label[1:-1, 1:-1]) & open_ for k in range(8)]
+    return sweep(p["dist"].copy(), lambda k, dist, at: np.where(same[k][at], dist, _FAR) + 1)
 
 
 def _distance(flats: DataFrame, meta: GridMeta, source, name: str, size: int) -> DataFrame:
@@ -147,11 +126,17 @@ def resolve_flats(cells: DataFrame, meta: GridMeta, epsilon: float = EPSILON, ed
 
 
 def flat_stats(resolved: DataFrame) -> DataFrame:
-    """One row of counts; all zero but the edges where no flat drains."""
+    """One row of counts. Where no cell drains a flat, all high edges count, none as removed, and note_undrainable_flats is 1 if there are any."""
     inside, dominated = F.col("label").isNotNull(), F.col("low")
     n = lambda cond: F.coalesce(F.sum(cond.cast("long")), F.lit(0))
-    return resolved.agg(
-        F.coalesce(F.max("label"), F.lit(0)).cast("long").alias("n_flats"), n(inside).alias("n_flat_cells"), n(F.col("low")).alias("n_low_edges"),
+    counts = resolved.agg(
+        F.coalesce(F.max("label"), F.lit(0)).cast("long").alias("n_flats"), n(inside).alias("n_flat_cells"), n(F.col("low")).alias("n_low_edges"), n(F.col("high")).alias("every"),
         n(F.col("high") & inside & ~dominated).alias("n_high_edges"), n(F.col("high") & ~inside).alias("removed_highedges_unlabeled"),
         n(F.col("high") & inside & dominated).alias("removed_highedges_low_dominates"),
     )
+    none = F.col("n_low_edges") == 0
+    return counts.select(
+        "n_flats", "n_flat_cells", "n_low_edges", F.when(none, F.col("every")).otherwise(F.col("n_high_edges")).alias("n_high_edges"),
+        F.when(none, 0).otherwise(F.col("removed_highedges_unlabeled")).cast("long").alias("removed_highedges_unlabeled"), "removed_highedges_low_dominates",
+        (none & (F.col("every") > 0)).cast("int").alias("note_undrainable_flats"),
+    )

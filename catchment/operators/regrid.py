@@ -72,9 +72,9 @@ def tile_plan(width: int, height: int, bands: int = 1, bytes_per_cell: int = 4,
 def refine_plan(cols: int, rows: int, mode: str = "double") -> tuple[int, int]:
     if mode == "double":
         return cols * 2, rows * 2
-    if mode == "add":
+    if mode == "increment":
         return cols + 1, rows + 1
-    raise ValueError("mode must be double or add")
+    raise ValueError("mode must be double or increment")
 
 
 def windows(spark: SparkSession, width: int, height: int, cols: int, rows: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import row_steps
 from ..grid import DIRECTIONS, NO_DATA, NO_FLOW, GridMeta, neighbours
-from ..tiles import SIZE, Field, from_tiles, relax, shifted, to_tiles
+from ..tiles import SIZE, Field, from_tiles, relax, to_tiles
 
 METHODS = ("d8", "mfd_quinn_1991")
 UNITS = {"cells": 1.0, "m2": 1.0, "km2": 1e-6}
@@ -42,10 +42,10 @@ def mfd(cells: DataFrame, meta: GridMeta, metric: bool = True, min_slope: float
     length = _lengths(dx, dy)
     contour = [math.sqrt(2) / 4 if dr and dc else 0.5 for dr, dc in DIRECTIONS]
     tan = [(F.col("z") - F.col(f"n{k}")) / length[k] for k in range(8)]
-    raw = [F.coalesce(F.when(tan[k] > F.lit(min_slope), contour[k] * tan[k]), F.lit(0.0)).alias(f"w{k}") for k in range(8)]
-    weighed = neighbours(cells.select("r", "c", "z")).select("r", "c", *raw)
-    total = sum(F.col(f"w{k}") for k in range(8))
-    return weighed.withColumn("t", total).select("r", "c", F.array(*[F.when(F.col("t") > 0, F.col(f"w{k}") / F.col("t")).otherwise(0.0).cast("float") for k in range(8)]).alias("w"))
+    raw = [F.coalesce(F.when(tan[k] > F.lit(min_slope), contour[k] * tan[k]), F.lit(0.0)) for k in range(8)]
+    # the array is made once and then summed and scaled: written out, each weight would repeat all eight
+    weighed = neighbours(cells.select("r", "c", "z")).select("r", "c", F.array(*raw).alias("raw")).withColumn("t", F.aggregate("raw", F.lit(0.0), lambda a, x: a + x))
+    return weighed.select("r", "c", F.transform("raw", lambda x: F.when(F.col("t") > 0, x / F.col("t")).otherwise(0.0).cast("float")).alias("w"))
 
 
 def _targets(edges: DataFrame) -> DataFrame:
@@ -75,31 +75,68 @@ class FlowCycleError(RuntimeError):
     """Flow directions form a cycle."""
 
 
+def _padded_flow(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """(valid, own mass, outflow shares by direction, index step of each direction) of a padded tile, flat."""
+    valid = ~np.isnan(p["mass"])
+    width = valid.shape[1]
+    share = np.stack([(p["dir"] == k) for k in range(8)]).astype(float) if "dir" in p else p["w"].astype(float)
+    return valid.ravel(), p["mass"].ravel(), (share * valid).reshape(8, -1), [dr * width + dc for dr, dc in DIRECTIONS]
+
+
 def _gather(p: dict[str, np.ndarray]) -> np.ndarray:
-    own, total = p["mass"][1:-1, 1:-1], p["total"].copy()
-    inner = total[1:-1, 1:-1]
-    if "dir" in p:
-        share = [(shifted(p["dir"], k) == (k + 4) % 8).astype(float) for k in range(8)]
-    else:
-        share = [shifted(p["w"][(k + 4) % 8], k).astype(float) for k in range(8)]
-    live = [k for k in range(8) if share[k].any()]
-    for _ in range(own.size + 2):
-        new = own.copy()
-        for k in live:
-            new += share[k] * shifted(total, k)
-        new[own == 0] = 0
-        if np.array_equal(new, inner):
-            return new
-        inner[...] = new
-    raise FlowCycleError("flow directions form a cycle")
-
-
-def accumulate(cells: DataFrame, meta: GridMeta, out: str = "cells", size: int = SIZE) -> DataFrame:
+    """Totals of the cells whose inflow is complete, NaN elsewhere: cells are taken once each, in topological order."""
+    valid, own, share, step = _padded_flow(p)
+    total = p["total"].copy().ravel()
+    inside = np.zeros(p["mass"].shape, bool)
+    inside[1:-1, 1:-1] = True
+    inside = inside.ravel() & valid
+    open_ = inside & np.isnan(total)
+    waits = np.zeros(len(total), np.int16)
+    cells = np.flatnonzero(open_)
+    for k in range(8):
+        source = cells - step[k]
+        waits[cells] += (share[k, source] > 0) & np.isnan(total[source])
+    ready = cells[waits[cells] == 0]
+    while len(ready):
+        value = own[ready].copy()
+        for k in range(8):
+            source = ready - step[k]
+            flow = share[k, source]
+            value += np.where(flow > 0, flow * np.where(flow > 0, total[source], 0.0), 0.0)
+        total[ready] = value
+        after = []
+        for k in range(8):
+            to = ready[share[k, ready] > 0] + step[k]
+            to = to[inside[to]]
+            np.subtract.at(waits, to, 1)
+            after.append(to)
+        after = np.unique(np.concatenate(after))
+        ready = after[(waits[after] == 0) & np.isnan(total[after])]
+    return total.reshape(p["total"].shape)[1:-1, 1:-1]
+
+
+def _leftover(p: dict[str, np.ndarray]) -> np.ndarray:
+    """``_gather``'s totals; a cell on or behind a cycle gets its own mass and the inflow that is complete."""
+    valid, own, share, step = _padded_flow(p)
+    total = p["total"].ravel()
+    cells = np.flatnonzero(valid & np.isnan(total))
+    height, width = p["mass"].shape
+    cells = cells[(cells // width > 0) & (cells // width < height - 1) & (cells % width > 0) & (cells % width < width - 1)]
+    out = total.copy()
+    out[cells] = own[cells]
+    for k in range(8):
+        source = cells - step[k]
+        out[cells] += np.where(share[k, source] > 0, share[k, source] * np.nan_to_num(total[source]), 0.0)
+    return out.reshape(p["total"].shape)[1:-1, 1:-1]
+
+
+def accumulate(cells: DataFrame, meta: GridMeta, out: str = "cells", size: int = SIZE, cycle_check: bool = True) -> DataFrame:
     """r, c, acc: own mass plus what flows in, 0 at NoData.
 
     ``cells`` has r, c, z (NULL: NoData), one of dir and w, and area_m2 for areas. Mass that leaves the
-    grid or enters NoData is lost. A cycle raises: inside a tile at
-    once, across tiles after as many rounds as cells lie on tile borders.
+    grid or enters NoData is lost; a cell without mass passes on what it gets. A cell is done when all cells
+    that flow into it are, so cells on or behind a cycle never are: that raises, or without ``cycle_check``
+    they keep their own mass and the complete part of their inflow.
     """
     if out not in UNITS:
         raise ValueError(f"out must be one of {', '.join(UNITS)}")
@@ -107,13 +144,23 @@ def accumulate(cells: DataFrame, meta: GridMeta, out: str = "cells", size: int =
         raise ValueError("exactly one of dir and w is needed")
     if out != "cells" and "area_m2" not in cells.columns:
         raise ValueError("areas need area_m2")
-    mass = F.when(F.col("z").isNull(), 0.0).otherwise(F.lit(1.0) if out == "cells" else F.col("area_m2"))
-    route = "dir" if "dir" in cells.columns else "w"
-    fields = {"mass": Field("f8", 0.0), route: Field("i2", NO_DATA) if route == "dir" else Field("f4", 0.0, 8), "total": Field("f8", 0.0)}
-    kept = F.when(F.col("z").isNull(), F.lit(NO_DATA)).otherwise(F.col("dir")) if route == "dir" else F.when(F.col("z").isNull(), F.array_repeat(F.lit(0.0).cast("float"), 8)).otherwise(F.col("w"))
-    rows = cells.select("r", "c", mass.alias("mass"), kept.alias(route), F.lit(0.0).alias("total"))
+    valid, nan = F.col("z").isNotNull(), F.lit(float("nan"))
+    mass = F.when(valid, F.lit(1.0) if out == "cells" else F.coalesce("area_m2", F.lit(0.0))).otherwise(nan)
+    if "dir" in cells.columns:
+        name, field, flow = "dir", Field("i2", NO_DATA), F.when(valid, F.col("dir")).otherwise(F.lit(NO_DATA))
+    else:
+        none = F.array_repeat(F.lit(0.0).cast("float"), 8)
+        name, field, flow = "w", Field("f4", 0.0, 8), F.when(valid, F.transform("w", lambda x: F.greatest(F.nanvl(F.coalesce(x, F.lit(0.0).cast("float")), F.lit(0.0).cast("float")), F.lit(0.0).cast("float")))).otherwise(none)
+    fields = {"mass": Field("f8", np.nan), name: field, "total": Field("f8", np.nan)}
+    rows = cells.select("r", "c", mass.alias("mass"), flow.alias(name), nan.alias("total"))
     tiles = relax(to_tiles(rows, meta, fields, size), meta, fields, "total", _gather, size)
-    return from_tiles(tiles, meta, {"total": (fields["total"], "double")}, size).select("r", "c", (F.col("total") * UNITS[out]).alias("acc"))
+    shown = {"mass": (fields["mass"], "double"), "total": (fields["total"], "double")}
+    done = from_tiles(tiles, meta, shown, size)
+    if done.filter("isnan(total) and not isnan(mass)").take(1):
+        if cycle_check:
+            raise FlowCycleError("flow directions form a cycle")
+        done = from_tiles(relax(tiles, meta, fields, "total", _leftover, size, once=True), meta, shown, size)
+    return done.select("r", "c", F.when(F.isnan("mass"), 0.0).otherwise(F.col("total") * UNITS[out]).alias("acc"))
 
 
 def route(cells: DataFrame, meta: GridMeta, method: str, steps: tuple[float, float] | None = None) -> DataFrame:

@@ -215,7 +215,7 @@ def tile_coverage(spark, sf_dir):
 
 @query("SELECT * FROM (VALUES (0, 2, 2, 1, 1)) t(mode, cols, rows, from_cols, from_rows) UNION ALL SELECT * FROM (VALUES (1, 4, 3, 3, 2))")
 def tile_refine(spark, sf_dir):
-    return spark.createDataFrame([(0, *regrid.refine_plan(1, 1), 1, 1), (1, *regrid.refine_plan(3, 2, "add"), 3, 2)], "mode int, cols int, rows int, from_cols int, from_rows int")
+    return spark.createDataFrame([(0, *regrid.refine_plan(1, 1), 1, 1), (1, *regrid.refine_plan(3, 2, "increment"), 3, 2)], "mode int, cols int, rows int, from_cols int, from_rows int")
 
 
 @query("SELECT round(min(x) - 5000 / {1}, 9) AS xmin, round(min(y) - 5000 / {0}, 9) AS ymin, round(max(x) + 5000 / {1}, 9) AS xmax, round(max(y) + 5000 / {0}, 9) AS ymax FROM (SELECT 15 + s_nationkey / 100.0::DOUBLE AS x, 50 + s_nationkey / 200.0::DOUBLE AS y FROM supplier)".format(*metres_sql("((min(y) + max(y)) / 2)")))
@@ -384,7 +384,7 @@ def resolve_flats(spark, sf_dir):
 @query(f"""WITH RECURSIVE {CHAIN_BASE}, {MARKS}, {LABELS} SELECT max(label)::BIGINT AS n_flats, count(label) AS n_flat_cells, count(*) FILTER (low) AS n_low_edges,
 count(*) FILTER (high AND label IS NOT NULL AND NOT low) AS n_high_edges, count(*) FILTER (high AND label IS NULL) AS removed_highedges_unlabeled, count(*) FILTER (high AND label IS NOT NULL AND low) AS removed_highedges_low_dominates FROM flat""")
 def flat_stats(spark, sf_dir):
-    return conditioning.flat_stats(conditioning.resolve_flats(*_filled(spark, sf_dir)))
+    return conditioning.flat_stats(conditioning.resolve_flats(*_filled(spark, sf_dir))).drop("note_undrainable_flats")
 
 
 #: Directions and accumulation on the resolved surface; it takes the name ``cells`` in turn.

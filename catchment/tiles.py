@@ -1,10 +1,10 @@
 """Rasters as square tiles, and fixed points on them by rounds of local relaxation and border exchange.
 
-A tile is one row: tr, tc, and each field's values as bytes. In a round every tile sends its border to
-its eight neighbours (a shuffle of borders only grows with the perimeter), solves its interior to a local
-fixed point in numpy, and the rounds end when no tile changes. The number of rounds is the number of
-tiles that a path crosses, not the number of cells. State is written to the shared checkpoint folder
-after each round.
+A tile is one row: tr, tc, and each field's values as bytes. A tile whose state changed sends its border to
+its eight neighbours; a tile that gets borders solves its interior to a local fixed point in numpy; the rounds
+end when no tile changes. Borders of the fields that never change go round once, before the first round, and
+are kept with their tile. The number of rounds is the number of tiles that a path crosses, not the number of
+cells. State is written to the shared checkpoint folder after each round, and the state before it deleted.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .checkpoints import materialize
+from .checkpoints import marks, materialize, release, with_seen
 from .grid import DIRECTIONS, GridMeta
 
-SIZE = 128
+SIZE = 512
 _NAMES = [f"s{k}" for k in range(8)]
 
 
@@ -34,7 +34,11 @@ class Field:
         return np.full(((self.planes,) if self.planes else ()) + (h, w), self.fill, self.dtype)
 
     def read(self, b: bytes, h: int, w: int) -> np.ndarray:
-        return np.frombuffer(b, self.dtype).reshape(((self.planes,) if self.planes else ()) + (h, w))
+        """The array of h x w cells; of one padded by a cell all around, its inside."""
+        a, planes = np.frombuffer(b, self.dtype), max(1, self.planes)
+        if len(a) != planes * h * w:
+            a = a.reshape(planes, h + 2, w + 2)[:, 1:-1, 1:-1]
+        return a.reshape(((self.planes,) if self.planes else ()) + (h, w))
 
 
 def shape(meta: GridMeta, tr: int, tc: int, size: int) -> tuple[int, int]:
@@ -94,14 +98,36 @@ def shifted(padded: np.ndarray, k: int) -> np.ndarray:
     return padded[..., 1 + dr : 1 + dr + h, 1 + dc : 1 + dc + w]
 
 
-def relax(tiles: DataFrame, meta: GridMeta, fields: dict[str, Field], state: str, solve: Callable[[dict[str, np.ndarray]], np.ndarray], size: int = SIZE) -> DataFrame:
-    """Rounds of ``solve`` until nothing changes.
+def sweep(padded: np.ndarray, combine: Callable[[int, np.ndarray, tuple], np.ndarray]) -> np.ndarray:
+    """The least fixed point of the inside of a padded array under its neighbours, by sweeps in four directions.
 
-    ``solve`` gets each field padded by one cell of its neighbours' values and returns the tile's new
-    state; it must be monotone, so that any order of rounds meets the same fixed point.
+    ``combine(k, values, at)`` gives what the neighbours in direction k offer to the line ``at``. A sweep carries
+    values along whole paths that keep to its direction, so few are needed.
     """
-    names = list(fields)
-    schema = "tr int, tc int, " + ", ".join(f"{n} binary" for n in names) + ", changed boolean"
+    inner = padded[1:-1, 1:-1]
+    h, w = inner.shape
+    ways = [((0, 6, 7), range(h), True), ((2, 3, 4), range(h - 1, -1, -1), True), ((4, 5, 6), range(w), False), ((0, 1, 2), range(w - 1, -1, -1), False)]
+    while True:
+        before = inner.copy()
+        for near, lines, rows in ways:
+            for i in lines:
+                at = (i, slice(None)) if rows else (slice(None), i)
+                best = inner[at]
+                for k in near:
+                    dr, dc = DIRECTIONS[k]
+                    values = padded[1 + i + dr, 1 + dc : 1 + dc + w] if rows else padded[1 + dr : 1 + dr + h, 1 + i + dc]
+                    best = np.minimum(best, combine(k, values, at))
+                inner[at] = best
+        if np.array_equal(before, inner):
+            return before
+
+
+def _place(d: int, n: int) -> slice:
+    return slice(1, n + 1) if d == 0 else slice(0, 1) if d < 0 else slice(n + 1, n + 2)
+
+
+def _borders(tiles: DataFrame, meta: GridMeta, fields: dict[str, Field], names: list[str], size: int) -> DataFrame:
+    """tr, tc, side, strip: what each tile sends to its neighbours of the named (unpadded) fields."""
 
     def send(batches):
         for b in batches:
@@ -109,7 +135,7 @@ def relax(tiles: DataFrame, meta: GridMeta, fields: dict[str, Field], state: str
             for i in range(b.num_rows):
                 tr, tc = b.column("tr")[i].as_py(), b.column("tc")[i].as_py()
                 h, w = shape(meta, tr, tc, size)
-                arrays = [fields[n].read(b.column(b.schema.get_field_index(n))[i].as_py(), h, w) for n in names]
+                arrays = [fields[n].read(b.column(n)[i].as_py(), h, w) for n in names]
                 for k, (dr, dc) in enumerate(DIRECTIONS):
                     to = (tr + dr, tc + dc)
                     if 0 <= to[0] * size < meta.height and 0 <= to[1] * size < meta.width:
@@ -119,37 +145,81 @@ def relax(tiles: DataFrame, meta: GridMeta, fields: dict[str, Field], state: str
                         out["strip"].append(b"".join(np.ascontiguousarray(_strip(a, dr, dc)).tobytes() for a in arrays))
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("tr", pa.int32()), ("tc", pa.int32()), ("side", pa.int32()), ("strip", pa.binary())]))
 
-    def step(mine: pa.Table, others: pa.Table) -> pa.Table:
-        kind = pa.schema([("tr", pa.int32()), ("tc", pa.int32())] + [(n, pa.binary()) for n in names] + [("changed", pa.bool_())])
+    return tiles.select("tr", "tc", *names).mapInArrow(send, "tr int, tc int, side int, strip binary")
+
+
+def _paste(padded: dict[str, np.ndarray], others: pa.Table, fields: dict[str, Field], names: list[str], h: int, w: int) -> None:
+    """Puts the neighbours' borders around the padded arrays."""
+    for side, blob in zip(others.column("side").to_pylist(), others.column("strip").to_pylist()):
+        dr, dc = DIRECTIONS[side]
+        sh, sw = (h if dr == 0 else 1), (w if dc == 0 else 1)
+        at = 0
+        for n in names:
+            f = fields[n]
+            count = sh * sw * max(1, f.planes)
+            padded[n][..., _place(dr, h), _place(dc, w)] = np.frombuffer(blob, f.dtype, count, at).reshape(((f.planes,) if f.planes else ()) + (sh, sw))
+            at += count * np.dtype(f.dtype).itemsize
+
+
+def relax(tiles: DataFrame, meta: GridMeta, fields: dict[str, Field], state: str, solve: Callable[[dict[str, np.ndarray]], np.ndarray], size: int = SIZE, once: bool = False) -> DataFrame:
+    """Rounds of ``solve`` until nothing changes (or one round): the tiles with tr, tc and all fields.
+
+    ``solve`` gets each field padded by one cell of its neighbours' values and returns the tile's new
+    state; it must be monotone, so that any order of rounds meets the same fixed point.
+    """
+    still = [n for n in fields if n != state]
+    kind = pa.schema([("tr", pa.int32()), ("tc", pa.int32())] + [(n, pa.binary()) for n in fields] + [("border", pa.binary()), ("changed", pa.bool_())])
+    schema = "tr int, tc int, " + ", ".join(f"{n} binary" for n in fields) + ", border binary, changed boolean"
+
+    def solved(tr: int, tc: int, padded: dict[str, np.ndarray], others: pa.Table, names: list[str], first: bool) -> pa.Table:
+        h, w = shape(meta, tr, tc, size)
+        _paste(padded, others, fields, names, h, w)
+        before = padded[state][..., 1:-1, 1:-1].copy()
+        new = solve(padded)
+        changed = not np.array_equal(new, before, equal_nan=new.dtype.kind == "f")
+        padded[state][..., 1:-1, 1:-1] = new
+        row = {"tr": [tr], "tc": [tc], "border": [new.astype(fields[state].dtype).tobytes()], "changed": [changed or first]} | {n: [padded[n].tobytes()] for n in fields}
+        return pa.table(row, schema=kind)
+
+    def begin(mine: pa.Table, others: pa.Table) -> pa.Table:
         if not mine.num_rows:
             return kind.empty_table()
         tr, tc = mine.column("tr")[0].as_py(), mine.column("tc")[0].as_py()
         h, w = shape(meta, tr, tc, size)
-        own = {n: fields[n].read(mine.column(n)[0].as_py(), h, w) for n in names}
-        padded = {}
-        for n in names:
-            padded[n] = fields[n].blank(h + 2, w + 2)
-            padded[n][..., 1:-1, 1:-1] = own[n]
-        for side, blob in zip(others.column("side").to_pylist(), others.column("strip").to_pylist()):
-            dr, dc = DIRECTIONS[side]
-            sh, sw = (h if dr == 0 else 1), (w if dc == 0 else 1)
-            at = 0
-            place = lambda d, n: slice(1, n + 1) if d == 0 else slice(0, 1) if d < 0 else slice(n + 1, n + 2)
-            for n in names:
-                f = fields[n]
-                count = sh * sw * max(1, f.planes)
-                part = np.frombuffer(blob, f.dtype, count, at).reshape(((f.planes,) if f.planes else ()) + (sh, sw))
-                padded[n][..., place(dr, h), place(dc, w)] = part
-                at += count * np.dtype(f.dtype).itemsize
-        new = solve(padded)
-        changed = not np.array_equal(new, own[state], equal_nan=new.dtype.kind == "f")
-        row = {"tr": [tr], "tc": [tc], "changed": [changed]} | {n: [(new.astype(fields[n].dtype) if n == state else own[n]).tobytes()] for n in names}
-        return pa.table(row, schema=kind)
+        padded = {n: f.blank(h + 2, w + 2) for n, f in fields.items()}
+        for n, f in fields.items():
+            padded[n][..., 1:-1, 1:-1] = f.read(mine.column(n)[0].as_py(), h, w)
+        return solved(tr, tc, padded, others, list(fields), True)
 
-    across = -(-meta.width // size) * meta.height + -(-meta.height // size) * meta.width
-    for _ in range(2 * across + 8):
-        borders = tiles.select("tr", "tc", *names).mapInArrow(send, "tr int, tc int, side int, strip binary")
-        tiles = materialize(tiles.select("tr", "tc", *names).groupBy("tr", "tc").cogroup(borders.groupBy("tr", "tc")).applyInArrow(step, schema))
-        if not tiles.filter("changed").take(1):
-            return tiles.drop("changed")
-    raise RuntimeError("no fixed point after as many rounds as cells lie on tile borders: the flow must be cyclic")
+    def step(mine: pa.Table, others: pa.Table) -> pa.Table:
+        if not mine.num_rows:
+            return kind.empty_table()
+        if not others.num_rows:
+            return mine.set_column(mine.column_names.index("changed"), "changed", pa.array([False])).cast(kind)
+        tr, tc = mine.column("tr")[0].as_py(), mine.column("tc")[0].as_py()
+        h, w = shape(meta, tr, tc, size)
+        return solved(tr, tc, {n: f.read(mine.column(n)[0].as_py(), h + 2, w + 2).copy() for n, f in fields.items()}, others, [state], False)
+
+    def idle(tiles: DataFrame, sent: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+        """Tiles that surely get no borders, which need no shuffle, and the rest; a raster of few tiles is not parted."""
+        if -(-meta.height // size) * -(-meta.width // size) <= 64:
+            return None, tiles
+        told = with_seen(tiles, marks(sent, "tr", "tc"), "tr", "tc")
+        return told.filter("not seen").drop("seen").withColumn("changed", F.lit(False)), told.filter("seen").drop("seen")
+
+    if size >= meta.height and size >= meta.width:  # a tile without neighbours
+        none = pa.table({"side": pa.array([], pa.int32()), "strip": pa.array([], pa.binary())})
+        only = lambda batches: (x for b in batches for x in begin(pa.Table.from_batches([b]), none).to_batches())
+        return materialize(tiles.select("tr", "tc", *fields).mapInArrow(only, schema)).select("tr", "tc", *still, F.col("border").alias(state))
+    tiles = materialize(tiles)
+    sent = _borders(tiles, meta, fields, list(fields), size)
+    now = materialize(tiles.select("tr", "tc", *fields).groupBy("tr", "tc").cogroup(sent.groupBy("tr", "tc")).applyInArrow(begin, schema))
+    release(tiles)
+    while not once and now.filter("changed").take(1):
+        sent = _borders(now.filter("changed").select("tr", "tc", F.col("border").alias(state)), meta, fields, [state], size)
+        rest, near = idle(now, sent)
+        stepped = near.groupBy("tr", "tc").cogroup(sent.groupBy("tr", "tc")).applyInArrow(step, schema)
+        after = materialize(stepped if near is now else stepped.unionByName(rest))
+        release(now)
+        now = after
+    return now.select("tr", "tc", *still, F.col("border").alias(state))

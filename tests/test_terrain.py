@@ -31,7 +31,7 @@ def test_bowl_through_the_chain(spark, size):
     surface = filled.select("r", "c", F.col("filled").alias("z"))
     flat = conditioning.materialize(conditioning.resolve_flats(surface, meta, size=size))
     assert table(flat, "flat_mask", meta) == [[0] * 5, [0, 9, 7, 5, 0], [0, 9, 6, 5, 2], [0, 9, 7, 5, 0], [0] * 5]
-    assert conditioning.flat_stats(flat).first().asDict() == {"n_flats": 1, "n_flat_cells": 10, "n_low_edges": 1, "n_high_edges": 8, "removed_highedges_unlabeled": 0, "removed_highedges_low_dominates": 1}
+    assert conditioning.flat_stats(flat).first().asDict() == {"n_flats": 1, "n_flat_cells": 10, "n_low_edges": 1, "n_high_edges": 8, "removed_highedges_unlabeled": 0, "removed_highedges_low_dominates": 1, "note_undrainable_flats": 0}
     drained = flat.select("r", "c", F.col("resolved").alias("z"))
     d8 = routing.d8(drained, meta, (1.0, 1.0))
     assert table(d8, "dir", meta) == [[2, 3, 3, 3, 4], [1, 2, 1, 2, 3], [1, 1, 1, 1, -2], [1, 0, 1, 0, 7], [0, 7, 7, 7, 6]]
