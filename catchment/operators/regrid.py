@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geo import metres_per_degree
+from ..functions.geo import metres_per_degree, pixel_area
 from ..grid import GridMeta
 
 # fixed values: the export limits of a request
@@ -107,3 +107,21 @@ def buffered_bbox(points: DataFrame, km: float) -> DataFrame:
     box = points.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
     lat, lon = metres_per_degree((F.col("y0") + F.col("y1")) / 2)
     return box.select((F.col("x0") - km * 1000 / lon).alias("xmin"), (F.col("y0") - km * 1000 / lat).alias("ymin"), (F.col("x1") + km * 1000 / lon).alias("xmax"), (F.col("y1") + km * 1000 / lat).alias("ymax"))
+
+
+def snapped_bounds(meta: GridMeta, xmin: float, ymin: float, xmax: float, ymax: float) -> tuple[float, float, float, float]:
+    """A rectangle widened to the grid's cell borders."""
+    c0, r0, w, h = crop_window(meta, xmin, ymin, xmax, ymax)
+    x, y = sorted((meta.c + meta.a * c0, meta.c + meta.a * (c0 + w))), sorted((meta.f + meta.e * r0, meta.f + meta.e * (r0 + h)))
+    return x[0], y[0], x[1], y[1]
+
+
+def reference_layer(cells: DataFrame, layer: DataFrame, name: str, divide: float = 1.0, shift: int = 0) -> DataFrame:
+    """``cells`` with a column ``name``: the z of another layer (r, c, z) of the same grid, divided, taken ``shift`` rows further down; NULL where it has none."""
+    other = layer.select((F.col("r") - shift).alias("r"), "c", (F.col("z") / divide).alias(name))
+    return cells.join(other, ["r", "c"], "left")
+
+
+def area_hectares(cells: DataFrame, meta: GridMeta) -> DataFrame:
+    """One row: hectares of the cells with a value."""
+    return cells.filter(F.col("z").isNotNull()).agg(F.coalesce(F.sum(pixel_area(meta)) / 1e4, F.lit(0.0)).alias("area_ha"))

@@ -5,13 +5,17 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import row_steps
 from ..grid import GridMeta, neighbours
 
 MIN_SLOPE = 0.1
+#: An edge this near to a cell, in cells, touches it: coordinates in degrees are no more exact.
+_NEAR = 1e-9
 
 
 def slope_degrees(cells: DataFrame, meta: GridMeta, steps: tuple[float, float] | None = None) -> DataFrame:
@@ -46,33 +50,43 @@ def rings(geojson: str | dict) -> list[list[list[tuple[float, float]]]]:
     raise ValueError(f"not a polygon: {kind}")
 
 
-def _inside(x: Column, y: Column, polygon) -> Column:
-    """Even-odd ray casting over all rings of a polygon."""
-    odd = F.lit(False)
-    for ring in polygon:
-        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
-            if y1 != y2:
-                cross = ((F.lit(y1) > y) != (F.lit(y2) > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
-                odd = odd != cross
-    return odd
-
-
-def _touches(x0: Column, y0: Column, x1: Column, y1: Column, polygon) -> Column:
-    """Whether some edge of the polygon meets the rectangle (slab clipping of each edge)."""
-    hit = F.lit(False)
-    for ring in polygon:
-        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
-            lo, hi = F.lit(0.0), F.lit(1.0)
-            inside = F.lit(True)
-            for a, b, low, high in ((ax, bx, x0, x1), (ay, by, y0, y1)):
-                d = b - a
-                if d == 0:
-                    inside = inside & (F.lit(a) >= low) & (F.lit(a) <= high)
-                else:
-                    t1, t2 = (low - a) / d, (high - a) / d
-                    lo, hi = F.greatest(lo, F.least(t1, t2)), F.least(hi, F.greatest(t1, t2))
-            hit = hit | (inside & (lo <= hi))
-    return hit
+def _edges(spark: SparkSession, polygons, meta: GridMeta) -> DataFrame:
+    """g, x1, y1, x2, y2: the edges of polygon g in (column, row) space, where the cell is the unit square at (c, r)."""
+    parts = []
+    for g, polygon in enumerate(polygons):
+        for ring in polygon:
+            p = np.array(ring, float)
+            p = np.column_stack([(p[:, 0] - meta.c) / meta.a, (p[:, 1] - meta.f) / meta.e])
+            parts.append(np.column_stack([np.full(len(p), g), p, np.roll(p, -1, axis=0)]))
+    every = np.vstack(parts)
+    return spark.createDataFrame(pa.table(dict(zip(("g", "x1", "y1", "x2", "y2"), every.T))))
+
+
+def spans(spark: SparkSession, polygons, meta: GridMeta, all_touched: bool) -> DataFrame:
+    """r, c0, c1: the cells of each row that lie in some polygon, as disjoint ranges.
+
+    A cell lies in a polygon if its centre does by the even-odd rule over all rings, or, with ``all_touched``,
+    if an edge meets its square. Work grows with the edges and the rows they cross, not with edges times cells.
+    """
+    edges = _edges(spark, polygons, meta)
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = lambda first, last: F.explode(F.when(first <= last, F.sequence(first, last)))
+    top, bottom = F.lit(0), F.lit(meta.height - 1)
+    x_at = lambda y: (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    crossed = edges.filter("y1 <> y2").select("*", rows(F.greatest(F.ceil(low - 0.5).cast("int"), top), F.least(F.ceil(high - 0.5).cast("int") - 1, bottom)).alias("r"))
+    crossings = crossed.select("g", "r", x_at(F.col("r") + 0.5).alias("x"))
+    line = Window.partitionBy("g", "r").orderBy("x")
+    pairs = crossings.select("r", F.col("x").alias("a"), F.lead("x").over(line).alias("b"), F.row_number().over(line).alias("k")).filter("k % 2 = 1 and b is not null")
+    found = pairs.select("r", F.ceil(F.col("a") - 0.5).cast("int").alias("c0"), (F.ceil(F.col("b") - 0.5) - 1).cast("int").alias("c1"))
+    if all_touched:
+        met = edges.select("*", low.alias("low"), high.alias("high"), rows(F.greatest(F.ceil(low - 1 - _NEAR).cast("int"), top), F.least(F.floor(high + _NEAR).cast("int"), bottom)).alias("r"))
+        flat = F.col("y1") == F.col("y2")
+        ends = [F.when(flat, x).otherwise(x_at(y)) for x, y in ((F.col("x1"), F.greatest(F.col("low"), F.col("r").cast("double"))), (F.col("x2"), F.least(F.col("high"), F.col("r") + 1.0)))]
+        found = found.unionByName(met.select("r", F.ceil(F.least(*ends) - 1 - _NEAR).cast("int").alias("c0"), F.floor(F.greatest(*ends) + _NEAR).cast("int").alias("c1")))
+    row = Window.partitionBy("r").orderBy("c0", "c1")
+    before = F.max("c1").over(row.rowsBetween(Window.unboundedPreceding, -1))
+    begun = found.filter("c0 <= c1").withColumn("new", F.coalesce((F.col("c0") > before + 1).cast("int"), F.lit(0)))
+    return begun.withColumn("part", F.sum("new").over(row)).groupBy("r", "part").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1")).select("r", "c0", "c1")
 
 
 def clip(cells: DataFrame, meta: GridMeta, geojson: str | dict, all_touched: bool = True) -> DataFrame:
@@ -85,15 +99,9 @@ def clip(cells: DataFrame, meta: GridMeta, geojson: str | dict, all_touched: boo
     c0, c1 = sorted(((min(xs) - meta.c) / meta.a, (max(xs) - meta.c) / meta.a))
     r0, r1 = sorted(((min(ys) - meta.f) / meta.e, (max(ys) - meta.f) / meta.e))
     box = cells.filter(F.col("r").between(math.floor(r0), math.ceil(r1) - 1) & F.col("c").between(math.floor(c0), math.ceil(c1) - 1))
-    # polygons in (column, row) space: the cell is the unit square at (c, r)
-    local = [[[((x - meta.c) / meta.a, (y - meta.f) / meta.e) for x, y in ring] for ring in g] for g in polygons]
-    x, y = F.col("c").cast("double"), F.col("r").cast("double")
-    held = F.lit(False)
-    for g in local:
-        held = held | _inside(x + 0.5, y + 0.5, g)
-        if all_touched:
-            held = held | _touches(x, y, x + 1, y + 1, g)
-    return box.withColumn("z", F.when(held, F.col("z")))
+    held = spans(cells.sparkSession, polygons, meta, all_touched).groupBy("r").agg(F.collect_list(F.struct("c0", "c1")).alias("spans"))
+    inside = F.coalesce(F.exists("spans", lambda s: F.col("c").between(s.c0, s.c1)), F.lit(False))
+    return box.join(held, "r", "left").withColumn("z", F.when(inside, F.col("z"))).select(box.columns)
 
 
 def sigma_stretch(cells: DataFrame, column: str = "z", k: float = 2.0, clamp: tuple[float, float] | None = None) -> DataFrame:

@@ -12,7 +12,8 @@ from .functions import geo
 from .grid import GridMeta, densify, is_edge, neighbours, view
 from .operators import conditioning, regrid, routing, wetness
 from .plans import pipeline
-from .sources.catalogue import catalogue
+from .sources.catalogue import catalogue, layer_name, scan_band
+from .tiles import SIZE as TILE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -365,9 +366,9 @@ FROM flat f LEFT JOIN up u ON u.r = f.r AND u.c = f.c LEFT JOIN down d ON d.r =
 resolved AS (SELECT *, CASE WHEN label IS NOT NULL AND flat_mask > 0 THEN z + 1e-5::DOUBLE * flat_mask ELSE z END AS resolved FROM masks)"""
 
 
-def _filled(spark, sf_dir):
+def _filled(spark, sf_dir, size=TILE):
     cells, meta = view(spark, sf_dir, "dem_part", void=True)
-    filled = conditioning.fill_depressions(cells, meta)
+    filled = conditioning.fill_depressions(cells, meta, size=size)
     return filled.select("r", "c", F.col("filled").alias("z")), meta
 
 
@@ -396,11 +397,11 @@ FLUX = """flux AS (SELECT r, c, {mass} AS m, 0 AS step FROM surface WHERE z IS N
 acc AS (SELECT s.r, s.c, coalesce(sum(f.m), 0) AS acc FROM surface s LEFT JOIN flux f ON f.r = s.r AND f.c = s.c GROUP BY s.r, s.c)"""
 
 
-def _accumulated(spark, sf_dir, method, out="cells", steps=UNIT):
-    surface, meta = _filled(spark, sf_dir)
-    drained = conditioning.resolve_flats(surface, meta).select("r", "c", F.col("resolved").alias("z"))
+def _accumulated(spark, sf_dir, method, out="cells", steps=UNIT, size=TILE):
+    surface, meta = _filled(spark, sf_dir, size)
+    drained = conditioning.resolve_flats(surface, meta, size=size).select("r", "c", F.col("resolved").alias("z"))
     flow = routing.route(drained, meta, method, steps).join(drained, ["r", "c"]).withColumn("area_m2", geo.pixel_area(meta))
-    return routing.accumulate(flow, meta, out), meta
+    return routing.accumulate(flow, meta, out, size), meta
 
 
 @query(f"WITH RECURSIVE {ROUTED}, {ACC8}, {FLUX.format(mass='1.0::DOUBLE')} SELECT r, c, acc FROM acc")
@@ -438,12 +439,22 @@ def twi_pipeline_d8(spark, sf_dir):
     return acc.join(slope, ["r", "c"]).select("r", "c", F.round(wetness.twi(F.col("acc"), F.col("slope_deg")), 6).alias("twi"))
 
 
-@query()
+#: Weights by metres on the ellipsoid, of which the steps of a row are its centre's.
+MFD_METRIC = f"parts AS (SELECT r, c, k, CASE WHEN nz < z THEN CASE WHEN dr <> 0 AND dc <> 0 THEN sqrt(2.0::DOUBLE) / 4 * ((z - nz) / sqrt({DX} * {DX} + {DY} * {DY})) ELSE 0.5 * ((z - nz) / CASE WHEN dc <> 0 THEN {DX} ELSE {DY} END) END ELSE 0.0::DOUBLE END AS p FROM pairs), mfd AS (SELECT r, c, k, CASE WHEN sum(p) OVER w > 0 THEN p / sum(p) OVER w ELSE 0 END::FLOAT AS w FROM parts WINDOW w AS (PARTITION BY r, c))"
+ACC_METRIC = ACCM.replace(MFD.replace("pairs", "pairs2"), MFD_METRIC.replace("pairs", "pairs2"))
+
+
+@query(f"WITH RECURSIVE {ROUTED}, {ACC_METRIC}, {FLUX.format(mass=f'({DX} * {DY})')}, {SLOPE} SELECT a.r, a.c, round(CASE WHEN acc > 0 AND s IS NOT NULL THEN ln(acc * 1e-6 / tan(radians(greatest(s, 0.1)))) END, 6) AS twi FROM acc a JOIN slope USING (r, c)")
 def twi_pipeline_mfd(spark, sf_dir):
-    return pipeline.run(*view(spark, sf_dir, "dem_part", void=True)).twi
+    """The default run: multiple flow by metric steps, areas in km2."""
+    return pipeline.run(*view(spark, sf_dir, "dem_part", void=True)).twi.select("r", "c", F.round("twi", 6).alias("twi"))
 
 
-@query()
+@query(f"""WITH {PART}, edges(x1, y1, x2, y2) AS (VALUES (5.5::DOUBLE, 5.5::DOUBLE, 30.2::DOUBLE, 8.1::DOUBLE), (30.2, 8.1, 25.7, 33.4), (25.7, 33.4, 7.3, 28.9), (7.3, 28.9, 5.5, 5.5)),
+box AS (SELECT * FROM cells WHERE r BETWEEN 5 AND 33 AND c BETWEEN 5 AND 30),
+judged AS (SELECT r, c, any_value(z) AS z, count(*) FILTER ((y1 > r + 0.5) <> (y2 > r + 0.5) AND c + 0.5 < (x2 - x1) * (r + 0.5 - y1) / (y2 - y1) + x1) % 2 = 1 AS inside,
+bool_or(greatest(0, least((c - x1) / (x2 - x1), (c + 1 - x1) / (x2 - x1)), least((r - y1) / (y2 - y1), (r + 1 - y1) / (y2 - y1))) <= least(1, greatest((c - x1) / (x2 - x1), (c + 1 - x1) / (x2 - x1)), greatest((r - y1) / (y2 - y1), (r + 1 - y1) / (y2 - y1)))) AS met
+FROM box CROSS JOIN edges GROUP BY r, c) SELECT r, c, CASE WHEN inside OR met THEN z END AS z FROM judged""")
 def clip_polygon(spark, sf_dir):
     cells, meta = view(spark, sf_dir, "dem_part")
     return wetness.clip(cells, meta, AOI)
@@ -473,3 +484,157 @@ def stretch_bins(spark, sf_dir):
 def zonal_stats(spark, sf_dir):
     s = wetness.zonal_stats(view(spark, sf_dir, "dem_part", void=True)[0], (F.col("r") / 10).cast("int"))
     return s.select("zone", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "low", "high")
+
+
+# --- several tiles, default steps, and what is left of the library ---------------------------------------
+
+ORDERS = f"solid AS (SELECT (o_orderkey // 100)::INT AS r, (o_orderkey % 100)::INT AS c, round(o_totalprice / 1000) AS z FROM orders), cells AS (SELECT r, c, CASE WHEN NOT {HOLE} THEN z END AS z FROM solid)"
+#: Edge of tiles so small that a grid of any size has many.
+SMALL = 16
+
+
+@query(f"WITH RECURSIVE {ORDERS}, {BASE}, {FILL} SELECT c.r, c.c, c.z, coalesce(f.w, c.z) AS filled FROM cells c LEFT JOIN flood f ON f.r = c.r AND f.c = c.c")
+def fill_depressions_tiles(spark, sf_dir):
+    return conditioning.fill_depressions(*view(spark, sf_dir, "dem_orders", void=True), size=SMALL * 2)
+
+
+@query(ORACLE_SQL["resolve_flats"])
+def resolve_flats_tiles(spark, sf_dir):
+    return conditioning.resolve_flats(*_filled(spark, sf_dir, SMALL), size=SMALL).select("r", "c", "label", "flat_mask", F.round("resolved", 9).alias("resolved"))
+
+
+@query(ORACLE_SQL["flow_acc_d8_cells"])
+def flow_acc_d8_tiles(spark, sf_dir):
+    return _accumulated(spark, sf_dir, "d8", size=SMALL)[0]
+
+
+@query(ORACLE_SQL["flow_acc_mfd_cells"])
+def flow_acc_mfd_tiles(spark, sf_dir):
+    return _accumulated(spark, sf_dir, "mfd_quinn_1991", size=SMALL)[0].select("r", "c", F.round("acc", 3).alias("acc"))
+
+
+@query(f"WITH RECURSIVE {ROUTED}, {ACC8}, {FLUX.format(mass=f'({DX} * {DY})')} SELECT r, c, round(acc, 2) AS acc FROM acc")
+def flow_acc_d8_m2(spark, sf_dir):
+    return _accumulated(spark, sf_dir, "d8", "m2")[0].select("r", "c", F.round("acc", 2).alias("acc"))
+
+
+@query(f"WITH RECURSIVE {ROUTED}, {ACC8}, {FLUX.format(mass='1.0::DOUBLE')} SELECT sum(acc) AS leaves, (SELECT count(*) FROM surface WHERE z IS NOT NULL)::DOUBLE AS valid FROM acc a JOIN surface s USING (r, c) WHERE s.z IS NOT NULL AND (r, c) NOT IN (SELECT (r, c) FROM edges)")
+def outlet_mass(spark, sf_dir):
+    """What leaves the grid by single flow is what it holds."""
+    surface, meta = _filled(spark, sf_dir)
+    drained = conditioning.resolve_flats(surface, meta).select("r", "c", F.col("resolved").alias("z"))
+    flow = routing.d8(drained, meta, UNIT).join(drained, ["r", "c"])
+    valid = flow.filter("z is not null")
+    inner = routing.flow_edges(flow.select("r", "c", "dir"), valid).select("r", "c", F.lit(True).alias("inner"))
+    held = routing.accumulate(flow, meta).join(valid.select("r", "c"), ["r", "c"]).join(inner, ["r", "c"], "left")
+    return held.agg(F.sum(F.when(F.col("inner").isNull(), F.col("acc"))).alias("leaves"), F.count("*").cast("double").alias("valid"))
+
+
+@query(f"WITH {VOID}, {BASE}, {D8} SELECT r, c, dir FROM d8".replace("sqrt(2.0::DOUBLE)", "sqrt(2 * power(1 / 3600.0::DOUBLE, 2))").replace("ELSE 1.0::DOUBLE", "ELSE 1 / 3600.0::DOUBLE"))
+def flow_dir_d8_crs(spark, sf_dir):
+    """Default steps: units of the coordinate system."""
+    return routing.d8(*view(spark, sf_dir, "dem_part", void=True))
+
+
+@query(f"WITH {VOID}, {BASE}, {MFD_METRIC} SELECT r, c, k, round(w::DOUBLE, 5) AS w FROM mfd")
+def flow_dir_mfd_metric(spark, sf_dir):
+    """Default steps: metres on the ellipsoid."""
+    return routing.mfd(*view(spark, sf_dir, "dem_part", void=True)).select("r", "c", F.posexplode("w").alias("k", "w")).select("r", "c", "k", F.round(F.col("w").cast("double"), 5).alias("w"))
+
+
+def _weights(spark, sf_dir, **how):
+    return routing.mfd(*view(spark, sf_dir, "dem_part", void=True), **how).select("r", "c", F.posexplode("w").alias("k", "w")).select("r", "c", "k", F.round(F.col("w").cast("double"), 5).alias("w"))
+
+
+@query(f"WITH {VOID}, {BASE}, {MFD} SELECT r, c, k, round(w::DOUBLE, 5) AS w FROM mfd".replace("WHEN nz < z THEN", "WHEN (z - nz) / CASE WHEN dr <> 0 AND dc <> 0 THEN sqrt(2.0::DOUBLE) ELSE 1.0::DOUBLE END > 5 THEN"))
+def flow_dir_mfd_min_slope(spark, sf_dir):
+    return _weights(spark, sf_dir, steps=UNIT, min_slope=5.0)
+
+
+@query(f"WITH {VOID}, {BASE}, {MFD} SELECT r, c, k, round(w::DOUBLE, 5) AS w FROM mfd".replace("sqrt(2.0::DOUBLE) / 4 * ((z - nz) / sqrt(2.0::DOUBLE))", "sqrt(2.0::DOUBLE) / 4 * ((z - nz) / sqrt(2 * power(1 / 3600.0::DOUBLE, 2)))").replace("0.5 * (z - nz)", "0.5 * ((z - nz) / (1 / 3600.0::DOUBLE))"))
+def flow_dir_mfd_projected(spark, sf_dir):
+    """Steps in units of the coordinate system, as for a projected grid."""
+    return _weights(spark, sf_dir, metric=False)
+
+
+BLOCK = "solid AS (SELECT (p_partkey // 50)::INT AS r, (p_partkey % 50)::INT AS c, p_size::DOUBLE AS z FROM part), cells AS (SELECT r, c, CASE WHEN NOT (r IN (0, 3) OR c IN (3, 8)) THEN z END AS z FROM solid WHERE r <= 3)"
+EDGE_FILL = FILL.replace("GROUP BY r, c HAVING count(nz) < 8", "AND (r = 0 OR c = 0 OR r = (SELECT h FROM size) - 1 OR c = (SELECT w FROM size) - 1) GROUP BY r, c")
+
+
+def _block(spark, sf_dir):
+    """Four rows of which a block in the middle touches neither the edge nor another valid cell."""
+    cells, meta = view(spark, sf_dir, "dem_part")
+    hole = F.col("r").isin(0, 3) | F.col("c").isin(3, 8)
+    return cells.filter("r <= 3").withColumn("z", F.when(~hole, F.col("z"))), GridMeta(4, meta.width)
+
+
+@query(f"WITH RECURSIVE {BLOCK}, {BASE}, {EDGE_FILL} SELECT c.r, c.c, c.z, coalesce(f.w, c.z) AS filled FROM cells c LEFT JOIN flood f ON f.r = c.r AND f.c = c.c")
+def fill_unseeded(spark, sf_dir):
+    """A component without an outlet stays as it is."""
+    return conditioning.fill_depressions(*_block(spark, sf_dir), nodata_outlets=False)
+
+
+@query(f"WITH {VOID}, {BASE} SELECT r, c FROM pairs p WHERE z IS NOT NULL AND nz IS NULL AND nr IS NOT NULL GROUP BY r, c")
+def nodata_adjacent(spark, sf_dir):
+    """Valid cells beside NoData within the grid."""
+    cells, _ = view(spark, sf_dir, "dem_part", void=True)
+    beside = neighbours(cells.withColumn("hole", F.col("z").isNull().cast("int")), "hole")
+    return beside.filter(F.col("z").isNotNull() & (F.greatest(*[F.coalesce(F.col(f"n{k}"), F.lit(0)) for k in range(8)]) == 1)).select("r", "c")
+
+
+UNDRAINED = "cells AS (SELECT r, c, CASE WHEN r BETWEEN 2 AND 5 AND c BETWEEN 2 AND 5 THEN CASE WHEN r BETWEEN 3 AND 4 AND c BETWEEN 3 AND 4 THEN 1.0::DOUBLE ELSE 5.0 + (p_partkey % 2) END END AS z FROM (SELECT p_partkey, (p_partkey // 50)::INT AS r, (p_partkey % 50)::INT AS c FROM part WHERE p_partkey < 500 AND p_partkey % 50 < 8))"
+
+
+@query(f"""WITH {UNDRAINED}, {BASE}, {CAND} SELECT 0::BIGINT AS n_flats, 0::BIGINT AS n_flat_cells, 0::BIGINT AS n_low_edges, count(*) FILTER (candidate AND higher) AS n_high_edges, 0::BIGINT AS removed_highedges_unlabeled,
+0::BIGINT AS removed_highedges_low_dominates, (count(*) FILTER (candidate AND higher) > 0)::INT AS note_undrainable_flats FROM cand""")
+def flat_stats_undrained(spark, sf_dir):
+    """A pit that drains nowhere: no flat, and a note."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey < 500 and p_partkey % 50 < 8").selectExpr("p_partkey", "int(p_partkey div 50) AS r", "int(p_partkey % 50) AS c")
+    inner, pit = F.col("r").between(2, 5) & F.col("c").between(2, 5), F.col("r").between(3, 4) & F.col("c").between(3, 4)
+    cells = part.select("r", "c", F.when(inner, F.when(pit, 1.0).otherwise(5.0 + F.col("p_partkey") % 2)).alias("z"))
+    height = (cells.agg(F.max("r")).first()[0] or 0) + 1
+    return conditioning.flat_stats(conditioning.resolve_flats(cells, GridMeta(height, 8)))
+
+
+@query(f"""WITH {VOID}, {WHOLE}, p AS (SELECT r, c, (0.3 + 0.8 * (c + 0.5)) - 0.5 AS x, (1.1 + 0.75 * (r + 0.5)) - 0.5 AS y FROM t),
+n AS (SELECT p.*, floor(x)::INT + dx AS sc, floor(y)::INT + dy AS sr FROM p, range(-1, 3) a(dx), range(-1, 3) b(dy)),
+k AS (SELECT *, CASE WHEN abs(x - sc) <= 1 THEN 1.5 * power(abs(x - sc), 3) - 2.5 * power(x - sc, 2) + 1 WHEN abs(x - sc) < 2 THEN -0.5 * power(abs(x - sc), 3) + 2.5 * power(x - sc, 2) - 4 * abs(x - sc) + 2 ELSE 0 END
+* CASE WHEN abs(y - sr) <= 1 THEN 1.5 * power(abs(y - sr), 3) - 2.5 * power(y - sr, 2) + 1 WHEN abs(y - sr) < 2 THEN -0.5 * power(abs(y - sr), 3) + 2.5 * power(y - sr, 2) - 4 * abs(y - sr) + 2 ELSE 0 END AS w FROM n)
+SELECT k.r, k.c, round(CASE WHEN count(*) = count(s.z) THEN sum(k.w * s.z) END, 10) AS z FROM k LEFT JOIN cells s ON s.r = k.sr AND s.c = k.sc WHERE abs(k.w) > 1e-12 GROUP BY k.r, k.c""")
+def resample_bicubic(spark, sf_dir):
+    return _resampled_whole(spark, sf_dir, "bicubic").select("r", "c", F.round("z", 10).alias("z"))
+
+
+@query("SELECT 3::INT AS col_off, 4::INT AS row_off, 6::INT AS width, 3::INT AS height, round(15 + 3 / 3600.0::DOUBLE, 9) AS xmin, round(50 - 7 / 3600.0::DOUBLE, 9) AS ymin, round(15 + 9 / 3600.0::DOUBLE, 9) AS xmax, round(50 - 4 / 3600.0::DOUBLE, 9) AS ymax")
+def snapped_region(spark, sf_dir):
+    """A region's window of cells, and the region widened to their borders."""
+    meta = GridMeta(40, 50)
+    box = (15 + 3.2 / 3600, 50 - 6.5 / 3600, 15 + 8.7 / 3600, 50 - 4.4 / 3600)
+    bounds = [round(v, 9) for v in regrid.snapped_bounds(meta, *box)]
+    return spark.createDataFrame([(*regrid.crop_window(meta, *box), *bounds)], "col_off int, row_off int, width int, height int, xmin double, ymin double, xmax double, ymax double")
+
+
+@query(f"WITH {VOID} SELECT round(sum({DX} * {DY}) / 1e4, 4) AS area_ha FROM cells WHERE z IS NOT NULL")
+def area_ha(spark, sf_dir):
+    return regrid.area_hectares(*view(spark, sf_dir, "dem_part", void=True)).select(F.round("area_ha", 4).alias("area_ha"))
+
+
+@query(f"WITH {PART} SELECT a.r, a.c, a.z, b.z / 1e8 AS reference FROM cells a LEFT JOIN cells b ON b.r = a.r + 2 AND b.c = a.c")
+def reference_join(spark, sf_dir):
+    cells, _ = view(spark, sf_dir, "dem_part")
+    return regrid.reference_layer(cells, cells, "reference", 1e8, 2)
+
+
+@query("SELECT r, c, max_by(z, p) FILTER (z IS NOT NULL) AS z FROM (SELECT (p_partkey // 50)::INT AS r, (p_partkey % 50)::INT AS c, CASE WHEN p_partkey % 7 <> 0 THEN p_size::DOUBLE END AS z, 2 AS p FROM part UNION ALL SELECT (p_partkey // 50)::INT, (p_partkey % 50)::INT, 100.0 + p_size, 1 FROM part WHERE p_partkey % 2 = 0) GROUP BY r, c")
+def scan_images(spark, sf_dir):
+    """Two images of a dataset, each with a quality band beside its elevation."""
+    cells, _ = view(spark, sf_dir, "dem_part")
+    key = F.col("r") * 50 + F.col("c")
+    top = cells.select("r", "c", F.lit(2).alias("priority"), F.create_map(F.lit("QA"), F.lit(1.0), F.lit("DEM"), F.when(key % 7 != 0, F.col("z")).otherwise(float("nan"))).alias("bands"))
+    low = cells.filter(key % 2 == 0).select("r", "c", F.lit(1).alias("priority"), F.create_map(F.lit("QA"), F.lit(1.0), F.lit("DEM"), F.col("z") + 100).alias("bands"))
+    return scan_band(top.unionByName(low), "GLO30")
+
+
+@query("SELECT layer, CASE WHEN layer IN ('flow_acc', 'twi') THEN layer || '_GLO30_d8' WHEN layer IN ('dem', 'slope') THEN layer || '_GLO30' ELSE layer END AS name FROM (VALUES ('flow_acc'), ('twi'), ('dem'), ('slope'), ('mask')) t(layer)")
+def layer_names(spark, sf_dir):
+    return spark.createDataFrame([(x, layer_name(x, "GLO30", "d8")) for x in ("flow_acc", "twi", "dem", "slope", "mask")], "layer string, name string")

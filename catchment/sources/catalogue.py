@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # fixed values: dataset ids, their elevation band, and cell size in metres
 DATASETS = [
@@ -22,6 +23,20 @@ def dataset(name: str) -> tuple[str, str | None, int]:
     raise ValueError(f"unknown elevation dataset {name!r}; one of {', '.join(r[0] for r in DATASETS)}")
 
 
+def scan_band(bands: DataFrame, name: str) -> DataFrame:
+    """r, c, z of a dataset of the catalogue, from cells of its images (r, c, priority, bands: a map by name).
+
+    The dataset's elevation band is taken, or of one that names none the first band of the map; overlapping images are
+    joined by priority, and values that are no numbers become NULL.
+    """
+    from ..grid import normalise
+    from ..operators.regrid import mosaic
+
+    band = dataset(name)[1]
+    value = F.element_at("bands", F.lit(band)) if band else F.element_at(F.map_values("bands"), 1)
+    return mosaic(normalise(bands.select("r", "c", "priority", value.cast("double").alias("z"))))
+
+
 def layer_name(layer: str, dem: str, flow: str) -> str:
     """Exported file name: layers that depend on routing carry both suffixes, those of the elevation its own."""
     if layer in ("flow_acc", "twi"):

@@ -1,6 +1,8 @@
 """GeoTIFF in and out: files are read by Spark's binaryFile source and decoded in the tasks; tiles are encoded as one small file each.
 
-Supported: one band, strips, little-endian, float or integer samples, no compression or deflate, no predictor, north-up.
+Supported: classic files of either byte order; strips or tiles; one or several bands, chunky or planar; whole numbers and
+floats; no compression, LZW or deflate; predictors 1 to 3; a mask and overviews as further images; north-up grids. A file
+with anything else raises ValueError.
 """
 
 from __future__ import annotations
@@ -16,64 +18,230 @@ from pyspark.sql import functions as F
 from ..grid import GridMeta
 
 NODATA = -9999.0
-# fixed values: TIFF field types and their sizes, GeoTIFF tags
-_TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 12: ("d", 8)}
-WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, STRIP_ROWS, STRIP_BYTES, FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 339
+# fixed values: TIFF field types and their sizes, TIFF and GeoTIFF tags
+_TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 11: ("f", 4), 12: ("d", 8)}
+SUBFILE, WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, STRIP_ROWS, STRIP_BYTES = 254, 256, 257, 258, 259, 262, 273, 277, 278, 279
+PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES, FORMAT = 284, 317, 322, 323, 324, 325, 339
 PIXEL_SCALE, TIE_POINT, GEO_KEYS, GDAL_NODATA = 33550, 33922, 34735, 42113
+NONE, LZW, DEFLATE = 1, 5, 8
+_CLEAR, _END = 256, 257
 
 
-def encode(values: np.ndarray, meta: GridMeta, nodata: float = NODATA, compress: bool = True) -> bytes:
-    """A float32 GeoTIFF of one strip; NaN becomes the sentinel."""
+def lzw_decode(data: bytes) -> bytes:
+    """Codes of 9 to 12 bits, the highest bit first; the width grows one code early."""
+    table: list[bytes] = []
+    out, width, last = [], 9, b""
+    held = bits = 0
+    for byte in data:
+        held, bits = (held << 8 | byte) & 0xFFFFFFF, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits & (1 << width) - 1
+        if code == _END:
+            break
+        if code == _CLEAR:
+            table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+            continue
+        entry = table[code] if code < len(table) else last + last[:1]
+        out.append(entry)
+        if last:
+            table.append(last + entry[:1])
+            if len(table) + 1 >= 1 << width and width < 12:
+                width += 1
+        last = entry
+    return b"".join(out)
+
+
+def lzw_encode(data: bytes) -> bytes:
+    out = bytearray()
+    held = bits = 0
+    table: dict[bytes, int] = {}
+    width = 9
+
+    def put(code: int) -> None:
+        nonlocal held, bits
+        held, bits = held << width | code, bits + width
+        while bits >= 8:
+            bits -= 8
+            out.append(held >> bits & 255)
+            held &= (1 << bits) - 1
+
+    def begin() -> None:
+        nonlocal table, width
+        put(_CLEAR)
+        table, width = {bytes([i]): i for i in range(256)}, 9
+
+    begin()
+    now, size = b"", 258
+    for i in range(len(data)):
+        more = now + data[i : i + 1]
+        if more in table:
+            now = more
+            continue
+        put(table[now])
+        table[more] = size
+        size += 1
+        if size >= 1 << width:
+            width += 1
+        if size >= 4095:
+            width = min(width, 12)
+            begin()
+            size = 258
+        now = data[i : i + 1]
+    if now:
+        put(table[now])
+        size += 1
+        if size >= 1 << width and width < 12:
+            width += 1
+    put(_END)
+    if bits:
+        out.append(held << 8 - bits & 255)
+    return bytes(out)
+
+
+def _packed(block: np.ndarray, compression: int, predictor: int) -> bytes:
+    """A block of rows x columns, little-endian."""
+    if predictor == 2:
+        whole = block.view(f"<u{block.itemsize}").copy()
+        whole[:, 1:] -= block.view(whole.dtype)[:, :-1]
+        raw = whole.tobytes()
+    elif predictor == 3:
+        planes = block.astype(block.dtype.newbyteorder(">")).view(np.uint8).reshape(*block.shape, -1).transpose(0, 2, 1).reshape(len(block), -1)
+        raw = np.diff(planes, axis=1, prepend=np.zeros((len(block), 1), np.uint8)).astype(np.uint8).tobytes()
+    else:
+        raw = block.tobytes()
+    return zlib.compress(raw) if compression == DEFLATE else lzw_encode(raw) if compression == LZW else raw
+
+
+def _unpacked(data: bytes, compression: int, predictor: int, dtype: np.dtype, rows: int, cols: int, bands: int) -> np.ndarray:
+    """rows x cols x bands of a block."""
+    raw = zlib.decompress(data) if compression in (DEFLATE, 32946) else lzw_decode(data) if compression == LZW else data
+    if predictor == 3:
+        planes = np.cumsum(np.frombuffer(raw, np.uint8, rows * cols * bands * dtype.itemsize).reshape(rows, -1, bands), axis=1, dtype=np.uint8)
+        order = planes.reshape(rows, dtype.itemsize, cols * bands).transpose(0, 2, 1)
+        return np.ascontiguousarray(order).view(dtype.newbyteorder(">")).reshape(rows, cols, bands)
+    block = np.frombuffer(raw, dtype, rows * cols * bands).reshape(rows, cols, bands)
+    if predictor == 2:
+        whole = dtype.newbyteorder("=").str.replace("f", "u").replace("i", "u")
+        return np.cumsum(block.astype(dtype.newbyteorder("=")).view(whole), axis=1, dtype=whole).view(dtype.newbyteorder("="))
+    return block
+
+
+def encode(values: np.ndarray, meta: GridMeta, nodata: float = NODATA, compression: int = DEFLATE, predictor: int = 1, tile: int | None = None, mask: bool = False, overviews: tuple[int, ...] = ()) -> bytes:
+    """A float32 GeoTIFF of one band.
+
+    NaN becomes the sentinel; with ``mask`` it also goes into a mask image. ``tile``: edge of square tiles, otherwise
+    strips. ``overviews``: factors of further images of averages over valid cells.
+    """
     meta.require_north_up()
-    h, w = values.shape
-    data = np.where(np.isnan(values), nodata, values).astype("<f4").tobytes()
-    data = zlib.compress(data) if compress else data
     epsg = int(meta.crs.rpartition(":")[2])
-    tags = [
-        (WIDTH, 4, [w]), (LENGTH, 4, [h]), (BITS, 3, [32]), (COMPRESSION, 3, [8 if compress else 1]), (PHOTOMETRIC, 3, [1]), (OFFSETS, 4, [8]), (SAMPLES, 3, [1]),
-        (STRIP_ROWS, 4, [h]), (STRIP_BYTES, 4, [len(data)]), (FORMAT, 3, [3]), (PIXEL_SCALE, 12, [meta.a, -meta.e, 0.0]), (TIE_POINT, 12, [0.0, 0.0, 0.0, meta.c, meta.f, 0.0]),
+    geo = [
+        (PIXEL_SCALE, 12, [meta.a, -meta.e, 0.0]), (TIE_POINT, 12, [0.0, 0.0, 0.0, meta.c, meta.f, 0.0]),
         (GEO_KEYS, 3, [1, 1, 0, 2, 1024, 0, 1, 2 if epsg == 4326 else 1, 2048 if epsg == 4326 else 3072, 0, 1, epsg]), (GDAL_NODATA, 2, [f"{nodata:g}".encode() + b"\0"]),
     ]
-    data += b"\0" * (len(data) % 2)
-    start = 8 + len(data)
-    rest = start + 2 + 12 * len(tags) + 4
-    entries, extra = b"", b""
-    for tag, kind, v in tags:
-        body = v[0] if kind == 2 else struct.pack(f"<{len(v)}{_TYPES[kind][0]}", *v)
-        count = len(body) if kind == 2 else len(v)
-        if len(body) > 4:
-            field = struct.pack("<I", rest + len(extra))
-            extra += body + b"\0" * (len(body) % 2)
-        else:
-            field = body.ljust(4, b"\0")
-        entries += struct.pack("<HHI", tag, kind, count) + field
-    return b"II*\0" + struct.pack("<I", start) + data + struct.pack("<H", len(tags)) + entries + b"\0\0\0\0" + extra
-
-
-def decode(blob: bytes) -> tuple[np.ndarray, GridMeta, float | None]:
-    """(values as float64, georeference, sentinel)."""
-    if blob[:4] != b"II*\0":
-        raise ValueError("not a little-endian TIFF")
-    (at,) = struct.unpack_from("<I", blob, 4)
-    (n,) = struct.unpack_from("<H", blob, at)
-    tags: dict[int, tuple] = {}
-    for k in range(n):
-        tag, kind, count = struct.unpack_from("<HHI", blob, at + 2 + 12 * k)
-        if kind not in _TYPES:
-            continue
-        code, size = _TYPES[kind]
-        place = at + 2 + 12 * k + 8
-        if size * count > 4:
-            (place,) = struct.unpack_from("<I", blob, place)
-        tags[tag] = struct.unpack_from(f"<{count}{code}", blob, place)
-    compression = tags.get(COMPRESSION, (1,))[0]
-    if tags.get(SAMPLES, (1,))[0] != 1 or compression not in (1, 8, 32946) or OFFSETS not in tags:
+    images = [(values, 0, 32, predictor)]
+    for k in overviews:
+        h, w = -(-values.shape[0] // k), -(-values.shape[1] // k)
+        wide = np.full((h * k, w * k), np.nan)
+        wide[: values.shape[0], : values.shape[1]] = values
+        cells = wide.reshape(h, k, w, k)
+        n = (~np.isnan(cells)).sum((1, 3))
+        images.append((np.where(n > 0, np.nansum(cells, (1, 3)) / np.maximum(n, 1), np.nan), 1, 32, predictor))
+    if mask:
+        images += [((~np.isnan(v)) * 255, kind | 4, 8, 1) for v, kind, _, _ in list(images)]
+    out, last = b"II*\0\0\0\0\0", 4
+    for i, (v, kind, bits, pred) in enumerate(images):
+        h, w = v.shape
+        data = np.where(np.isnan(v), nodata, v).astype("<f4") if bits == 32 else v.astype(np.uint8)
+        rows, cols = (tile, tile) if tile else (h, w)
+        blocks = []
+        for r in range(0, h, rows):
+            for c in range(0, w, cols):
+                block = data[r : r + rows, c : c + cols]
+                if tile:
+                    block = np.pad(block, ((0, tile - block.shape[0]), (0, tile - block.shape[1])), mode="edge")
+                blocks.append(_packed(np.ascontiguousarray(block), compression, pred))
+        at = len(out) + np.cumsum([0, *map(len, blocks)])
+        out += b"".join(blocks)
+        out += b"\0" * (len(out) % 2)
+        place = [(TILE_WIDTH, 4, [tile]), (TILE_LENGTH, 4, [tile]), (TILE_OFFSETS, 4, at[:-1].tolist()), (TILE_BYTES, 4, [len(b) for b in blocks])] if tile else [(OFFSETS, 4, at[:-1].tolist()), (STRIP_ROWS, 4, [h]), (STRIP_BYTES, 4, [len(b) for b in blocks])]
+        tags = [(SUBFILE, 4, [kind]), (WIDTH, 4, [w]), (LENGTH, 4, [h]), (BITS, 3, [bits]), (COMPRESSION, 3, [compression]), (PHOTOMETRIC, 3, [4 if kind & 4 else 1]), (SAMPLES, 3, [1]), (PREDICTOR, 3, [pred]), (FORMAT, 3, [3 if bits == 32 else 1])]
+        tags = sorted(tags + place + (geo if i == 0 else geo[-1:] if bits == 32 else []))
+        start = len(out)
+        rest = start + 2 + 12 * len(tags) + 4
+        entries, extra = b"", b""
+        for tag, code, x in tags:
+            body = x[0] if code == 2 else struct.pack(f"<{len(x)}{_TYPES[code][0]}", *x)
+            count = len(body) if code == 2 else len(x)
+            if len(body) > 4:
+                field = struct.pack("<I", rest + len(extra))
+                extra += body + b"\0" * (len(body) % 2)
+            else:
+                field = body.ljust(4, b"\0")
+            entries += struct.pack("<HHI", tag, code, count) + field
+        out = out[:last] + struct.pack("<I", start) + out[last + 4 :] + struct.pack("<H", len(tags)) + entries
+        last = len(out)
+        out += b"\0\0\0\0" + extra
+    return out
+
+
+def _images(blob: bytes) -> list[tuple[str, dict[int, tuple]]]:
+    """Byte order and tags of each image of a file."""
+    order = {b"II*\0": "<", b"MM\0*": ">"}.get(blob[:4])
+    if not order:
+        raise ValueError("not a classic TIFF file")
+    found = []
+    (at,) = struct.unpack_from(f"{order}I", blob, 4)
+    while at:
+        (n,) = struct.unpack_from(f"{order}H", blob, at)
+        tags: dict[int, tuple] = {}
+        for k in range(n):
+            tag, kind, count = struct.unpack_from(f"{order}HHI", blob, at + 2 + 12 * k)
+            if kind not in _TYPES:
+                continue
+            code, size = _TYPES[kind]
+            place = at + 2 + 12 * k + 8
+            if size * count > 4:
+                (place,) = struct.unpack_from(f"{order}I", blob, place)
+            tags[tag] = struct.unpack_from(f"{order}{count}{code}", blob, place)
+        found.append((order, tags))
+        (at,) = struct.unpack_from(f"{order}I", blob, at + 2 + 12 * n)
+    return found
+
+
+def _values(blob: bytes, order: str, tags: dict[int, tuple], band: int) -> np.ndarray:
+    one = lambda tag, default: tags.get(tag, (default,))[0]
+    compression, predictor, bands, bits = one(COMPRESSION, 1), one(PREDICTOR, 1), one(SAMPLES, 1), one(BITS, 1)
+    kind = {1: "u", 2: "i", 3: "f"}.get(one(FORMAT, 1))
+    if compression not in (NONE, LZW, DEFLATE, 32946) or predictor not in (1, 2, 3) or bits not in (8, 16, 32, 64) or kind is None or len(set(tags.get(BITS, (1,)))) > 1 or not 1 <= band <= bands:
         raise ValueError("unsupported TIFF layout")
-    parts = [blob[o : o + s] for o, s in zip(tags[OFFSETS], tags[STRIP_BYTES])]
-    raw = b"".join(p if compression == 1 else zlib.decompress(p) for p in parts)
-    dtype = f"<{ {1: 'u', 2: 'i', 3: 'f'}[tags.get(FORMAT, (1,))[0]] }{tags[BITS][0] // 8}"
-    h, w = tags[LENGTH][0], tags[WIDTH][0]
-    values = np.frombuffer(raw, dtype, h * w).reshape(h, w).astype(float)
+    dtype = np.dtype(f"{order}{kind}{bits // 8}")
+    h, w = one(LENGTH, 0), one(WIDTH, 0)
+    tiled = TILE_OFFSETS in tags
+    rows, cols = (one(TILE_LENGTH, 0), one(TILE_WIDTH, 0)) if tiled else (min(one(STRIP_ROWS, h), h), w)
+    offsets, sizes = (tags[TILE_OFFSETS], tags[TILE_BYTES]) if tiled else (tags[OFFSETS], tags[STRIP_BYTES])
+    apart = one(PLANAR, 1) == 2
+    down, across = -(-h // rows), -(-w // cols)
+    out = np.empty((h, w), float)
+    for k in range(down * across):
+        r, c = k // across * rows, k % across * cols
+        i = k + (band - 1) * down * across if apart else k
+        height = rows if tiled else min(rows, h - r)
+        block = _unpacked(blob[offsets[i] : offsets[i] + sizes[i]], compression, predictor, dtype, height, cols, 1 if apart else bands)
+        out[r : r + rows, c : c + cols] = block[: h - r, : w - c, 0 if apart else band - 1]
+    return out
+
+
+def decode(blob: bytes, band: int = 1) -> tuple[np.ndarray, GridMeta, float | None]:
+    """(values of a band as float64, NaN where the file's mask says so; georeference; sentinel)."""
+    images = _images(blob)
+    order, tags = images[0]
+    values = _values(blob, order, tags, band)
+    for o, t in images[1:]:
+        if t.get(SUBFILE, (0,))[0] & 5 == 4 and (t[LENGTH], t[WIDTH]) == (tags[LENGTH], tags[WIDTH]):
+            values[_values(blob, o, t, 1) == 0] = np.nan
+    h, w = values.shape
     sx, sy = tags.get(PIXEL_SCALE, (1.0, 1.0))[:2]
     tie = tags.get(TIE_POINT, (0.0,) * 6)
     keys = tags.get(GEO_KEYS, ())
@@ -82,13 +250,13 @@ def decode(blob: bytes) -> tuple[np.ndarray, GridMeta, float | None]:
     return values, GridMeta(h, w, sx, 0.0, tie[3] - tie[0] * sx, 0.0, -sy, tie[4] + tie[1] * sy, f"EPSG:{epsg}"), float(text) if text else None
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """path, r, c, z of one or many files; values near the sentinel are NULL."""
+def read(spark: SparkSession, path: str, band: int = 1) -> DataFrame:
+    """path, r, c, z of a band of one or many files; values near the sentinel are NULL."""
 
     def run(batches):
         for b in batches:
             for name, blob in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                values, meta, nodata = decode(blob)
+                values, meta, nodata = decode(blob, band)
                 bad = ~np.isfinite(values)
                 if nodata is not None and nodata == nodata:
                     bad |= np.isclose(values, nodata)
@@ -101,8 +269,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, r int, c int, z double")
 
 
-def tiles(cells: DataFrame, meta: GridMeta, size: int = 256, nodata: float = NODATA) -> DataFrame:
-    """tr, tc, content: each tile of r, c, z as a GeoTIFF of its own, placed by its georeference."""
+def tiles(cells: DataFrame, meta: GridMeta, size: int = 256, nodata: float = NODATA, **layout) -> DataFrame:
+    """tr, tc, content: each tile of r, c, z as a GeoTIFF of its own, placed by its georeference; ``layout``: see ``encode``."""
 
     def build(table: pa.Table) -> pa.Table:
         r, c = table.column("r").to_numpy(), table.column("c").to_numpy()
@@ -111,7 +279,26 @@ def tiles(cells: DataFrame, meta: GridMeta, size: int = 256, nodata: float = NOD
         a = np.full((h, w), np.nan)
         a[r - tr * size, c - tc * size] = [np.nan if x is None else x for x in table.column("z").to_pylist()]
         at = GridMeta(h, w, meta.a, 0.0, meta.c + meta.a * tc * size, 0.0, meta.e, meta.f + meta.e * tr * size, meta.crs)
-        return pa.table({"tr": pa.array([tr], pa.int32()), "tc": pa.array([tc], pa.int32()), "content": [encode(a, at, nodata)]})
+        return pa.table({"tr": pa.array([tr], pa.int32()), "tc": pa.array([tc], pa.int32()), "content": [encode(a, at, nodata, **layout)]})
 
     keyed = cells.select("r", "c", "z", (F.col("r") / size).cast("int").alias("tr"), (F.col("c") / size).cast("int").alias("tc"))
     return keyed.groupBy("tr", "tc").applyInArrow(build, "tr int, tc int, content binary")
+
+
+def save(cells: DataFrame, meta: GridMeta, folder: str, name: str, size: int = 4096, **layout) -> list[str]:
+    """Writes the tiles of r, c, z as files name_row_column.tif into a folder of any store that Spark writes to; their paths.
+
+    Tiles come to the driver one at a time and go on through Hadoop's file system, so its memory holds one tile.
+    """
+    sc = cells.sparkSession.sparkContext
+    paths = []
+    for row in tiles(cells, meta, size, **layout).toLocalIterator():
+        path = f"{folder}/{name}_{row.tr}_{row.tc}.tif"
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        stream = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)
+        try:
+            stream.write(row.content)
+        finally:
+            stream.close()
+        paths.append(path)
+    return paths

@@ -1,8 +1,12 @@
 """Round trips of files."""
 
 import json
+import sqlite3
+import struct
 import zipfile
 
+import numpy as np
+
 import pytest
 
 from catchment.grid import GridMeta
@@ -37,3 +41,64 @@ def test_areas_of_interest(spark, tmp_path):
         assert rings(vectors.read_aoi(spark, str(tmp_path / name))) == want
     with pytest.raises(ValueError):
         vectors.read_aoi(spark, str(tmp_path / "d.shx"))
+
+
+@pytest.mark.parametrize("compression", [gtiff.NONE, gtiff.LZW, gtiff.DEFLATE])
+@pytest.mark.parametrize("tile", [None, 32])
+def test_layouts_of_a_file(compression, tile):
+    rng = np.random.default_rng(1)
+    meta = GridMeta(70, 53)
+    v = rng.normal(size=(70, 53)).astype(np.float32).astype(float)
+    v[rng.random(v.shape) < 0.1] = np.nan
+    for predictor in (1, 2, 3):
+        blob = gtiff.encode(v, meta, compression=compression, predictor=predictor, tile=tile, mask=True, overviews=(2, 4))
+        got, at, _ = gtiff.decode(blob)
+        assert np.array_equal(got, v, equal_nan=True) and at == meta and len(gtiff._images(blob)) == 6
+    with pytest.raises(ValueError):
+        gtiff.decode(gtiff.encode(v, meta), band=2)
+
+
+def test_lzw_of_a_known_stream():
+    # the example of the format's description: 7 7 7 8 8 7 7 6 6 as nine-bit codes 256 7 258 8 8 258 6 6 257
+    bits = "".join(f"{c:09b}" for c in (256, 7, 258, 8, 8, 258, 6, 6, 257))
+    data = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert gtiff.lzw_decode(data) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6]) and gtiff.lzw_encode(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])) == data
+
+
+def test_files_of_a_grid(spark, tmp_path):
+    meta = GridMeta(5, 7)
+    cells = spark.createDataFrame([(r, c, r * 10.5 + c) for r in range(5) for c in range(7)], "r int, c int, z double")
+    paths = gtiff.save(cells, meta, f"file://{tmp_path}", "dem", size=4, tile=16, compression=gtiff.LZW)
+    assert len(paths) == 4 and sum(gtiff.read(spark, p).count() for p in paths) == 35
+
+
+def _record(rings):
+    points = [p for r in rings for p in r]
+    starts = np.cumsum([0] + [len(r) for r in rings])[:-1].tolist()
+    body = struct.pack("<i4d2i", 5, 0, 0, 0, 0, len(rings), len(points)) + struct.pack(f"<{len(rings)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in points)
+    return struct.pack(">2i", 1, len(body) // 2) + body
+
+
+def test_areas_from_packages_and_shapefiles(spark, tmp_path):
+    ring = [(500000.0, 5538630.703), (500100.0, 5538630.703), (500100.0, 5538700.0), (500000.0, 5538630.703)]
+    utm = 'PROJCS["WGS_1984_UTM_Zone_33N",GEOGCS["GCS_WGS_1984"]]'
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("a.shp", b"\0" * 100 + _record([ring]))
+        z.writestr("a.prj", utm)
+    (got,) = rings(vectors.read_aoi(spark, str(tmp_path / "a.zip")))
+    assert got[0][0] == pytest.approx((15.0, 50.0), abs=1e-6)
+    db = sqlite3.connect(tmp_path / "b.gpkg")
+    wkb = struct.pack("<BII", 1, 3, 1) + struct.pack("<I", len(ring)) + b"".join(struct.pack("<2d", *p) for p in ring)
+    db.executescript("CREATE TABLE gpkg_geometry_columns (table_name, column_name, srs_id); CREATE TABLE gpkg_spatial_ref_sys (srs_id, organization_coordsys_id); CREATE TABLE t (geom)")
+    db.execute("INSERT INTO gpkg_geometry_columns VALUES ('t', 'geom', 9)")
+    db.execute("INSERT INTO gpkg_spatial_ref_sys VALUES (9, 32633)")
+    db.executemany("INSERT INTO t VALUES (?)", [(b"GP\0\1" + struct.pack("<i", 9) + wkb,), (None,)])
+    db.commit()
+    db.close()
+    (again,) = rings(vectors.read_aoi(spark, str(tmp_path / "b.gpkg")))
+    assert np.allclose(again[0], got[0])
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        z.writestr("a.shp", b"\0" * 100 + _record([ring]))
+        z.writestr("a.prj", 'PROJCS["Krovak"]')
+    with pytest.raises(ValueError):
+        vectors.read_aoi(spark, str(tmp_path / "c.zip"))

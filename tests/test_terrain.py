@@ -111,3 +111,34 @@ def test_entry_contract(spark):
 
     every, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(every) and entry.entry(spark).count() > 0
+
+
+def _flow(spark, rows, width):
+    return spark.createDataFrame(rows, "r int, c int, z double, dir int, area_m2 double"), GridMeta(1, width)
+
+
+def test_a_cell_without_mass_passes_on_what_it_gets(spark):
+    cells, meta = _flow(spark, [(0, 0, 1.0, 1, 1.0), (0, 1, 1.0, 1, 0.0), (0, 2, 1.0, -2, 1.0)], 3)
+    assert table(routing.accumulate(cells, meta, "m2"), "acc", meta) == [[1, 1, 2]]
+
+
+@pytest.mark.parametrize("size", [2, 512])
+def test_cycles_of_any_weight_raise_or_keep_what_is_complete(spark, size):
+    half = [0.0] * 8
+    rows = [(0, 0, 1.0, [0.0, 1.0] + half[2:]), (0, 1, 1.0, [0.0, 0.5] + half[2:]), (0, 2, 1.0, half[:5] + [0.5, 0.0, 0.0]), (0, 3, 1.0, half)]
+    cells = spark.createDataFrame(rows, "r int, c int, z double, w array<float>")
+    meta = GridMeta(1, 4)
+    with pytest.raises(routing.FlowCycleError):
+        routing.accumulate(cells, meta, size=size)
+    assert table(routing.accumulate(cells, meta, size=size, cycle_check=False), "acc", meta) == [[1, 2, 1, 1]]
+
+
+def test_clip_by_many_vertices_and_holes(spark):
+    import math
+
+    cells, meta = view(spark, "/root/testdata/sf0.01", "dem_part")
+    at = lambda x, y: [15 + x / 3600, 50 - y / 3600]
+    circle = lambda r, n: [at(25.3 + r * math.cos(2 * math.pi * k / n), 20.2 + r * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    ring = {"type": "Polygon", "coordinates": [circle(15, 100_000), circle(6, 377)]}
+    kept = {(r.r, r.c) for r in wetness.clip(cells, meta, ring, all_touched=False).filter("z is not null").collect()}
+    assert kept == {(r, c) for r in range(40) for c in range(50) if 6 < math.hypot(c + 0.5 - 25.3, r + 0.5 - 20.2) < 15}
