@@ -260,6 +260,36 @@ def test_fingerprints_and_the_next_document(spark, corpus):
         assert got[i].fingerprint == a.tobytes().hex() and got[i].edited_fingerprint == b.tobytes().hex()
 
 
+def test_fingerprints_are_weighted_votes_and_likeness_their_angle(spark):
+    import math
+
+    from catchment.llm.common import Chunk, gram_hash, mix
+
+    def votes(text):
+        c = Chunk([text.lower()])
+        c.words()
+        words = WORD.findall(text.lower())
+        terms = [(gram_hash(c.w_hash[k : k + 2], 2)[0], len((words[k] + words[k + 1]).encode())) for k in range(len(words) - 1)] or [(h, len(words[0].encode())) for h in c.w_hash]
+        out = bytearray()
+        for half in range(2):
+            total = [0.0] * 64
+            for h, size in terms:
+                bits = int(mix(np.array([h ^ fingerprints._HALF[half]], np.uint64))[0])
+                for b in range(64):
+                    total[b] += math.sqrt(size) if bits >> b & 1 else -math.sqrt(size)
+            out += bytes(sum((total[8 * byte + 7 - b] > 0) << (7 - b) for b in range(8)) for byte in range(8))
+        return bytes(out).hex()
+
+    rows = [(1, "The quick brown fox jumps over the lazy dog"), (2, "one"), (3, "a b a b a c é"), (4, ""), (5, "the quick brown fox jumped over a dog")]
+    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(docs_of(spark, rows)).collect()}
+    assert all(got[i].fingerprint == (votes(t) if t else "00" * 16) for i, t in rows)
+    apart = lambda a, b: bin(int(a, 16) ^ int(b, 16)).count("1") / 128
+    for i in got:
+        other = got[5 if i == 1 else i - 1].fingerprint
+        assert got[i].near_edited == pytest.approx(max(0.0, math.cos(math.pi * apart(got[i].fingerprint, got[i].edited_fingerprint))))
+        assert got[i].near_next == pytest.approx(max(0.0, math.cos(math.pi * apart(got[i].fingerprint, other))))
+
+
 def test_block_tables_find_all_within_a_radius(spark):
     rng = random.Random(9)
     base = [rng.getrandbits(64) for _ in range(20)]
