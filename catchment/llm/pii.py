@@ -89,13 +89,19 @@ NAMELESS = "|".join(p for k, p in KINDS.items() if k not in ("male", "female"))
 HINT = r"[@=]|\d{3}|\d[ .-]\d|[0-9a-f]{32}|AKIA|ASIA|[A-Z]{2}\d{2}|" + "|".join(MALE_TITLES + FEMALE_TITLES)
 
 
-def parts_of(text: Column, title: str) -> tuple[Column, Column]:
-    """The given names and the surnames after titles of a gender, part by part, each once, also in capitals and with one capital."""
+def with_parts(texts: DataFrame) -> DataFrame:
+    """``texts`` with parts: given names (first) and surnames (last) after titles of a gender, part by part, each once, also in capitals and with one capital."""
     kept = F.array(*map(F.lit, PARTICLES + DEGREES))
-    names = F.transform(F.regexp_extract_all(text, F.lit(KINDS[title]), F.lit(0)), lambda n: F.regexp_extract_all(n, F.lit(_WORD), F.lit(0)))
     runs = lambda words: F.array_distinct(F.filter(F.flatten(F.transform(F.flatten(words), lambda w: F.regexp_extract_all(w, F.lit(_RUN), F.lit(0)))), lambda x: (F.length(x) > 1) & ~F.array_contains(kept, x)))
     spelt = lambda parts: F.array_distinct(F.concat(parts, F.transform(parts, lambda x: F.initcap(F.lower(x))), F.transform(parts, lambda x: F.upper(x))))
-    return spelt(runs(F.transform(names, lambda n: F.slice(n, F.lit(1), F.greatest(F.size(n) - 1, F.lit(0)))))), spelt(runs(F.transform(names, lambda n: F.slice(n, F.greatest(F.size(n), F.lit(1)), F.lit(1)))))
+    names = []
+    for g, title in (("f", "female"), ("m", "male")):  # a column for each step, so that none is worked out twice
+        texts = texts.withColumn(f"names_{g}", F.transform(F.regexp_extract_all("text", F.lit(KINDS[title]), F.lit(0)), lambda n: F.regexp_extract_all(n, F.lit(_WORD), F.lit(0))))
+        texts = texts.withColumn(f"first_{g}", runs(F.transform(f"names_{g}", lambda n: F.slice(n, F.lit(1), F.greatest(F.size(n) - 1, F.lit(0))))))
+        texts = texts.withColumn(f"last_{g}", runs(F.transform(f"names_{g}", lambda n: F.slice(n, F.greatest(F.size(n), F.lit(1)), F.lit(1)))))
+        names += [f"first_{g}", f"last_{g}"]
+    parts = F.struct(*[spelt(F.col(n)).alias(n) for n in names])
+    return texts.withColumn("parts", parts).drop("names_f", "names_m", *names)
 
 
 def pattern_of(names: Column) -> Column:
@@ -307,8 +313,7 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     # a row travels as one struct, so that its columns cannot clash with those made here
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text", F.xxhash64("text").alias("row_key"), F.xxhash64(F.lit(1), "text").alias("row_key2"))
     some = F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(PATTERN), F.lit(False))
-    (first_f, last_f), (first_m, last_m) = parts_of(F.col("text"), "female"), parts_of(F.col("text"), "male")
-    named = marked.filter(some).withColumn("parts", F.struct(first_f.alias("first_f"), last_f.alias("last_f"), first_m.alias("first_m"), last_m.alias("last_m")))
+    named = with_parts(marked.filter(some))
     named = named.withColumn("pattern", pattern_of(F.array_distinct(F.concat("parts.first_f", "parts.last_f", "parts.first_m", "parts.last_m"))))
     hits = cut(named.withColumn("found", F.regexp_extract_all("text", F.col("pattern"), F.lit(0))))
     used = _typed(hits)
