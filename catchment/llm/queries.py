@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, near_dedup, packing, pieces_fst, pii, quality_crf, quality_rules, suffix_dedup, toxicity
+from . import fingerprints, line_dedup, near_dedup, packing, pieces_fst, pii, prefix_trie, quality_crf, quality_rules, resampling, suffix_dedup, toxicity, window_dedup
 from .common import table
 
 
@@ -49,11 +49,24 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup.remove_windows(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_crf, op2_minhash_near_dedup, op3_best_fit_packing, op4_pii_surrogates, op5_suffix_dedup,
         op6_line_dedup, op7_quality_rules, op8_toxicity, op9_piece_encoding, op10_fingerprints,
+        op11_window_dedup, op12_prefix_trie, op13_importance_resampling,
     )
 }
 
@@ -80,6 +93,38 @@ alike AS (SELECT DISTINCT y.s FROM pairs p JOIN leads x ON x.id = p.a JOIN leads
 judged AS (SELECT e.doc_id, e.no, e.line, len(s.s) > 0 AND ((e.doc_id, e.no) <> l.id OR m.s IS NOT NULL) AS gone FROM every e JOIN sets s USING (doc_id, no) LEFT JOIN leads l ON l.s = s.s LEFT JOIN alike m ON m.s = s.s),
 kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY no) FILTER (NOT coalesce(gone, false)) AS text, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed FROM judged GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text, coalesce(k.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_removed, 0)::BIGINT AS n_removed FROM documents d LEFT JOIN kept k USING (doc_id)""",
+    "op11_window_dedup": r"""WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS g FROM words),
+judged AS (SELECT doc_id, i, doc_id > min(doc_id) OVER (PARTITION BY g) AS lost FROM windows),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(0, 13)) AS i FROM judged WHERE lost),
+each AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM words),
+kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) FILTER (g.i IS NULL) AS text, count(g.i) AS n FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i GROUP BY e.doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(k.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM words LEFT JOIN kept k USING (doc_id)""",
+    "op12_prefix_trie": r"""WITH crcs AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, k: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384 ELSE 0 END))) AS t),
+own AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) % 4 AS h FROM (SELECT DISTINCT conv_id FROM own), crcs),
+turns AS (SELECT i.conv_id, o.pos, o.role, o.text FROM ids i JOIN own o ON o.conv_id = i.conv_id - i.conv_id % 20 AND o.pos <= i.h UNION ALL SELECT o.conv_id, o.pos, o.role, o.text FROM own o JOIN ids i ON i.conv_id = o.conv_id AND o.pos > i.h),
+built AS (SELECT i.conv_id, coalesce(list({'role': t.role, 'text': t.text} ORDER BY t.pos) FILTER (t.pos IS NOT NULL), []) AS s FROM ids i LEFT JOIN turns t ON t.conv_id = i.conv_id GROUP BY i.conv_id),
+prefixes AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS depth FROM built),
+nodes AS (SELECT s[1:depth] AS p, depth, min(conv_id) AS conv_id, count(*) AS n, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(s) = depth) AS ends FROM prefixes GROUP BY ALL),
+kids AS (SELECT p[1:depth - 1] AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+full_ AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n - 1) * len(regexp_extract_all(n.p[depth].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS own FROM nodes n LEFT JOIN kids k ON k.p = n.p),
+ups AS (SELECT p, own, n_children, unnest(range(0, depth + 1)) AS up FROM full_),
+sums AS (SELECT p[1:up] AS p, sum(own) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM ups GROUP BY ALL)
+SELECT f.conv_id, f.depth::BIGINT AS depth, a.conv_id AS parent_conv_id, f.n::BIGINT AS n_convs, f.n_children::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM full_ f JOIN sums s ON s.p = f.p LEFT JOIN nodes a ON f.depth > 0 AND a.p = f.p[1:f.depth - 1]""",
+    "op13_importance_resampling": r"""WITH crcs AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, k: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384 ELSE 0 END))) AS t),
+texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+words AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words),
+feats AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM runs)),
+hashed AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT)), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) % 10000 AS bucket FROM feats, crcs),
+counts AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM runs JOIN hashed USING (f) GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM counts) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM counts) + 10000)::DOUBLE)))::BIGINT AS gain FROM counts),
+means AS (SELECT id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM runs JOIN hashed USING (f) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY id),
+scored AS (SELECT w.id AS doc_id, len(w.w) AS n_words, coalesce(m.n, 0) AS n_features, coalesce(m.weight, 0) AS weight, coalesce(m.weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || w.id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM words w LEFT JOIN means m ON m.id = w.id WHERE w.side = 'd'),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN place <= 25 * (SELECT count(*) FROM ranked) // 100 THEN place END AS rank FROM scored LEFT JOIN ranked USING (doc_id)""",
 }
 
 
