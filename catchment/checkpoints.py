@@ -35,13 +35,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-def release(*results: DataFrame | None) -> None:
-    """Deletes the files of superseded results of ``materialize``, and lets Spark's cleaner drop the shuffle files of finished jobs."""
+def release(*results: DataFrame | None, collect: bool = False) -> None:
+    """Deletes the files of superseded results of ``materialize``; with ``collect`` Spark's cleaner also drops the shuffle files of finished jobs now."""
     for df in results:
         if df is not None and df.kept_at in _KEPT:
             spark = _KEPT.pop(df.kept_at)
             _remove(spark, df.kept_at)
-            spark.sparkContext._jvm.System.gc()
+            if collect:
+                spark.sparkContext._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..borders import Arrays, Block, Forest, contract, joined_rims, numbered, pack, rim_cells
 from ..checkpoints import materialize
 from ..grid import GridMeta, is_edge, neighbours
-from ..tiles import SIZE, Field, from_tiles, relax, shifted, sweep, to_tiles
+from ..tiles import SIZE, Field, each_tile, from_tiles, many, relax, shape, shifted, sweep, to_tiles
 
 EPSILON = 1e-5
 _FAR = 2**62
@@ -25,20 +28,133 @@ def seeds(cells: DataFrame, meta: GridMeta, nodata_outlets: bool = True) -> Data
     return neighbours(cells).filter(F.col("z").isNotNull() & (edge | hole)).select("r", "c", "z")
 
 
-def _flood(p: dict[str, np.ndarray]) -> np.ndarray:
-    z = p["z"][1:-1, 1:-1]
-    floor = np.where(np.isnan(z), np.inf, z)
-    return sweep(p["level"].copy(), lambda k, level, at: np.maximum(floor[at], level))
+def _basins(z: np.ndarray) -> np.ndarray:
+    """For each cell the place of the lowest cell that steepest steps down lead to; of equal cells the first counts as lower."""
+    n = z.size
+    height, at = np.where(np.isnan(z), np.inf, z), np.arange(n).reshape(z.shape)
+    around, places = np.pad(height, 1, constant_values=np.inf), np.pad(at, 1, constant_values=n)
+    best, low = height.copy(), at.copy()
+    for k in range(8):
+        nz, ni = shifted(around, k), shifted(places, k)
+        take = (nz < best) | ((nz == best) & (ni < low))
+        best, low = np.where(take, nz, best), np.where(take, ni, low)
+    down = np.where(np.isnan(z), at, low).ravel()
+    while not np.array_equal(down[down], down):
+        down = down[down]
+    return down
+
+
+def _spills(z: np.ndarray, block: Block, nodata_outlets: bool) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(basin of each cell, edges): the spill levels between basins of a tile, and from basins to the outside (node z.size) at outlets."""
+    basin, valid = _basins(z), ~np.isnan(z)
+    h, w = z.shape
+    of, parts = basin.reshape(z.shape), []
+    for dr, dc in ((0, 1), (1, 1), (1, 0), (1, -1)):
+        here = (slice(0, h - dr), slice(max(0, -dc), w - max(0, dc)))
+        there = (slice(dr, h), slice(max(0, dc), w + min(0, dc)))
+        meet = valid[here] & valid[there] & (of[here] != of[there])
+        parts.append((of[here][meet], of[there][meet], np.maximum(z[here], z[there])[meet]))
+    out = np.zeros(z.shape, bool)
+    for edge, on in (((0, slice(None)), block.r0 == 0), ((-1, slice(None)), block.r1 == block.meta.height), ((slice(None), 0), block.c0 == 0), ((slice(None), -1), block.c1 == block.meta.width)):
+        out[edge] |= on
+    if nodata_outlets:
+        hole = np.pad(~valid, 1)
+        for k in range(8):
+            out |= shifted(hole, k)
+    at = np.flatnonzero((out & valid).ravel())
+    parts.append((basin[at], np.full(len(at), z.size), z.ravel()[at]))
+    return basin, tuple(np.concatenate(x) for x in zip(*parts))
+
+
+#: Nodes of the spill graph are basins, named by the key of their lowest cell; OUTSIDE is where water leaves.
+OUTSIDE, HOLE = -1, -2
+
+
+def _names(block: Block, places: np.ndarray) -> np.ndarray:
+    w = block.c1 - block.c0
+    return np.where(places < (block.r1 - block.r0) * w, (block.r0 + places // w) * np.int64(block.meta.width) + block.c0 + places % w, OUTSIDE)
+
+
+def _shorter(edges: tuple[np.ndarray, ...], kept: np.ndarray) -> Arrays:
+    """The edges contracted to the nodes to keep and the outside."""
+    every, (a, b, k) = numbered(edges[0], edges[1], np.append(kept, OUTSIDE))
+    keep = np.zeros(len(every), bool)
+    keep[k] = True
+    a, b, w = Forest(len(every), a, b, edges[2]).contracted(keep)
+    return {"a": every[a], "b": every[b], "w": w}
+
+
+def _met(block: Block, members: dict, nodata_outlets: bool) -> tuple[Arrays, tuple[np.ndarray, ...]]:
+    """The members' rims and edges, with the edges between members and, beside NoData of another member, to the outside."""
+    rims = joined_rims(members, "z", "node")
+    z, node = rims["z"], rims["node"]
+    i, j, alone = block.meetings(rims["key"])
+    both = ~np.isnan(z[i]) & ~np.isnan(z[j])
+    beside = np.concatenate([i[~np.isnan(z[i]) & np.isnan(z[j])], alone[~np.isnan(z[alone])]]) if nodata_outlets else np.empty(0, np.int64)
+    a = [m["a"] for m in members.values()] + [node[i[both]], node[beside]]
+    b = [m["b"] for m in members.values()] + [node[j[both]], np.full(len(beside), OUTSIDE)]
+    w = [m["w"] for m in members.values()] + [np.maximum(z[i[both]], z[j[both]]), z[beside]]
+    return rims, (np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64), np.concatenate(w))
 
 
 def fill_depressions(cells: DataFrame, meta: GridMeta, nodata_outlets: bool = True, size: int = SIZE) -> DataFrame:
-    """r, c, z, filled: each cell raised to the lowest level at which it drains to an outlet; without one it stays."""
-    out = seeds(cells, meta, nodata_outlets).select("r", "c", F.col("z").alias("level"))
-    fields = {"z": _Z, "level": Field("f8", np.inf)}
-    tiles = to_tiles(cells.select("r", "c", "z").join(out, ["r", "c"], "left"), meta, fields, size)
-    done = from_tiles(relax(tiles, meta, fields, "level", _flood, size), meta, {"z": (_Z, "double"), "level": (fields["level"], "double")}, size)
-    z = F.when(~F.isnan("z"), F.col("z"))
-    return done.select("r", "c", z.alias("z"), F.when(~F.isnan("z"), F.when(F.col("level") == float("inf"), F.col("z")).otherwise(F.col("level"))).alias("filled"))
+    """r, c, z, filled: each cell raised to the lowest level at which it drains to an outlet; without one it stays.
+
+    Each tile becomes a graph of basins and the levels at which they spill; the graphs of tiles are contracted to those
+    basins that reach their rims, groups of tiles likewise, and the levels of basins go back down to the tiles.
+    """
+    kept = {"z": _Z, "level": _Z}
+
+    def block_of(row: dict) -> tuple[Block, np.ndarray]:
+        h, w = shape(meta, row["tr"], row["tc"], size)
+        return Block.at(meta, row["tr"], row["tc"], size, size), _Z.read(row["z"], h, w)
+
+    def summary(row: dict) -> dict:
+        block, z = block_of(row)
+        basin, (a, b, w) = _spills(z, block, nodata_outlets)
+        at, key = rim_cells(meta, block)
+        level = z.ravel()[at]
+        node = np.where(np.isnan(level), HOLE, _names(block, basin[at]))
+        short = _shorter((_names(block, a), _names(block, b), w), node[node != HOLE])
+        return {"tr": row["tr"], "tc": row["tc"], "blob": pack({"key": key, "z": level, "node": node} | short)}
+
+    def merge(block: Block, members: dict) -> Arrays:
+        rims, edges = _met(block, members, nodata_outlets)
+        out = block.outer(rims["key"])
+        node = rims["node"][out]
+        return {"key": rims["key"][out], "z": rims["z"][out], "node": node} | _shorter(edges, node[node != HOLE])
+
+    def solve(block: Block, members: dict, answer: Arrays | None) -> dict:
+        _, (a, b, w) = _met(block, members, nodata_outlets)
+        if answer:
+            a, b, w = np.append(a, answer["node"]), np.append(b, np.full(len(answer["node"]), OUTSIDE)), np.append(w, answer["level"])
+        nodes = {k: np.unique(m["node"][m["node"] != HOLE]) for k, m in members.items()}
+        every, (a, b, out) = numbered(a, b, np.concatenate([[OUTSIDE], *nodes.values()]))
+        level = Forest(len(every), a, b, w).levels(int(out[0]))
+        return {k: {"node": n, "level": level[np.searchsorted(every, n)]} for k, n in nodes.items()}
+
+    def flood(row: dict) -> dict:
+        block, z = block_of(row)
+        basin, (a, b, w) = _spills(z, block, nodata_outlets)
+        if row.get("blob"):
+            told = pickle.loads(row["blob"])
+            at = np.flatnonzero(np.isfinite(told["level"]))
+            node = told["node"][at]
+            place = (node // meta.width - block.r0) * (block.c1 - block.c0) + node % meta.width - block.c0
+            a, b, w = np.append(a, place), np.append(b, np.full(len(at), z.size)), np.append(w, told["level"][at])
+        every, (a, b, mine, out) = numbered(a, b, basin, np.array([z.size]))
+        level = Forest(len(every), a, b, w).levels(int(out[0]))[mine].reshape(z.shape)
+        raised = np.where(np.isinf(level), z, np.maximum(z, level))
+        return {"tr": row["tr"], "tc": row["tc"], "z": z.tobytes(), "level": raised.tobytes()}
+
+    tiles = to_tiles(cells, meta, {"z": _Z}, size)
+    if many(meta, size):
+        tiles = materialize(tiles)
+        answers = contract(materialize(each_tile(tiles, summary, "tr int, tc int, blob binary")), meta, size, merge, solve)
+        tiles = tiles.join(answers, ["tr", "tc"], "left")
+    done = from_tiles(each_tile(tiles, flood, "tr int, tc int, z binary, level binary"), meta, {n: (f, "double") for n, f in kept.items()}, size)
+    known = lambda n: F.when(~F.isnan(n), F.col(n))
+    return done.select("r", "c", known("z").alias("z"), known("level").alias("filled"))
 
 
 def fill_depth(filled: DataFrame) -> DataFrame:

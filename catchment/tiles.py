@@ -1,10 +1,11 @@
 """Rasters as square tiles, and fixed points on them by rounds of local relaxation and border exchange.
 
-A tile is one row: tr, tc, and each field's values as bytes. A tile whose state changed sends its border to
-its eight neighbours; a tile that gets borders solves its interior to a local fixed point in numpy; the rounds
-end when no tile changes. Borders of the fields that never change go round once, before the first round, and
-are kept with their tile. The number of rounds is the number of tiles that a path crosses, not the number of
-cells. State is written to the shared checkpoint folder after each round, and the state before it deleted.
+A tile is one row: tr, tc, and each field's values as bytes. The tiles, each padded by a cell of its neighbours'
+values, are written once. A round keeps borders alone: what each tile last heard from its neighbours and last
+told them. A tile that hears something new is read again and solved from its start values with what it has heard, and
+tells what changed on its border; the rounds end when nothing does, and a last pass gives the cells. So the raster is
+written twice in all, and a round reads the tiles that heard something and writes borders. The number of rounds is the number
+of tiles that a path crosses; ``borders`` has a way for problems that can be contracted instead.
 """
 
 from __future__ import annotations
@@ -14,14 +15,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .checkpoints import marks, materialize, release, with_seen
+from .checkpoints import materialize, release
 from .grid import DIRECTIONS, GridMeta
 
 SIZE = 512
-_NAMES = [f"s{k}" for k in range(8)]
 
 
 @dataclass(frozen=True)
@@ -56,12 +59,11 @@ def to_tiles(cells: DataFrame, meta: GridMeta, fields: dict[str, Field], size: i
         out = {"tr": [tr], "tc": [tc]}
         for name, f in fields.items():
             a = f.blank(h, w)
-            col = table.column(name)
+            col = table.column(name).combine_chunks()
             if f.planes:
-                a[(slice(None), *at)] = np.array(col.to_pylist(), f.dtype).T
+                a[(slice(None), *at)] = col.flatten().to_numpy(zero_copy_only=False).reshape(-1, f.planes).T
             else:
-                v = col.to_pylist()
-                a[at] = np.array([f.fill if x is None else x for x in v], f.dtype)
+                a[at] = pc.fill_null(col, pa.scalar(f.fill, col.type)).to_numpy(zero_copy_only=False)
             out[name] = [a.tobytes()]
         return pa.table(out, schema=pa.schema([("tr", pa.int32()), ("tc", pa.int32())] + [(n, pa.binary()) for n in fields]))
 
@@ -86,6 +88,24 @@ def from_tiles(tiles: DataFrame, meta: GridMeta, fields: dict[str, tuple[Field,
     return tiles.select("tr", "tc", *fields).mapInArrow(run, schema)
 
 
+def many(meta: GridMeta, size: int) -> bool:
+    """Whether a raster has more than one tile."""
+    return size < meta.height or size < meta.width
+
+
+def each_tile(tiles: DataFrame, work: Callable[[dict], dict], schema: str) -> DataFrame:
+    """``work`` applied to each row, as a dict, of ``tiles``; it returns the row of ``schema``. One tile at a time is held."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                row = work({n: b.column(j)[i].as_py() for j, n in enumerate(b.schema.names)})
+                yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in arrow], schema=arrow)
+
+    return tiles.mapInArrow(run, schema)
+
+
 def _strip(a: np.ndarray, dr: int, dc: int) -> np.ndarray:
     pick = lambda d: slice(None) if d == 0 else slice(0, 1) if d < 0 else slice(-1, None)
     return a[..., pick(dr), pick(dc)]
@@ -126,39 +146,53 @@ def _place(d: int, n: int) -> slice:
     return slice(1, n + 1) if d == 0 else slice(0, 1) if d < 0 else slice(n + 1, n + 2)
 
 
-def _borders(tiles: DataFrame, meta: GridMeta, fields: dict[str, Field], names: list[str], size: int) -> DataFrame:
-    """tr, tc, side, strip: what each tile sends to its neighbours of the named (unpadded) fields."""
+def _strips(arrays: list[np.ndarray]) -> list[bytes]:
+    """What a tile's neighbours see of it, by the direction in which they lie."""
+    return [b"".join(np.ascontiguousarray(_strip(a, dr, dc)).tobytes() for a in arrays) for dr, dc in DIRECTIONS]
 
-    def send(batches):
-        for b in batches:
-            out: dict[str, list] = {"tr": [], "tc": [], "side": [], "strip": []}
-            for i in range(b.num_rows):
-                tr, tc = b.column("tr")[i].as_py(), b.column("tc")[i].as_py()
-                h, w = shape(meta, tr, tc, size)
-                arrays = [fields[n].read(b.column(n)[i].as_py(), h, w) for n in names]
-                for k, (dr, dc) in enumerate(DIRECTIONS):
-                    to = (tr + dr, tc + dc)
-                    if 0 <= to[0] * size < meta.height and 0 <= to[1] * size < meta.width:
-                        out["tr"].append(to[0])
-                        out["tc"].append(to[1])
-                        out["side"].append((k + 4) % 8)
-                        out["strip"].append(b"".join(np.ascontiguousarray(_strip(a, dr, dc)).tobytes() for a in arrays))
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("tr", pa.int32()), ("tc", pa.int32()), ("side", pa.int32()), ("strip", pa.binary())]))
-
-    return tiles.select("tr", "tc", *names).mapInArrow(send, "tr int, tc int, side int, strip binary")
-
-
-def _paste(padded: dict[str, np.ndarray], others: pa.Table, fields: dict[str, Field], names: list[str], h: int, w: int) -> None:
-    """Puts the neighbours' borders around the padded arrays."""
-    for side, blob in zip(others.column("side").to_pylist(), others.column("strip").to_pylist()):
-        dr, dc = DIRECTIONS[side]
-        sh, sw = (h if dr == 0 else 1), (w if dc == 0 else 1)
-        at = 0
-        for n in names:
-            f = fields[n]
-            count = sh * sw * max(1, f.planes)
-            padded[n][..., _place(dr, h), _place(dc, w)] = np.frombuffer(blob, f.dtype, count, at).reshape(((f.planes,) if f.planes else ()) + (sh, sw))
-            at += count * np.dtype(f.dtype).itemsize
+
+def _paste(padded: dict[str, np.ndarray], side: int, blob: bytes, fields: dict[str, Field], names: list[str], h: int, w: int) -> None:
+    """Puts a neighbour's border around the padded arrays."""
+    dr, dc = DIRECTIONS[side]
+    sh, sw = (h if dr == 0 else 1), (w if dc == 0 else 1)
+    at = 0
+    for n in names:
+        f = fields[n]
+        count = sh * sw * max(1, f.planes)
+        padded[n][..., _place(dr, h), _place(dc, w)] = np.frombuffer(blob, f.dtype, count, at).reshape(((f.planes,) if f.planes else ()) + (sh, sw))
+        at += count * np.dtype(f.dtype).itemsize
+
+
+def _told(rows: DataFrame, meta: GridMeta, size: int) -> DataFrame:
+    """tr, tc, news (side, strip): the strips that are not null, gathered by the tile that they are for."""
+    step = lambda i: F.element_at(F.array(*[F.lit(d[i]) for d in DIRECTIONS]), F.col("k") + 1)
+    sent = rows.select("tr", "tc", F.posexplode("strips").alias("k", "strip")).filter("strip is not null")
+    to = sent.select((F.col("tr") + step(0)).alias("tr"), (F.col("tc") + step(1)).alias("tc"), F.struct(((F.col("k") + 4) % 8).alias("side"), "strip").alias("news"))
+    last = (meta.height - 1) // size, (meta.width - 1) // size
+    return to.filter(F.col("tr").between(0, last[0]) & F.col("tc").between(0, last[1])).groupBy("tr", "tc").agg(F.collect_list("news").alias("news"))
+
+
+def padded(tiles: DataFrame, meta: GridMeta, fields: dict[str, Field], size: int = SIZE) -> DataFrame:
+    """tr, tc, and each field padded by a cell of the neighbours' values (its fill outside the raster)."""
+    schema = "tr int, tc int, " + ", ".join(f"{n} binary" for n in fields)
+
+    def show(row: dict) -> dict:
+        h, w = shape(meta, row["tr"], row["tc"], size)
+        return {"tr": row["tr"], "tc": row["tc"], "strips": _strips([f.read(row[n], h, w) for n, f in fields.items()])}
+
+    def surround(row: dict) -> dict:
+        h, w = shape(meta, row["tr"], row["tc"], size)
+        out = {n: f.blank(h + 2, w + 2) for n, f in fields.items()}
+        for n, f in fields.items():
+            out[n][..., 1:-1, 1:-1] = f.read(row[n], h, w)
+        for x in row.get("news") or []:
+            _paste(out, x["side"], x["strip"], fields, list(fields), h, w)
+        return {"tr": row["tr"], "tc": row["tc"]} | {n: a.tobytes() for n, a in out.items()}
+
+    only = tiles.select("tr", "tc", *fields)
+    if not many(meta, size):
+        return each_tile(only, surround, schema)
+    return each_tile(only.join(_told(each_tile(only, show, "tr int, tc int, strips array<binary>"), meta, size), ["tr", "tc"], "left"), surround, schema)
 
 
 def relax(tiles: DataFrame, meta: GridMeta, fields: dict[str, Field], state: str, solve: Callable[[dict[str, np.ndarray]], np.ndarray], size: int = SIZE, once: bool = False) -> DataFrame:
@@ -167,59 +201,48 @@ def relax(tiles: DataFrame, meta: GridMeta, fields: dict[str, Field], state: str
     ``solve`` gets each field padded by one cell of its neighbours' values and returns the tile's new
     state; it must be monotone, so that any order of rounds meets the same fixed point.
     """
-    still = [n for n in fields if n != state]
-    kind = pa.schema([("tr", pa.int32()), ("tc", pa.int32())] + [(n, pa.binary()) for n in fields] + [("border", pa.binary()), ("changed", pa.bool_())])
-    schema = "tr int, tc int, " + ", ".join(f"{n} binary" for n in fields) + ", border binary, changed boolean"
-
-    def solved(tr: int, tc: int, padded: dict[str, np.ndarray], others: pa.Table, names: list[str], first: bool) -> pa.Table:
-        h, w = shape(meta, tr, tc, size)
-        _paste(padded, others, fields, names, h, w)
-        before = padded[state][..., 1:-1, 1:-1].copy()
-        new = solve(padded)
-        changed = not np.array_equal(new, before, equal_nan=new.dtype.kind == "f")
-        padded[state][..., 1:-1, 1:-1] = new
-        row = {"tr": [tr], "tc": [tc], "border": [new.astype(fields[state].dtype).tobytes()], "changed": [changed or first]} | {n: [padded[n].tobytes()] for n in fields}
-        return pa.table(row, schema=kind)
-
-    def begin(mine: pa.Table, others: pa.Table) -> pa.Table:
-        if not mine.num_rows:
-            return kind.empty_table()
-        tr, tc = mine.column("tr")[0].as_py(), mine.column("tc")[0].as_py()
-        h, w = shape(meta, tr, tc, size)
-        padded = {n: f.blank(h + 2, w + 2) for n, f in fields.items()}
-        for n, f in fields.items():
-            padded[n][..., 1:-1, 1:-1] = f.read(mine.column(n)[0].as_py(), h, w)
-        return solved(tr, tc, padded, others, list(fields), True)
-
-    def step(mine: pa.Table, others: pa.Table) -> pa.Table:
-        if not mine.num_rows:
-            return kind.empty_table()
-        if not others.num_rows:
-            return mine.set_column(mine.column_names.index("changed"), "changed", pa.array([False])).cast(kind)
-        tr, tc = mine.column("tr")[0].as_py(), mine.column("tc")[0].as_py()
-        h, w = shape(meta, tr, tc, size)
-        return solved(tr, tc, {n: f.read(mine.column(n)[0].as_py(), h + 2, w + 2).copy() for n, f in fields.items()}, others, [state], False)
-
-    def idle(tiles: DataFrame, sent: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-        """Tiles that surely get no borders, which need no shuffle, and the rest; a raster of few tiles is not parted."""
-        if -(-meta.height // size) * -(-meta.width // size) <= 64:
-            return None, tiles
-        told = with_seen(tiles, marks(sent, "tr", "tc"), "tr", "tc")
-        return told.filter("not seen").drop("seen").withColumn("changed", F.lit(False)), told.filter("seen").drop("seen")
-
-    if size >= meta.height and size >= meta.width:  # a tile without neighbours
-        none = pa.table({"side": pa.array([], pa.int32()), "strip": pa.array([], pa.binary())})
-        only = lambda batches: (x for b in batches for x in begin(pa.Table.from_batches([b]), none).to_batches())
-        return materialize(tiles.select("tr", "tc", *fields).mapInArrow(only, schema)).select("tr", "tc", *still, F.col("border").alias(state))
-    tiles = materialize(tiles)
-    sent = _borders(tiles, meta, fields, list(fields), size)
-    now = materialize(tiles.select("tr", "tc", *fields).groupBy("tr", "tc").cogroup(sent.groupBy("tr", "tc")).applyInArrow(begin, schema))
+    names = ["tr", "tc", *fields]
+    whole = "tr int, tc int, " + ", ".join(f"{n} binary" for n in fields)
+    heard = "tr int, tc int, ring array<binary>, shown array<binary>, strips array<binary>"
+
+    def solved(row: dict, ring: list) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        h, w = shape(meta, row["tr"], row["tc"], size)
+        arrays = {n: f.read(row[n], h + 2, w + 2).copy() for n, f in fields.items()}
+        for side, strip in enumerate(ring):
+            if strip is not None:
+                _paste(arrays, side, strip, fields, [state], h, w)
+        return arrays, solve(arrays).astype(fields[state].dtype)
+
+    def listen(row: dict) -> dict:
+        """A tile with what it has heard so far (ring), what it has shown, and in ``strips`` what it shows anew."""
+        ring = row.get("ring") or [None] * 8
+        for x in row.get("news") or []:
+            ring[x["side"]] = x["strip"]
+        show = _strips([solved(row, ring)[1]])
+        old = row.get("shown") or [None] * 8
+        return {"tr": row["tr"], "tc": row["tc"], "ring": ring, "shown": show, "strips": [s if s != o else None for s, o in zip(show, old)]}
+
+    def finish(row: dict) -> dict:
+        arrays, new = solved(row, row.get("ring") or [])
+        return {"tr": row["tr"], "tc": row["tc"]} | {n: (new if n == state else a[..., 1:-1, 1:-1]).tobytes() for n, a in arrays.items()}
+
+    if not many(meta, size):
+        return materialize(each_tile(padded(tiles, meta, fields, size), finish, whole))
+    tiles = materialize(tiles.select(names))
+    base = materialize(padded(tiles, meta, fields, size))
     release(tiles)
-    while not once and now.filter("changed").take(1):
-        sent = _borders(now.filter("changed").select("tr", "tc", F.col("border").alias(state)), meta, fields, [state], size)
-        rest, near = idle(now, sent)
-        stepped = near.groupBy("tr", "tc").cogroup(sent.groupBy("tr", "tc")).applyInArrow(step, schema)
-        after = materialize(stepped if near is now else stepped.unionByName(rest))
-        release(now)
-        now = after
-    return now.select("tr", "tc", *still, F.col("border").alias(state))
+    if once:
+        return materialize(each_tile(base, finish, whole))
+    now = materialize(each_tile(base, listen, heard))
+    news = _told(now, meta, size)
+    while news.take(1):
+        news = materialize(news)
+        mine = news.join(now.select("tr", "tc", "ring", "shown"), ["tr", "tc"])
+        stepped = each_tile(base.join(mine, ["tr", "tc"]), listen, heard)
+        quiet = now.join(news.select("tr", "tc"), ["tr", "tc"], "left_anti").withColumn("strips", F.array_repeat(F.lit(None).cast("binary"), 8))
+        after = materialize(stepped.unionByName(quiet))
+        release(now, news)
+        now, news = after, _told(after, meta, size)
+    done = materialize(each_tile(base.join(now.select("tr", "tc", "ring"), ["tr", "tc"], "left"), finish, whole))
+    release(base, now)
+    return done
