@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..checkpoints import checkpoint_dir, marks, release, seen_in, with_seen  # noqa: F401
+from ..checkpoints import checkpoint_dir, marks, seen_in, with_seen  # noqa: F401
 from ..checkpoints import materialize as cut  # noqa: F401
+from ..checkpoints import release as _release
 
 #: Word separators of every operator here: space and U+0009 to U+000D.
 SPACE = np.zeros(256, bool)
@@ -27,6 +29,9 @@ BATCH_ROWS = 2000
 #: Stands for a null id in orderings.
 LOWEST = -(1 << 63)
 
+#: Text operators shuffle several times their input, so the files of a finished step go before the next begins.
+release = functools.partial(_release, collect=True)
+
 _R = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

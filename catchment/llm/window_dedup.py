@@ -34,7 +34,7 @@ from .common import LOWEST, SPACE, Chunk, cut, first_of, gram_hash, keyed, map_t
 N = 13
 MINIMISER = 3
 #: Bytes of input for each bucket of packed strings that meets in one task, and for each slot in which minimisers are counted.
-PART_BYTES = 8 << 20
+PART_BYTES = 1 << 20
 SLOT_BYTES = 1 << 20
 SLOTS = 1 << 12, 1 << 22
 #: A slot with more than so many times the mean is hot.
@@ -45,15 +45,26 @@ SALTS = 1024
 SMALL = 1 << 10
 
 
-def joined(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, starts, ends): the words of a chunk with one space after each, and where they lie."""
-    solid = ~SPACE[c.data]
-    take = solid.copy()
-    take[c.w_end] = True
-    flat = np.where(solid, c.data, 32)[take]
-    size = c.w_end - c.w_start
-    start = np.cumsum(size + 1) - size - 1
-    return flat, start, start + size
+class Words(Chunk):
+    """A chunk whose words lie in ``flat`` with one space after each; ``first``, ``last`` are their byte spans there."""
+
+    def __init__(self, texts: list[str | None]):
+        super().__init__(texts)
+        solid = np.zeros(len(self.data) + 2, np.int8)
+        solid[1:-1] = ~SPACE[self.data]
+        step = np.diff(solid)
+        start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        take = solid[1:-1] == 1
+        take[end] = True
+        self.flat = np.where(solid[1:-1] == 1, self.data, 32)[take]
+        self.last = np.cumsum(end - start + 1) - 1
+        self.first = self.last - (end - start)
+        self.w_lo, self.w_hi = np.searchsorted(start, self.start), np.searchsorted(start, self.end)
+        self.w_doc = np.repeat(np.arange(len(self.size)), self.w_hi - self.w_lo)
+
+    def hashes(self) -> np.ndarray:
+        self.prefix = prefix_hash(self.flat)
+        return span_hash(self.prefix, self.first, self.last)
 
 
 @dataclass
@@ -69,9 +80,11 @@ class Windows:
     place: np.ndarray
     count: np.ndarray
     n: int
+    prefix: np.ndarray | None = None
 
     def hashes(self) -> np.ndarray:
-        return span_hash(prefix_hash(self.flat), self.start[self.at], self.end[self.at + self.n - 1])
+        prefix = prefix_hash(self.flat) if self.prefix is None else self.prefix
+        return span_hash(prefix, self.start[self.at], self.end[self.at + self.n - 1])
 
 
 def judge(w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +127,7 @@ def minimisers(word_hash: np.ndarray, n: int) -> np.ndarray:
     return least
 
 
-def _windows(c: Chunk, n: int) -> np.ndarray:
+def _windows(c: Words, n: int) -> np.ndarray:
     """First words of the windows of a chunk."""
     return np.flatnonzero(c.w_doc[: max(0, len(c.w_doc) - n + 1)] == c.w_doc[n - 1 :])
 
@@ -137,10 +150,9 @@ def hot_slots(docs: DataFrame, n: int, slots: int) -> list[int]:
 
     def make():
         def kernel(cols):
-            c = Chunk(cols["text"])
-            c.words()
+            c = Words(cols["text"])
             at = _windows(c, n)
-            least = minimisers(c.w_hash, n)[at]
+            least = minimisers(c.hashes(), n)[at]
             runs = _runs(at, least)
             slot, count = np.unique(_slot(least[runs], slots), return_counts=True)
             return {"slot": slot.astype(np.int64), "n": count.astype(np.int64)}
@@ -210,18 +222,17 @@ def _deal(docs: DataFrame, n: int, parts: int, slots: int, hot: list[int]) -> Da
 
     def make():
         def kernel(cols):
-            c = Chunk(cols["text"])
-            c.words()
-            flat, start, end = joined(c)
+            c = Words(cols["text"])
+            word_hash = c.hashes()
             at = _windows(c, n)
             row = c.w_doc[at]
             doc, twin = np.array(cols["doc"], np.int64), np.array(cols["twin"], np.int64)
-            w = Windows(flat, start, end, at, doc[row], twin[row], at - c.w_lo[row], np.ones(len(at), np.int64), n)
+            w = Windows(c.flat, c.first, c.last, at, doc[row], twin[row], at - c.w_lo[row], np.ones(len(at), np.int64), n, c.prefix)
             lost, total, h = judge(w)
             out: dict = {"part": [], "open": [], "lost": []}
             keep = np.flatnonzero(~lost)
             if len(keep):
-                least = minimisers(c.w_hash, n)[at[keep]]
+                least = minimisers(word_hash, n)[at[keep]]
                 single = table[_slot(least, slots)]
                 cuts = _runs(np.where(single, -2 * keep, at[keep]), least)
                 key = mix(least[cuts]) % np.uint64(parts)
@@ -282,7 +293,7 @@ def _judged(base: DataFrame, n: int, counts: bool = False) -> tuple[DataFrame, D
     if n < 2:
         raise ValueError("a window has two words or more")
     size = scan_bytes(base)
-    parts = max(4 * int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
+    parts = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
     slots = min(max(SLOTS[0], 1 << int(size // SLOT_BYTES).bit_length()), SLOTS[1])
     dealt = _deal(base, n, parts, slots, hot_slots(base, n, slots))
     first = cut(_meet(dealt, n, parts, counts))
@@ -317,9 +328,8 @@ def _cut_words(docs: DataFrame, n: int, give_text: bool) -> DataFrame:
 
     def make():
         def kernel(cols):
-            c = Chunk(cols["text"])
-            c.words()
-            flat, start, end = joined(c)
+            c = Words(cols["text"])
+            flat, start, end = c.flat, c.first, c.last
             step = np.zeros(len(start) + 1, np.int64)
             for i, s in enumerate(cols["spans"]):
                 if s:

@@ -11,7 +11,6 @@ import numpy as np
 import pytest
 
 from catchment.llm import prefix_trie, resampling, window_dedup
-from catchment.llm.common import Chunk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FEATURE = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -86,11 +85,10 @@ def test_window_texts_and_counts(spark, passages):
 def test_windows_of_one_hash_are_told_apart(monkeypatch):
     """With all hashes equal the bytes alone decide."""
     texts = ["a b c d e f", "b c d x", "c d e f g", "q b c d"]
-    c = Chunk(texts)
-    c.words()
+    c = window_dedup.Words(texts)
     at = window_dedup._windows(c, 3)
     row = c.w_doc[at]
-    w = window_dedup.Windows(*window_dedup.joined(c), at, row.astype(np.int64), row, at - c.w_lo[row], np.ones(len(at), np.int64), 3)
+    w = window_dedup.Windows(c.flat, c.first, c.last, at, row.astype(np.int64), row, at - c.w_lo[row], np.ones(len(at), np.int64), 3)
     lost, total, _ = window_dedup.judge(w)
     monkeypatch.setattr(window_dedup.Windows, "hashes", lambda self: np.zeros(len(self.at), np.uint64))
     again, same, _ = window_dedup.judge(w)
@@ -98,11 +96,10 @@ def test_windows_of_one_hash_are_told_apart(monkeypatch):
 
 
 def test_packed_strings_hold_their_windows():
-    c = Chunk(["a b c d e f g", "", "h i j k l"])
-    c.words()
+    c = window_dedup.Words(["a b c d e f g", "", "h i j k l"])
     at = window_dedup._windows(c, 3)
     row = c.w_doc[at]
-    w = window_dedup.Windows(*window_dedup.joined(c), at, row.astype(np.int64) * 10, row, at - c.w_lo[row], np.arange(1, len(at) + 1), 3)
+    w = window_dedup.Windows(c.flat, c.first, c.last, at, row.astype(np.int64) * 10, row, at - c.w_lo[row], np.arange(1, len(at) + 1), 3)
     keep = np.array([0, 1, 3, 5, 6, 7])
     packed = window_dedup._pack(w, keep, w.count, np.array([0, 2, 3]), np.array([4, 9, 4]))
     back = window_dedup._unpack(list(packed.values()), 3)
@@ -116,9 +113,8 @@ def test_hot_minimisers_are_found(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(60))) for i in range(300)] + [(1000 + i, " ".join(["so"] * 3 * 13 + [f"u{i}"])) for i in range(40)]
     hot = window_dedup.hot_slots(spark.createDataFrame(rows, SCHEMA), 13, 4096)
-    c = Chunk([rows[-1][1]])
-    c.words()
-    assert int(window_dedup._slot(window_dedup.minimisers(c.w_hash, 13)[:1], 4096)[0]) in hot and len(hot) < 4096 / window_dedup.HOT
+    c = window_dedup.Words([rows[-1][1]])
+    assert int(window_dedup._slot(window_dedup.minimisers(c.hashes(), 13)[:1], 4096)[0]) in hot and len(hot) < 4096 / window_dedup.HOT
 
 
 def test_very_long_text_in_windows(spark):
