@@ -4,7 +4,7 @@ A word goes if a window of N words that covers it also starts in a document with
 window to its bucket would move the corpus N times. Instead the minimiser of a window - the least hash among
 its runs of MINIMISER words - names its bucket; windows that follow one another mostly share it, and travel
 together as one packed string, their words joined by one space. Equal windows have equal minimisers and meet
-in one bucket, where they are cut out of the strings again, sorted by a 61-bit hash, and neighbours of equal hash
+in one bucket, where they are cut out of the strings again, sorted by a hash, and neighbours of equal hash
 compared byte by byte, so that counts are exact.
 
 The same kernel runs up to three times, and each run leaves of each window only what its least document has:
@@ -41,6 +41,9 @@ SLOTS = 1 << 12, 1 << 22
 HOT = 8
 #: Groups among which a hot window's holders are parted before they meet.
 SALTS = 1024
+#: Bytes of words that are hashed at a time, and an odd factor.
+SLAB = 1 << 20
+ODD = np.uint64(0xBF58476D1CE4E5B9)
 #: Packed strings of more bytes are compressed.
 SMALL = 1 << 10
 
@@ -62,9 +65,26 @@ class Words(Chunk):
         self.w_lo, self.w_hi = np.searchsorted(start, self.start), np.searchsorted(start, self.end)
         self.w_doc = np.repeat(np.arange(len(self.size)), self.w_hi - self.w_lo)
 
-    def hashes(self) -> np.ndarray:
-        self.prefix = prefix_hash(self.flat)
-        return span_hash(self.prefix, self.first, self.last)
+
+def word_hashes(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words [start, end) of ``flat``, ascending, some SLAB bytes at a time."""
+    out = np.empty(len(start), np.uint64)
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + SLAB)))
+        prefix = prefix_hash(flat[start[lo] : end[hi - 1]])
+        out[lo:hi] = span_hash(prefix, start[lo:hi] - start[lo], end[lo:hi] - start[lo])
+        lo = hi
+    return out
+
+
+def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of n words in a row: of runs of 2, 4, 8 and so on, and of two such runs that overlap."""
+    p = 1
+    while 2 * p <= n:
+        words = mix(words[: max(0, len(words) - p)] * ODD + words[p:])
+        p *= 2
+    return mix(words[: max(0, len(words) - n + p)] * ODD + words[n - p :]) if p < n else words
 
 
 @dataclass
@@ -80,11 +100,11 @@ class Windows:
     place: np.ndarray
     count: np.ndarray
     n: int
-    prefix: np.ndarray | None = None
+    words: np.ndarray | None = None
 
     def hashes(self) -> np.ndarray:
-        prefix = prefix_hash(self.flat) if self.prefix is None else self.prefix
-        return span_hash(prefix, self.start[self.at], self.end[self.at + self.n - 1])
+        words = word_hashes(self.flat, self.start, self.end) if self.words is None else self.words
+        return window_hashes(words, self.n)[self.at]
 
 
 def judge(w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,10 +115,9 @@ def judge(w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order, fresh = first_of(h)
     lo, hi = w.start[w.at][order], w.end[w.at + w.n - 1][order]
     again = np.flatnonzero(~fresh)
-    blob, ends = w.flat.tobytes(), hi.tolist()
-    begins = lo.tolist()
-    if any(blob[begins[i] : ends[i]] != blob[begins[i - 1] : ends[i - 1]] for i in again.tolist()):  # windows of one hash differ
-        words = [blob[a:b] for a, b in zip(begins, ends)]
+    blob = w.flat.tobytes()
+    if any(blob[a:b] != blob[c:d] for a, b, c, d in zip(*(x.tolist() for x in (lo[again], hi[again], lo[again - 1], hi[again - 1])))):  # windows of one hash differ
+        words = [blob[a:b] for a, b in zip(lo.tolist(), hi.tolist())]
         by = sorted(range(len(words)), key=words.__getitem__)
         fresh = np.array([k == 0 or words[i] != words[by[k - 1]] for k, i in enumerate(by)])
         order = order[by]
@@ -152,7 +171,7 @@ def hot_slots(docs: DataFrame, n: int, slots: int) -> list[int]:
         def kernel(cols):
             c = Words(cols["text"])
             at = _windows(c, n)
-            least = minimisers(c.hashes(), n)[at]
+            least = minimisers(word_hashes(c.flat, c.first, c.last), n)[at]
             runs = _runs(at, least)
             slot, count = np.unique(_slot(least[runs], slots), return_counts=True)
             return {"slot": slot.astype(np.int64), "n": count.astype(np.int64)}
@@ -223,11 +242,11 @@ def _deal(docs: DataFrame, n: int, parts: int, slots: int, hot: list[int]) -> Da
     def make():
         def kernel(cols):
             c = Words(cols["text"])
-            word_hash = c.hashes()
+            word_hash = word_hashes(c.flat, c.first, c.last)
             at = _windows(c, n)
             row = c.w_doc[at]
             doc, twin = np.array(cols["doc"], np.int64), np.array(cols["twin"], np.int64)
-            w = Windows(c.flat, c.first, c.last, at, doc[row], twin[row], at - c.w_lo[row], np.ones(len(at), np.int64), n, c.prefix)
+            w = Windows(c.flat, c.first, c.last, at, doc[row], twin[row], at - c.w_lo[row], np.ones(len(at), np.int64), n, word_hash)
             lost, total, h = judge(w)
             out: dict = {"part": [], "open": [], "lost": []}
             keep = np.flatnonzero(~lost)

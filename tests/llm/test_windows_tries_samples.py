@@ -114,7 +114,7 @@ def test_hot_minimisers_are_found(spark):
     rows = [(i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(60))) for i in range(300)] + [(1000 + i, " ".join(["so"] * 3 * 13 + [f"u{i}"])) for i in range(40)]
     hot = window_dedup.hot_slots(spark.createDataFrame(rows, SCHEMA), 13, 4096)
     c = window_dedup.Words([rows[-1][1]])
-    assert int(window_dedup._slot(window_dedup.minimisers(c.hashes(), 13)[:1], 4096)[0]) in hot and len(hot) < 4096 / window_dedup.HOT
+    assert int(window_dedup._slot(window_dedup.minimisers(window_dedup.word_hashes(c.flat, c.first, c.last), 13)[:1], 4096)[0]) in hot and len(hot) < 4096 / window_dedup.HOT
 
 
 def test_very_long_text_in_windows(spark):
