@@ -5,16 +5,18 @@ from __future__ import annotations
 import pickle
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..borders import Arrays, Block, Forest, contract, joined_rims, numbered, pack, rim_cells
+from ..borders import Arrays, Block, Forest, contract, joined_rims, numbered, pack, rim_cells, roots_of
 from ..checkpoints import materialize
-from ..grid import GridMeta, is_edge, neighbours
-from ..tiles import SIZE, Field, each_tile, from_tiles, many, relax, shape, shifted, sweep, to_tiles
+from ..grid import DIRECTIONS, GridMeta, is_edge, neighbours
+from ..tiles import SIZE, Field, each_tile, from_tiles, many, padded, relax, shape, shifted, to_tiles
 
 EPSILON = 1e-5
-_FAR = 2**62
+_FAR, _NEVER = 2**62, 2**30
+#: Roots in each range of their order.
+RANKED_ROWS = 1_000_000
 _Z = Field("f8", np.nan)
 _N = [f"n{k}" for k in range(8)]
 
@@ -174,38 +176,207 @@ def flat_cells(cells: DataFrame, meta: GridMeta, edges_drain: bool = True) -> Da
     return again.select("r", "c", "z", "candidate", low.alias("low"), "high")
 
 
-def _spread_label(p: dict[str, np.ndarray]) -> np.ndarray:
-    z = p["z"]
-    same = [shifted(z, k) == z[1:-1, 1:-1] for k in range(8)]
-    return sweep(p["label"].copy(), lambda k, label, at: np.where(same[k][at], label, _FAR))
+#: Bits of a cell's flags in tiles.
+CANDIDATE, HIGH, LOW, OPEN = 1, 2, 4, 8
+_FLAT = {"z": _Z, "flags": Field("u1", 0), "root": Field("i8", _FAR), "dist": Field("i4", _NEVER, 2)}
 
 
-def _spread_distance(p: dict[str, np.ndarray]) -> np.ndarray:
-    label = p["label"]
-    open_ = (p["candidate"][1:-1, 1:-1] == 1) & (label[1:-1, 1:-1] < _FAR)
-    same = [(shifted(label, k) == label[1:-1, 1:-1]) & open_ for k in range(8)]
-    return sweep(p["dist"].copy(), lambda k, dist, at: np.where(same[k][at], dist, _FAR) + 1)
+def _judge(meta: GridMeta, size: int):
+    """Candidates and high cells of a tile whose z is padded."""
 
+    def work(row: dict) -> dict:
+        h, w = shape(meta, row["tr"], row["tc"], size)
+        padded_z = _Z.read(row["z"], h + 2, w + 2)
+        z = padded_z[1:-1, 1:-1]
+        near = [shifted(padded_z, k) for k in range(8)]
+        candidate = ~np.isnan(z) & ~np.any([x < z for x in near], axis=0)
+        high = candidate & np.any([x > z for x in near], axis=0)
+        return {"tr": row["tr"], "tc": row["tc"], "z": z.tobytes(), "flags": (candidate * CANDIDATE + high * HIGH).astype(np.uint8).tobytes()}
+
+    return work
+
+
+def _parts(meta: GridMeta, size: int, edges_drain: bool, row: dict) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(block, z, flags, component, root) of a tile with z and flags padded: LOW is set, and a component is what equal elevation joins."""
+    h, w = shape(meta, row["tr"], row["tc"], size)
+    block = Block.at(meta, row["tr"], row["tc"], size, size)
+    pz, pf = _Z.read(row["z"], h + 2, w + 2), _FLAT["flags"].read(row["flags"], h + 2, w + 2)
+    z, flags = pz[1:-1, 1:-1], pf[1:-1, 1:-1].copy()
+    candidate = (flags & CANDIDATE) > 0
+    low = ~np.isnan(z) & ~candidate & np.any([(shifted(pz, k) == z) & ((shifted(pf, k) & CANDIDATE) > 0) for k in range(8)], axis=0)
+    if edges_drain:
+        r, c = np.arange(block.r0, block.r1)[:, None], np.arange(block.c0, block.c1)
+        low |= candidate & ((r == 0) | (r == meta.height - 1) | (c == 0) | (c == meta.width - 1))
+    flags[low] |= LOW
+    a, b = [], []
+    place = np.arange(h * w).reshape(h, w)
+    for dr, dc in ((0, 1), (1, 1), (1, 0), (1, -1)):
+        here = (slice(0, h - dr), slice(max(0, -dc), w - max(0, dc)))
+        there = (slice(dr, h), slice(max(0, dc), w + min(0, dc)))
+        same = z[here] == z[there]
+        a.append(place[here][same])
+        b.append(place[there][same])
+    part = roots_of(h * w, np.concatenate(a), np.concatenate(b))
+    root = np.full(h * w, _FAR, np.int64)
+    at = np.flatnonzero(low.ravel())
+    np.minimum.at(root, part[at], _names(block, at))
+    return block, z, flags, part, root[part]
+
+
+def _least_roots(rims: Arrays, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, component of each, its root) after the members' components are joined where equal cells meet."""
+    i, j, _ = block.meetings(rims["key"])
+    same = rims["z"][i] == rims["z"][j]
+    every, (node, a, b) = numbered(rims["node"], rims["node"][i[same]], rims["node"][j[same]])
+    part = roots_of(len(every), a, b)
+    root = np.full(len(every), _FAR, np.int64)
+    np.minimum.at(root, part[node], rims["root"])
+    return every, part, root[part]
+
+
+def _flat_tiles(cells: DataFrame, meta: GridMeta, edges_drain: bool, size: int) -> DataFrame:
+    """Tiles with z, flags, root (row-major id of the flat's first low edge), and dist: 1 at low and at high edges.
+
+    Components of a tile are joined with those of its neighbours on their rims alone, group by group.
+    """
+    tiles = to_tiles(cells, meta, {"z": _Z}, size)
+    tiles = materialize(tiles) if many(meta, size) else tiles
+    keep = {n: _FLAT[n] for n in ("z", "flags")}
+    judged = each_tile(padded(tiles, meta, {"z": _Z}, size), _judge(meta, size), "tr int, tc int, z binary, flags binary")
+    base = padded(materialize(judged) if many(meta, size) else judged, meta, keep, size)
 
-def _distance(flats: DataFrame, meta: GridMeta, source, name: str, size: int) -> DataFrame:
-    fields = {"label": Field("i8", _FAR), "candidate": Field("u1", 0), "dist": Field("i8", _FAR)}
-    cells = flats.select("r", "c", F.col("root").alias("label"), F.col("candidate").cast("int").alias("candidate"), F.when(source, 1).cast("long").alias("dist"))
-    tiles = relax(to_tiles(cells, meta, fields, size), meta, fields, "dist", _spread_distance, size)
-    return from_tiles(tiles, meta, {"dist": (fields["dist"], "bigint")}, size).filter(F.col("dist") < _FAR).withColumnRenamed("dist", name)
+    def summary(row: dict) -> dict:
+        block, z, _, part, root = _parts(meta, size, edges_drain, row)
+        at, key = rim_cells(meta, block)
+        valid = ~np.isnan(z.ravel()[at])
+        at, key = at[valid], key[valid]
+        return {"tr": row["tr"], "tc": row["tc"], "blob": pack({"key": key, "z": z.ravel()[at], "node": _names(block, part[at]), "root": root[at]})}
+
+    def merge(block: Block, members: dict) -> Arrays:
+        rims = joined_rims(members, "z", "node", "root")
+        every, part, root = _least_roots(rims, block)
+        out = block.outer(rims["key"])
+        node = np.searchsorted(every, rims["node"][out])
+        return {"key": rims["key"][out], "z": rims["z"][out], "node": every[part[node]], "root": root[node]}
+
+    def solve(block: Block, members: dict, answer: Arrays | None) -> dict:
+        every, part, root = _least_roots(joined_rims(members, "z", "node", "root"), block)
+        if answer:
+            at = part[np.searchsorted(every, answer["node"])]
+            told = np.full(len(every), _FAR, np.int64)
+            np.minimum.at(told, at, answer["root"])
+            root = np.minimum(root, told[part])
+        nodes = {k: np.unique(m["node"]) for k, m in members.items()}
+        return {k: {"node": n, "root": root[np.searchsorted(every, n)]} for k, n in nodes.items()}
+
+    def start(row: dict) -> dict:
+        block, z, flags, part, root = _parts(meta, size, edges_drain, row)
+        if row.get("blob"):
+            told = pickle.loads(row["blob"])
+            place = (told["node"] // meta.width - block.r0) * (block.c1 - block.c0) + told["node"] % meta.width - block.c0
+            known = np.full(z.size, _FAR, np.int64)
+            known[place] = told["root"]
+            root = np.minimum(root, known[part])
+        root = root.reshape(z.shape)
+        low, drained = (flags & LOW) > 0, root < _FAR
+        flags[drained & ((flags & CANDIDATE) > 0)] |= OPEN
+        dist = np.full((2, *z.shape), _NEVER, np.int32)
+        dist[0][low] = 1
+        dist[1][drained & ~low & ((flags & HIGH) > 0)] = 1
+        return {"tr": row["tr"], "tc": row["tc"], "z": z.tobytes(), "flags": flags.tobytes(), "root": root.tobytes(), "dist": dist.tobytes()}
+
+    if many(meta, size):
+        base = materialize(base)
+        answers = contract(materialize(each_tile(base, summary, "tr int, tc int, blob binary")), meta, size, merge, solve)
+        base = base.join(answers, ["tr", "tc"], "left")
+    return each_tile(base, start, "tr int, tc int, z binary, flags binary, root binary, dist binary")
+
+
+def _spread(p: dict[str, np.ndarray]) -> np.ndarray:
+    """Steps through open cells of equal elevation from the cells whose distance is known, for both distances: waves of cells."""
+    z = np.pad(p["z"], 1, constant_values=np.nan)
+    width = z.shape[1]
+    may = np.zeros(z.shape, bool)
+    may[2:-2, 2:-2] = (p["flags"][1:-1, 1:-1] & OPEN) > 0
+    z, may = z.ravel(), may.ravel()
+    out = []
+    for plane in p["dist"]:
+        dist = np.pad(plane, 1, constant_values=_NEVER).ravel()
+        known = np.flatnonzero(dist < _NEVER)
+        known = known[np.argsort(dist[known], kind="stable")]
+        starts = dist[known]
+        at, front, d = 0, np.empty(0, np.int64), 0
+        while len(front) or at < len(known):
+            if not len(front):
+                d = int(starts[at])
+            end = int(np.searchsorted(starts, d, "right"))
+            new = known[at:end]
+            front, at = np.concatenate([front, new[dist[new] == d]]), end
+            found = []
+            for dr, dc in DIRECTIONS:
+                to = front + dr * width + dc
+                ok = may[to] & (z[to] == z[front]) & (dist[to] > d + 1)
+                dist[to[ok]] = d + 1
+                found.append(to[ok])
+            front, d = np.unique(np.concatenate(found)), d + 1
+        out.append(dist.reshape(-1, width)[2:-2, 2:-2])
+    return np.stack(out)
 
 
 def _ranked(ids: DataFrame, column: str) -> DataFrame:
     """Distinct ids with their place (from 1) in ascending order: sorted ranges, then offsets of the few ranges."""
-    n = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = materialize(ids.repartitionByRange(n, column).withColumn("part", F.spark_partition_id()))
-    sizes = {x.part: x["count"] for x in placed.groupBy("part").count().collect()}
-    base, total = {}, 0
-    for part in sorted(sizes):
-        base[part], total = total, total + sizes[part]
-    from pyspark.sql import Window
+    placed = materialize(ids.repartitionByRange(1 + ids.count() // RANKED_ROWS, column).withColumn("part", F.spark_partition_id()))
+    sizes = placed.groupBy("part").count()
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    base = sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(column))
+    return placed.join(F.broadcast(base), "part").withColumn("place", within + F.col("base")).drop("part", "base")
+
+
+_SHOWN = {"z": (_Z, "double"), "flags": (Field("i2", 0), "short"), "root": (_FLAT["root"], "bigint"), "label": (Field("i4", 0), "int"), "d_high": (Field("i4", 0), "int"), "d_low": (Field("i4", 0), "int"), "flat_mask": (Field("i4", 0), "int")}
+
+
+def _flat_cells_of(tiles: DataFrame, meta: GridMeta, size: int) -> DataFrame:
+    """One row per cell of tiles with flags, roots and distances: labels are ranks of roots, and masks need the furthest high cell of a flat, which may lie in another tile."""
+    tops_of = "tr int, tc int, tops array<struct<root: bigint, top: int>>"
 
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in base.items() for x in kv]), F.col("part")) if base else F.lit(0)
-    return placed.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(column)) + offset).drop("part")
+    def tops(row: dict) -> dict:
+        root, dist = np.frombuffer(row["root"], "i8"), np.frombuffer(row["dist"], "i4").reshape(2, -1)
+        at = np.flatnonzero(root < _FAR)
+        ids, of = np.unique(root[at], return_inverse=True)
+        top = np.zeros(len(ids), np.int32)
+        far = dist[1][at]
+        np.maximum.at(top, of, np.where(far < _NEVER, far, 0))
+        return {"tr": row["tr"], "tc": row["tc"], "tops": [{"root": int(i), "top": int(t)} for i, t in zip(ids, top)]}
+
+    def finish(row: dict) -> dict:
+        h, w = shape(meta, row["tr"], row["tc"], size)
+        known = row["ranked"] if "ranked" in row else [t | {"label": k + 1} for k, t in enumerate(tops(row)["tops"])]
+        ids = np.array([k["root"] for k in known or []], np.int64)
+        order = np.argsort(ids)
+        ids = np.append(ids[order], _FAR)
+        top, label = (np.append(np.array([k[n] for k in known or []], np.int32)[order], 0) for n in ("top", "label"))
+        root = np.frombuffer(row["root"], "i8")
+        of = np.searchsorted(ids, root)
+        low, high = np.frombuffer(row["dist"], "i4").reshape(2, -1)
+        low, high = np.where(low < _NEVER, low, 0), np.where(high < _NEVER, high, 0)
+        mask = np.where(low == 0, -high, np.where(high > 0, top[of] - high + 2 * low, 2 * low))
+        out = {"z": row["z"], "flags": np.frombuffer(row["flags"], "u1"), "root": root, "label": label[of], "d_high": high, "d_low": low, "flat_mask": mask}
+        return {"tr": row["tr"], "tc": row["tc"]} | {n: a if isinstance(a, bytes) else a.astype(_SHOWN[n][0].dtype).tobytes() for n, a in out.items()}
+
+    if many(meta, size):
+        each = materialize(each_tile(tiles, tops, tops_of).select("tr", "tc", F.explode("tops").alias("t")).select("tr", "tc", "t.root", "t.top"))
+        flat = each.groupBy("root").agg(F.max("top").alias("top"))
+        whole = flat.join(_ranked(each.select("root").distinct(), "root"), "root")
+        told = each.select("tr", "tc", "root").join(whole, "root").groupBy("tr", "tc").agg(F.collect_list(F.struct("root", "top", F.col("place").cast("int").alias("label"))).alias("ranked"))
+        tiles = tiles.join(told, ["tr", "tc"], "left")
+    schema = "tr int, tc int, " + ", ".join(f"{n} binary" for n in _SHOWN)
+    done = from_tiles(each_tile(tiles, finish, schema), meta, _SHOWN, size)
+    bit = lambda b: F.col("flags").bitwiseAND(F.lit(b)) > 0
+    return done.select(
+        "r", "c", F.when(~F.isnan("z"), F.col("z")).alias("z"), bit(CANDIDATE).alias("candidate"), bit(LOW).alias("low"), bit(HIGH).alias("high"), F.when(F.col("root") < _FAR, F.col("root")).alias("root"),
+        F.when(F.col("root") < _FAR, F.col("label")).alias("label"), *[F.nullif(n, F.lit(0)).alias(n) for n in ("d_high", "d_low")], "flat_mask",
+    )
 
 
 def flats(cells: DataFrame, meta: GridMeta, edges_drain: bool = True, size: int = SIZE) -> DataFrame:
@@ -213,30 +384,16 @@ def flats(cells: DataFrame, meta: GridMeta, edges_drain: bool = True, size: int
 
     A flat is what equal elevation joins to a low edge, eight-connected.
     """
-    judged = materialize(flat_cells(cells, meta, edges_drain))
-    fields = {"z": _Z, "label": Field("i8", _FAR)}
-    cell_id = F.col("r").cast("long") * meta.width + F.col("c")
-    seeded = judged.select("r", "c", "z", F.when(F.col("low"), cell_id).alias("label"))
-    tiles = relax(to_tiles(seeded, meta, fields, size), meta, fields, "label", _spread_label, size)
-    root = from_tiles(tiles, meta, {"label": (fields["label"], "bigint")}, size).filter(F.col("label") < _FAR).withColumnRenamed("label", "root")
-    with_root = materialize(judged.join(root, ["r", "c"], "left"))
-    rank = _ranked(with_root.filter("root is not null").select("root").distinct(), "root").withColumnRenamed("place", "label")
-    return with_root.join(rank, "root", "left").select("r", "c", "z", "candidate", "low", "high", "root", F.col("label").cast("int").alias("label"))
-
-
-def flat_gradients(labelled: DataFrame, meta: GridMeta, size: int = SIZE) -> DataFrame:
-    """``labelled`` with flat_mask: away from higher terrain, and twice as strongly towards lower; 0 where neither reaches."""
-    high = F.col("high") & F.col("root").isNotNull() & ~F.col("low")
-    d_high, d_low = _distance(labelled, meta, high, "d_high", size), _distance(labelled, meta, F.col("low"), "d_low", size)
-    both = materialize(labelled.join(d_high, ["r", "c"], "left").join(d_low, ["r", "c"], "left"))
-    top = both.filter("root is not null").groupBy("root").agg(F.max("d_high").alias("top"))
-    mask = F.when(F.col("d_low").isNull(), -F.coalesce("d_high", F.lit(0))).when(F.col("d_high").isNotNull(), F.col("top") - F.col("d_high") + 2 * F.col("d_low")).otherwise(2 * F.col("d_low"))
-    return both.join(top, "root", "left").select(*labelled.columns, "d_high", "d_low", F.coalesce(mask, F.lit(0)).cast("int").alias("flat_mask"))
+    return _flat_cells_of(materialize(_flat_tiles(cells, meta, edges_drain, size)), meta, size).drop("d_high", "d_low", "flat_mask")
 
 
 def resolve_flats(cells: DataFrame, meta: GridMeta, epsilon: float = EPSILON, edges_drain: bool = True, size: int = SIZE) -> DataFrame:
-    """Flats with an imposed gradient: r, c, z, label, flat_mask, resolved, and the flags of each cell."""
-    done = flat_gradients(flats(cells, meta, edges_drain, size), meta, size)
+    """Flats with an imposed gradient: r, c, z, label, flat_mask, resolved, and the flags and distances of each cell.
+
+    flat_mask rises away from higher terrain, and twice as strongly towards lower; 0 where neither reaches.
+    """
+    tiles = relax(_flat_tiles(cells, meta, edges_drain, size), meta, _FLAT, "dist", _spread, size)
+    done = _flat_cells_of(tiles, meta, size)
     lift = F.col("label").isNotNull() & (F.col("flat_mask") > 0)
     return done.withColumn("resolved", F.when(lift, F.col("z") + epsilon * F.col("flat_mask")).otherwise(F.col("z")))
 

@@ -118,30 +118,6 @@ def shifted(padded: np.ndarray, k: int) -> np.ndarray:
     return padded[..., 1 + dr : 1 + dr + h, 1 + dc : 1 + dc + w]
 
 
-def sweep(padded: np.ndarray, combine: Callable[[int, np.ndarray, tuple], np.ndarray]) -> np.ndarray:
-    """The least fixed point of the inside of a padded array under its neighbours, by sweeps in four directions.
-
-    ``combine(k, values, at)`` gives what the neighbours in direction k offer to the line ``at``. A sweep carries
-    values along whole paths that keep to its direction, so few are needed.
-    """
-    inner = padded[1:-1, 1:-1]
-    h, w = inner.shape
-    ways = [((0, 6, 7), range(h), True), ((2, 3, 4), range(h - 1, -1, -1), True), ((4, 5, 6), range(w), False), ((0, 1, 2), range(w - 1, -1, -1), False)]
-    while True:
-        before = inner.copy()
-        for near, lines, rows in ways:
-            for i in lines:
-                at = (i, slice(None)) if rows else (slice(None), i)
-                best = inner[at]
-                for k in near:
-                    dr, dc = DIRECTIONS[k]
-                    values = padded[1 + i + dr, 1 + dc : 1 + dc + w] if rows else padded[1 + dr : 1 + dr + h, 1 + i + dc]
-                    best = np.minimum(best, combine(k, values, at))
-                inner[at] = best
-        if np.array_equal(before, inner):
-            return before
-
-
 def _place(d: int, n: int) -> slice:
     return slice(1, n + 1) if d == 0 else slice(0, 1) if d < 0 else slice(n + 1, n + 2)
 
