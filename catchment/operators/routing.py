@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..borders import Arrays, Block, contract, ends_of, joined_rims, pack, rim_cells
+from ..checkpoints import materialize
 from ..functions.geo import row_steps
 from ..grid import DIRECTIONS, NO_DATA, NO_FLOW, GridMeta, neighbours
-from ..tiles import SIZE, Field, from_tiles, relax, to_tiles
+from ..tiles import SIZE, Field, each_tile, from_tiles, many, relax, shape, to_tiles
 
 METHODS = ("d8", "mfd_quinn_1991")
 UNITS = {"cells": 1.0, "m2": 1.0, "km2": 1e-6}
@@ -80,7 +83,8 @@ def _padded_flow(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.n
     valid = ~np.isnan(p["mass"])
     width = valid.shape[1]
     share = np.stack([(p["dir"] == k) for k in range(8)]).astype(float) if "dir" in p else p["w"].astype(float)
-    return valid.ravel(), p["mass"].ravel(), (share * valid).reshape(8, -1), [dr * width + dc for dr, dc in DIRECTIONS]
+    own = p["mass"] + p["inflow"] if "inflow" in p else p["mass"]
+    return valid.ravel(), own.ravel(), (share * valid).reshape(8, -1), [dr * width + dc for dr, dc in DIRECTIONS]
 
 
 def _gather(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -91,7 +95,7 @@ def _gather(p: dict[str, np.ndarray]) -> np.ndarray:
     inside[1:-1, 1:-1] = True
     inside = inside.ravel() & valid
     open_ = inside & np.isnan(total)
-    waits = np.zeros(len(total), np.int16)
+    waits = p["open"].ravel().astype(np.int16) if "open" in p else np.zeros(len(total), np.int16)
     cells = np.flatnonzero(open_)
     for k in range(8):
         source = cells - step[k]
@@ -130,13 +134,146 @@ def _leftover(p: dict[str, np.ndarray]) -> np.ndarray:
     return out.reshape(p["total"].shape)[1:-1, 1:-1]
 
 
+_FLOW = {"mass": Field("f8", np.nan), "dir": Field("i2", NO_DATA)}
+_LOST = -1
+
+
+def _paths(block: Block, mass: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(next, exit) of a tile's cells: where a cell flows within the tile (itself where its path ends), and the key of a cell of another tile that it flows to, or -1."""
+    h, w = mass.shape
+    valid, k = ~np.isnan(mass).ravel(), code.ravel()
+    moves = valid & (k >= 0) & (k < 8)
+    step = np.array(DIRECTIONS)[np.where(moves, k, 0)]
+    at = np.arange(h * w)
+    r, c = at // w + step[:, 0], at % w + step[:, 1]
+    inside = moves & (r >= 0) & (r < h) & (c >= 0) & (c < w)
+    to = np.where(inside, r * w + c, at)
+    r, c = r + block.r0, c + block.c0
+    leaves = moves & ~inside & (r >= 0) & (r < block.meta.height) & (c >= 0) & (c < block.meta.width)
+    return np.where(valid[to], to, at), np.where(leaves, r * np.int64(block.meta.width) + c, _LOST)
+
+
+def _chained(block: Block, members: dict) -> tuple[Arrays, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rims, entry, exit of it, leaves, after) of a group: the place that each exit flows to within the group and the exit that its flow then takes (-1 if none),
+    whether an exit leaves the group, and the exit that follows each exit (itself at the end; the last number stands for lost flow)."""
+    rims = joined_rims(members, "valid", "end", "to", "out")
+    key, n = rims["key"], len(rims["key"])
+
+    def place(of: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(key, of), n - 1)
+        return np.where(key[at] == of, at, -1)
+
+    to, width = rims["to"], block.meta.width
+    goes = to >= 0
+    within = goes & block.holds(to // width, to % width)
+    entry = np.where(within, place(to), -1)
+    entry = np.where((entry >= 0) & rims["valid"][entry], entry, -1)
+    ends = np.where(rims["end"] >= 0, place(rims["end"]), -1)  # the exit of each rim cell as an entry
+    leaves = goes & ~within
+    after = np.append(np.where(leaves | ~goes, np.arange(n), np.where(entry >= 0, np.where(ends[entry] >= 0, ends[entry], n), n)), n)
+    return rims, entry, ends, leaves, after
+
+
+def _merged_flow(block: Block, members: dict) -> Arrays:
+    """A group as one tile: where flow that enters its rim leaves it, and what its own mass sends out."""
+    rims, _, ends, leaves, after = _chained(block, members)
+    n = len(rims["key"])
+    final = ends_of(after)[:n]
+    led = np.where(ends >= 0, final[ends], -1)
+    led = np.where((led >= 0) & (led < n) & leaves[np.clip(led, 0, n - 1)], led, -1)
+    out = np.zeros(n)
+    sends = np.flatnonzero((rims["to"] >= 0) & (final >= 0) & (final < n))
+    np.add.at(out, final[sends], rims["out"][sends])
+    rim = block.outer(rims["key"])
+    end = np.where(led >= 0, rims["key"][led], _LOST)
+    return {"key": rims["key"][rim], "valid": rims["valid"][rim], "end": end[rim], "to": np.where(leaves, rims["to"], _LOST)[rim], "out": np.where(leaves, out, 0.0)[rim]}
+
+
+def _entering(block: Block, members: dict, answer: Arrays | None) -> dict:
+    """What flows into each member's rim cells; ``open`` where some of it never comes to an end (a cycle)."""
+    rims, entry, ends, leaves, after = _chained(block, members)
+    n = len(rims["key"])
+    inflow, open_ = np.zeros(n), np.zeros(n, bool)
+    if answer:
+        at = np.searchsorted(rims["key"], answer["key"])
+        inflow[at], open_[at] = answer["inflow"], answer["open"]
+    flow, waits = np.append(rims["out"], 0.0), np.zeros(n + 1, np.int64)
+    np.add.at(flow, ends[ends >= 0], inflow[ends >= 0])
+    np.add.at(waits, ends[open_ & (ends >= 0)], 1)
+    on = np.flatnonzero((rims["to"] >= 0) & (after[:n] != np.arange(n)))
+    np.add.at(waits, after[on], 1)
+    ready = np.flatnonzero((rims["to"] >= 0) & (waits[:n] == 0))
+    done = np.zeros(n, bool)
+    while len(ready):
+        done[ready] = True
+        moving = ready[(after[ready] != ready) & (after[ready] < n)]
+        np.add.at(flow, after[moving], flow[moving])
+        np.subtract.at(waits, after[moving], 1)
+        following = np.unique(after[moving])
+        ready = following[(waits[following] == 0) & ~done[following]]
+    into = np.flatnonzero(entry >= 0)
+    np.add.at(inflow, entry[into[done[into]]], flow[into[done[into]]])
+    open_[entry[into[~done[into]]]] = True
+    some = (inflow != 0) | open_
+    of = {k: np.flatnonzero(some & (rims["member"] == m)) for m, k in enumerate(members)}
+    return {k: {"key": rims["key"][i], "inflow": inflow[i], "open": open_[i]} for k, i in of.items()}
+
+
+def _accumulate_single(tiles: DataFrame, meta: GridMeta, size: int, cycle_check: bool) -> DataFrame:
+    """Tiles with mass, total and left (cells whose inflow is not complete) of single flow.
+
+    A tile maps each rim cell to the cell by which what enters there leaves it. The maps of a group compose by doubling
+    along the exits of its members, so a path of any length takes two passes over the raster, and a circle shows as a path without an end.
+    """
+
+    def block_of(row: dict) -> tuple[Block, np.ndarray, np.ndarray]:
+        h, w = shape(meta, row["tr"], row["tc"], size)
+        return Block.at(meta, row["tr"], row["tc"], size, size), _FLOW["mass"].read(row["mass"], h, w), _FLOW["dir"].read(row["dir"], h, w)
+
+    def summary(row: dict) -> dict:
+        block, mass, code = block_of(row)
+        to, leaves = _paths(block, mass, code)
+        end, flat = ends_of(to), mass.ravel()
+        counted = np.flatnonzero(~np.isnan(flat) & (end >= 0))
+        out = np.bincount(end[counted], flat[counted], mass.size)
+        at, key = rim_cells(meta, block)
+        led = end[at]
+        w = block.c1 - block.c0
+        name = (block.r0 + led // w) * np.int64(meta.width) + block.c0 + led % w
+        exits = leaves[at] >= 0
+        known = (led >= 0) & (leaves[led] >= 0) & ~np.isnan(flat[at])
+        return {"tr": row["tr"], "tc": row["tc"], "blob": pack({"key": key, "valid": ~np.isnan(flat[at]), "end": np.where(known, name, _LOST), "to": leaves[at], "out": np.where(exits, out[at], 0.0)})}
+
+    def gather(row: dict) -> dict:
+        block, mass, code = block_of(row)
+        p = {n: np.pad(a, 1, constant_values=f) for n, a, f in (("mass", mass, np.nan), ("dir", code, NO_DATA), ("total", np.full(mass.shape, np.nan), np.nan))}
+        p |= {"inflow": np.zeros(p["mass"].shape), "open": np.zeros(p["mass"].shape, bool)}
+        if row.get("blob"):
+            told = pickle.loads(row["blob"])
+            at = told["key"] // meta.width - block.r0 + 1, told["key"] % meta.width - block.c0 + 1
+            p["inflow"][at], p["open"][at] = told["inflow"], told["open"]
+        total = _gather(p)
+        left = int((np.isnan(total) & ~np.isnan(mass)).sum())
+        if left and not cycle_check:
+            p["total"][1:-1, 1:-1] = total
+            total = _leftover(p)
+        return {"tr": row["tr"], "tc": row["tc"], "mass": mass.tobytes(), "total": total.tobytes(), "left": left}
+
+    if many(meta, size):
+        tiles = materialize(tiles)
+        answers = contract(materialize(each_tile(tiles, summary, "tr int, tc int, blob binary")), meta, size, _merged_flow, _entering)
+        tiles = tiles.join(answers, ["tr", "tc"], "left")
+    return materialize(each_tile(tiles, gather, "tr int, tc int, mass binary, total binary, left long"))
+
+
 def accumulate(cells: DataFrame, meta: GridMeta, out: str = "cells", size: int = SIZE, cycle_check: bool = True) -> DataFrame:
     """r, c, acc: own mass plus what flows in, 0 at NoData.
 
     ``cells`` has r, c, z (NULL: NoData), one of dir and w, and area_m2 for areas. Mass that leaves the
     grid or enters NoData is lost; a cell without mass passes on what it gets. A cell is done when all cells
     that flow into it are, so cells on or behind a cycle never are: that raises, or without ``cycle_check``
-    they keep their own mass and the complete part of their inflow.
+    they keep their own mass and the complete part of their inflow. Single flow is contracted along the borders of tiles; multiple flow,
+    of which a border cell may reach every other, goes in rounds that keep borders alone.
     """
     if out not in UNITS:
         raise ValueError(f"out must be one of {', '.join(UNITS)}")
@@ -146,20 +283,24 @@ def accumulate(cells: DataFrame, meta: GridMeta, out: str = "cells", size: int =
         raise ValueError("areas need area_m2")
     valid, nan = F.col("z").isNotNull(), F.lit(float("nan"))
     mass = F.when(valid, F.lit(1.0) if out == "cells" else F.coalesce("area_m2", F.lit(0.0))).otherwise(nan)
+    shown = {"mass": (_FLOW["mass"], "double"), "total": (Field("f8", np.nan), "double")}
     if "dir" in cells.columns:
-        name, field, flow = "dir", Field("i2", NO_DATA), F.when(valid, F.col("dir")).otherwise(F.lit(NO_DATA))
-    else:
-        none = F.array_repeat(F.lit(0.0).cast("float"), 8)
-        name, field, flow = "w", Field("f4", 0.0, 8), F.when(valid, F.transform("w", lambda x: F.greatest(F.nanvl(F.coalesce(x, F.lit(0.0).cast("float")), F.lit(0.0).cast("float")), F.lit(0.0).cast("float")))).otherwise(none)
-    fields = {"mass": Field("f8", np.nan), name: field, "total": Field("f8", np.nan)}
-    rows = cells.select("r", "c", mass.alias("mass"), flow.alias(name), nan.alias("total"))
-    tiles = relax(to_tiles(rows, meta, fields, size), meta, fields, "total", _gather, size)
-    shown = {"mass": (fields["mass"], "double"), "total": (fields["total"], "double")}
-    done = from_tiles(tiles, meta, shown, size)
-    if done.filter("isnan(total) and not isnan(mass)").take(1):
-        if cycle_check:
+        rows = cells.select("r", "c", mass.alias("mass"), F.when(valid, F.col("dir")).otherwise(F.lit(NO_DATA)).cast("short").alias("dir"))
+        tiles = _accumulate_single(to_tiles(rows, meta, _FLOW, size), meta, size, cycle_check)
+        if cycle_check and tiles.filter("left > 0").take(1):
             raise FlowCycleError("flow directions form a cycle")
-        done = from_tiles(relax(tiles, meta, fields, "total", _leftover, size, once=True), meta, shown, size)
+        done = from_tiles(tiles, meta, shown, size)
+    else:
+        zero = F.lit(0.0).cast("float")
+        weights = F.coalesce(F.when(valid, F.transform("w", lambda x: F.greatest(F.nanvl(F.coalesce(x, zero), zero), zero))), F.array_repeat(zero, 8))
+        fields = {"mass": _FLOW["mass"], "w": Field("f4", 0.0, 8), "total": Field("f8", np.nan)}
+        rows = cells.select("r", "c", mass.alias("mass"), weights.alias("w"), nan.alias("total"))
+        tiles = relax(to_tiles(rows, meta, fields, size), meta, fields, "total", _gather, size)
+        done = from_tiles(tiles, meta, shown, size)
+        if done.filter("isnan(total) and not isnan(mass)").take(1):
+            if cycle_check:
+                raise FlowCycleError("flow directions form a cycle")
+            done = from_tiles(relax(tiles, meta, fields, "total", _leftover, size, once=True), meta, shown, size)
     return done.select("r", "c", F.when(F.isnan("mass"), 0.0).otherwise(F.col("total") * UNITS[out]).alias("acc"))
 
 
