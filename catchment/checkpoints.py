@@ -35,6 +35,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession, suffix: str = "") -> str:
+    """A new path under the shared checkpoint folder, deleted at exit."""
+    path = f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}{suffix}"
+    _KEPT[path] = spark
+    return path
+
+
 def release(*results: DataFrame | None, collect: bool = False) -> None:
     """Deletes the files of superseded results of ``materialize``; with ``collect`` Spark's cleaner also drops the shuffle files of finished jobs now."""
     for df in results:

@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .checkpoints import scratch
 from .functions import geo
 from .grid import GridMeta, densify, is_edge, neighbours, view
 from .operators import conditioning, regrid, routing, wetness
 from .plans import pipeline
+from .sources import gtiff_source
 from .sources.catalogue import catalogue, layer_name, scan_band
 from .tiles import SIZE as TILE
 
@@ -638,3 +640,36 @@ def scan_images(spark, sf_dir):
 @query("SELECT layer, CASE WHEN layer IN ('flow_acc', 'twi') THEN layer || '_GLO30_d8' WHEN layer IN ('dem', 'slope') THEN layer || '_GLO30' ELSE layer END AS name FROM (VALUES ('flow_acc'), ('twi'), ('dem'), ('slope'), ('mask')) t(layer)")
 def layer_names(spark, sf_dir):
     return spark.createDataFrame([(x, layer_name(x, "GLO30", "d8")) for x in ("flow_acc", "twi", "dem", "slope", "mask")], "layer string, name string")
+
+
+# --- files of a whole grid ----------------------------------------------------------------------------------
+
+
+def _file(spark, sf_dir, levels=0):
+    """The orders grid, with holes, as one GeoTIFF file of many blocks."""
+    path = scratch(spark, ".tif")
+    gtiff_source.write(*view(spark, sf_dir, "dem_orders", void=True), path, tile=64, levels=levels, predictor=3)
+    return path
+
+
+@query(f"WITH {ORDERS} SELECT r, c, z FROM cells")
+def gtiff_file(spark, sf_dir):
+    """A grid written as one file and read back."""
+    return gtiff_source.read(spark, _file(spark, sf_dir))
+
+
+@query(f"WITH {ORDERS}, s AS (SELECT max(r) + 1 AS h FROM cells) SELECT r, c, z FROM cells, s WHERE r >= h // 3 AND r < h - h // 4 AND c >= 21 AND c < 83")
+def gtiff_window(spark, sf_dir):
+    """A window of a file, of which only the blocks under it are read."""
+    path = _file(spark, sf_dir)
+    h = gtiff_source.meta_of(path).height
+    return gtiff_source.read(spark, path, window=(h // 3, h - h // 4, 21, 83))
+
+
+@query(f"""WITH {ORDERS}, levels AS (SELECT unnest(range(1, 4)) AS level)
+SELECT level::INT AS level, (r // (1 << level))::INT AS r, (c // (1 << level))::INT AS c, round(avg(z), 3) AS z FROM cells, levels GROUP BY ALL""")
+def gtiff_overviews(spark, sf_dir):
+    """The overviews of a file: means of the cells under each cell, across the borders of blocks."""
+    path = _file(spark, sf_dir, levels=3)
+    every = [gtiff_source.read(spark, path, level=k).select(F.lit(k).alias("level"), "r", "c", F.round("z", 3).alias("z")) for k in (1, 2, 3)]
+    return every[0].unionByName(every[1]).unionByName(every[2])

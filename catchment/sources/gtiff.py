@@ -1,6 +1,6 @@
 """GeoTIFF in and out: files are read by Spark's binaryFile source and decoded in the tasks; tiles are encoded as one small file each.
 
-Supported: classic files of either byte order; strips or tiles; one or several bands, chunky or planar; whole numbers and
+Supported: classic and BigTIFF files of either byte order; strips or tiles; one or several bands, chunky or planar; whole numbers and
 floats; no compression, LZW or deflate; predictors 1 to 3; a mask and overviews as further images; north-up grids. A file
 with anything else raises ValueError.
 """
@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +22,7 @@ from ..grid import GridMeta
 
 NODATA = -9999.0
 # fixed values: TIFF field types and their sizes, TIFF and GeoTIFF tags
-_TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 11: ("f", 4), 12: ("d", 8)}
+_TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 11: ("f", 4), 12: ("d", 8), 16: ("Q", 8), 17: ("q", 8), 18: ("Q", 8)}
 SUBFILE, WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, STRIP_ROWS, STRIP_BYTES = 254, 256, 257, 258, 259, 262, 273, 277, 278, 279
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES, FORMAT = 284, 317, 322, 323, 324, 325, 339
 PIXEL_SCALE, TIE_POINT, GEO_KEYS, GDAL_NODATA = 33550, 33922, 34735, 42113
@@ -186,68 +189,140 @@ def encode(values: np.ndarray, meta: GridMeta, nodata: float = NODATA, compressi
     return out
 
 
-def _images(blob: bytes) -> list[tuple[str, dict[int, tuple]]]:
-    """Byte order and tags of each image of a file."""
-    order = {b"II*\0": "<", b"MM\0*": ">"}.get(blob[:4])
-    if not order:
-        raise ValueError("not a classic TIFF file")
+Fetch = Callable[[int, int], bytes]
+
+
+def images(fetch: Fetch) -> list[tuple[str, dict[int, tuple]]]:
+    """Byte order and tags of each image of a file; ``fetch(at, n)`` gives n bytes of it. Both classic and BigTIFF."""
+    head = fetch(0, 16)
+    order = {b"II": "<", b"MM": ">"}.get(head[:2])
+    if not order or len(head) < 8:
+        raise ValueError("not a TIFF file")
+    (version,) = struct.unpack_from(f"{order}H", head, 2)
+    if version == 42:
+        word, count, entry, (at,) = "I", "H", 12, struct.unpack_from(f"{order}I", head, 4)
+    elif version == 43 and len(head) == 16:
+        word, count, entry, (at,) = "Q", "Q", 20, struct.unpack_from(f"{order}Q", head, 8)
+    else:
+        raise ValueError("not a TIFF file")
+    room = struct.calcsize(word)
     found = []
-    (at,) = struct.unpack_from(f"{order}I", blob, 4)
     while at:
-        (n,) = struct.unpack_from(f"{order}H", blob, at)
+        first = struct.calcsize(count)
+        (n,) = struct.unpack(f"{order}{count}", fetch(at, first))
+        body = fetch(at + first, n * entry + room)
         tags: dict[int, tuple] = {}
         for k in range(n):
-            tag, kind, count = struct.unpack_from(f"{order}HHI", blob, at + 2 + 12 * k)
+            tag, kind, size = struct.unpack_from(f"{order}HH{word}", body, entry * k)
             if kind not in _TYPES:
                 continue
-            code, size = _TYPES[kind]
-            place = at + 2 + 12 * k + 8
-            if size * count > 4:
-                (place,) = struct.unpack_from(f"{order}I", blob, place)
-            tags[tag] = struct.unpack_from(f"{order}{count}{code}", blob, place)
+            code, each = _TYPES[kind]
+            value = body[entry * (k + 1) - room : entry * (k + 1)]
+            if each * size > room:
+                value = fetch(struct.unpack(f"{order}{word}", value)[0], each * size)
+            tags[tag] = struct.unpack_from(f"{order}{size}{code}", value)
         found.append((order, tags))
-        (at,) = struct.unpack_from(f"{order}I", blob, at + 2 + 12 * n)
+        (at,) = struct.unpack_from(f"{order}{word}", body, n * entry)
     return found
 
 
-def _values(blob: bytes, order: str, tags: dict[int, tuple], band: int) -> np.ndarray:
-    one = lambda tag, default: tags.get(tag, (default,))[0]
-    compression, predictor, bands, bits = one(COMPRESSION, 1), one(PREDICTOR, 1), one(SAMPLES, 1), one(BITS, 1)
-    kind = {1: "u", 2: "i", 3: "f"}.get(one(FORMAT, 1))
-    if compression not in (NONE, LZW, DEFLATE, 32946) or predictor not in (1, 2, 3) or bits not in (8, 16, 32, 64) or kind is None or len(set(tags.get(BITS, (1,)))) > 1 or not 1 <= band <= bands:
-        raise ValueError("unsupported TIFF layout")
-    dtype = np.dtype(f"{order}{kind}{bits // 8}")
-    h, w = one(LENGTH, 0), one(WIDTH, 0)
-    tiled = TILE_OFFSETS in tags
-    rows, cols = (one(TILE_LENGTH, 0), one(TILE_WIDTH, 0)) if tiled else (min(one(STRIP_ROWS, h), h), w)
-    offsets, sizes = (tags[TILE_OFFSETS], tags[TILE_BYTES]) if tiled else (tags[OFFSETS], tags[STRIP_BYTES])
-    apart = one(PLANAR, 1) == 2
-    down, across = -(-h // rows), -(-w // cols)
-    out = np.empty((h, w), float)
-    for k in range(down * across):
-        r, c = k // across * rows, k % across * cols
-        i = k + (band - 1) * down * across if apart else k
-        height = rows if tiled else min(rows, h - r)
-        block = _unpacked(blob[offsets[i] : offsets[i] + sizes[i]], compression, predictor, dtype, height, cols, 1 if apart else bands)
-        out[r : r + rows, c : c + cols] = block[: h - r, : w - c, 0 if apart else band - 1]
-    return out
-
-
-def decode(blob: bytes, band: int = 1) -> tuple[np.ndarray, GridMeta, float | None]:
-    """(values of a band as float64, NaN where the file's mask says so; georeference; sentinel)."""
-    images = _images(blob)
-    order, tags = images[0]
-    values = _values(blob, order, tags, band)
-    for o, t in images[1:]:
-        if t.get(SUBFILE, (0,))[0] & 5 == 4 and (t[LENGTH], t[WIDTH]) == (tags[LENGTH], tags[WIDTH]):
-            values[_values(blob, o, t, 1) == 0] = np.nan
-    h, w = values.shape
+@dataclass(frozen=True)
+class Image:
+    """How an image of a file is laid out, in blocks that are strips or tiles."""
+
+    height: int
+    width: int
+    rows: int
+    cols: int
+    tiled: bool
+    dtype: str
+    compression: int
+    predictor: int
+    bands: int
+    apart: bool
+    offsets: tuple[int, ...]
+    sizes: tuple[int, ...]
+
+    @classmethod
+    def of(cls, order: str, tags: dict[int, tuple]) -> Image:
+        one = lambda tag, default: tags.get(tag, (default,))[0]
+        compression, predictor, bands, bits = one(COMPRESSION, 1), one(PREDICTOR, 1), one(SAMPLES, 1), one(BITS, 1)
+        kind = {1: "u", 2: "i", 3: "f"}.get(one(FORMAT, 1))
+        if compression not in (NONE, LZW, DEFLATE, 32946) or predictor not in (1, 2, 3) or bits not in (8, 16, 32, 64) or kind is None or len(set(tags.get(BITS, (1,)))) > 1:
+            raise ValueError("unsupported TIFF layout")
+        h, w, tiled = one(LENGTH, 0), one(WIDTH, 0), TILE_OFFSETS in tags
+        rows, cols = (one(TILE_LENGTH, 0), one(TILE_WIDTH, 0)) if tiled else (min(one(STRIP_ROWS, h), h), w)
+        offsets, sizes = (tags[TILE_OFFSETS], tags[TILE_BYTES]) if tiled else (tags[OFFSETS], tags[STRIP_BYTES])
+        return cls(h, w, rows, cols, tiled, f"{order}{kind}{bits // 8}", compression, predictor, bands, one(PLANAR, 1) == 2, offsets, sizes)
+
+    @property
+    def grid(self) -> tuple[int, int]:
+        return -(-self.height // self.rows), -(-self.width // self.cols)
+
+    def place(self, k: int) -> tuple[int, int]:
+        """Row and column of the first cell of block k."""
+        return k // self.grid[1] * self.rows, k % self.grid[1] * self.cols
+
+    def number(self, k: int, band: int) -> int:
+        """Where the file's lists have block k of a band."""
+        if not 1 <= band <= self.bands:
+            raise ValueError("unsupported TIFF layout")
+        return k + (band - 1) * self.grid[0] * self.grid[1] if self.apart else k
+
+    def block(self, fetch: Fetch, k: int, band: int = 1) -> np.ndarray | None:
+        """The cells of block k within the image; None of one that the file leaves out."""
+        r, c = self.place(k)
+        i = self.number(k, band)
+        if not self.sizes[i]:
+            return None
+        height = self.rows if self.tiled else min(self.rows, self.height - r)
+        cells = _unpacked(fetch(self.offsets[i], self.sizes[i]), self.compression, self.predictor, np.dtype(self.dtype), height, self.cols, 1 if self.apart else self.bands)
+        return cells[: self.height - r, : self.width - c, 0 if self.apart else band - 1]
+
+    def values(self, fetch: Fetch, band: int = 1) -> np.ndarray:
+        out = np.full((self.height, self.width), np.nan)
+        for k in range(self.grid[0] * self.grid[1]):
+            cells = self.block(fetch, k, band)
+            if cells is not None:
+                r, c = self.place(k)
+                out[r : r + cells.shape[0], c : c + cells.shape[1]] = cells
+        return out
+
+
+def georeference(tags: dict[int, tuple]) -> tuple[GridMeta, float | None]:
+    """(grid, sentinel) of a file's first image."""
     sx, sy = tags.get(PIXEL_SCALE, (1.0, 1.0))[:2]
     tie = tags.get(TIE_POINT, (0.0,) * 6)
     keys = tags.get(GEO_KEYS, ())
     epsg = next((keys[i + 3] for i in range(4, len(keys) - 3, 4) if keys[i] in (2048, 3072)), 4326)
     text = tags[GDAL_NODATA][0].rstrip(b"\0 ").decode() if GDAL_NODATA in tags else ""
-    return values, GridMeta(h, w, sx, 0.0, tie[3] - tie[0] * sx, 0.0, -sy, tie[4] + tie[1] * sy, f"EPSG:{epsg}"), float(text) if text else None
+    return GridMeta(tags[LENGTH][0], tags[WIDTH][0], sx, 0.0, tie[3] - tie[0] * sx, 0.0, -sy, tie[4] + tie[1] * sy, f"EPSG:{epsg}"), float(text) if text else None
+
+
+def is_mask(tags: dict[int, tuple], of: dict[int, tuple]) -> bool:
+    """Whether an image is the mask of the image with tags ``of``."""
+    kind = of.get(SUBFILE, (0,))[0]
+    return tags.get(SUBFILE, (0,))[0] & 7 == kind & 1 | 4 and (tags[LENGTH], tags[WIDTH]) == (of[LENGTH], of[WIDTH])
+
+
+def hidden(values: np.ndarray, nodata: float | None) -> np.ndarray:
+    """Cells that are no number, or near the sentinel."""
+    bad = ~np.isfinite(values)
+    if nodata is not None and nodata == nodata:
+        bad |= np.isclose(values, nodata)
+    return bad
+
+
+def decode(blob: bytes, band: int = 1) -> tuple[np.ndarray, GridMeta, float | None]:
+    """(values of a band as float64, NaN where the file's mask says so; georeference; sentinel)."""
+    fetch = lambda at, n: blob[at : at + n]
+    every = images(fetch)
+    order, tags = every[0]
+    values = Image.of(order, tags).values(fetch, band)
+    for o, t in every[1:]:
+        if is_mask(t, tags):
+            values[Image.of(o, t).values(fetch) == 0] = np.nan
+    return values, *georeference(tags)
 
 
 def read(spark: SparkSession, path: str, band: int = 1) -> DataFrame:
@@ -257,9 +332,7 @@ def read(spark: SparkSession, path: str, band: int = 1) -> DataFrame:
         for b in batches:
             for name, blob in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
                 values, meta, nodata = decode(blob, band)
-                bad = ~np.isfinite(values)
-                if nodata is not None and nodata == nodata:
-                    bad |= np.isclose(values, nodata)
+                bad = hidden(values, nodata)
                 for r0 in range(0, meta.height, 256):
                     part, hide = values[r0 : r0 + 256], bad[r0 : r0 + 256]
                     h = len(part)
@@ -286,19 +359,23 @@ def tiles(cells: DataFrame, meta: GridMeta, size: int = 256, nodata: float = NOD
 
 
 def save(cells: DataFrame, meta: GridMeta, folder: str, name: str, size: int = 4096, **layout) -> list[str]:
-    """Writes the tiles of r, c, z as files name_row_column.tif into a folder of any store that Spark writes to; their paths.
+    """Writes the tiles of r, c, z as files name_row_column.tif into a folder that the executors reach by pyarrow; their paths, from the tasks that wrote them."""
 
-    Tiles come to the driver one at a time and go on through Hadoop's file system, so its memory holds one tile.
-    """
-    sc = cells.sparkSession.sparkContext
-    paths = []
-    for row in tiles(cells, meta, size, **layout).toLocalIterator():
-        path = f"{folder}/{name}_{row.tr}_{row.tc}.tif"
-        target = sc._jvm.org.apache.hadoop.fs.Path(path)
-        stream = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)
-        try:
-            stream.write(row.content)
-        finally:
-            stream.close()
-        paths.append(path)
-    return paths
+    def put(batches):
+        for b in batches:
+            for tr, tc, content in zip(*(b.column(n).to_pylist() for n in ("tr", "tc", "content"))):
+                path = f"{folder}/{name}_{tr}_{tc}.tif"
+                store, at = store_of(path)
+                store.create_dir(at.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(at) as stream:
+                    stream.write(content)
+                yield pa.RecordBatch.from_pydict({"path": [path]})
+
+    return sorted(r.path for r in tiles(cells, meta, size, **layout).mapInArrow(put, "path string").collect())
+
+
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The store that pyarrow opens for a path (local, hdfs, s3, gs and the like), and the path in it."""
+    if path.startswith("file:") and not path.startswith("file://"):
+        path = "file://" + path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path)

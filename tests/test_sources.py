@@ -11,7 +11,9 @@ import pytest
 
 from catchment.grid import GridMeta
 from catchment.operators.wetness import rings
-from catchment.sources import gtiff, vectors
+from pyspark.sql import functions as F
+
+from catchment.sources import gtiff, gtiff_source, vectors
 
 
 def test_gtiff_round_trip(spark, tmp_path):
@@ -53,7 +55,7 @@ def test_layouts_of_a_file(compression, tile):
     for predictor in (1, 2, 3):
         blob = gtiff.encode(v, meta, compression=compression, predictor=predictor, tile=tile, mask=True, overviews=(2, 4))
         got, at, _ = gtiff.decode(blob)
-        assert np.array_equal(got, v, equal_nan=True) and at == meta and len(gtiff._images(blob)) == 6
+        assert np.array_equal(got, v, equal_nan=True) and at == meta and len(gtiff.images(lambda a, n, b=blob: b[a : a + n])) == 6
     with pytest.raises(ValueError):
         gtiff.decode(gtiff.encode(v, meta), band=2)
 
@@ -102,3 +104,105 @@ def test_areas_from_packages_and_shapefiles(spark, tmp_path):
         z.writestr("a.prj", 'PROJCS["Krovak"]')
     with pytest.raises(ValueError):
         vectors.read_aoi(spark, str(tmp_path / "c.zip"))
+
+
+@pytest.fixture(scope="module")
+def big_grid(spark):
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(100, 30, (150, 210)), 2).astype(np.float32).astype(float)
+    v[rng.random(v.shape) < 0.05] = np.nan
+    v[64:96, 32:64] = np.nan
+    rows = [(r, c, None if np.isnan(v[r, c]) else float(v[r, c])) for r, c in np.ndindex(v.shape) if not (64 <= r < 96 and 32 <= c < 64)]
+    return spark.createDataFrame(rows, "r int, c int, z double"), GridMeta(150, 210, crs="EPSG:32633", a=30.0, c=5e5, e=-30.0, f=5.5e6), v
+
+
+def _raster(df, shape):
+    out = np.full(shape, np.nan)
+    for r in df.collect():
+        out[r.r, r.c] = np.nan if r.z is None else r.z
+    return out
+
+
+@pytest.mark.parametrize("big", [False, True])
+@pytest.mark.parametrize("compression, predictor", [(gtiff.DEFLATE, 3), (gtiff.LZW, 1), (gtiff.NONE, 2)])
+def test_one_file_of_many_blocks(spark, tmp_path, big_grid, big, compression, predictor):
+    """Written and read by many tasks, classic and BigTIFF; a block without rows takes no room in the file."""
+    cells, meta, v = big_grid
+    path = f"file://{tmp_path}/a.tif"
+    gtiff_source.write(cells, meta, path, tile=32, levels=2, compression=compression, predictor=predictor, big=big)
+    assert [x.name for x in tmp_path.iterdir()] == ["a.tif"] and gtiff_source.meta_of(path) == meta
+    np.testing.assert_array_equal(_raster(gtiff_source.read(spark, path), v.shape), v)
+    image = gtiff_source.image_of(gtiff_source.fetcher(path), 0)[0]
+    assert image.sizes.count(0) == 1 and (tmp_path / "a.tif").read_bytes()[2] == (43 if big else 42)
+    for level, k in ((1, 2), (2, 4)):
+        h, w = -(-150 // k), -(-210 // k)
+        wide = np.full((h * k, w * k), np.nan)
+        wide[:150, :210] = v
+        with np.errstate(invalid="ignore"):
+            n = (~np.isnan(wide)).reshape(h, k, w, k).sum((1, 3))
+            mean = np.nansum(wide.reshape(h, k, w, k), (1, 3)) / n
+        np.testing.assert_allclose(_raster(gtiff_source.read(spark, path, level=level), (h, w)), mean, rtol=1e-6)
+    values, at, nodata = gtiff.decode((tmp_path / "a.tif").read_bytes())
+    assert np.array_equal(np.where(gtiff.hidden(values, nodata), np.nan, values), v, equal_nan=True) and at == meta
+
+
+def test_a_window_reads_its_own_blocks(spark, tmp_path, big_grid):
+    cells, meta, v = big_grid
+    path = f"file://{tmp_path}/a.tif"
+    gtiff_source.write(cells, meta, path, tile=32)
+    reader = gtiff_source.GeoTiffReader({"path": path, "r0": "40", "r1": "70", "c0": "95", "c1": "130"})
+    parts = reader.partitions()
+    assert sorted(k for p in parts for k in p.blocks) == [r * 7 + c for r in (1, 2) for c in (2, 3, 4)]
+    assert all(set(p.image.offsets) == set(p.blocks) for p in parts)  # a task is told of its own blocks only
+    got = gtiff_source.read(spark, path, window=(40, 70, 95, 130), columns="z,c,r")
+    assert got.columns == ["z", "c", "r"]
+    out = _raster(got, v.shape)
+    np.testing.assert_array_equal(out[40:70, 95:130], v[40:70, 95:130])
+    assert got.count() == 30 * 35 and gtiff_source.read(spark, path, window=(150, 160, 0, 9)).count() == 0
+
+
+def test_filters_narrow_the_window(spark, tmp_path, big_grid):
+    cells, meta, v = big_grid
+    path = f"file://{tmp_path}/a.tif"
+    gtiff_source.write(cells, meta, path, tile=32)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        got = gtiff_source.read(spark, path).filter("r >= 40 and r < 70 and c = 100 and z > 100")
+        assert {(r.r, r.c) for r in got.collect()} == {(r, 100) for r in range(40, 70) if v[r, 100] > 100}
+        from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual
+
+        reader = gtiff_source.NarrowingReader({"path": path})
+        filters = [GreaterThan(("r",), 39), LessThanOrEqual(("r",), 69), EqualTo(("c",), 100)]
+        assert list(reader.pushFilters(filters)) == filters and reader.window == [40, 70, 100, 101]
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+
+
+def test_a_folder_of_files_with_masks(spark, tmp_path):
+    """Strips and tiles, masks that are laid out otherwise, several files."""
+    rng = np.random.default_rng(5)
+    meta = GridMeta(70, 53)
+    v = rng.normal(size=(70, 53)).astype(np.float32).astype(float)
+    v[rng.random(v.shape) < 0.1] = np.nan
+    (tmp_path / "a.tif").write_bytes(gtiff.encode(v, meta, tile=32, mask=True, overviews=(2,)))
+    (tmp_path / "b.TIFF").write_bytes(gtiff.encode(v * 2, meta, compression=gtiff.LZW, predictor=2, mask=True))
+    (tmp_path / "c.txt").write_text("no")
+    got = gtiff_source.read(spark, str(tmp_path), columns="path,r,c,z")
+    for name, want in (("a.tif", v), ("b.TIFF", v * 2)):
+        np.testing.assert_array_equal(_raster(got.filter(got.path.endswith(name)), v.shape), want)
+    with pytest.raises(Exception, match="levels"):
+        gtiff_source.read(spark, str(tmp_path / "a.tif"), level=2).collect()
+    with pytest.raises(ValueError):
+        gtiff.images(lambda at, n: b"PK\3\4" * 4)
+    with pytest.raises(ValueError):
+        gtiff_source.columns_of({"columns": "r,q"})
+
+
+def test_a_broken_write_leaves_no_parts(spark, tmp_path):
+    cells = spark.createDataFrame([(0, 0, 1.0), (40, 0, 2.0)], "r int, c int, z double")
+    path = f"file://{tmp_path}/a.tif"
+    with pytest.raises(Exception):
+        gtiff_source.write(cells.withColumn("z", F.raise_error(F.lit("broken")).cast("double")), GridMeta(64, 64), path, tile=32)
+    gtiff_source.write(cells, GridMeta(64, 64), path, tile=32)
+    assert [x.name for x in tmp_path.iterdir()] == ["a.tif"]
+    assert sorted((r.r, r.c, r.z) for r in gtiff_source.read(spark, path).filter("z is not null").collect()) == [(0, 0, 1.0), (40, 0, 2.0)]
