@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import metres_per_degree, pixel_area
@@ -69,6 +69,19 @@ def tile_plan(width: int, height: int, bands: int = 1, bytes_per_cell: int = 4,
     return max(cols, math.ceil(width / most)), max(rows, math.ceil(height / most))
 
 
+def plan_columns(width: Column, height: Column, bands: int = 1, bytes_per_cell: int = 4, limit: int = TILE_BYTES, safety: float = SAFETY, most: int = MOST_CELLS) -> tuple[Column, Column]:
+    """``tile_plan`` for columns of sizes."""
+    n = F.greatest(F.lit(1), F.ceil(width.cast("double") * height * bands * bytes_per_cell / int(limit * safety)))
+    cols = F.ceil(F.sqrt(n))
+    rows = F.ceil(n / cols)
+    return F.greatest(cols, F.ceil(width / most)).cast("int"), F.greatest(rows, F.ceil(height / most)).cast("int")
+
+
+def refine_columns(cols: Column, rows: Column, mode: Column) -> tuple[Column, Column]:
+    """``refine_plan`` for columns; another mode gives NULL."""
+    return tuple(F.when(mode == "double", x * 2).when(mode == "increment", x + 1) for x in (cols, rows))
+
+
 def refine_plan(cols: int, rows: int, mode: str = "double") -> tuple[int, int]:
     if mode == "double":
         return cols * 2, rows * 2
@@ -77,20 +90,28 @@ def refine_plan(cols: int, rows: int, mode: str = "double") -> tuple[int, int]:
     raise ValueError("mode must be double or increment")
 
 
+def windows_of(grids: DataFrame) -> DataFrame:
+    """The windows of many grids (width, height, cols, rows and more columns): ``index``, row_idx, col_idx, col_off, row_off, and the window's width and height, with the further columns."""
+    edge = lambda i, n, k: F.when(i == k, n).otherwise(F.floor(i * (n.cast("double") / k))).cast("int")
+    t = grids.withColumn("index", F.explode(F.sequence(F.lit(0), F.col("cols") * F.col("rows") - 1)))
+    t = t.withColumns({"row_idx": (F.col("index") / F.col("cols")).cast("int"), "col_idx": (F.col("index") % F.col("cols")).cast("int")})
+    x0, x1 = (edge(F.col("col_idx") + k, F.col("width"), F.col("cols")) for k in (0, 1))
+    y0, y1 = (edge(F.col("row_idx") + k, F.col("height"), F.col("rows")) for k in (0, 1))
+    more = [n for n in grids.columns if n not in ("width", "height", "cols", "rows")]
+    return t.select(*more, "index", "row_idx", "col_idx", x0.alias("col_off"), y0.alias("row_off"), (x1 - x0).alias("width"), (y1 - y0).alias("height"))
+
+
 def windows(spark: SparkSession, width: int, height: int, cols: int, rows: int) -> DataFrame:
     """index, row_idx, col_idx, col_off, row_off, width, height of tiles in row-major order; edges are truncated even steps."""
-    edge = lambda i, n, k: F.when(i == k, n).otherwise(F.floor(i * F.lit(n / k))).cast("int")
-    t = spark.range(cols * rows).select(F.col("id").cast("int").alias("index"), (F.col("id") / cols).cast("int").alias("row_idx"), (F.col("id") % cols).cast("int").alias("col_idx"))
-    x0, x1 = edge(F.col("col_idx"), width, cols), edge(F.col("col_idx") + 1, width, cols)
-    y0, y1 = edge(F.col("row_idx"), height, rows), edge(F.col("row_idx") + 1, height, rows)
-    return t.select("*", x0.alias("col_off"), y0.alias("row_off"), (x1 - x0).alias("width"), (y1 - y0).alias("height"))
+    return windows_of(spark.createDataFrame([(width, height, cols, rows)], "width int, height int, cols int, rows int"))
 
 
 def window_bounds(tiles: DataFrame, meta: GridMeta, shrink: float = 1e-6) -> DataFrame:
-    """index, xmin, ymin, xmax, ymax of each window, drawn in by a part of a cell so that neighbours stay out."""
+    """xmin, ymin, xmax, ymax of each window, after its columns other than its place, drawn in by a part of a cell so that neighbours stay out."""
     x0, x1 = meta.c + meta.a * (F.col("col_off") + shrink), meta.c + meta.a * (F.col("col_off") + F.col("width") - shrink)
     y0, y1 = meta.f + meta.e * (F.col("row_off") + shrink), meta.f + meta.e * (F.col("row_off") + F.col("height") - shrink)
-    return tiles.select("index", F.least(x0, x1).alias("xmin"), F.least(y0, y1).alias("ymin"), F.greatest(x0, x1).alias("xmax"), F.greatest(y0, y1).alias("ymax"))
+    keep = [n for n in tiles.columns if n not in ("row_idx", "col_idx", "col_off", "row_off", "width", "height")]
+    return tiles.select(*keep, F.least(x0, x1).alias("xmin"), F.least(y0, y1).alias("ymin"), F.greatest(x0, x1).alias("xmax"), F.greatest(y0, y1).alias("ymax"))
 
 
 def crop_window(meta: GridMeta, xmin: float, ymin: float, xmax: float, ymax: float, tol: float = 1e-9) -> tuple[int, int, int, int]:
@@ -102,6 +123,22 @@ def crop_window(meta: GridMeta, xmin: float, ymin: float, xmax: float, ymax: flo
     return c0, r0, c1 - c0, r1 - r0
 
 
+def crop_columns(boxes: DataFrame, meta: GridMeta, tol: float = 1e-9) -> DataFrame:
+    """``boxes`` (xmin, ymin, xmax, ymax and more columns) with the window of cells that each touches, its box widened to the cells' borders; those without cells go.
+
+    A window is cut to the grid.
+    """
+    meta.require_north_up()
+    cols, rows = ([(F.col(n) - o) / step for n in names] for names, o, step in ((("xmin", "xmax"), meta.c, meta.a), (("ymin", "ymax"), meta.f, meta.e)))
+    low = lambda pair: F.floor(F.least(*pair) + tol)
+    high = lambda pair: F.ceil(F.greatest(*pair) - tol)
+    c0, c1 = F.greatest(low(cols), F.lit(0)), F.least(high(cols), F.lit(meta.width))
+    r0, r1 = F.greatest(low(rows), F.lit(0)), F.least(high(rows), F.lit(meta.height))
+    cut = boxes.withColumns({"col_off": c0.cast("int"), "row_off": r0.cast("int"), "width": (c1 - c0).cast("int"), "height": (r1 - r0).cast("int")}).filter("width > 0 and height > 0")
+    x, y = [meta.c + meta.a * k for k in (F.col("col_off"), F.col("col_off") + F.col("width"))], [meta.f + meta.e * k for k in (F.col("row_off"), F.col("row_off") + F.col("height"))]
+    return cut.withColumns({"xmin": F.least(*x), "ymin": F.least(*y), "xmax": F.greatest(*x), "ymax": F.greatest(*y)})
+
+
 def buffered_bbox(points: DataFrame, km: float) -> DataFrame:
     """xmin, ymin, xmax, ymax around points (x, y in degrees), widened by a distance on the ground."""
     box = points.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))

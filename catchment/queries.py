@@ -14,7 +14,7 @@ from .grid import GridMeta, densify, is_edge, neighbours, view
 from .operators import conditioning, regrid, routing, wetness
 from .plans import pipeline
 from .sources import gtiff_source
-from .sources.catalogue import catalogue, layer_name, scan_band
+from .sources.catalogue import DATASETS, catalogue, layer_name_column, scan_band
 from .tiles import SIZE as TILE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,9 +61,15 @@ DY, DX = (f"({m} / 3600)" for m in metres_sql(ROW_LAT))
 # --- scans, masks, catalogue -----------------------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES ('FABDEM', NULL, 30), ('GLO30', 'DEM', 30), ('AW3D30', 'DSM', 30), ('SRTMGL1_003', 'elevation', 30), ('NASADEM_HGT', 'elevation', 30), ('ASTER_GDEM', 'b1', 30), ('CGIAR_SRTM90', 'elevation', 90), ('MERIT_DEM', 'dem', 90), ('MERIT_Hydro', 'elv', 90)) t(id, band, resolution_m)")
+CATALOGUE = "datasets(place, id, band, resolution_m) AS (VALUES (0, 'FABDEM', NULL, 30), (1, 'GLO30', 'DEM', 30), (2, 'AW3D30', 'DSM', 30), (3, 'SRTMGL1_003', 'elevation', 30), (4, 'NASADEM_HGT', 'elevation', 30), (5, 'ASTER_GDEM', 'b1', 30), (6, 'CGIAR_SRTM90', 'elevation', 90), (7, 'MERIT_DEM', 'dem', 90), (8, 'MERIT_Hydro', 'elv', 90))"
+
+
+@query(f"WITH {CATALOGUE} SELECT s_suppkey, id, band, resolution_m FROM supplier JOIN datasets ON place = s_suppkey % 9")
 def dem_catalog(spark, sf_dir):
-    return catalogue(spark)
+    """The dataset that each supplier asks for, by its id in the catalogue."""
+    names = F.array(*[F.lit(d[0]) for d in DATASETS])
+    asked = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.get(names, (F.col("s_suppkey") % 9).cast("int")).alias("id"))
+    return asked.join(F.broadcast(catalogue(spark)), "id").select("s_suppkey", "id", "band", "resolution_m")
 
 
 @query(f"WITH {PART} SELECT r, c, z FROM cells")
@@ -125,16 +131,24 @@ def ref_scaled_shift(spark, sf_dir):
 # --- grids -----------------------------------------------------------------------------------------
 
 
-@query(f"WITH rows AS (SELECT range::INT AS r FROM range(0, 40)) SELECT r, round({DX}, 6) AS dx, round({DY}, 6) AS dy, round(sqrt({DX} * {DX} + {DY} * {DY}), 6) AS diag FROM rows")
+ORDER_ROWS = "rows AS (SELECT range::INT AS r FROM range(0, (SELECT max(o_orderkey // 100) + 1 FROM orders)))"
+
+
+@query(f"WITH {ORDER_ROWS} SELECT r, round({DX}, 6) AS dx, round({DY}, 6) AS dy, round(sqrt({DX} * {DX} + {DY} * {DY}), 6) AS diag FROM rows")
 def step_lengths(spark, sf_dir):
-    dx, dy = geo.row_steps(GridMeta(40, 1))
-    return spark.range(40).select(F.col("id").cast("int").alias("r")).select("r", F.round(dx, 6).alias("dx"), F.round(dy, 6).alias("dy"), F.round(F.sqrt(dx * dx + dy * dy), 6).alias("diag"))
+    return _steps(spark, view(spark, sf_dir, "dem_orders")[1])
+
+
+def _steps(spark, meta):
+    dx, dy = geo.row_steps(meta)
+    return spark.range(meta.height).select(F.col("id").cast("int").alias("r")).select("r", F.round(dx, 6).alias("dx"), F.round(dy, 6).alias("dy"), F.round(F.sqrt(dx * dx + dy * dy), 6).alias("diag"))
 
 
-@query("SELECT lat, round({0}, 4) AS per_lat, round({1}, 4) AS per_lon FROM (SELECT (range - 90)::DOUBLE AS lat FROM range(0, 181))".format(*metres_sql("lat")))
+@query("SELECT c_custkey, lat, round({0}, 4) AS per_lat, round({1}, 4) AS per_lon FROM (SELECT c_custkey, (c_custkey % 18001) / 100.0::DOUBLE - 90 AS lat FROM customer)".format(*metres_sql("lat")))
 def metres_per_degree(spark, sf_dir):
     lat, lon = geo.metres_per_degree(F.col("lat"))
-    return spark.range(181).select((F.col("id") - 90).cast("double").alias("lat")).select("lat", F.round(lat, 4).alias("per_lat"), F.round(lon, 4).alias("per_lon"))
+    places = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", ((F.col("c_custkey") % 18001) / 100 - 90).alias("lat"))
+    return places.select("c_custkey", "lat", F.round(lat, 4).alias("per_lat"), F.round(lon, 4).alias("per_lon"))
 
 
 @query(f"WITH {PART} SELECT r, c, round({DX} * {DY}, 4) AS area_m2 FROM cells")
@@ -143,29 +157,12 @@ def pixel_area(spark, sf_dir):
     return cells.select("r", "c", F.round(geo.pixel_area(meta), 4).alias("area_m2"))
 
 
-@query(f"WITH {VOID}, t AS (SELECT (i // 60)::INT AS r, (i % 60)::INT AS c FROM range(0, 1800) x(i)) SELECT t.r, t.c, s.z FROM t LEFT JOIN cells s ON s.r = floor((t.r + 0.5) * 0.75 + 1.1) AND s.c = floor((t.c + 0.5) * 0.8 + 0.3)")
-def resample_nearest(spark, sf_dir):
-    cells, source = view(spark, sf_dir, "dem_part", void=True)
-    source = GridMeta(source.height, source.width, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0)
-    return regrid.resample(cells, source, GridMeta(30, 60, 0.8, 0.0, 0.3, 0.0, 0.75, 1.1), "nearest")
-
-
-@query(f"""WITH {VOID}, t AS (SELECT (i // 60)::INT AS r, (i % 60)::INT AS c, (0.3 + 0.8 * (i % 60 + 0.5)) - 0.5 AS x, (1.1 + 0.75 * (i // 60 + 0.5)) - 0.5 AS y FROM range(0, 1800) v(i)),
-n AS (SELECT t.*, floor(x)::INT + dx AS sc, floor(y)::INT + dy AS sr FROM t, range(0, 2) a(dx), range(0, 2) b(dy)),
-w AS (SELECT *, (1 - abs(x - sc)) * (1 - abs(y - sr)) AS w FROM n WHERE abs((1 - abs(x - sc)) * (1 - abs(y - sr))) > 1e-12)
-SELECT w.r, w.c, round(CASE WHEN count(*) = count(s.z) THEN sum(w.w * s.z) END, 6) AS z FROM w LEFT JOIN cells s ON s.r = w.sr AND s.c = w.sc GROUP BY w.r, w.c""")
-def resample_bilinear(spark, sf_dir):
-    cells, source = view(spark, sf_dir, "dem_part", void=True)
-    source = GridMeta(source.height, source.width, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0)
-    return regrid.resample(cells, source, GridMeta(30, 60, 0.8, 0.0, 0.3, 0.0, 0.75, 1.1), "bilinear").select("r", "c", F.round("z", 6).alias("z"))
-
-
-# the same over the whole table: the target's size follows from the source's
+# the target's size follows from the source's
 WHOLE = "g AS (SELECT ceil((max(r) + 1 - 1.1::DOUBLE) / 0.75::DOUBLE)::BIGINT AS th, ceil((max(c) + 1 - 0.3::DOUBLE) / 0.8::DOUBLE)::BIGINT AS tw FROM cells), t AS (SELECT (i // (SELECT tw FROM g))::INT AS r, (i % (SELECT tw FROM g))::INT AS c FROM range(0, (SELECT th * tw FROM g)) v(i))"
 
 
-def _resampled_whole(spark, sf_dir, method):
-    cells, source = view(spark, sf_dir, "dem_part", void=True)
+def _resampled_whole(spark, sf_dir, method, grid="dem_part"):
+    cells, source = view(spark, sf_dir, grid, void=True)
     source = GridMeta(source.height, source.width, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0)
     target = GridMeta(math.ceil((source.height - 1.1) / 0.75), math.ceil((source.width - 0.3) / 0.8), 0.8, 0.0, 0.3, 0.0, 0.75, 1.1)
     return regrid.resample(cells, source, target, method)
@@ -186,28 +183,44 @@ def resample_bilinear_whole(spark, sf_dir):
 
 @query(f"WITH {PART}, rows AS (SELECT range::INT AS r FROM range(0, (SELECT max(r) + 1 FROM cells))) SELECT r, round({DX}, 6) AS dx, round({DY}, 6) AS dy, round(sqrt({DX} * {DX} + {DY} * {DY}), 6) AS diag FROM rows")
 def step_lengths_whole(spark, sf_dir):
-    _, meta = view(spark, sf_dir, "dem_part")
-    dx, dy = geo.row_steps(meta)
-    return spark.range(meta.height).select(F.col("id").cast("int").alias("r")).select("r", F.round(dx, 6).alias("dx"), F.round(dy, 6).alias("dy"), F.round(F.sqrt(dx * dx + dy * dy), 6).alias("diag"))
+    return _steps(spark, view(spark, sf_dir, "dem_part")[1])
+
+
+#: A grid for each part: its size in cells, the plan of its tiles, and how it is refined.
+PLANS = """grids AS (SELECT p_partkey, (1 + p_partkey * 37 % 30000)::INT AS width, (p_size * 311)::INT AS height, CASE WHEN p_partkey % 2 = 0 THEN 'double' ELSE 'increment' END AS mode FROM part),
+counts AS (SELECT *, greatest(1, ceil(width::DOUBLE * height * 4 / 23488102.0)) AS n FROM grids),
+plans AS (SELECT p_partkey, width, height, mode, greatest(ceil(sqrt(n)), ceil(width / 10000.0))::INT AS cols, greatest(ceil(n / ceil(sqrt(n))), ceil(height / 10000.0))::INT AS rows FROM counts)"""
+
 
+def _plans(spark, sf_dir):
+    key = F.col("p_partkey")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    grids = part.select("p_partkey", (1 + key * 37 % 30000).cast("int").alias("width"), (F.col("p_size") * 311).cast("int").alias("height"), F.when(key % 2 == 0, "double").otherwise("increment").alias("mode"))
+    cols, rows = regrid.plan_columns(F.col("width"), F.col("height"))
+    return grids.withColumns({"cols": cols, "rows": rows})
 
-@query("SELECT w::INT AS width, h::INT AS height, greatest(ceil(sqrt(n)), ceil(w / 10000.0))::INT AS cols, greatest(ceil(n / ceil(sqrt(n))), ceil(h / 10000.0))::INT AS rows FROM (SELECT w, h, greatest(1, ceil(w * h * 4 / 23488102.0)) AS n FROM (VALUES (1000, 1000), (4000, 4000), (30000, 100), (12345, 6789)) t(w, h))")
+
+@query(f"WITH {PLANS} SELECT p_partkey, width, height, cols, rows FROM plans")
 def tile_plan(spark, sf_dir):
-    sizes = [(1000, 1000), (4000, 4000), (30000, 100), (12345, 6789)]
-    return spark.createDataFrame([(w, h, *regrid.tile_plan(w, h)) for w, h in sizes], "width int, height int, cols int, rows int")
+    return _plans(spark, sf_dir).drop("mode")
+
 
+#: The edges of the windows of each part's grid.
+EDGES_OF = """xs AS (SELECT p_partkey, height, cols, rows, i, CASE WHEN i = cols THEN width ELSE floor(i * (width / cols::DOUBLE)) END::INT AS x FROM (SELECT *, unnest(range(0, cols + 1)) AS i FROM plans)),
+ys AS (SELECT p_partkey, j, CASE WHEN j = rows THEN height ELSE floor(j * (height / rows::DOUBLE)) END::INT AS y FROM (SELECT *, unnest(range(0, rows + 1)) AS j FROM plans)),
+spans AS (SELECT a.p_partkey, (y0.j * a.cols + a.i)::INT AS index, y0.j::INT AS row_idx, a.i::INT AS col_idx, a.x AS x0, b.x AS x1, y0.y AS y0, y1.y AS y1
+FROM xs a JOIN xs b ON b.p_partkey = a.p_partkey AND b.i = a.i + 1 JOIN ys y0 ON y0.p_partkey = a.p_partkey JOIN ys y1 ON y1.p_partkey = a.p_partkey AND y1.j = y0.j + 1)"""
 
-@query("""WITH e AS (SELECT i, CASE WHEN i = 22 THEN 30 ELSE floor(i * (30 / 22.0::DOUBLE)) END::INT AS x FROM range(0, 23) t(i)), f AS (SELECT j, CASE WHEN j = 3 THEN 10 ELSE floor(j * (10 / 3.0::DOUBLE)) END::INT AS y FROM range(0, 4) t(j))
-SELECT (a.j * 22 + e.i)::INT AS index, a.j::INT AS row_idx, e.i::INT AS col_idx, e.x AS col_off, a.y AS row_off, e2.x - e.x AS width, a2.y - a.y AS height FROM e JOIN e e2 ON e2.i = e.i + 1, f a JOIN f a2 ON a2.j = a.j + 1""")
+
+@query(f"WITH {PLANS}, {EDGES_OF} SELECT p_partkey, index, row_idx, col_idx, x0 AS col_off, y0 AS row_off, x1 - x0 AS width, y1 - y0 AS height FROM spans")
 def tile_windows(spark, sf_dir):
-    return regrid.windows(spark, 30, 10, 22, 3)
+    return regrid.windows_of(_plans(spark, sf_dir).drop("mode"))
 
 
-@query("""WITH e AS (SELECT i, CASE WHEN i = 4 THEN 50 ELSE floor(i * (50 / 4.0::DOUBLE)) END::INT AS x FROM range(0, 5) t(i)), f AS (SELECT j, CASE WHEN j = 3 THEN 40 ELSE floor(j * (40 / 3.0::DOUBLE)) END::INT AS y FROM range(0, 4) t(j))
-SELECT (a.j * 4 + e.i)::INT AS index, round(15 + (e.x + 1e-6) / 3600, 9) AS xmin, round(50 - (a2.y - 1e-6) / 3600, 9) AS ymin, round(15 + (e2.x - 1e-6) / 3600, 9) AS xmax, round(50 - (a.y + 1e-6) / 3600, 9) AS ymax FROM e JOIN e e2 ON e2.i = e.i + 1, f a JOIN f a2 ON a2.j = a.j + 1""")
+@query(f"WITH {PLANS}, {EDGES_OF} SELECT p_partkey, index, round(15 + (x0 + 1e-6) / 3600, 9) AS xmin, round(50 - (y1 - 1e-6) / 3600, 9) AS ymin, round(15 + (x1 - 1e-6) / 3600, 9) AS xmax, round(50 - (y0 + 1e-6) / 3600, 9) AS ymax FROM spans")
 def window_bounds(spark, sf_dir):
-    b = regrid.window_bounds(regrid.windows(spark, 50, 40, 4, 3), GridMeta(40, 50))
-    return b.select("index", *[F.round(x, 9).alias(x) for x in ("xmin", "ymin", "xmax", "ymax")])
+    b = regrid.window_bounds(regrid.windows_of(_plans(spark, sf_dir).drop("mode")), GridMeta(1, 1))
+    return b.select("p_partkey", "index", *[F.round(x, 9).alias(x) for x in ("xmin", "ymin", "xmax", "ymax")])
 
 
 @query(f"WITH {PART} SELECT count(*) AS missing FROM (SELECT i // 50 AS r, i % 50 AS c FROM range(0, (SELECT (max(r) + 1) * 50 FROM cells)) t(i)) e ANTI JOIN cells USING (r, c)")
@@ -216,9 +229,11 @@ def tile_coverage(spark, sf_dir):
     return densify(cells.withColumn("here", F.lit(1)), meta).agg(F.count_if(F.col("here").isNull()).alias("missing"))
 
 
-@query("SELECT * FROM (VALUES (0, 2, 2, 1, 1)) t(mode, cols, rows, from_cols, from_rows) UNION ALL SELECT * FROM (VALUES (1, 4, 3, 3, 2))")
+@query(f"WITH {PLANS} SELECT p_partkey, mode, CASE mode WHEN 'double' THEN cols * 2 ELSE cols + 1 END AS cols, CASE mode WHEN 'double' THEN rows * 2 ELSE rows + 1 END AS rows, cols AS from_cols, rows AS from_rows FROM plans")
 def tile_refine(spark, sf_dir):
-    return spark.createDataFrame([(0, *regrid.refine_plan(1, 1), 1, 1), (1, *regrid.refine_plan(3, 2, "increment"), 3, 2)], "mode int, cols int, rows int, from_cols int, from_rows int")
+    plans = _plans(spark, sf_dir)
+    cols, rows = regrid.refine_columns(F.col("cols"), F.col("rows"), F.col("mode"))
+    return plans.select("p_partkey", "mode", cols.alias("cols"), rows.alias("rows"), F.col("cols").alias("from_cols"), F.col("rows").alias("from_rows"))
 
 
 @query("SELECT round(min(x) - 5000 / {1}, 9) AS xmin, round(min(y) - 5000 / {0}, 9) AS ymin, round(max(x) + 5000 / {1}, 9) AS xmax, round(max(y) + 5000 / {0}, 9) AS ymax FROM (SELECT 15 + s_nationkey / 100.0::DOUBLE AS x, 50 + s_nationkey / 200.0::DOUBLE AS y FROM supplier)".format(*metres_sql("((min(y) + max(y)) / 2)")))
@@ -491,6 +506,18 @@ def zonal_stats(spark, sf_dir):
 # --- several tiles, default steps, and what is left of the library ---------------------------------------
 
 ORDERS = f"solid AS (SELECT (o_orderkey // 100)::INT AS r, (o_orderkey % 100)::INT AS c, round(o_totalprice / 1000) AS z FROM orders), cells AS (SELECT r, c, CASE WHEN NOT {HOLE} THEN z END AS z FROM solid)"
+
+
+@query(ORACLE_SQL["resample_nearest_whole"].replace(VOID, ORDERS))
+def resample_nearest(spark, sf_dir):
+    return _resampled_whole(spark, sf_dir, "nearest", "dem_orders")
+
+
+@query(ORACLE_SQL["resample_bilinear_whole"].replace(VOID, ORDERS))
+def resample_bilinear(spark, sf_dir):
+    return _resampled_whole(spark, sf_dir, "bilinear", "dem_orders").select("r", "c", F.round("z", 6).alias("z"))
+
+
 #: Edge of tiles so small that a grid of any size has many.
 SMALL = 16
 
@@ -559,21 +586,21 @@ def flow_dir_mfd_projected(spark, sf_dir):
     return _weights(spark, sf_dir, metric=False)
 
 
-BLOCK = "solid AS (SELECT (p_partkey // 50)::INT AS r, (p_partkey % 50)::INT AS c, p_size::DOUBLE AS z FROM part), cells AS (SELECT r, c, CASE WHEN NOT (r IN (0, 3) OR c IN (3, 8)) THEN z END AS z FROM solid WHERE r <= 3)"
+BLOCK = "solid AS (SELECT (p_partkey // 50)::INT AS r, (p_partkey % 50)::INT AS c, p_size::DOUBLE AS z FROM part), cells AS (SELECT r, c, CASE WHEN NOT (r % 4 IN (0, 3) OR c % 10 IN (3, 8)) THEN z END AS z FROM solid)"
 EDGE_FILL = FILL.replace("GROUP BY r, c HAVING count(nz) < 8", "AND (r = 0 OR c = 0 OR r = (SELECT h FROM size) - 1 OR c = (SELECT w FROM size) - 1) GROUP BY r, c")
 
 
-def _block(spark, sf_dir):
-    """Four rows of which a block in the middle touches neither the edge nor another valid cell."""
+def _blocks(spark, sf_dir):
+    """The whole grid cut into blocks by NoData; those off the edge touch neither it nor another block."""
     cells, meta = view(spark, sf_dir, "dem_part")
-    hole = F.col("r").isin(0, 3) | F.col("c").isin(3, 8)
-    return cells.filter("r <= 3").withColumn("z", F.when(~hole, F.col("z"))), GridMeta(4, meta.width)
+    hole = (F.col("r") % 4).isin(0, 3) | (F.col("c") % 10).isin(3, 8)
+    return cells.withColumn("z", F.when(~hole, F.col("z"))), meta
 
 
 @query(f"WITH RECURSIVE {BLOCK}, {BASE}, {EDGE_FILL} SELECT c.r, c.c, c.z, coalesce(f.w, c.z) AS filled FROM cells c LEFT JOIN flood f ON f.r = c.r AND f.c = c.c")
 def fill_unseeded(spark, sf_dir):
     """A component without an outlet stays as it is."""
-    return conditioning.fill_depressions(*_block(spark, sf_dir), nodata_outlets=False)
+    return conditioning.fill_depressions(*_blocks(spark, sf_dir), nodata_outlets=False)
 
 
 @query(f"WITH {VOID}, {BASE} SELECT r, c FROM pairs p WHERE z IS NOT NULL AND nz IS NULL AND nr IS NOT NULL GROUP BY r, c")
@@ -584,18 +611,21 @@ def nodata_adjacent(spark, sf_dir):
     return beside.filter(F.col("z").isNotNull() & (F.greatest(*[F.coalesce(F.col(f"n{k}"), F.lit(0)) for k in range(8)]) == 1)).select("r", "c")
 
 
-UNDRAINED = "cells AS (SELECT r, c, CASE WHEN r BETWEEN 2 AND 5 AND c BETWEEN 2 AND 5 THEN CASE WHEN r BETWEEN 3 AND 4 AND c BETWEEN 3 AND 4 THEN 1.0::DOUBLE ELSE 5.0 + (p_partkey % 2) END END AS z FROM (SELECT p_partkey, (p_partkey // 50)::INT AS r, (p_partkey % 50)::INT AS c FROM part WHERE p_partkey < 500 AND p_partkey % 50 < 8))"
+UNDRAINED = """solid AS (SELECT p_partkey, (p_partkey // 50)::INT AS r, (p_partkey % 50)::INT AS c FROM part), cells AS (SELECT r, c, CASE WHEN r % 8 BETWEEN 2 AND 5 AND c % 8 BETWEEN 2 AND 5 AND r < (SELECT max(r) FROM solid) AND c < 49
+THEN CASE WHEN r % 8 BETWEEN 3 AND 4 AND c % 8 BETWEEN 3 AND 4 THEN 1.0::DOUBLE ELSE 5.0 + (p_partkey % 2) END END AS z FROM solid)"""
 
 
 @query(f"""WITH {UNDRAINED}, {BASE}, {CAND} SELECT 0::BIGINT AS n_flats, 0::BIGINT AS n_flat_cells, 0::BIGINT AS n_low_edges, count(*) FILTER (candidate AND higher) AS n_high_edges, 0::BIGINT AS removed_highedges_unlabeled,
 0::BIGINT AS removed_highedges_low_dominates, (count(*) FILTER (candidate AND higher) > 0)::INT AS note_undrainable_flats FROM cand""")
 def flat_stats_undrained(spark, sf_dir):
-    """A pit that drains nowhere: no flat, and a note."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey < 500 and p_partkey % 50 < 8").selectExpr("p_partkey", "int(p_partkey div 50) AS r", "int(p_partkey % 50) AS c")
-    inner, pit = F.col("r").between(2, 5) & F.col("c").between(2, 5), F.col("r").between(3, 4) & F.col("c").between(3, 4)
-    cells = part.select("r", "c", F.when(inner, F.when(pit, 1.0).otherwise(5.0 + F.col("p_partkey") % 2)).alias("z"))
-    height = (cells.agg(F.max("r")).first()[0] or 0) + 1
-    return conditioning.flat_stats(conditioning.resolve_flats(cells, GridMeta(height, 8)))
+    """Pits all over the grid that drain nowhere: no flat, and a note."""
+    cells, meta = view(spark, sf_dir, "dem_part")
+    inner = F.col("r") % 8
+    across = F.col("c") % 8
+    ring = inner.between(2, 5) & across.between(2, 5) & (F.col("r") < meta.height - 1) & (F.col("c") < meta.width - 1)
+    pit = inner.between(3, 4) & across.between(3, 4)
+    raised = cells.withColumn("z", F.when(ring, F.when(pit, 1.0).otherwise(5.0 + (F.col("r") * 50 + F.col("c")) % 2)))
+    return conditioning.flat_stats(conditioning.resolve_flats(raised, meta))
 
 
 @query(f"""WITH {VOID}, {WHOLE}, p AS (SELECT r, c, (0.3 + 0.8 * (c + 0.5)) - 0.5 AS x, (1.1 + 0.75 * (r + 0.5)) - 0.5 AS y FROM t),
@@ -607,13 +637,20 @@ def resample_bicubic(spark, sf_dir):
     return _resampled_whole(spark, sf_dir, "bicubic").select("r", "c", F.round("z", 10).alias("z"))
 
 
-@query("SELECT 3::INT AS col_off, 4::INT AS row_off, 6::INT AS width, 3::INT AS height, round(15 + 3 / 3600.0::DOUBLE, 9) AS xmin, round(50 - 7 / 3600.0::DOUBLE, 9) AS ymin, round(15 + 9 / 3600.0::DOUBLE, 9) AS xmax, round(50 - 4 / 3600.0::DOUBLE, 9) AS ymax")
+@query(f"""WITH {PART}, {SIZE}, boxes AS (SELECT s_suppkey, 0.2 + s_suppkey * 7 % 50 AS x0, 0.5 + s_suppkey * 7 % 50 + s_nationkey AS x1, 0.4 + s_suppkey * 3 % 40 AS y0, 0.5 + s_suppkey * 3 % 40 + s_nationkey AS y1 FROM supplier),
+cut AS (SELECT s_suppkey, greatest(floor(x0), 0)::INT AS c0, least(ceil(x1), w)::INT AS c1, greatest(floor(y0), 0)::INT AS r0, least(ceil(y1), h)::INT AS r1 FROM boxes, size)
+SELECT s_suppkey, c0 AS col_off, r0 AS row_off, c1 - c0 AS width, r1 - r0 AS height, round(15 + c0 / 3600.0::DOUBLE, 9) AS xmin, round(50 - r1 / 3600.0::DOUBLE, 9) AS ymin, round(15 + c1 / 3600.0::DOUBLE, 9) AS xmax, round(50 - r0 / 3600.0::DOUBLE, 9) AS ymax
+FROM cut WHERE c1 > c0 AND r1 > r0""")
 def snapped_region(spark, sf_dir):
-    """A region's window of cells, and the region widened to their borders."""
-    meta = GridMeta(40, 50)
-    box = (15 + 3.2 / 3600, 50 - 6.5 / 3600, 15 + 8.7 / 3600, 50 - 4.4 / 3600)
-    bounds = [round(v, 9) for v in regrid.snapped_bounds(meta, *box)]
-    return spark.createDataFrame([(*regrid.crop_window(meta, *box), *bounds)], "col_off int, row_off int, width int, height int, xmin double, ymin double, xmax double, ymax double")
+    """The window of cells of each supplier's region, and the region widened to their borders."""
+    _, meta = view(spark, sf_dir, "dem_part")
+    key, more = F.col("s_suppkey"), F.col("s_nationkey")
+    x0, y0 = 0.2 + key * 7 % 50, 0.4 + key * 3 % 40
+    at = lambda x: meta.c + meta.a * x
+    down = lambda y: meta.f + meta.e * y
+    boxes = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", at(x0).alias("xmin"), at(0.5 + key * 7 % 50 + more).alias("xmax"), down(0.5 + key * 3 % 40 + more).alias("ymin"), down(y0).alias("ymax"))
+    cut = regrid.crop_columns(boxes, meta)
+    return cut.select("s_suppkey", "col_off", "row_off", "width", "height", *[F.round(x, 9).alias(x) for x in ("xmin", "ymin", "xmax", "ymax")])
 
 
 @query(f"WITH {VOID} SELECT round(sum({DX} * {DY}) / 1e4, 4) AS area_ha FROM cells WHERE z IS NOT NULL")
@@ -637,9 +674,14 @@ def scan_images(spark, sf_dir):
     return scan_band(top.unionByName(low), "GLO30")
 
 
-@query("SELECT layer, CASE WHEN layer IN ('flow_acc', 'twi') THEN layer || '_GLO30_d8' WHEN layer IN ('dem', 'slope') THEN layer || '_GLO30' ELSE layer END AS name FROM (VALUES ('flow_acc'), ('twi'), ('dem'), ('slope'), ('mask')) t(layer)")
+@query(f"""WITH {CATALOGUE}, asked AS (SELECT p_partkey, ['flow_acc', 'twi', 'dem', 'slope', 'mask'][p_partkey % 5 + 1] AS layer, id, CASE WHEN p_size % 2 = 0 THEN 'd8' ELSE 'mfd_quinn_1991' END AS flow FROM part JOIN datasets ON place = p_size % 9)
+SELECT p_partkey, layer, CASE WHEN layer IN ('flow_acc', 'twi') THEN layer || '_' || id || '_' || flow WHEN layer IN ('dem', 'slope') THEN layer || '_' || id ELSE layer END AS name FROM asked""")
 def layer_names(spark, sf_dir):
-    return spark.createDataFrame([(x, layer_name(x, "GLO30", "d8")) for x in ("flow_acc", "twi", "dem", "slope", "mask")], "layer string, name string")
+    """The file name of the layer, dataset and method that each part stands for."""
+    pick = lambda names, k: F.get(F.array(*[F.lit(n) for n in names]), k.cast("int"))
+    layer = pick(("flow_acc", "twi", "dem", "slope", "mask"), F.col("p_partkey") % 5)
+    asked = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", layer.alias("layer"), pick([d[0] for d in DATASETS], F.col("p_size") % 9).alias("id"), F.when(F.col("p_size") % 2 == 0, "d8").otherwise("mfd_quinn_1991").alias("flow"))
+    return asked.select("p_partkey", "layer", layer_name_column(F.col("layer"), F.col("id"), F.col("flow")).alias("name"))
 
 
 # --- files of a whole grid ----------------------------------------------------------------------------------
@@ -667,7 +709,7 @@ def gtiff_window(spark, sf_dir):
 
 
 @query(f"""WITH {ORDERS}, levels AS (SELECT unnest(range(1, 4)) AS level)
-SELECT level::INT AS level, (r // (1 << level))::INT AS r, (c // (1 << level))::INT AS c, round(avg(z), 3) AS z FROM cells, levels GROUP BY ALL""")
+SELECT level::INT AS level, (r // (1 << level))::INT AS r, (c // (1 << level))::INT AS c, round(avg(z)::FLOAT::DOUBLE, 3) AS z FROM cells, levels GROUP BY ALL""")
 def gtiff_overviews(spark, sf_dir):
     """The overviews of a file: means of the cells under each cell, across the borders of blocks."""
     path = _file(spark, sf_dir, levels=3)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: dataset ids, their elevation band, and cell size in metres
@@ -44,3 +44,9 @@ def layer_name(layer: str, dem: str, flow: str) -> str:
     if layer in ("dem", "slope"):
         return f"{layer}_{dem}"
     return layer
+
+
+def layer_name_column(layer: Column, dem: Column, flow: Column) -> Column:
+    """``layer_name`` for columns."""
+    both, own = F.concat_ws("_", layer, dem, flow), F.concat_ws("_", layer, dem)
+    return F.when(layer.isin("flow_acc", "twi"), both).when(layer.isin("dem", "slope"), own).otherwise(layer)
