@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import materialize, release
 from ..functions.geo import row_steps
 from ..grid import GridMeta, neighbours
 
@@ -63,30 +64,54 @@ def _edges(spark: SparkSession, polygons, meta: GridMeta) -> DataFrame:
 
 
 def spans(spark: SparkSession, polygons, meta: GridMeta, all_touched: bool) -> DataFrame:
-    """r, c0, c1: the cells of each row that lie in some polygon, as disjoint ranges.
+    """r, c0, c1: the cells of each row that lie in some polygon, as disjoint ranges."""
+    return zone_spans(_edges(spark, polygons, meta).withColumn("zone", F.lit(0)), meta, all_touched).drop("zone")
 
+
+def zone_spans(edges: DataFrame, meta: GridMeta, all_touched: bool) -> DataFrame:
+    """zone, r, c0, c1: the cells of each row that lie in some polygon of a zone, as ranges that are disjoint within it.
+
+    ``edges``: zone, g (a number of the polygon within the zone), x1, y1, x2, y2 in (column, row) space.
     A cell lies in a polygon if its centre does by the even-odd rule over all rings, or, with ``all_touched``,
     if an edge meets its square. Work grows with the edges and the rows they cross, not with edges times cells.
     """
-    edges = _edges(spark, polygons, meta)
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     rows = lambda first, last: F.explode(F.when(first <= last, F.sequence(first, last)))
     top, bottom = F.lit(0), F.lit(meta.height - 1)
     x_at = lambda y: (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
     crossed = edges.filter("y1 <> y2").select("*", rows(F.greatest(F.ceil(low - 0.5).cast("int"), top), F.least(F.ceil(high - 0.5).cast("int") - 1, bottom)).alias("r"))
-    crossings = crossed.select("g", "r", x_at(F.col("r") + 0.5).alias("x"))
-    line = Window.partitionBy("g", "r").orderBy("x")
-    pairs = crossings.select("r", F.col("x").alias("a"), F.lead("x").over(line).alias("b"), F.row_number().over(line).alias("k")).filter("k % 2 = 1 and b is not null")
-    found = pairs.select("r", F.ceil(F.col("a") - 0.5).cast("int").alias("c0"), (F.ceil(F.col("b") - 0.5) - 1).cast("int").alias("c1"))
+    crossings = crossed.select("zone", "g", "r", x_at(F.col("r") + 0.5).alias("x"))
+    line = Window.partitionBy("zone", "g", "r").orderBy("x")
+    pairs = crossings.select("zone", "r", F.col("x").alias("a"), F.lead("x").over(line).alias("b"), F.row_number().over(line).alias("k")).filter("k % 2 = 1 and b is not null")
+    found = pairs.select("zone", "r", F.ceil(F.col("a") - 0.5).cast("int").alias("c0"), (F.ceil(F.col("b") - 0.5) - 1).cast("int").alias("c1"))
     if all_touched:
         met = edges.select("*", low.alias("low"), high.alias("high"), rows(F.greatest(F.ceil(low - 1 - _NEAR).cast("int"), top), F.least(F.floor(high + _NEAR).cast("int"), bottom)).alias("r"))
         flat = F.col("y1") == F.col("y2")
         ends = [F.when(flat, x).otherwise(x_at(y)) for x, y in ((F.col("x1"), F.greatest(F.col("low"), F.col("r").cast("double"))), (F.col("x2"), F.least(F.col("high"), F.col("r") + 1.0)))]
-        found = found.unionByName(met.select("r", F.ceil(F.least(*ends) - 1 - _NEAR).cast("int").alias("c0"), F.floor(F.greatest(*ends) + _NEAR).cast("int").alias("c1")))
-    row = Window.partitionBy("r").orderBy("c0", "c1")
+        found = found.unionByName(met.select("zone", "r", F.ceil(F.least(*ends) - 1 - _NEAR).cast("int").alias("c0"), F.floor(F.greatest(*ends) + _NEAR).cast("int").alias("c1")))
+    row = Window.partitionBy("zone", "r").orderBy("c0", "c1")
     before = F.max("c1").over(row.rowsBetween(Window.unboundedPreceding, -1))
     begun = found.filter("c0 <= c1").withColumn("new", F.coalesce((F.col("c0") > before + 1).cast("int"), F.lit(0)))
-    return begun.withColumn("part", F.sum("new").over(row)).groupBy("r", "part").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1")).select("r", "c0", "c1")
+    return begun.withColumn("part", F.sum("new").over(row)).groupBy("zone", "r", "part").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1")).select("zone", "r", "c0", "c1")
+
+
+#: Columns of cells that a range of a zone is cut into, so that ranges and cells meet by equality.
+SPAN_CELLS = 256
+
+
+def zonal_polygons(cells: DataFrame, meta: GridMeta, edges: DataFrame, column: str = "z", all_touched: bool = False) -> DataFrame:
+    """zone, n, mean, sd, low, high over the cells with a value in each zone's polygons (``edges``: see ``zone_spans``); zones may overlap, and one without a cell has n = 0.
+
+    Ranges are cut at every SPAN_CELLS columns and joined to cells by row and piece; each cell appears once for each zone that holds it,
+    and sums are formed before the shuffle.
+    """
+    first, last = (F.col(n) / SPAN_CELLS for n in ("c0", "c1"))
+    inside = zone_spans(edges, meta, all_touched).filter(f"c1 >= 0 and c0 < {meta.width}").withColumns({"c0": F.greatest("c0", F.lit(0)), "c1": F.least("c1", F.lit(meta.width - 1))})
+    pieces = inside.withColumn("piece", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    valued = cells.filter(F.col(column).isNotNull()).select("r", "c", F.col(column).alias("v"), (F.col("c") / SPAN_CELLS).cast("int").alias("piece"))
+    held = valued.join(pieces, ["r", "piece"]).filter(F.col("c").between(F.col("c0"), F.col("c1")))
+    stats = held.groupBy("zone").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.min("v").alias("low"), F.max("v").alias("high"))
+    return edges.select("zone").distinct().join(stats, "zone", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def clip(cells: DataFrame, meta: GridMeta, geojson: str | dict, all_touched: bool = True) -> DataFrame:
@@ -104,27 +129,60 @@ def clip(cells: DataFrame, meta: GridMeta, geojson: str | dict, all_touched: boo
     return box.join(held, "r", "left").withColumn("z", F.when(inside, F.col("z"))).select(box.columns)
 
 
+#: Distinct values in each range of their order.
+RANKED_VALUES = 1_000_000
+
+
+def percentiles(cells: DataFrame, wanted: list[float], column: str = "z") -> list[float] | None:
+    """Exact percentiles (0 to 100) with linear interpolation between ranks; None without values.
+
+    Values are counted, so that a frequent one is one row, and sorted in ranges; the ranks asked for are then found from the ranges' totals
+    and read from the ranges that hold them. No task sees more than a range.
+    """
+    counted = materialize(cells.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n")))
+    rows = counted.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
+    if not rows.k:
+        release(counted)
+        return None
+    placed = materialize(counted.repartitionByRange(1 + rows.k // RANKED_VALUES, "v").withColumn("part", F.spark_partition_id()))
+    base, below = {}, 0
+    for r in placed.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # a row for each range
+        base[r.part], below = (below, below + r.n), below + r.n
+    at = [p / 100 * (rows.n - 1) for p in wanted]
+    ranks = sorted({min(k, rows.n - 1) for x in at for k in (math.floor(x), math.floor(x) + 1)})
+    held = {part for part, (lo, hi) in base.items() if any(lo <= k < hi for k in ranks)}
+    start = F.element_at(F.create_map(*[F.lit(x) for part in held for x in (part, base[part][0])]), F.col("part"))
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    found = placed.filter(F.col("part").isin(*held)).withColumn("hi", start + upto)
+    hit = found.filter(F.exists(F.array(*[F.lit(k).cast("long") for k in ranks]), lambda k: (k < F.col("hi")) & (k >= F.col("hi") - F.col("n")))).select("v", "n", "hi").collect()
+    value = {k: r.v for r in hit for k in ranks if r.hi - r.n <= k < r.hi}
+    release(counted, placed)
+    low = [math.floor(x) for x in at]
+    return [value[k] + (value[min(k + 1, rows.n - 1)] - value[k]) * (x - k) for x, k in zip(at, low)]
+
+
 def sigma_stretch(cells: DataFrame, column: str = "z", k: float = 2.0, clamp: tuple[float, float] | None = None) -> DataFrame:
     """lo, hi: mean plus or minus k deviations, optionally within percentiles; [0, 1] where degenerate."""
     if clamp and not 0 <= clamp[0] < clamp[1] <= 100:
         raise ValueError("percentiles must satisfy 0 <= low < high <= 100")
     v = F.col(column)
-    stats = cells.agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.stddev_pop(v).alias("s"), *([F.percentile(v, [clamp[0] / 100, clamp[1] / 100]).alias("p")] if clamp else []))
+    stats = cells.agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.stddev_pop(v).alias("s"))
     lo, hi = F.col("m") - k * F.col("s"), F.col("m") + k * F.col("s")
-    if clamp:
-        lo, hi = F.greatest(lo, F.col("p")[0]), F.least(hi, F.col("p")[1])
+    if clamp and (found := percentiles(cells, list(clamp), column)):
+        lo, hi = F.greatest(lo, F.lit(found[0])), F.least(hi, F.lit(found[1]))
     fine = (F.col("n") > 0) & (F.col("s") > 0) & (lo < hi)
     return stats.select("n", F.when(fine, lo).otherwise(0.0).alias("lo"), F.when(fine, hi).otherwise(1.0).alias("hi"))
 
 
 def percentile_stretch(cells: DataFrame, column: str = "z", low: float = 2, high: float = 98) -> DataFrame:
-    """lo, hi: interpolated percentiles; the extremes where they coincide."""
+    """lo, hi: interpolated percentiles; the extremes where they coincide, NULL without values."""
     if not 0 <= low < high <= 100:
         raise ValueError("percentiles must satisfy 0 <= low < high <= 100")
     v = F.col(column)
-    s = cells.agg(F.count(v).alias("n"), F.percentile(v, [low / 100, high / 100]).alias("p"), F.min(v).alias("a"), F.max(v).alias("b"))
-    same = F.col("p")[0] >= F.col("p")[1]
-    return s.select("n", F.when(same, F.col("a")).otherwise(F.col("p")[0]).alias("lo"), F.when(same, F.col("b")).otherwise(F.col("p")[1]).alias("hi"))
+    s = cells.agg(F.count(v).alias("n"), F.min(v).alias("a"), F.max(v).alias("b"))
+    found = percentiles(cells, [low, high], column) or [0.0, 0.0]
+    ends = ("a", "b") if found[0] >= found[1] else None
+    return s.select("n", *[(F.col(ends[i]) if ends else F.lit(found[i])).cast("double").alias(n) for i, n in enumerate(("lo", "hi"))])
 
 
 def stretched(value: Column, lo: Column | float, hi: Column | float, bins: int = 256) -> Column:

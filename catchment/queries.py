@@ -715,3 +715,30 @@ def gtiff_overviews(spark, sf_dir):
     path = _file(spark, sf_dir, levels=3)
     every = [gtiff_source.read(spark, path, level=k).select(F.lit(k).alias("level"), "r", "c", F.round("z", 3).alias("z")) for k in (1, 2, 3)]
     return every[0].unionByName(every[1]).unionByName(every[2])
+
+
+# --- many polygons ------------------------------------------------------------------------------------------
+
+#: A quadrilateral for each supplier, in (column, row) space of the parts grid.
+QUADS = """corners AS (SELECT s_suppkey AS zone, s_suppkey * 13 % 50 + 0.3 AS x, s_suppkey * 7 % 40 + 0.2 AS y, 3.25 + s_nationkey AS w, 2.75 + s_nationkey / 2.0 AS h FROM supplier),
+edges AS (SELECT zone, x::DOUBLE AS x1, y::DOUBLE AS y1, (x + w)::DOUBLE AS x2, (y + 1.1)::DOUBLE AS y2 FROM corners UNION ALL SELECT zone, x + w, y + 1.1, x + w - 1.2, y + h FROM corners
+UNION ALL SELECT zone, x + w - 1.2, y + h, x - 0.9, y + h - 0.6 FROM corners UNION ALL SELECT zone, x - 0.9, y + h - 0.6, x, y FROM corners)"""
+
+
+def _quads(spark, sf_dir):
+    key, more = F.col("s_suppkey"), F.col("s_nationkey")
+    at = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(key.alias("zone"), (key * 13 % 50 + 0.3).alias("x"), (key * 7 % 40 + 0.2).alias("y"), (3.25 + more).alias("w"), (2.75 + more / 2).alias("h"))
+    x, y, w, h = (F.col(n) for n in "xywh")
+    ring = [(x, y), (x + w, y + 1.1), (x + w - 1.2, y + h), (x - 0.9, y + h - 0.6)]
+    sides = [F.struct(a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2")) for a, b in zip(ring, ring[1:] + ring[:1])]
+    return at.select("zone", F.lit(0).alias("g"), F.inline(F.array(*sides)))
+
+
+@query(f"""WITH {VOID}, {QUADS}, inside AS (SELECT e.zone, c.r, c.c, any_value(c.z) AS z FROM cells c JOIN edges e ON (e.y1 > c.r + 0.5) <> (e.y2 > c.r + 0.5) AND c.c + 0.5 < (e.x2 - e.x1) * (c.r + 0.5 - e.y1) / (e.y2 - e.y1) + e.x1
+GROUP BY e.zone, c.r, c.c HAVING count(*) % 2 = 1)
+SELECT s.s_suppkey AS zone, count(z) AS n, round(avg(z), 6) AS mean, round(stddev_pop(z), 6) AS sd, min(z) AS low, max(z) AS high FROM supplier s LEFT JOIN inside i ON i.zone = s.s_suppkey GROUP BY s.s_suppkey""")
+def zonal_polygons(spark, sf_dir):
+    """Statistics of the cells whose centres lie in each of many overlapping polygons."""
+    cells, meta = view(spark, sf_dir, "dem_part", void=True)
+    s = wetness.zonal_polygons(cells, meta, _quads(spark, sf_dir))
+    return s.select("zone", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "low", "high")
