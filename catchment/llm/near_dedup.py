@@ -170,8 +170,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             confirmed = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
             comp = merge_components(comp, confirmed.distinct())
     label = classes.join(comp, "node", "left").select("d1", "d2", F.coalesce("comp", "node").alias("comp"))
-    ids = signed.join(label, ["d1", "d2"], "left")
-    return ids.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("comp")), "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    labelled = signed.join(label, ["d1", "d2"], "left")
+    ids = labelled.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("comp")), "doc_id").alias("component_id"))
+    return _one_component(cut(ids)).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _one_component(ids: DataFrame) -> DataFrame:
+    """``ids`` (doc_id, n_shingles, component_id) with the components of each id's rows joined."""
+    spread = ids.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).filter("a < b").select("doc_id", "a")
+    if not spread.take(1):
+        return ids
+    links = cut(ids.join(spread, "doc_id").filter("component_id <> a").select("a", F.col("component_id").alias("b")).distinct())
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    joined = merge_components(nodes.select("node", F.col("node").alias("comp")), links).select(F.col("node").alias("component_id"), "comp")
+    return ids.join(joined, "component_id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "component_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

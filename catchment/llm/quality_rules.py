@@ -177,4 +177,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
         return kernel
 
-    return map_texts(docs.select("doc_id", "text"), make, f"doc_id long, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, score double, kept boolean")
+    return map_texts(docs.select("doc_id", "text"), make, f"doc_id long, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, kept boolean, score double")

@@ -49,6 +49,20 @@ def test_near_duplicates_match_brute_force(spark, corpus):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(sets[i]), comp[i], comp[i] == i) for i in sets}
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    """An id's texts bring their groups together, also by way of several ids, and an empty text follows its id."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(12)) for x in "abcd")
+    rows = [(3, a), (5, a), (5, b), (7, b), (7, ""), (9, c), (11, c), (11, b), (20, d), (20, d), (21, ""), (None, a)]
+    got = near_dedup.near_duplicates(docs_of(spark, rows), 3, 85).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(3, 3, True)} | {(i, 3, False) for i in (5, 7, 9, 11)} | {(20, 20, True), (21, 21, True), (None, None, True)}
+    assert len(got) == len(rows)
+
+
+def test_columns_of_the_quality_rules(spark, corpus):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    assert quality_rules.quality_rules(docs_of(spark, corpus), labels).columns == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
+
+
 def test_components_of_a_chain(spark):
     n = 40
     comp = spark.createDataFrame([(i, i) for i in range(n)], "node long, comp long")
