@@ -2,8 +2,10 @@
 
 One pattern finds e-mail and IPv4 addresses, card, phone, social-security and account numbers, access
 keys, hexadecimal secrets, assigned passwords, and names after a gendered title: all capitalised parts,
-particles between them and degrees before them left as they are. Each part of a name is an entity, and so
-is every other mention of it, as a whole word, in the same text. The last word after a title is a surname,
+particles between them and degrees before them left as they are; in scripts without case the word after the title, or two or
+three Han characters. A name ends before another title, and before a word that more texts of the corpus have apart from names
+than in one (or a date). Each part of a name is an entity, and so is every other mention of it, as a whole word, in the same text, unless it is such a
+word: then only right after a title. The last word after a title is a surname,
 words before it are given names; a given name is of the title's gender (of neither if a text has it after
 titles of both), a surname of a gender only where its script forms two. Each entity is reduced
 to a canonical form (so that spellings of one entity share a surrogate), and a keyed SHA-256 of it drives
@@ -63,7 +65,10 @@ SYMBOLS = "!#%&*+-./:<>?@^_|~"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: A run of letters: O'Neill is one, without the s of a possessive. A name's word: such runs with hyphens, of two letters at least.
 _RUN = r"\p{L}[\p{L}\p{M}]*+(?:['’](?!s(?![\p{L}\p{M}]))\p{L}[\p{L}\p{M}]*+)*+"
-_WORD = rf"(?=(?:[dl]['’])?\p{{Lu}}[\p{{L}}\p{{M}}'’-]){_RUN}(?:-{_RUN})*+"
+#: Never a title itself. In scripts without case: two or three Han characters, or a run of letters of another script.
+_TITLE = rf"(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})"
+_BARE = r"(?:\p{IsHan}{2,3}|[\p{Lo}&&[^\p{IsHan}]]{2}[\p{Lo}\p{M}]*+)"
+_WORD = rf"(?:(?!{_TITLE}(?![\p{{L}}\p{{M}}]))(?=(?:[dl]['’])?\p{{Lu}}[\p{{L}}\p{{M}}'’-]){_RUN}(?:-{_RUN})*+|{_BARE})"
 #: Left as they are: particles, and degrees before a name. Initials too.
 PARTICLES = ["von", "van", "vom", "zu", "zum", "zur", "de", "der", "den", "des", "du", "del", "della", "di", "da", "das", "do", "dos", "la", "le", "el", "al", "bin", "ibn", "ter", "ten", "y", "e"]
 DEGREES = ["Dr", "Prof", "Доктор", "Профессор"]
@@ -89,26 +94,85 @@ NAMELESS = "|".join(p for k, p in KINDS.items() if k not in ("male", "female"))
 HINT = r"[@=]|\d{3}|\d[ .-]\d|[0-9a-f]{32}|AKIA|ASIA|[A-Z]{2}\d{2}|" + "|".join(MALE_TITLES + FEMALE_TITLES)
 
 
-def with_parts(texts: DataFrame) -> DataFrame:
-    """``texts`` with parts: given names (first) and surnames (last) after titles of a gender, part by part, each once, also in capitals and with one capital."""
+# fixed values: words with a capital that are dates, not names, when they stand alone
+DATES = [
+    *"Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December".split(),
+    *"Montag Dienstag Mittwoch Donnerstag Freitag Samstag Sonntag Januar Februar März Mai Juni Juli Oktober Dezember".split(),
+]
+#: Words as the corpus is searched for them.
+_LETTERS = r"[\p{L}\p{M}'’-]+"
+
+
+def with_names(texts: DataFrame) -> DataFrame:
+    """``texts`` with names_f and names_m: the words of each name after a title of a gender, degrees and particles left out."""
+    for g, title in (("f", "female"), ("m", "male")):
+        texts = texts.withColumn(f"names_{g}", F.transform(F.regexp_extract_all("text", F.lit(KINDS[title]), F.lit(0)), lambda n: F.regexp_extract_all(n, F.lit(_WORD), F.lit(0))))
+    return texts
+
+
+def _spelling(w: Column) -> Column:
+    return F.lower(F.regexp_replace(w, r"['’]s$", ""))
+
+
+def ordinary_words(named: DataFrame, marked: DataFrame) -> DataFrame:
+    """word (in lower case): words of names that more texts have apart from names than in one, and dates.
+
+    ``named``: row_key and names of the texts with names; ``marked``: row_key and text of all. A word in lower case, or
+    with a capital in a text that has it in no name, stands apart from names. Only words that some name has are counted,
+    told by a bit table before the shuffle; the counts are of texts, so a copy counts once.
+    """
+    words = lambda n: F.transform(F.flatten(n), _spelling)
+    of_text = named.select("row_key", F.array_distinct(F.concat(words(F.col("names_f")), words(F.col("names_m")))).alias("own")).distinct()
+    in_names = cut(of_text.select("row_key", F.explode("own").alias("word")))
+    counted = in_names.groupBy("word").agg(F.count("*").alias("named"))
+    spoken = marked.filter(F.col("text").isNotNull()).select("row_key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_LETTERS), F.lit(0)))).alias("w"))
+    spoken = spoken.withColumn("word", _spelling(F.col("w")))
+    spoken = with_seen(spoken, marks(in_names, "word"), "word").filter("seen")
+    lower = F.col("w") == F.lower("w")
+    once = spoken.groupBy("row_key", "word").agg(F.bool_or(lower & F.col("w").rlike(r"^\p{Ll}")).alias("small"))
+    free = once.join(in_names.withColumn("name", F.lit(True)), ["row_key", "word"], "left").filter("small or name is null").groupBy("word").agg(F.count("*").alias("free"))
+    dates = F.col("word").isin([d.lower() for d in DATES])
+    return counted.join(free, "word", "left").filter((F.col("free") > F.col("named")) | dates).select("word")
+
+
+def with_ordinary(named: DataFrame, ordinary: DataFrame) -> DataFrame:
+    """``named`` with ordinary: which words of its names (in lower case) are ordinary ones."""
+    words = named.select("row_key", F.explode(F.flatten(F.concat("names_f", "names_m"))).alias("w")).select("row_key", _spelling(F.col("w")).alias("word")).distinct()
+    of_row = words.join(ordinary, "word").groupBy("row_key").agg(F.collect_list("word").alias("ordinary"))
+    return named.join(of_row, "row_key", "left").withColumn("ordinary", F.coalesce("ordinary", F.array().cast("array<string>")))
+
+
+def with_parts(named: DataFrame) -> DataFrame:
+    """``named`` (names_f, names_m, ordinary) with parts: given names (first) and surnames (last) after titles of a gender, part by part, each once, also in capitals and with one capital.
+
+    A name ends before an ordinary word, other than its first; parts are in ``spoken`` if they are no ordinary words, and in ``titled`` all.
+    """
+    common = lambda w: F.array_contains("ordinary", _spelling(w))
+    texts = named
+    for g in "fm":
+        cut_at = lambda n: F.array_position(F.transform(F.slice(n, 2, 1000), common), F.lit(True))
+        texts = texts.withColumn(f"names_{g}", F.transform(f"names_{g}", lambda n: F.slice(n, F.lit(1), F.when(cut_at(n) > 0, cut_at(n)).otherwise(F.size(n)).cast("int"))))
     kept = F.array(*map(F.lit, PARTICLES + DEGREES))
     runs = lambda words: F.array_distinct(F.filter(F.flatten(F.transform(F.flatten(words), lambda w: F.regexp_extract_all(w, F.lit(_RUN), F.lit(0)))), lambda x: (F.length(x) > 1) & ~F.array_contains(kept, x)))
     spelt = lambda parts: F.array_distinct(F.concat(parts, F.transform(parts, lambda x: F.initcap(F.lower(x))), F.transform(parts, lambda x: F.upper(x))))
     names = []
-    for g, title in (("f", "female"), ("m", "male")):  # a column for each step, so that none is worked out twice
-        texts = texts.withColumn(f"names_{g}", F.transform(F.regexp_extract_all("text", F.lit(KINDS[title]), F.lit(0)), lambda n: F.regexp_extract_all(n, F.lit(_WORD), F.lit(0))))
+    for g in "fm":  # a column for each step, so that none is worked out twice
         texts = texts.withColumn(f"first_{g}", runs(F.transform(f"names_{g}", lambda n: F.slice(n, F.lit(1), F.greatest(F.size(n) - 1, F.lit(0))))))
         texts = texts.withColumn(f"last_{g}", runs(F.transform(f"names_{g}", lambda n: F.slice(n, F.greatest(F.size(n), F.lit(1)), F.lit(1)))))
         names += [f"first_{g}", f"last_{g}"]
+    every = F.array_distinct(F.flatten(F.array(*[spelt(F.col(n)) for n in names])))
+    texts = texts.withColumn("titled", every).withColumn("spoken", F.filter("titled", lambda w: ~common(w)))
     parts = F.struct(*[spelt(F.col(n)).alias(n) for n in names])
     return texts.withColumn("parts", parts).drop("names_f", "names_m", *names)
 
 
-def pattern_of(names: Column) -> Column:
-    """The pattern of a text's entities: the kinds besides names, and the parts of its names as whole words."""
-    # not within a longer word; an apostrophe binds letters except before a possessive s
-    words = F.concat(F.lit(r"|(?<![\p{L}\p{M}\p{N}_])(?<!\p{L}['’])(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}_])(?!['’](?!s(?![\p{L}\p{M}]))\p{L})"))
-    return F.concat(F.lit(NAMELESS), F.when(F.size(names) > 0, words).otherwise(""))
+def pattern_of(spoken: Column, titled: Column) -> Column:
+    """The pattern of a text's entities: the kinds besides names, the parts of its names that are no ordinary words wherever they stand as whole words, and the others right after a title."""
+    # not within a longer word; an apostrophe binds letters except before a possessive s; Han names may touch other characters
+    end = r"(?:(?<=\p{IsHan})|(?![\p{L}\p{M}\p{N}_])(?!['’](?!s(?![\p{L}\p{M}]))\p{L}))"
+    words = F.concat(F.lit(r"|(?<![\p{L}\p{M}\p{N}_])(?<!\p{L}['’])(?:"), F.array_join(spoken, "|"), F.lit(")" + end))
+    after = F.concat(F.lit(rf"|(?<=\b{_TITLE}\.? (?:{_LINK})?(?:{_LINK})?)(?:"), F.array_join(titled, "|"), F.lit(")" + end))
+    return F.concat(F.lit(NAMELESS), F.when(F.size(titled) > 0, after).otherwise(""), F.when(F.size(spoken) > 0, words).otherwise(""))
 
 
 def kind_of(e: Column) -> Column:
@@ -306,15 +370,17 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
 def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with entities in text replaced; n_entities counts them.
 
-    Texts are searched once. Rows with entities are written and shuffled; the others are told by a bit table of fixed
+    All texts are searched for entities, and for words of names that are ordinary elsewhere. Rows with entities are written and shuffled; the others are told by a bit table of fixed
     size over the hashes of texts, and only those that it cannot tell are joined to the list of texts with entities.
     """
     names = [c for c in docs.columns if c != "n_entities"]
     # a row travels as one struct, so that its columns cannot clash with those made here
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text", F.xxhash64("text").alias("row_key"), F.xxhash64(F.lit(1), "text").alias("row_key2"))
     some = F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(PATTERN), F.lit(False))
-    named = with_parts(marked.filter(some))
-    named = named.withColumn("pattern", pattern_of(F.array_distinct(F.concat("parts.first_f", "parts.last_f", "parts.first_m", "parts.last_m"))))
+    named = cut(with_names(marked.filter(some)))
+    with_any = named.filter("size(names_f) + size(names_m) > 0").select("row_key", "names_f", "names_m")
+    named = with_parts(with_ordinary(named, ordinary_words(with_any, marked.select("row_key", "text"))))
+    named = named.withColumn("pattern", pattern_of(F.col("spoken"), F.col("titled"))).drop("spoken", "titled", "ordinary")
     hits = cut(named.withColumn("found", F.regexp_extract_all("text", F.col("pattern"), F.lit(0))))
     used = _typed(hits)
     table = assign(used.select("kind", "gender", "canonical").distinct(), key)

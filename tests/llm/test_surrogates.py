@@ -96,3 +96,61 @@ def test_a_text_without_entities_and_one_with_them_keep_their_rows(spark):
     got = pii.replace_pii(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(got) == len(rows) and sum(r.n_entities for r in got) == 21
     assert all(r.text == dict(rows)[r.doc_id] for r in got if r.n_entities == 0)
+
+
+def test_a_name_ends_before_a_title(spark):
+    new = replaced(spark, ["Mr Smith Mr Jones met", "Frau Weber Herr Braun", "Mrs Miss"])
+    m = re.fullmatch(r"Mr (\w+) Mr (\w+) met", new[0].text)
+    assert m and m[1] != m[2] and not {"Smith", "Jones", "Mr"} & set(m.groups()) and new[0].n_entities == 2
+    m = re.fullmatch(r"Frau (\w+) Herr (\w+)", new[1].text)
+    assert m and not {"Weber", "Braun", "Herr"} & set(m.groups())
+    assert new[2].text == "Mrs Miss" and new[2].n_entities == 0
+
+
+def test_ordinary_words_are_no_names(spark):
+    """Words that more texts have apart from names than in one, and dates: not part of a name, and replaced right after a title alone."""
+    texts = [
+        "Mr Smith Monday came. On Monday it rained", "Herr Weber Geld braucht. Geld ist gut", "Mr May came in May; 3 May 2020", "Mr Green has a Green house", "Mr John Smith, Green and Smith",
+        "Das Geld ist da", "Geld und Gut", "we saw Green trees", "a green hill", "green it was", "Green hills", "Herr von Green, Herr Dr. Green",
+    ]
+    new = {i: r.text for i, r in replaced(spark, texts).items()}
+    m = re.fullmatch(r"Mr (\w+) Monday came\. On Monday it rained", new[0])
+    assert m and m[1] != "Smith"
+    m = re.fullmatch(r"Herr (\w+) Geld braucht\. Geld ist gut", new[1])
+    assert m and m[1] != "Weber"
+    m = re.fullmatch(r"Mr (\w+) came in May; 3 May 2020", new[2])
+    assert m and m[1] != "May"
+    m = re.fullmatch(r"Mr (\w+) has a Green house", new[3])
+    assert m and m[1] != "Green"
+    m = re.fullmatch(r"Mr (\w+) (\w+), Green and (\w+)", new[4])
+    assert m and m[2] == m[3] != "Smith" and m[1] != "John"
+    assert all(new[i] == texts[i] for i in range(5, 11))
+    m = re.fullmatch(r"Herr von (\w+), Herr Dr\. \1", new[11])
+    assert m and m[1] != "Green"
+
+
+def test_names_in_scripts_without_case(spark):
+    new = {i: r.text for i, r in replaced(spark, ["Mr 李明 came, 李明 said", "Mrs علي and علي again", "Mr 김철수", "Ms א"]).items()}
+    m = re.fullmatch(r"Mr (\w\w) came, (\w\w) said", new[0])
+    assert m and m[1] == m[2] != "李明"
+    m = re.fullmatch(r"Mrs (\w{3}) and (\w{3}) again", new[1])
+    assert m and m[1] == m[2] != "علي"
+    assert re.fullmatch(r"Mr \w{3}", new[2]) and "김철수" not in new[2] and new[3] == "Ms א"
+
+
+def test_what_is_no_entity_stays(spark):
+    """Of a whole table, each text is its own once entities and surrogates are taken out."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    strip = re.compile(r"[^\W\d_]+|[\d]+|[^\s\w]+|_")
+    changed = 0
+    for r in pii.replace_pii(docs).collect():
+        if not r.n_entities:
+            assert r.text == before[r.doc_id]
+            continue
+        a, b = strip.findall(before[r.doc_id]), strip.findall(r.text)
+        kept = set(b)
+        changed += 1
+        assert sum(x in kept for x in a) >= len(a) - 40 * r.n_entities
+        assert before[r.doc_id].count("\n") == r.text.count("\n")
+    assert changed
