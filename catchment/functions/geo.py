@@ -38,23 +38,6 @@ def pixel_area(meta: GridMeta) -> Column:
 
 def to_wgs84(epsg: int, points: np.ndarray) -> np.ndarray:
     """Longitude and latitude of points (n x 2) in WGS84 itself, Web Mercator, or a UTM zone on WGS84."""
-    x, y = points[:, 0], points[:, 1]
-    if epsg in (0, -1, 4326, 4979):
-        return points
-    if epsg in (3857, 900913):
-        return np.column_stack([np.degrees(x / AXIS), np.degrees(2 * np.arctan(np.exp(y / AXIS)) - np.pi / 2)])
-    if not (32601 <= epsg <= 32660 or 32701 <= epsg <= 32760):
-        raise ValueError(f"coordinates in EPSG:{epsg} cannot be converted")
-    # the inverse transverse Mercator projection by its series in the third flattening
-    n = FLATTENING / (2 - FLATTENING)
-    radius = AXIS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    scale, north = 0.9996, y - (10_000_000.0 if epsg > 32700 else 0.0)
-    xi, eta = north / (scale * radius), (x - 500_000.0) / (scale * radius)
-    back = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
-    u = xi - sum(b * np.sin(2 * k * xi) * np.cosh(2 * k * eta) for k, b in enumerate(back, 1))
-    v = eta - sum(b * np.cos(2 * k * xi) * np.sinh(2 * k * eta) for k, b in enumerate(back, 1))
-    chi = np.arcsin(np.sin(u) / np.cosh(v))
-    to_lat = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
-    lat = chi + sum(d * np.sin(2 * k * chi) for k, d in enumerate(to_lat, 1))
-    lon = np.arctan2(np.sinh(v), np.cos(u)) + np.radians((epsg % 100) * 6 - 183)
-    return np.degrees(np.column_stack([lon, lat]))
+    from .projection import unproject
+
+    return np.column_stack(unproject(epsg, points[:, 0], points[:, 1]))

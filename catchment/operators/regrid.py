@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import metres_per_degree, pixel_area
+from ..functions.projection import convert, epsg_of
 from ..grid import GridMeta
+from ..tiles import Field, shape, to_tiles
 
 # fixed values: the export limits of a request
 TILE_BYTES = 32 * 1024 * 1024
@@ -49,6 +53,103 @@ def resample(cells: DataFrame, source: GridMeta, target: GridMeta, method: str =
     return got.select("r", "c", F.when(F.col("n") == F.col("k"), F.col("s")).alias("z"))
 
 
+#: Edge of the source's tiles, and least edge of the target's.
+REPROJECT_SIZE, LEAST_TARGET = 256, 16
+
+
+def _kernel(t: np.ndarray, method: str) -> np.ndarray:
+    """Weight of a cell at a distance, in cells."""
+    d = np.abs(t)
+    if method == "bilinear":
+        return 1 - d
+    return np.where(d <= 1, 1.5 * d**3 - 2.5 * d**2 + 1, np.where(d < 2, -0.5 * d**3 + 2.5 * d**2 - 4 * d + 2, 0.0))
+
+
+def _sampled(window: np.ndarray, r0: int, c0: int, u: np.ndarray, v: np.ndarray, method: str) -> np.ndarray:
+    """Values at (u, v) in cells of the source, of which ``window`` begins at row r0 and column c0; NaN where a needed cell is missing."""
+
+    def at(row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        i, j = row - r0, col - c0
+        inside = (i >= 0) & (i < window.shape[0]) & (j >= 0) & (j < window.shape[1])
+        return np.where(inside, window[np.where(inside, i, 0), np.where(inside, j, 0)], np.nan)
+
+    if method == "nearest":
+        return at(np.floor(v).astype(int), np.floor(u).astype(int))
+    x, y = u - 0.5, v - 0.5
+    left, top = np.floor(x).astype(int), np.floor(y).astype(int)
+    out = np.zeros(u.shape)
+    for dy in range(0, 2) if method == "bilinear" else range(-1, 3):
+        for dx in range(0, 2) if method == "bilinear" else range(-1, 3):
+            weight = _kernel(x - left - dx, method) * _kernel(y - top - dy, method)
+            out += np.where(np.abs(weight) > 1e-12, weight * at(top + dy, left + dx), 0.0)
+    return out
+
+
+def reproject(cells: DataFrame, source: GridMeta, target: GridMeta, method: str = "bilinear", size: int = REPROJECT_SIZE) -> DataFrame:
+    """r, c, z of ``cells`` on a target grid of any known coordinate system; NULL where a needed source cell is missing or NoData.
+
+    A target tile learns from its border, carried over to the source, which source tiles lie under it; these alone are
+    joined to it, and its cells are sampled at once. Target tiles are the smaller the coarser the target, so that a task holds a few source tiles.
+    """
+    if method not in RESAMPLING:
+        raise ValueError(f"resampling must be one of {', '.join(RESAMPLING)}")
+    source.require_north_up()
+    target.require_north_up()
+    epsg_of(source.crs), epsg_of(target.crs)
+
+    def carried(r, c):
+        """Places in cells of the source of places in cells of the target."""
+        x, y = convert(target.crs, source.crs, target.c + target.a * c, target.f + target.e * r)
+        return (x - source.c) / source.a, (y - source.f) / source.e
+
+    mid = np.array([target.height / 2, target.height / 2 + 1]), np.array([target.width / 2, target.width / 2 + 1])
+    u, v = carried(*mid)
+    edge = int(min(size, max(LEAST_TARGET, size / max(1.0, abs(u[1] - u[0]), abs(v[1] - v[0])))))
+    down, across = -(-target.height // edge), -(-target.width // edge)
+
+    def under(batches):
+        for b in batches:
+            out: dict[str, list] = {"at": [], "tr": [], "tc": []}
+            for k in b.column("at").to_pylist():
+                r0, c0 = k // across * edge, k % across * edge
+                r1, c1 = min(target.height, r0 + edge), min(target.width, c0 + edge)
+                rows, cols = np.arange(r0, r1 + 1), np.arange(c0, c1 + 1)
+                r = np.concatenate([rows, rows, np.full(len(cols), r0), np.full(len(cols), r1)]).astype(float)
+                c = np.concatenate([np.full(len(rows), c0), np.full(len(rows), c1), cols, cols]).astype(float)
+                u, v = carried(r, c)
+                margin = 3
+                rr = range(max(0, math.floor(v.min()) - margin) // size, min(source.height - 1, math.ceil(v.max()) + margin) // size + 1)
+                cc = range(max(0, math.floor(u.min()) - margin) // size, min(source.width - 1, math.ceil(u.max()) + margin) // size + 1)
+                pairs = [(i, j) for i in rr for j in cc] or [(-1, -1)]
+                out["at"] += [k] * len(pairs)
+                out["tr"] += [i for i, _ in pairs]
+                out["tc"] += [j for _, j in pairs]
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("at", pa.int64()), ("tr", pa.int32()), ("tc", pa.int32())]))
+
+    field = Field("f8", np.nan)
+
+    def sample(table: pa.Table) -> pa.Table:
+        k = table.column("at")[0].as_py()
+        r0, c0 = k // across * edge, k % across * edge
+        rows, cols = np.arange(r0, min(target.height, r0 + edge)), np.arange(c0, min(target.width, c0 + edge))
+        r, c = (a.ravel() for a in np.meshgrid(rows, cols, indexing="ij"))
+        blocks = [x for x in zip(*(table.column(n).to_pylist() for n in ("tr", "tc", "z"))) if x[2] is not None]
+        z = np.full(len(r), np.nan)
+        if blocks:
+            top, left = min(b[0] for b in blocks), min(b[1] for b in blocks)
+            window = np.full(((max(b[0] for b in blocks) - top + 1) * size, (max(b[1] for b in blocks) - left + 1) * size), np.nan)
+            for tr, tc, content in blocks:
+                h, w = shape(source, tr, tc, size)
+                window[(tr - top) * size : (tr - top) * size + h, (tc - left) * size : (tc - left) * size + w] = field.read(content, h, w)
+            u, v = carried(r + 0.5, c + 0.5)
+            z = _sampled(window, top * size, left * size, u, v, method)
+        return pa.table({"r": pa.array(r, pa.int32()), "c": pa.array(c, pa.int32()), "z": pa.array(z, mask=np.isnan(z))})
+
+    wanted = cells.sparkSession.range(down * across).withColumnRenamed("id", "at").mapInArrow(under, "at long, tr int, tc int")
+    held = wanted.join(to_tiles(cells, source, {"z": field}, size), ["tr", "tc"], "left")
+    return held.groupBy("at").applyInArrow(sample, "r int, c int, z double")
+
+
 def aligned(a: GridMeta, b: GridMeta) -> bool:
     """Whether two rasters share transform, CRS and size."""
     return a == b

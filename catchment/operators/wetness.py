@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import materialize, release
 from ..functions.geo import row_steps
+from ..functions.projection import convert, epsg_of
 from ..grid import GridMeta, neighbours
 
 MIN_SLOPE = 0.1
@@ -114,9 +115,15 @@ def zonal_polygons(cells: DataFrame, meta: GridMeta, edges: DataFrame, column: s
     return edges.select("zone").distinct().join(stats, "zone", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def clip(cells: DataFrame, meta: GridMeta, geojson: str | dict, all_touched: bool = True) -> DataFrame:
-    """Cells of the polygon's bounding box; those outside the polygon have z NULL. With ``all_touched`` any contact counts."""
+def clip(cells: DataFrame, meta: GridMeta, geojson: str | dict, all_touched: bool = True, crs: str = "EPSG:4326") -> DataFrame:
+    """Cells of the polygon's bounding box; those outside the polygon have z NULL. With ``all_touched`` any contact counts.
+
+    ``crs``: the polygon's coordinate system; where the grid has another, the polygon's corners are carried over, to six places.
+    """
     polygons = rings(geojson)
+    if epsg_of(crs) != epsg_of(meta.crs):
+        moved = lambda ring: np.round(np.column_stack(convert(crs, meta.crs, *np.array(ring, float).T)), 6).tolist()
+        polygons = [[moved(ring) for ring in polygon] for polygon in polygons]
     if not polygons:
         raise ValueError("the area of interest is empty")
     meta.require_north_up()

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .checkpoints import scratch
-from .functions import geo
+from .functions import geo, projection
 from .grid import GridMeta, densify, is_edge, neighbours, view
 from .operators import conditioning, regrid, routing, wetness
 from .plans import pipeline
@@ -742,3 +744,63 @@ def zonal_polygons(spark, sf_dir):
     cells, meta = view(spark, sf_dir, "dem_part", void=True)
     s = wetness.zonal_polygons(cells, meta, _quads(spark, sf_dir))
     return s.select("zone", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "low", "high")
+
+
+# --- coordinate systems ---------------------------------------------------------------------------------------
+
+UTM = "EPSG:32633"
+#: A target grid in metres over the parts grid; its rows follow from the table.
+METRES = GridMeta(0, 44, 25.0, 0.0, 499_960.0, 0.0, -28.0, 5_538_660.0, UTM)
+
+
+def _utm_sql() -> str:
+    """SQL of lon and lat of places x and y in the zone, written from the series."""
+    n = projection._N
+    inner = [f"({b!r} * sin({2 * k} * xi) * cosh({2 * k} * eta))" for k, b in enumerate(projection._BACK, 1)]
+    outer = [f"({b!r} * cos({2 * k} * xi) * sinh({2 * k} * eta))" for k, b in enumerate(projection._BACK, 1)]
+    lat = [f"({d!r} * sin({2 * k} * chi))" for k, d in enumerate(projection._LATITUDE, 1)]
+    scale = 0.9996 * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    return f"""e1 AS (SELECT *, y / {scale!r} AS xi, (x - 500000.0::DOUBLE) / {scale!r} AS eta FROM places), e2 AS (SELECT *, xi - {' - '.join(inner)} AS u, eta - {' - '.join(outer)} AS v FROM e1),
+e3 AS (SELECT *, asin(sin(u) / cosh(v)) AS chi FROM e2), lonlat AS (SELECT * EXCLUDE (xi, eta, u, v, chi), 15 + degrees(atan2(sinh(v), cos(u))) AS lon, degrees(chi + {' + '.join(lat)}) AS lat FROM e3)"""
+
+
+TARGET = f"rows AS (SELECT ceil((max(r) + 3) * 31.0 / 28)::INT AS th FROM cells), places AS (SELECT (i // 44)::INT AS r, (i % 44)::INT AS c, 499960.0::DOUBLE + 25 * (i % 44 + 0.5) AS x, 5538660.0::DOUBLE - 28 * (i // 44 + 0.5) AS y FROM range(0, (SELECT th * 44 FROM rows)) t(i)), {_utm_sql()}, p AS (SELECT r, c, (lon - 15) * 3600 AS u, (50 - lat) * 3600 AS v FROM lonlat)"
+
+
+def _reprojected(spark, sf_dir, method):
+    cells, meta = view(spark, sf_dir, "dem_part", void=True)
+    target = replace(METRES, height=math.ceil((meta.height + 2) * 31.0 / 28))
+    return regrid.reproject(cells, meta, target, method, size=32)
+
+
+@query(f"WITH {VOID}, {TARGET} SELECT p.r, p.c, s.z FROM p LEFT JOIN cells s ON s.r = floor(v) AND s.c = floor(u)")
+def reproject_nearest(spark, sf_dir):
+    """From degrees to a grid in metres."""
+    return _reprojected(spark, sf_dir, "nearest")
+
+
+@query(f"""WITH {VOID}, {TARGET}, n AS (SELECT p.*, floor(u - 0.5)::INT + dx AS sc, floor(v - 0.5)::INT + dy AS sr FROM p, range(0, 2) a(dx), range(0, 2) b(dy)),
+w AS (SELECT *, (1 - abs(u - 0.5 - sc)) * (1 - abs(v - 0.5 - sr)) AS w FROM n) SELECT w.r, w.c, round(CASE WHEN count(*) = count(s.z) THEN sum(w.w * s.z) END, 4) AS z FROM w LEFT JOIN cells s ON s.r = w.sr AND s.c = w.sc GROUP BY w.r, w.c""")
+def reproject_bilinear(spark, sf_dir):
+    return _reprojected(spark, sf_dir, "bilinear").select("r", "c", F.round("z", 4).alias("z"))
+
+
+@query(f"WITH places AS (SELECT c_custkey, 300000.0::DOUBLE + c_custkey * 7919 % 400000 AS x, 1000000.0::DOUBLE + c_custkey * 104729 % 7000000 AS y FROM customer), {_utm_sql()} SELECT c_custkey, round(lon, 7) AS lon, round(lat, 7) AS lat, round(x, 3) AS x_again, round(y, 3) AS y_again FROM lonlat")
+def utm_round_trip(spark, sf_dir):
+    """Places in a zone as longitude and latitude, and back."""
+    key = F.col("c_custkey")
+    at = spark.read.parquet(f"{sf_dir}/customer.parquet").select(key, (F.lit(300000.0) + key * 7919 % 400000).alias("x"), (F.lit(1000000.0) + key * 104729 % 7000000).alias("y"))
+    lon, lat = projection.unproject(UTM, F.col("x"), F.col("y"))
+    there = at.select(key, lon.alias("lon"), lat.alias("lat"))
+    x, y = projection.project(UTM, F.col("lon"), F.col("lat"))
+    return there.select(key, F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"), F.round(x, 3).alias("x_again"), F.round(y, 3).alias("y_again"))
+
+
+@query(ORACLE_SQL["clip_polygon"])
+def clip_projected(spark, sf_dir):
+    """A grid in metres clipped by a polygon in degrees."""
+    cells, meta = view(spark, sf_dir, "dem_part")
+    grid = replace(METRES, height=meta.height, width=meta.width)
+    corners = np.array([(5.5, 5.5), (30.2, 8.1), (25.7, 33.4), (7.3, 28.9), (5.5, 5.5)])
+    ring = np.column_stack(projection.unproject(UTM, grid.c + grid.a * corners[:, 0], grid.f + grid.e * corners[:, 1]))
+    return wetness.clip(cells, grid, {"type": "Polygon", "coordinates": [ring.tolist()]})
