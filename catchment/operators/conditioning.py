@@ -159,8 +159,10 @@ def fill_depressions(cells: DataFrame, meta: GridMeta, nodata_outlets: bool = Tr
     return done.select("r", "c", known("z").alias("z"), known("level").alias("filled"))
 
 
-def fill_depth(filled: DataFrame) -> DataFrame:
-    return filled.select("r", "c", (F.col("filled") - F.col("z")).alias("depth"))
+def fill_depth(filled: DataFrame, nodata: float | None = None) -> DataFrame:
+    """r, c, depth: by how much cells were raised; at NoData NULL, or 0 where NoData is told by a number."""
+    depth = F.col("filled") - F.col("z")
+    return filled.select("r", "c", (depth if nodata is None or nodata != nodata else F.coalesce(depth, F.lit(0.0))).alias("depth"))
 
 
 def flat_cells(cells: DataFrame, meta: GridMeta, edges_drain: bool = True) -> DataFrame:

@@ -263,3 +263,9 @@ def reference_layer(cells: DataFrame, layer: DataFrame, name: str, divide: float
 def area_hectares(cells: DataFrame, meta: GridMeta) -> DataFrame:
     """One row: hectares of the cells with a value."""
     return cells.filter(F.col("z").isNotNull()).agg(F.coalesce(F.sum(pixel_area(meta)) / 1e4, F.lit(0.0)).alias("area_ha"))
+
+
+def nearest_layer(cells: DataFrame, meta: GridMeta, layer: DataFrame, layer_meta: GridMeta, name: str, divide: float = 1.0) -> DataFrame:
+    """``cells`` with a column ``name``: the z of a layer of another grid or coordinate system at the cell of it that holds each cell's centre; NULL where it has none."""
+    moved = reproject(layer.select("r", "c", F.col("z").cast("double").alias("z")), layer_meta, meta, "nearest")
+    return cells.join(moved.select("r", "c", (F.col("z") / divide).alias(name)), ["r", "c"], "left")

@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import materialize
 from ..functions.geo import pixel_area
+from ..functions.projection import epsg_of
 from ..grid import GridMeta
 from ..operators import conditioning, routing, wetness
+from ..operators.regrid import area_hectares
 
 
 @dataclass
 class Result:
-    """Layers of a run and its metrics in seconds and cells."""
+    """Layers of a run and its metrics in seconds, cells and hectares."""
 
     layers: dict[str, DataFrame]
     meta: GridMeta
@@ -52,5 +54,6 @@ def run(cells: DataFrame, meta: GridMeta, flow_method: str = "mfd_quinn_1991", a
         index = wetness.clip(index, meta, aoi)
     index = timed("twi", index.withColumnRenamed("z", "twi"))
     metrics["valid_pixels"] = cells.filter("z is not null").count()
+    metrics["area_ha"] = area_hectares(cells, meta).first().area_ha if epsg_of(meta.crs) == 4326 else metrics["valid_pixels"] * abs(meta.a * meta.e) / 1e4
     metrics["total_time_s"] = time.time() - began
     return Result({"filled": filled, "resolved": resolved, "flow": flow, "acc": acc, "slope": slope, "twi": index}, meta, metrics)

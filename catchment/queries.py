@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from .checkpoints import scratch
 from .functions import geo, projection
 from .grid import GridMeta, densify, is_edge, neighbours, view
-from .operators import conditioning, regrid, routing, wetness
+from .operators import conditioning, export, regrid, routing, wetness
 from .plans import pipeline
-from .sources import gtiff_source
+from .sources import gtiff_source, store
 from .sources.catalogue import DATASETS, catalogue, layer_name_column, scan_band
 from .tiles import SIZE as TILE
 
@@ -804,3 +804,58 @@ def clip_projected(spark, sf_dir):
     corners = np.array([(5.5, 5.5), (30.2, 8.1), (25.7, 33.4), (7.3, 28.9), (5.5, 5.5)])
     ring = np.column_stack(projection.unproject(UTM, grid.c + grid.a * corners[:, 0], grid.f + grid.e * corners[:, 1]))
     return wetness.clip(cells, grid, {"type": "Polygon", "coordinates": [ring.tolist()]})
+
+
+# --- stored rasters and aligned layers ----------------------------------------------------------------------
+
+
+@query(f"WITH {ORDERS}, s AS (SELECT max(r) + 1 AS h FROM cells) SELECT r, c, z FROM cells, s WHERE r >= h // 2 AND r < h - 3 AND c >= 37 AND c < 71")
+def stored_region(spark, sf_dir):
+    """A grid kept in blocks of cells, and the cells that a rectangle touches read from its own blocks."""
+    cells, meta = view(spark, sf_dir, "dem_orders", void=True)
+    path = scratch(spark, ".grid")
+    store.write_cells(cells, path, block=16)
+    x, y = (lambda c: meta.c + meta.a * c), (lambda r: meta.f + meta.e * r)
+    return store.read_region(spark, path, meta, x(37.2), y(meta.height - 3.4), x(70.6), y(meta.height // 2 + 0.3)).select("r", "c", "z")
+
+
+@query(f"WITH {ORDERS} SELECT (r // 16)::INT AS br, (c // 16)::INT AS bc, min(r) AS r_low, max(r) AS r_high, min(c) AS c_low, max(c) AS c_high, count(*) AS n FROM cells GROUP BY ALL")
+def stored_bounds(spark, sf_dir):
+    path = scratch(spark, ".grid")
+    store.write_cells(view(spark, sf_dir, "dem_orders", void=True)[0], path, block=16)
+    return store.bounds(spark, path).drop("block")
+
+
+@query(f"""WITH {VOID}, coarse AS (SELECT (r // 2)::INT AS r, (c // 2)::INT AS c, avg(z) AS z FROM cells WHERE (r // 2 + c // 2) % 3 <> 0 GROUP BY ALL), s AS (SELECT max(r) + 1 AS h FROM cells),
+t AS (SELECT a.r, a.c, coalesce(b.z, a.z) AS z FROM cells a LEFT JOIN coarse b ON b.r = a.r // 2 AND b.c = a.c // 2, s WHERE a.r >= 3 AND a.r < h AND a.c >= 4 AND a.c < 47)
+SELECT (r - 3)::INT AS r, (c - 4)::INT AS c, z AS dem, CASE WHEN z IS NOT NULL THEN round({DX} * {DY}, 4) END AS area_m2, z IS NOT NULL AS valid FROM t""")
+def aligned_export(spark, sf_dir):
+    """Elevation, area and mask over a region on the grid of the first image, under a coarser image of higher priority."""
+    cells, meta = view(spark, sf_dir, "dem_part", void=True)
+    coarse = wetness.overview(cells.filter((F.floor(F.col("r") / 2) + F.floor(F.col("c") / 2)) % 3 != 0))
+    half = replace(meta, height=-(-meta.height // 2), width=25, a=meta.a * 2, e=meta.e * 2)
+    x, y = (lambda c: meta.c + meta.a * c), (lambda r: meta.f + meta.e * r)
+    layers = export.aligned([export.Image(coarse, half, 2), export.Image(cells, meta, 1)], (x(4.3), y(meta.height), x(46.5), y(3.2)), "nearest")
+    return layers.get("dem", "area_m2", "valid").select("r", "c", "dem", F.round("area_m2", 4).alias("area_m2"), "valid")
+
+
+@query(f"WITH {VOID}, coarse AS (SELECT (r // 2)::INT AS r, (c // 2)::INT AS c, avg(z) AS z FROM cells GROUP BY ALL) SELECT a.r, a.c, a.z, b.z / 1e8 AS upstream FROM cells a LEFT JOIN coarse b ON b.r = a.r // 2 AND b.c = a.c // 2")
+def reference_nearest(spark, sf_dir):
+    """A layer of a coarser grid at each cell."""
+    cells, meta = view(spark, sf_dir, "dem_part", void=True)
+    half = replace(meta, height=-(-meta.height // 2), width=25, a=meta.a * 2, e=meta.e * 2)
+    return regrid.nearest_layer(cells, meta, wetness.overview(cells), half, "upstream", 1e8)
+
+
+@query(f"WITH RECURSIVE {VOID}, {BASE}, {FILL} SELECT c.r, c.c, coalesce(coalesce(f.w, c.z) - c.z, 0.0) AS depth FROM cells c LEFT JOIN flood f ON f.r = c.r AND f.c = c.c")
+def fill_depth_sentinel(spark, sf_dir):
+    """Depths of a grid whose NoData is a number."""
+    return conditioning.fill_depth(conditioning.fill_depressions(*view(spark, sf_dir, "dem_part", void=True)), nodata=-9999.0)
+
+
+@query(f"WITH {VOID}, {BASE}, {MFD} SELECT m.r, m.c, m.k, m.r + x.dr AS nr, m.c + x.dc AS nc, round(m.w::DOUBLE, 5) AS w FROM mfd m JOIN dirs x ON x.k = m.k JOIN cells v ON v.r = m.r + x.dr AND v.c = m.c + x.dc AND v.z IS NOT NULL WHERE m.w > 0")
+def flow_edges_mfd(spark, sf_dir):
+    """The edges of multiple flow with their weights."""
+    cells, meta = view(spark, sf_dir, "dem_part", void=True)
+    edges = routing.flow_edges(routing.mfd(cells, meta, steps=UNIT), cells.filter("z is not null"))
+    return edges.select("r", "c", "k", "nr", "nc", F.round("w", 5).alias("w"))
