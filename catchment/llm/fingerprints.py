@@ -11,14 +11,18 @@ tables: a table for each choice of blocks that must agree, so no pair within the
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import LOWER, Chunk, gram_hash, map_texts, mix, pieces, scan_bytes
+from .common import LOWER, Chunk, cut, gram_hash, map_texts, mix, pieces, scan_bytes
 
 BITS = 128
 #: Bytes of input for each range of ids.
@@ -95,95 +99,61 @@ def within_radius(prints: DataFrame, radius: int, blocks: int | None = None) ->
     return pairs.select("left", "right").distinct().withColumn("distance", F.aggregate(words, F.lit(0), lambda a, x: a + x)).filter(F.col("distance") <= radius)
 
 
-def _splitters(docs: DataFrame, n: int) -> np.ndarray:
-    """About n - 1 ids that cut the rows into even ranges: an approximate quantile sketch of fixed size."""
-    row = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10000).alias("q")).first() if n > 1 else None
-    return np.unique(np.array(row.q if row and row.q else [], np.int64))
-
-
-_LOWEST = np.iinfo(np.int64).min
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_EDGES = "part int, edge string, text string"
 
 
-def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    """Ids for ordering; a null id sorts below all others."""
-    col = batch.column(batch.schema.get_field_index("doc_id"))
-    return col.fill_null(_LOWEST).to_numpy(zero_copy_only=False)
+def _edited(ids: list, texts: list[str], after: list[str], prints: np.ndarray, after_prints: np.ndarray, bits: int) -> dict:
+    """The columns of SCHEMA for texts, the texts that follow them, and the fingerprints of both."""
+    cut_ = [len(t) // 3 for t in texts]
+    edited = [t[: len(t) - k] + n[:k] for t, k, n in zip(texts, cut_, after)]
+    other = simhash(edited, bits)
+    return {
+        "doc_id": pa.array(ids, pa.int64()), "n_chars": pa.array([len(t) for t in texts], pa.int64()), "edited_sha256": [hashlib.sha256(e.encode("utf-8", "replace")).hexdigest() for e in edited],
+        "fingerprint": [r.tobytes().hex() for r in prints], "edited_fingerprint": [r.tobytes().hex() for r in other], "near_edited": likeness(prints, other), "near_next": likeness(prints, after_prints),
+    }
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Each row in its range of ids, range by range in ascending order of id, each range led by the row before it.
+def edited_fingerprints(docs: DataFrame, bits: int = BITS) -> DataFrame:
+    """Fingerprints of each text and of its edited text, whose last third comes from the next document (descending id).
 
-    Columns: part, ord, own, doc_id, text. Rows that only serve as another range's predecessor have own =
-    false; the whole table's last row precedes its first. Rows of equal id are ordered by text.
+    Rows are sorted by id in ranges, so that the next document is the row before; rows of equal id are ordered by text and lie in one range, a null id sorts below all
+    others, and after the last document comes the first. Of each range the first row and the text of the last go on to meet
+    those of the ranges beside it.
     """
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), scan_bytes(docs) // RANGE_BYTES)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cuts = _splitters(docs, 4 * n)
-
-    def maxima(batches):
-        for b in batches:
-            ids = _ids(b)
-            part = np.searchsorted(cuts, ids)
-            order = np.lexsort((ids, part))
-            last = np.flatnonzero(np.concatenate([part[order][1:] != part[order][:-1], [True]])) if len(ids) else []
-            yield pa.RecordBatch.from_pydict({"part": part[order][last].astype(np.int64), "top": ids[order][last]})
-
-    tops = sorted((r.part, r.top) for r in docs.select("doc_id").mapInArrow(maxima, "part long, top long").groupBy("part").agg(F.max("top").alias("top")).collect())
-    # a range's largest id also goes to the range after it; that of the last one, before the first one's rows
-    leads = {top: (tops[(i + 1) % len(tops)][0], int(i + 1 < len(tops))) for i, (_, top) in enumerate(tops)}
-    wanted = np.array(sorted(leads), np.int64)
-    schema = "part long, ord int, own boolean, doc_id long, text string"
-
-    def deal(batches):
-        for b in batches:
-            ids = _ids(b)
-            lead = np.flatnonzero(np.isin(ids, wanted))
-            rows = np.concatenate([np.arange(len(ids)), lead])
-            to = [leads[i] for i in ids[lead].tolist()]
-            part = np.concatenate([np.searchsorted(cuts, ids), [p for p, _ in to]]).astype(np.int64)
-            order = np.concatenate([np.ones(len(ids)), [o for _, o in to]]).astype(np.int32)
-            own = np.arange(len(rows)) < len(ids)
-            got = b.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(order), pa.array(own), got.column("doc_id"), got.column("text")], names=["part", "ord", "own", "doc_id", "text"])
-
-    return docs.mapInArrow(deal, schema).repartition(n, "part").sortWithinPartitions("part", "ord", F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")), "own")
+    whole = to_arrow_schema(StructType.fromDDL(f"{SCHEMA}, {_EDGES}"))
 
+    def batch(columns: dict, rows: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in whole], schema=whole)
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-
-
-def edited_fingerprints(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """Fingerprints of each text and of its edited text, whose last third comes from the next document (descending id)."""
-    import hashlib
-
-    def run(batches):
-        part, text, fp = None, "", None
+    def in_range(batches):
+        part, before, before_print, last = TaskContext.get().partitionId(), None, None, None
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            parts, own, ids = b.column("part").to_pylist(), b.column("own").to_pylist(), b.column("doc_id").to_pylist()
+            texts, ids = [t or "" for t in b.column("text").to_pylist()], b.column("doc_id").to_pylist()
             for lo, hi in pieces(texts, 1 << 20):
                 prints = simhash(texts[lo:hi], bits)
-                rows, after, after_fp = [], [], []
-                for i in range(lo, hi):
-                    if own[i]:
-                        rows.append(i)
-                        same = part == parts[i]
-                        after.append(text if same else texts[i])
-                        after_fp.append(fp if same else prints[i - lo])
-                    part, text, fp = parts[i], texts[i], prints[i - lo]
-                if not rows:
-                    continue
-                cut = [len(texts[i]) // 3 for i in rows]
-                edited = [texts[i][: len(texts[i]) - k] + nxt[:k] for i, k, nxt in zip(rows, cut, after)]
-                mine, other = prints[np.array(rows) - lo], simhash(edited, bits)
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array([ids[i] for i in rows], pa.int64()),
-                    "n_chars": pa.array([len(texts[i]) for i in rows], pa.int64()),
-                    "edited_sha256": [hashlib.sha256(e.encode("utf-8", "replace")).hexdigest() for e in edited],
-                    "fingerprint": [r.tobytes().hex() for r in mine],
-                    "edited_fingerprint": [r.tobytes().hex() for r in other],
-                    "near_edited": likeness(mine, other),
-                    "near_next": likeness(mine, np.array(after_fp)),
-                })
-
-    return with_next(docs).mapInArrow(run, SCHEMA)
+                if before is None:
+                    yield batch({"doc_id": [ids[lo]], "part": [part], "edge": ["first"], "text": [texts[lo]]}, 1)
+                rows = list(range(lo + (before is None), hi))
+                after = [texts[i - 1] if i > lo else before for i in rows]
+                after_prints = np.array([prints[i - lo - 1] if i > lo else before_print for i in rows]).reshape(len(rows), bits // 8)
+                if rows:
+                    yield batch(_edited([ids[i] for i in rows], [texts[i] for i in rows], after, prints[rows[0] - lo :], after_prints, bits), len(rows))
+                before, before_print, last = texts[hi - 1], prints[-1], ids[hi - 1]
+        if before is not None:
+            yield batch({"doc_id": [last], "part": [part], "edge": ["last"], "text": [before]}, 1)
+
+    def across(batches):
+        for b in batches:
+            texts, after = b.column("text").to_pylist(), b.column("after").to_pylist()
+            yield pa.RecordBatch.from_pydict(_edited(b.column("doc_id").to_pylist(), texts, after, simhash(texts, bits), simhash(after, bits), bits))
+
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), scan_bytes(docs) // RANGE_BYTES)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ranges = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")))
+    done = cut(ranges.mapInArrow(in_range, f"{SCHEMA}, {_EDGES}"))
+    firsts, lasts = done.filter("edge = 'first'").select("doc_id", "part", "text"), done.filter("edge = 'last'").select(F.col("part").alias("lower"), F.col("text").alias("after"))
+    order = Window.orderBy("part")  # a number for each range
+    lower = firsts.select("part", F.coalesce(F.lag("part").over(order), F.max("part").over(Window.partitionBy())).alias("lower"))
+    edges = firsts.join(lower, "part").join(lasts, "lower").select("doc_id", "text", "after")
+    return done.filter("edge is null").select(*[f.split()[0] for f in SCHEMA.split(", ")]).unionByName(edges.mapInArrow(across, SCHEMA))

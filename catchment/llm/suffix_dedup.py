@@ -91,10 +91,10 @@ def _anchor_blobs(docs: DataFrame, parts: int) -> DataFrame:
             again[order[1:]] = (context[order[1:]] == context[order[:-1]]) & (more[order[1:]] == more[order[:-1]])
             part = np.where(again, mix(doc[row].view(np.uint64)), gram) % np.uint64(parts)
             by = np.lexsort((own, twin[row], doc[row], again, part))
-            cuts = np.searchsorted(part[by], np.arange(parts + 1, dtype=np.uint64))
+            held, begin = np.unique(part[by], return_index=True)
             out = {"part": [], "blob": []}
-            for p in np.flatnonzero(np.diff(cuts)).tolist():
-                s = by[cuts[p] : cuts[p + 1]]
+            for p, lo_, hi_ in zip(held.tolist(), begin.tolist(), [*begin[1:].tolist(), len(by)]):  # the parts present alone
+                s = by[lo_:hi_]
                 k = int((~again[s]).sum())
                 first, d = s[:k], doc[row[s]]
                 step = np.concatenate([d[:1], np.diff(d[:k]), d[k : k + 1] if k else [], np.diff(d[k:])]) if k else np.concatenate([d[:1], np.diff(d)])
