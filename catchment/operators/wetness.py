@@ -37,6 +37,15 @@ def twi(acc: Column, slope_deg: Column, min_slope_deg: float = MIN_SLOPE) -> Col
     return F.when(fine & (tan > 0), F.log(acc / F.when(tan > 0, tan)))
 
 
+def twi_image(acc: Column, slope_deg: Column, min_slope_deg: float = MIN_SLOPE) -> Column:
+    """The index as images form it: no guard of the accumulation, so 0 gives minus infinity and less gives NaN; NULL where either is."""
+    if min_slope_deg < 0:
+        raise ValueError("min_slope_deg must not be negative")
+    ratio = acc / F.tan(F.radians(F.greatest(slope_deg, F.lit(float(min_slope_deg)))))
+    value = F.when(ratio > 0, F.log(ratio)).when(ratio == 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))
+    return F.when(acc.isNotNull() & slope_deg.isNotNull(), value)
+
+
 def rings(geojson: str | dict) -> list[list[list[tuple[float, float]]]]:
     """Polygons of a GeoJSON geometry, feature or collection, as lists of rings; null geometries are dropped."""
     g = json.loads(geojson) if isinstance(geojson, str) else geojson

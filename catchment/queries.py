@@ -15,7 +15,7 @@ from .functions import geo, projection
 from .grid import GridMeta, densify, is_edge, neighbours, view
 from .operators import conditioning, export, regrid, routing, wetness
 from .plans import pipeline
-from .sources import gtiff_source, store
+from .sources import gtiff, gtiff_source, store
 from .sources.catalogue import DATASETS, catalogue, layer_name_column, scan_band
 from .tiles import SIZE as TILE
 
@@ -859,3 +859,35 @@ def flow_edges_mfd(spark, sf_dir):
     cells, meta = view(spark, sf_dir, "dem_part", void=True)
     edges = routing.flow_edges(routing.mfd(cells, meta, steps=UNIT), cells.filter("z is not null"))
     return edges.select("r", "c", "k", "nr", "nc", F.round("w", 5).alias("w"))
+
+
+RANDOM = "cells AS (SELECT (p_partkey // 50)::INT AS r, (p_partkey % 50)::INT AS c, p_size::DOUBLE AS z, ((p_partkey * 7 + p_size * 3) % 10 - 2)::INT AS dir FROM part)"
+
+
+@query(f"""WITH RECURSIVE {RANDOM}, {DIRS}, n AS (SELECT count(*) AS n FROM cells), edges AS (SELECT a.r, a.c, b.r AS nr, b.c AS nc FROM cells a JOIN dirs d ON d.k = a.dir JOIN cells b ON b.r = a.r + d.dr AND b.c = a.c + d.dc),
+flux AS (SELECT r, c, 1.0::DOUBLE AS m, 0 AS step FROM cells UNION ALL SELECT e.nr, e.nc, sum(f.m), any_value(f.step) + 1 FROM flux f JOIN edges e ON e.r = f.r AND e.c = f.c WHERE f.step < (SELECT n FROM n) GROUP BY e.nr, e.nc),
+sums AS (SELECT r, c, sum(m) AS acc, bool_or(step = (SELECT n FROM n)) AS circles FROM flux GROUP BY r, c),
+given AS (SELECT e.nr AS r, e.nc AS c, sum(s.acc) AS m FROM edges e JOIN sums s ON s.r = e.r AND s.c = e.c AND NOT s.circles GROUP BY ALL)
+SELECT s.r, s.c, CASE WHEN circles THEN 1 + coalesce(g.m, 0) ELSE acc END AS acc FROM sums s LEFT JOIN given g ON g.r = s.r AND g.c = s.c""")
+def flow_acc_unchecked(spark, sf_dir):
+    """Directions that run in circles: with the check off, cells on a circle keep their own mass and what is complete."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    cells = part.selectExpr("int(p_partkey div 50) AS r", "int(p_partkey % 50) AS c", "double(p_size) AS z", "int((p_partkey * 7 + p_size * 3) % 10 - 2) AS dir")
+    _, meta = view(spark, sf_dir, "dem_part")
+    return routing.accumulate(cells, meta, size=SMALL, cycle_check=False)
+
+
+@query("SELECT p_partkey, CASE WHEN acc = 0 THEN '-infinity'::DOUBLE ELSE round(ln(acc / tan(radians(greatest(slope, 0.1)))), 9) END AS twi FROM (SELECT p_partkey, (p_size % 7)::DOUBLE AS acc, (p_partkey % 40)::DOUBLE AS slope FROM part)")
+def twi_image(spark, sf_dir):
+    """The index without a guard of the accumulation."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (F.col("p_size") % 7).cast("double").alias("acc"), (F.col("p_partkey") % 40).cast("double").alias("slope"))
+    return part.select("p_partkey", F.round(wetness.twi_image(F.col("acc"), F.col("slope")), 9).alias("twi"))
+
+
+@query(f"WITH {ORDERS}, h AS (SELECT max(r) + 1 AS h FROM cells) SELECT i // 100 AS r, i % 100 AS c, z FROM (SELECT unnest(range(0, (SELECT h * 100 FROM h))) AS i) LEFT JOIN cells ON r = i // 100 AND c = i % 100 WHERE EXISTS (SELECT 1 FROM cells t WHERE t.r // 64 = i // 100 // 64 AND t.c // 64 = i % 100 // 64)".replace("SELECT i // 100 AS r, i % 100 AS c", "SELECT (i // 100)::INT AS r, (i % 100)::INT AS c"))
+def tiled_export(spark, sf_dir):
+    """A grid exported as a file for each tile by the tasks that hold them, and assembled from the folder by georeference."""
+    cells, meta = view(spark, sf_dir, "dem_orders", void=True)
+    folder = scratch(spark, ".tiles")
+    gtiff.save(cells, meta, folder, "dem", size=64, compression=gtiff.LZW)
+    return gtiff_source.read(spark, folder, grid=meta)

@@ -2,7 +2,7 @@
 
 Reading: partitions are runs of the file's own blocks, planned from its header; a task reads the byte ranges of its
 blocks. Options: ``path`` (a file, or a folder of .tif files), ``band``, ``level`` (0 the full image, 1 the first overview and so on),
-``columns`` (of path, r, c, z) and a window of cells ``r0, r1, c0, c1`` (ends excluded), of which alone the blocks are read. Comparisons of r and c
+``columns`` (of path, r, c, z), ``grid`` (a, c, e, f and system of a grid on which files are placed) and a window of cells ``r0, r1, c0, c1`` (ends excluded), of which alone the blocks are read. Comparisons of r and c
 with numbers narrow the window too in a session with spark.sql.python.filterPushdown.enabled (option ``pushdown``).
 
 Writing: tasks encode and write blocks, and tell the driver their sizes; the driver lays them out by prefix sums and writes the header; tasks then
@@ -68,6 +68,7 @@ class Blocks(InputPartition):
     nodata: float | None
     blocks: list[int]
     window: tuple[int, int, int, int]
+    shift: tuple[int, int] = (0, 0)
 
 
 def image_of(fetch: gtiff.Fetch, level: int) -> tuple[Image, Image | None, float | None, GridMeta]:
@@ -83,10 +84,20 @@ def image_of(fetch: gtiff.Fetch, level: int) -> tuple[Image, Image | None, float
     return Image.of(order, tags), mask, nodata, meta
 
 
+def offset_in(meta: GridMeta, grid: list, level: int = 0) -> tuple[int, int]:
+    """Rows and columns by which a file lies within a grid (a, c, e, f, crs) of the same steps; another grid raises."""
+    a, c, e, f, crs = grid
+    down, right = (meta.f - f) / e / 2**level, (meta.c - c) / a / 2**level
+    if meta.crs != crs or abs(meta.a / a - 1) > 1e-9 or abs(meta.e / e - 1) > 1e-9 or abs(down - round(down)) > 1e-3 or abs(right - round(right)) > 1e-3:
+        raise ValueError("the file is not on the grid")
+    return round(down), round(right)
+
+
 class GeoTiffReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.band, self.level = options["path"], int(options.get("band", 1)), int(options.get("level", 0))
         self.columns = columns_of(options)
+        self.grid = json.loads(options["grid"]) if options.get("grid") else None
         self.window = [int(options.get("r0", 0)), int(options.get("r1", 1 << 31)), int(options.get("c0", 0)), int(options.get("c1", 1 << 31))]
 
     def files(self) -> list[str]:
@@ -99,8 +110,9 @@ class GeoTiffReader(DataSourceReader):
     def partitions(self) -> list[Blocks]:
         out = []
         for path in self.files():
-            image, mask, nodata, _ = image_of(fetcher(path), self.level)
-            r0, r1, c0, c1 = max(0, self.window[0]), min(image.height, self.window[1]), max(0, self.window[2]), min(image.width, self.window[3])
+            image, mask, nodata, meta = image_of(fetcher(path), self.level)
+            down, right = offset_in(meta, self.grid, self.level) if self.grid else (0, 0)
+            r0, r1, c0, c1 = max(0, self.window[0] - down), min(image.height, self.window[1] - down), max(0, self.window[2] - right), min(image.width, self.window[3] - right)
             if r0 >= r1 or c0 >= c1:
                 continue
             across = image.grid[1]
@@ -109,12 +121,12 @@ class GeoTiffReader(DataSourceReader):
             for k in wanted:
                 size = image.sizes[image.number(k, self.band)]
                 if held and (total + size > PART_BYTES or len(held) == PART_BLOCKS):
-                    out.append((path, image, mask, nodata, held, (r0, r1, c0, c1)))
+                    out.append((path, image, mask, nodata, held, (r0, r1, c0, c1), (down, right)))
                     held, total = [], 0
                 held.append(k)
                 total += size
-            out.append((path, image, mask, nodata, held, (r0, r1, c0, c1)))
-        return [Blocks(p, _slim(i, [i.number(k, self.band) for k in b]), m, self.band, n, b, w) for p, i, m, n, b, w in out]
+            out.append((path, image, mask, nodata, held, (r0, r1, c0, c1), (down, right)))
+        return [Blocks(p, _slim(i, [i.number(k, self.band) for k in b]), m, self.band, n, b, w, o) for p, i, m, n, b, w, o in out]
 
     def read(self, partition: Blocks | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # no blocks in the window
@@ -133,7 +145,7 @@ class GeoTiffReader(DataSourceReader):
             rows, cols = np.arange(max(top, r0), min(top + cells.shape[0], r1)), np.arange(max(left, c0), min(left + cells.shape[1], c1))
             cells = cells[rows[0] - top : rows[-1] - top + 1, cols[0] - left : cols[-1] - left + 1]
             made = {
-                "path": lambda: pa.array([partition.path] * cells.size, pa.string()), "r": lambda: pa.array(np.repeat(rows, len(cols)), pa.int32()), "c": lambda: pa.array(np.tile(cols, len(rows)), pa.int32()),
+                "path": lambda: pa.array([partition.path] * cells.size, pa.string()), "r": lambda: pa.array(np.repeat(rows + partition.shift[0], len(cols)), pa.int32()), "c": lambda: pa.array(np.tile(cols + partition.shift[1], len(rows)), pa.int32()),
                 "z": lambda: pa.array(cells.ravel(), mask=gtiff.hidden(cells, partition.nodata).ravel()),
             }
             yield pa.RecordBatch.from_arrays([made[n]() for n in self.columns], names=self.columns)
@@ -388,11 +400,16 @@ def _assemble(spark: SparkSession, path: str) -> None:
     store.delete_dir(at)
 
 
-def read(spark: SparkSession, path: str, band: int = 1, level: int = 0, window: tuple[int, int, int, int] | None = None, columns: str = "r,c,z") -> DataFrame:
-    """Cells of a band of a file, or of all .tif files of a folder; ``window``: rows and columns r0, r1, c0, c1, ends excluded."""
+def read(spark: SparkSession, path: str, band: int = 1, level: int = 0, window: tuple[int, int, int, int] | None = None, columns: str = "r,c,z", grid: GridMeta | None = None) -> DataFrame:
+    """Cells of a band of a file, or of all .tif files of a folder; ``window``: rows and columns r0, r1, c0, c1, ends excluded.
+
+    With ``grid`` each file is placed on that grid by its georeference, so that a folder of tiles reads as one raster.
+    """
     spark.dataSource.register(GeoTiffSource)
     pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
     options = {"path": path, "band": band, "level": level, "columns": columns, "pushdown": pushdown} | dict(zip(("r0", "r1", "c0", "c1"), window or ()))
+    if grid is not None:
+        options["grid"] = json.dumps([grid.a, grid.c, grid.e, grid.f, grid.crs])
     return spark.read.format("gtiff").options(**options).load()
 
 
