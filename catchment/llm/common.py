@@ -48,6 +48,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def paired(h: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of a hash and a small number. The product keeps them apart: a hash may itself be the mix of a small number (a text of one byte), and two of those must not change places."""
+    return mix(h * _M1 ^ mix(number.astype(np.uint64)))
+
+
 #: Spans of bytes are hashed as polynomials modulo this prime: no family of texts collides whatever the base.
 PRIME = np.uint64((1 << 61) - 1)
 _LOW31, _LOW30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
@@ -238,7 +243,7 @@ class Lines:
         self.hash = span_hash(c.prefix, self.start, self.end)
         self.w_lo, self.w_hi = np.searchsorted(c.w_start, self.start), np.searchsorted(c.w_start, self.end)
         self.words = self.w_hi - self.w_lo
-        order, fresh = first_of(mix(self.hash ^ mix(self.doc.astype(np.uint64))))
+        order, fresh = first_of(paired(self.hash, self.doc))
         self.repeated = np.zeros(len(self.end), bool)
         self.repeated[order] = ~fresh
         self.repeated &= self.words > 0
@@ -250,7 +255,7 @@ def repeated_words(c: Chunk, n: int = 5) -> np.ndarray:
     grams = gram_hash(c.w_hash, n)
     if len(grams):
         at = np.flatnonzero(c.w_doc[: len(grams)] == c.w_doc[n - 1 :])
-        order, fresh = first_of(mix(grams[at] ^ mix(c.w_doc[at].astype(np.uint64))))
+        order, fresh = first_of(paired(grams[at], c.w_doc[at]))
         twice = ~fresh
         twice[:-1] |= ~fresh[1:]
         hit = at[order[twice]]

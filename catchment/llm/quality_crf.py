@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import Chunk, Lines, byte_set, count_in, first_of, held_out, labelled_sample, map_texts, mix, repeated_words, sigmoid, training_rows
+from .common import Chunk, Lines, byte_set, count_in, first_of, held_out, labelled_sample, map_texts, paired, repeated_words, sigmoid, training_rows
 
 #: Training rows at most.
 SAMPLE = 3000
@@ -38,7 +38,7 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     letters = np.maximum(count_in(c, _LETTER[c.data], li.start, li.end), 1)
     some = np.maximum(li.words, 1)
     line_of_word = np.repeat(np.arange(len(li.end)), li.words)
-    order, fresh = first_of(mix(c.w_hash ^ mix(line_of_word.astype(np.uint64))))
+    order, fresh = first_of(paired(c.w_hash, line_of_word))
     distinct = np.bincount(line_of_word[order[fresh]], minlength=len(li.end))
     again = np.bincount(line_of_word[repeated_words(c)], minlength=len(li.end))
     last = c.data[np.maximum(li.end - 1, 0)]

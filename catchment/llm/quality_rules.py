@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import SPACE, Chunk, Lines, byte_set, count_in, first_of, labelled_sample, map_texts, mix, repeated_words, sigmoid, training_rows
+from .common import SPACE, Chunk, Lines, byte_set, count_in, first_of, labelled_sample, map_texts, paired, repeated_words, sigmoid, training_rows
 
 #: Training rows at most.
 SAMPLE = 4000
@@ -45,7 +45,7 @@ def counts(texts: list[str | None]) -> tuple[dict[str, np.ndarray], np.ndarray]:
         "n_repeat_words": np.bincount(c.w_doc[repeated_words(c)], minlength=n),
     }
     some, letters = np.maximum(words, 1), np.maximum(per(_LETTER[c.data]), 1)
-    order, fresh = first_of(mix(c.w_hash ^ mix(c.w_doc.astype(np.uint64))))
+    order, fresh = first_of(paired(c.w_hash, c.w_doc))
     distinct = np.bincount(c.w_doc[order[fresh]], minlength=n)
     full = np.maximum(np.bincount(lines.doc[lines.words > 0], minlength=n), 1)
     ends = np.bincount(c.w_doc[np.isin(c.data[np.maximum(c.w_end - 1, 0)], np.frombuffer(b".!?", np.uint8))], minlength=n)

@@ -70,8 +70,7 @@ QUERIES = {
     )
 }
 
-#: The others' results SQL cannot give (trained models, hashes of their own, made names, places in bins), or only too slowly on whole
-#: tables (op5: strings at every byte); tests/llm holds them against brute force.
+#: The others' results SQL cannot give (trained models, hashes of their own, made names, places in bins); tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op2_minhash_near_dedup": r"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END AS s FROM words),
@@ -80,6 +79,14 @@ links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM one a JOIN one b ON a.g = b.g
 reach(a, b) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
 comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, coalesce(len(s), 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN comp USING (doc_id)""",
+    "op5_suffix_dedup": r"""WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+strings AS (SELECT doc_id, i, substr(x, 2 * i + 1, 200) AS g FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 99)) AS i FROM texts)),
+hits AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM strings) WHERE k > 1),
+marked AS (SELECT doc_id, i, (i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, -1))::INT AS fresh FROM hits),
+runs AS (SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked) GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since FROM runs),
+cut AS (SELECT g.doc_id, sum(hi - lo) AS removed, count(*) AS spans, string_agg(substr(t.x, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) || substr(any_value(t.x), 2 * max(hi) + 1) AS kept FROM gaps g JOIN texts t USING (doc_id) GROUP BY g.doc_id)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM texts LEFT JOIN cut USING (doc_id)""",
     "op6_line_dedup": r"""WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 every AS (SELECT doc_id, unnest(range(0, len(lines))) AS no, unnest(lines) AS line FROM parts),
 sets AS (SELECT doc_id, no, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS s FROM every),

@@ -39,6 +39,7 @@ RUN_BYTES = CHUNK_BYTES
 #: Bytes of input for each group of anchors that meets in one task.
 PART_BYTES = 16 << 20
 _TOP = np.uint32(0xFFFFFFFF)
+SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _sliding(values: np.ndarray, width: int, op, fill) -> np.ndarray:
@@ -283,7 +284,7 @@ def _verdicts(runs: DataFrame) -> DataFrame:
         who, place, shared = merge_runs(got)
         base = np.concatenate([[0], np.cumsum([r.n for r in got])])[who] + place
         doc, twin, pos, right, size = (np.concatenate([getattr(r, x) for r in got])[base] for x in ("doc", "twin", "pos", "right", "left_size"))
-        flat = np.frombuffer(b"".join(r.left for r in got), np.uint8)
+        flat = np.frombuffer(b"".join(r.left for r in got) + b"\0", np.uint8)  # never empty: all anchors may begin their texts
         ends = np.cumsum(np.concatenate([r.left_size for r in got]).astype(np.int64))[base]
         by = np.lexsort((pos, twin, doc))  # from here in order of the corpus
         lo, hi = np.full(len(by), np.iinfo(np.int32).max, np.int64), np.full(len(by), -1, np.int64)
@@ -296,7 +297,7 @@ def _verdicts(runs: DataFrame) -> DataFrame:
             if not len(ok):
                 continue
             side = np.cumsum(shared < depth).astype(np.uint64)
-            order, fresh = first_of(mix(h[ok] ^ mix(side[ok])))
+            order, fresh = first_of(mix(mix(h[ok] ^ SALT) ^ side[ok]))  # salted: a byte and a class must not change places
             group = np.cumsum(fresh) - 1
             lead = ok[order[fresh]][group]
             item = ok[order]

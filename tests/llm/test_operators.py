@@ -58,6 +58,44 @@ def test_rows_of_one_id_are_one_document(spark):
     assert len(got) == len(rows)
 
 
+def test_short_lines_and_documents_do_not_change_places(spark):
+    """Lines of one byte, in a document for each: none repeats, whatever number the document has in its chunk."""
+    rows = [(i, chr(32 + i % 90) + "x"[: i % 2]) for i in range(200)] + [(200, "5\n5\n;")]
+    rows = [(i, chr(i - 1) if 34 <= i < 127 else t) for i, t in rows]
+    out, _ = quality_rules.counts([t for _, t in rows])
+    assert out["n_dup_lines"].tolist() == [0] * 200 + [1]
+    swapped = [""] * 128
+    for i in range(34, 127):
+        swapped[i] = chr(34 + 126 - i - 1)
+    assert quality_rules.counts(swapped)[0]["n_dup_lines"].sum() == 0
+
+
+def test_suffix_dedup_of_a_whole_table(spark):
+    """All strings of the smallest table, byte by byte."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    seen, want = set(), {}
+    for r in docs.orderBy("doc_id").collect():
+        data = (r.text or "").encode()
+        gone, to = 0, 0
+        for k in range(len(data) - suffix_dedup.LENGTH + 1):
+            g = data[k : k + suffix_dedup.LENGTH]
+            if g in seen:
+                gone += k + suffix_dedup.LENGTH - max(k, to)
+                to = k + suffix_dedup.LENGTH
+            seen.add(g)
+        want[r.doc_id] = (len(data), gone)
+    assert {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(docs).collect()} == want
+
+
+def test_a_byte_and_a_class_do_not_change_places(spark):
+    """Strings that differ in the byte before a shared middle, over many classes of the merged order: only true repeats go."""
+    rng = random.Random(2)
+    middle = "".join(rng.choice("abcdefgh ") for _ in range(60))
+    rows = [(i, chr(40 + i % 80) + middle + "".join(rng.choice("klmnopq ") for _ in range(60))) for i in range(160)]
+    got = suffix_dedup.remove_repeats(docs_of(spark, rows)).collect()
+    assert sum(r.n_removed for r in got) == 0
+
+
 def test_columns_of_the_quality_rules(spark, corpus):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
     assert quality_rules.quality_rules(docs_of(spark, corpus), labels).columns == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
