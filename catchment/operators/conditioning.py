@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,29 +184,30 @@ CANDIDATE, HIGH, LOW, OPEN = 1, 2, 4, 8
 _FLAT = {"z": _Z, "flags": Field("u1", 0), "root": Field("i8", _FAR), "dist": Field("i4", _NEVER, 2)}
 
 
-def _judge(meta: GridMeta, size: int):
-    """Candidates and high cells of a tile whose z is padded."""
+def _judge(meta: GridMeta, size: int, tolerance: tuple[float, float] = (0.0, 0.0)):
+    """Candidates and high cells of a tile whose z is padded; tolerance: by how much a neighbour may be higher (or differ), and by how much lower, before it counts."""
 
     def work(row: dict) -> dict:
         h, w = shape(meta, row["tr"], row["tc"], size)
         padded_z = _Z.read(row["z"], h + 2, w + 2)
         z = padded_z[1:-1, 1:-1]
         near = [shifted(padded_z, k) for k in range(8)]
-        candidate = ~np.isnan(z) & ~np.any([x < z for x in near], axis=0)
-        high = candidate & np.any([x > z for x in near], axis=0)
+        equal, lower = tolerance
+        candidate = ~np.isnan(z) & ~np.any([x - z < -lower for x in near], axis=0)
+        high = candidate & np.any([x - z > equal for x in near], axis=0)
         return {"tr": row["tr"], "tc": row["tc"], "z": z.tobytes(), "flags": (candidate * CANDIDATE + high * HIGH).astype(np.uint8).tobytes()}
 
     return work
 
 
-def _parts(meta: GridMeta, size: int, edges_drain: bool, row: dict) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(block, z, flags, component, root) of a tile with z and flags padded: LOW is set, and a component is what equal elevation joins."""
+def _parts(meta: GridMeta, size: int, edges_drain: bool, row: dict, equal: float = 0.0) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(block, z, flags, component, root) of a tile with z and flags padded: LOW is set, and a component is what elevations that differ by no more than twice ``equal`` join."""
     h, w = shape(meta, row["tr"], row["tc"], size)
     block = Block.at(meta, row["tr"], row["tc"], size, size)
     pz, pf = _Z.read(row["z"], h + 2, w + 2), _FLAT["flags"].read(row["flags"], h + 2, w + 2)
     z, flags = pz[1:-1, 1:-1], pf[1:-1, 1:-1].copy()
     candidate = (flags & CANDIDATE) > 0
-    low = ~np.isnan(z) & ~candidate & np.any([(shifted(pz, k) == z) & ((shifted(pf, k) & CANDIDATE) > 0) for k in range(8)], axis=0)
+    low = ~np.isnan(z) & ~candidate & np.any([(np.abs(shifted(pz, k) - z) <= equal) & ((shifted(pf, k) & CANDIDATE) > 0) for k in range(8)], axis=0)
     if edges_drain:
         r, c = np.arange(block.r0, block.r1)[:, None], np.arange(block.c0, block.c1)
         low |= candidate & ((r == 0) | (r == meta.height - 1) | (c == 0) | (c == meta.width - 1))
@@ -215,7 +217,7 @@ def _parts(meta: GridMeta, size: int, edges_drain: bool, row: dict) -> tuple[Blo
     for dr, dc in ((0, 1), (1, 1), (1, 0), (1, -1)):
         here = (slice(0, h - dr), slice(max(0, -dc), w - max(0, dc)))
         there = (slice(dr, h), slice(max(0, dc), w + min(0, dc)))
-        same = z[here] == z[there]
+        same = np.abs(z[here] - z[there]) <= 2 * equal
         a.append(place[here][same])
         b.append(place[there][same])
     part = roots_of(h * w, np.concatenate(a), np.concatenate(b))
@@ -225,10 +227,10 @@ def _parts(meta: GridMeta, size: int, edges_drain: bool, row: dict) -> tuple[Blo
     return block, z, flags, part, root[part]
 
 
-def _least_roots(rims: Arrays, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _least_roots(rims: Arrays, block: Block, equal: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(nodes, component of each, its root) after the members' components are joined where equal cells meet."""
     i, j, _ = block.meetings(rims["key"])
-    same = rims["z"][i] == rims["z"][j]
+    same = np.abs(rims["z"][i] - rims["z"][j]) <= 2 * equal
     every, (node, a, b) = numbered(rims["node"], rims["node"][i[same]], rims["node"][j[same]])
     part = roots_of(len(every), a, b)
     root = np.full(len(every), _FAR, np.int64)
@@ -236,7 +238,7 @@ def _least_roots(rims: Arrays, block: Block) -> tuple[np.ndarray, np.ndarray, np
     return every, part, root[part]
 
 
-def _flat_tiles(cells: DataFrame, meta: GridMeta, edges_drain: bool, size: int) -> DataFrame:
+def _flat_tiles(cells: DataFrame, meta: GridMeta, edges_drain: bool, size: int, tolerance: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """Tiles with z, flags, root (row-major id of the flat's first low edge), and dist: 1 at low and at high edges.
 
     Components of a tile are joined with those of its neighbours on their rims alone, group by group.
@@ -244,11 +246,11 @@ def _flat_tiles(cells: DataFrame, meta: GridMeta, edges_drain: bool, size: int)
     tiles = to_tiles(cells, meta, {"z": _Z}, size)
     tiles = materialize(tiles) if many(meta, size) else tiles
     keep = {n: _FLAT[n] for n in ("z", "flags")}
-    judged = each_tile(padded(tiles, meta, {"z": _Z}, size), _judge(meta, size), "tr int, tc int, z binary, flags binary")
+    judged = each_tile(padded(tiles, meta, {"z": _Z}, size), _judge(meta, size, tolerance), "tr int, tc int, z binary, flags binary")
     base = padded(materialize(judged) if many(meta, size) else judged, meta, keep, size)
 
     def summary(row: dict) -> dict:
-        block, z, _, part, root = _parts(meta, size, edges_drain, row)
+        block, z, _, part, root = _parts(meta, size, edges_drain, row, tolerance[0])
         at, key = rim_cells(meta, block)
         valid = ~np.isnan(z.ravel()[at])
         at, key = at[valid], key[valid]
@@ -256,13 +258,13 @@ def _flat_tiles(cells: DataFrame, meta: GridMeta, edges_drain: bool, size: int)
 
     def merge(block: Block, members: dict) -> Arrays:
         rims = joined_rims(members, "z", "node", "root")
-        every, part, root = _least_roots(rims, block)
+        every, part, root = _least_roots(rims, block, tolerance[0])
         out = block.outer(rims["key"])
         node = np.searchsorted(every, rims["node"][out])
         return {"key": rims["key"][out], "z": rims["z"][out], "node": every[part[node]], "root": root[node]}
 
     def solve(block: Block, members: dict, answer: Arrays | None) -> dict:
-        every, part, root = _least_roots(joined_rims(members, "z", "node", "root"), block)
+        every, part, root = _least_roots(joined_rims(members, "z", "node", "root"), block, tolerance[0])
         if answer:
             at = part[np.searchsorted(every, answer["node"])]
             told = np.full(len(every), _FAR, np.int64)
@@ -272,7 +274,7 @@ def _flat_tiles(cells: DataFrame, meta: GridMeta, edges_drain: bool, size: int)
         return {k: {"node": n, "root": root[np.searchsorted(every, n)]} for k, n in nodes.items()}
 
     def start(row: dict) -> dict:
-        block, z, flags, part, root = _parts(meta, size, edges_drain, row)
+        block, z, flags, part, root = _parts(meta, size, edges_drain, row, tolerance[0])
         if row.get("blob"):
             told = pickle.loads(row["blob"])
             place = (told["node"] // meta.width - block.r0) * (block.c1 - block.c0) + told["node"] % meta.width - block.c0
@@ -296,7 +298,7 @@ def _flat_tiles(cells: DataFrame, meta: GridMeta, edges_drain: bool, size: int)
 
 def _spread(p: dict[str, np.ndarray]) -> np.ndarray:
     """Steps through open cells of equal elevation from the cells whose distance is known, for both distances: waves of cells."""
-    z = np.pad(p["z"], 1, constant_values=np.nan)
+    z = np.pad(p["zone" if "zone" in p else "z"], 1, constant_values=np.nan)
     width = z.shape[1]
     may = np.zeros(z.shape, bool)
     may[2:-2, 2:-2] = (p["flags"][1:-1, 1:-1] & OPEN) > 0
@@ -381,6 +383,55 @@ def _flat_cells_of(tiles: DataFrame, meta: GridMeta, size: int) -> DataFrame:
     )
 
 
+def _claimed(table: pa.Table) -> pa.Table:
+    """r, c, owner of one component: low edges in row-major order each take, from where they stand, what is not taken yet and lies within the tolerance of their own elevation."""
+    r, c, key, z, low = (table.column(n).to_numpy() for n in ("r", "c", "key", "z", "low"))
+    equal = table.column("equal")[0].as_py()
+    order = np.argsort(key)
+    spot = dict(zip(zip(r.tolist(), c.tolist()), range(len(r))))
+    owner = np.full(len(key), _FAR, np.int64)
+    for seed in order[low[order]].tolist():
+        if owner[seed] != _FAR:
+            continue
+        owner[seed], todo = key[seed], [seed]
+        while todo:
+            at = todo.pop()
+            for dr, dc in DIRECTIONS:
+                n = spot.get((int(r[at]) + dr, int(c[at]) + dc))
+                if n is not None and owner[n] == _FAR and abs(z[n] - z[seed]) <= equal:
+                    owner[n] = key[seed]
+                    todo.append(n)
+    return pa.table({"r": r, "c": c, "owner": owner})
+
+
+def _tolerant_tiles(cells: DataFrame, meta: GridMeta, edges_drain: bool, size: int, tolerance: tuple[float, float]) -> DataFrame:
+    """Tiles as of ``_flat_tiles`` with zone, in which a flat is what a low edge claims.
+
+    A claim may rule out a later one, so flats depend on the order of low edges - but only among cells that chains of steps of twice the tolerance join,
+    and those components are found by contraction, as flats are. One that is level within the tolerance is a single flat, whatever its size; of
+    the uneven ones each is claimed in a task of its own, which holds its cells.
+    """
+    shown = {"z": (_Z, "double"), "flags": (Field("i2", 0), "short"), "root": (_FLAT["root"], "bigint")}
+    widen = lambda row: row | {"flags": np.frombuffer(row["flags"], "u1").astype("i2").tobytes()}
+    joined = each_tile(_flat_tiles(cells, meta, edges_drain, size, tolerance).select("tr", "tc", *shown), widen, "tr int, tc int, z binary, flags binary, root binary")
+    every = materialize(from_tiles(joined, meta, shown, size))
+    key, low = F.col("r").cast("long") * meta.width + F.col("c"), F.col("flags").bitwiseAND(F.lit(LOW)) > 0
+    drained = every.filter(F.col("root") < _FAR)
+    uneven = drained.groupBy("root").agg((F.max("z") - F.min("z")).alias("range")).filter(F.col("range") > tolerance[0]).select("root")
+    parted = drained.join(uneven, "root").select("root", "r", "c", key.alias("key"), "z", low.alias("low"), F.lit(float(tolerance[0])).alias("equal"))
+    claimed = parted.groupBy("root").applyInArrow(_claimed, "r int, c int, owner long").filter(F.col("owner") < _FAR)
+    owners = drained.join(uneven, "root", "left_anti").select("r", "c", F.col("root").alias("owner")).unionByName(claimed)
+    flags = F.col("flags").bitwiseAND(F.lit(~OPEN & 255))
+    has = lambda b: F.col("flags").bitwiseAND(F.lit(b)) > 0
+    owned = F.col("owner").isNotNull()
+    never = F.lit(_NEVER)
+    rows = every.join(owners, ["r", "c"], "left").select(
+        "r", "c", "z", F.when(owned & has(CANDIDATE), flags.bitwiseOR(F.lit(OPEN))).otherwise(flags).cast("short").alias("flags"), F.coalesce("owner", F.lit(_FAR)).alias("root"), F.col("owner").cast("double").alias("zone"),
+        F.array(F.when(has(LOW), 1).otherwise(never), F.when(owned & has(HIGH) & ~has(LOW), 1).otherwise(never)).alias("dist"),
+    )
+    return to_tiles(rows, meta, _FLAT | {"zone": _Z}, size)
+
+
 def flats(cells: DataFrame, meta: GridMeta, edges_drain: bool = True, size: int = SIZE) -> DataFrame:
     """r, c, z, candidate, low, high, root, label: root is the flat's first low edge (row-major id), label its rank; NULL off drainable flats.
 
@@ -389,13 +440,19 @@ def flats(cells: DataFrame, meta: GridMeta, edges_drain: bool = True, size: int
     return _flat_cells_of(materialize(_flat_tiles(cells, meta, edges_drain, size)), meta, size).drop("d_high", "d_low", "flat_mask")
 
 
-def resolve_flats(cells: DataFrame, meta: GridMeta, epsilon: float = EPSILON, edges_drain: bool = True, size: int = SIZE) -> DataFrame:
+def resolve_flats(cells: DataFrame, meta: GridMeta, epsilon: float = EPSILON, edges_drain: bool = True, size: int = SIZE, equal_tol: float = 0.0, lower_tol: float = 0.0) -> DataFrame:
     """Flats with an imposed gradient: r, c, z, label, flat_mask, resolved, and the flags and distances of each cell.
 
-    flat_mask rises away from higher terrain, and twice as strongly towards lower; 0 where neither reaches.
+    flat_mask rises away from higher terrain, and twice as strongly towards lower; 0 where neither reaches. With ``equal_tol`` a low edge
+    claims, in row-major order, what lies within that much of its own elevation; a neighbour is lower only by more than ``lower_tol``.
     """
-    tiles = relax(_flat_tiles(cells, meta, edges_drain, size), meta, _FLAT, "dist", _spread, size)
-    done = _flat_cells_of(tiles, meta, size)
+    if equal_tol < 0 or lower_tol < 0:
+        raise ValueError("tolerances must not be negative")
+    if equal_tol or lower_tol:
+        start, fields = _tolerant_tiles(cells, meta, edges_drain, size, (equal_tol, lower_tol)), _FLAT | {"zone": _Z}
+    else:
+        start, fields = _flat_tiles(cells, meta, edges_drain, size), _FLAT
+    done = _flat_cells_of(relax(start, meta, fields, "dist", _spread, size), meta, size)
     lift = F.col("label").isNotNull() & (F.col("flat_mask") > 0)
     return done.withColumn("resolved", F.when(lift, F.col("z") + epsilon * F.col("flat_mask")).otherwise(F.col("z")))
 

@@ -138,6 +138,66 @@ def test_flats_in_tiles(spark, deep, seed, size):
     np.testing.assert_array_equal(raster(conditioning.flats(cells, meta, size=size), "label", z.shape), label)
 
 
+def claimed_by_hand(z, equal, lower):
+    """(label, mask) where low edges claim cells one after the other."""
+    h, w = z.shape
+    cells = [(r, c) for r in range(h) for c in range(w) if not np.isnan(z[r, c])]
+    valid = set(cells)
+    around = {x: [n for n in near(z.shape, *x) if n in valid] for x in cells}
+    candidate = {x: not any(z[n] - z[x] < -lower for n in around[x]) for x in cells}
+    high = [x for x in cells if candidate[x] and any(z[n] - z[x] > equal for n in around[x])]
+    edge = lambda x: x[0] in (0, h - 1) or x[1] in (0, w - 1)
+    low = [x for x in cells if candidate[x] and edge(x) or not candidate[x] and any(candidate[n] and abs(z[n] - z[x]) <= equal for n in around[x])]
+    label, count = {}, 0
+    for seed in low:
+        if seed in label:
+            continue
+        count += 1
+        label[seed], todo = count, [seed]
+        while todo:
+            for n in around[todo.pop()]:
+                if n not in label and abs(z[n] - z[seed]) <= equal:
+                    label[n] = count
+                    todo.append(n)
+
+    def steps(sources):
+        d = dict.fromkeys(sources, 1)
+        todo = deque(sources)
+        while todo:
+            x = todo.popleft()
+            for n in around[x]:
+                if candidate[n] and label.get(n) == label.get(x) and n in label and n not in d:
+                    d[n] = d[x] + 1
+                    todo.append(n)
+        return d
+
+    kept = set(low)
+    d_low, d_high = steps(low), steps([x for x in high if x in label and x not in kept])
+    top = {}
+    for x, d in d_high.items():
+        top[label[x]] = max(top.get(label[x], 0), d)
+    mask, labels = np.zeros(z.shape), np.full(z.shape, np.nan)
+    for x in cells:
+        labels[x] = label.get(x, np.nan)
+        a, b = d_low.get(x), d_high.get(x)
+        mask[x] = (-(b or 0)) if a is None else (top[label[x]] - b + 2 * a if b else 2 * a)
+    return labels, mask
+
+
+@pytest.mark.parametrize("seed, equal, lower, size", [(1, 0.5, 0.0, 64), (2, 0.5, 0.25, 5), (3, 1.0, 1.0, 4), (4, 0.0, 1.0, 6), (5, 0.01, 0.0, 5)])
+def test_flats_within_a_tolerance(spark, deep, seed, equal, lower, size):
+    """Claims of low edges in their order; some components are level, some uneven, some are cut by tiles."""
+    z = terrain(seed, (18, 22), 12) / 4
+    z[5:11, 4:15] = 1.0
+    cells, meta = frame(spark, z)
+    done = conditioning.materialize(conditioning.resolve_flats(cells, meta, size=size, equal_tol=equal, lower_tol=lower))
+    label, mask = claimed_by_hand(z, equal, lower)
+    np.testing.assert_array_equal(raster(done, "label", z.shape), label)
+    np.testing.assert_array_equal(raster(done, "flat_mask", z.shape), mask)
+    with pytest.raises(ValueError):
+        conditioning.resolve_flats(cells, meta, equal_tol=-1)
+
+
 def accumulated_by_hand(code, mass):
     """(total, whether every inflow is complete); cells on or behind a circle keep what is complete."""
     h, w = code.shape
