@@ -19,11 +19,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Chunk, labelled_sample, map_texts, prefix_hash, sigmoid, span_hash
+from .common import Chunk, cut, labelled_sample, map_texts, prefix_hash, release, sigmoid, span_hash
 
 CATEGORIES = ("low_quality", "toxic", "severe_toxic")
 #: Training rows at most; the model does not need more as the corpus grows.
 SAMPLE = 5000
+#: Distinct terms of the training texts together, at most: what the driver holds.
+MOST_TERMS = 8_000_000
 #: Terms that a link may use.
 TERMS = 384
 STEMS = (4, 5, 6, 7)
@@ -72,32 +74,55 @@ def _solve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -
     return w
 
 
+class Terms:
+    """Which texts have which terms, of the training texts: ``row`` and ``term`` (a place in the sorted ``names``) of each pair, in 32 bits."""
+
+    def __init__(self, n: int, row: np.ndarray, terms: np.ndarray):
+        self.n, self.row, self.names = n, row.astype(np.int32), np.unique(terms)
+        self.term = np.searchsorted(self.names, terms).astype(np.int32)
+
+    @classmethod
+    def of(cls, features: list[np.ndarray]) -> Terms:
+        row = np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features]) if features else np.empty(0, np.int32)
+        return cls(len(features), row, np.concatenate(features) if features else np.empty(0, np.uint32))
+
+    def count(self, of: np.ndarray | None = None) -> np.ndarray:
+        """For each term the texts that have it, or the sum of ``of`` over them."""
+        return np.bincount(self.term, weights=None if of is None else of[self.row], minlength=len(self.names))
+
+    def choose(self, y: np.ndarray, most: int, train: np.ndarray) -> np.ndarray:
+        """The places of the terms that separate the classes of the training rows best, by the signed root of the likelihood ratio; ties by term."""
+        pos, neg = max(1, y[train].sum()), max(1, (1 - y[train]).sum())
+        a, every = self.count(np.where(train, y, 0.0)), self.count(train.astype(float))
+        b = every - a
+        gain = np.abs(np.sqrt(a / pos) - np.sqrt(b / neg)) * np.sqrt(every)
+        seen = np.flatnonzero(every >= 3)
+        return np.sort(seen[np.lexsort((seen, -gain[seen]))][:most])
+
+    def matrix(self, chosen: np.ndarray) -> np.ndarray:
+        """Texts x chosen terms, 1 where a text has the term."""
+        at = np.full(len(self.names), -1, np.int32)
+        at[chosen] = np.arange(len(chosen), dtype=np.int32)
+        column = at[self.term]
+        hit = column >= 0
+        x = np.zeros((self.n, len(chosen)), np.float32)
+        x[self.row[hit], column[hit]] = 1
+        return x
+
+
 def _choose(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, most: int, train: np.ndarray) -> np.ndarray:
-    """The terms that separate the classes of the training rows best, by the signed root of the likelihood ratio; ties by term."""
-    rows, terms = rows[train[rows]], terms[train[rows]]
-    names, index = np.unique(terms, return_inverse=True)
-    pos, neg = max(1, y[train].sum()), max(1, (1 - y[train]).sum())
-    a = np.bincount(index, weights=y[rows], minlength=len(names))
-    b = np.bincount(index, minlength=len(names)) - a
-    gain = np.abs(np.sqrt(a / pos) - np.sqrt(b / neg)) * np.sqrt(a + b)
-    seen = np.flatnonzero(a + b >= 3)
-    return np.sort(names[seen[np.lexsort((names[seen], -gain[seen]))][:most]])
-
-
-def _matrix(rows: np.ndarray, terms: np.ndarray, names: np.ndarray, n: int) -> np.ndarray:
-    x = np.zeros((n, len(names)), np.float32)
-    if len(names):
-        at = np.minimum(np.searchsorted(names, terms), len(names) - 1)
-        hit = names[at] == terms
-        x[rows[hit], at[hit]] = 1
-    return x
+    """``Terms.choose`` for (row, term) pairs; the terms themselves, ascending."""
+    held = Terms(len(y), rows, terms)
+    return held.names[held.choose(y, most, train)]
 
 
 def fit_chain(features: list[np.ndarray], labels: np.ndarray, folds: int = 5, terms: int = TERMS) -> list[Link]:
     """features: each row's distinct terms; labels: rows x categories, 0 or 1. Rows are dealt to folds by position."""
-    n = len(features)
-    rows = np.repeat(np.arange(n), [len(f) for f in features]) if n else np.empty(0, np.int64)
-    flat = np.concatenate(features) if n else np.empty(0, np.uint32)
+    return fit_terms(Terms.of(features), labels, folds, terms)
+
+
+def fit_terms(held: Terms, labels: np.ndarray, folds: int = 5, terms: int = TERMS) -> list[Link]:
+    n = held.n
     fold, fed, chain = np.arange(n) % folds, np.zeros((n, 0)), []
     for y in labels.T.astype(float):
         none = np.empty(0, np.uint32)
@@ -108,13 +133,12 @@ def fit_chain(features: list[np.ndarray], labels: np.ndarray, folds: int = 5, te
         out = np.zeros(n)
         for k in range(folds):
             train = fold != k
-            names = _choose(rows, flat, y, terms, train)
-            x = np.hstack([_matrix(rows, flat, names, n), fed])
+            x = np.hstack([held.matrix(held.choose(y, terms, train)), fed])
             w = _solve(x[train], y[train])
             out[~train] = sigmoid(x[~train] @ w[:-1] + w[-1])
-        names = _choose(rows, flat, y, terms, np.ones(n, bool))
-        w = _solve(np.hstack([_matrix(rows, flat, names, n), fed]), y)
-        chain.append(Link(names, w[: len(names)], w[len(names) : -1], float(w[-1])))
+        chosen = held.choose(y, terms, np.ones(n, bool))
+        w = _solve(np.hstack([held.matrix(chosen), fed]), y)
+        chain.append(Link(held.names[chosen], w[: len(chosen)], w[len(chosen) : -1], float(w[-1])))
         fed = np.hstack([fed, out[:, None]])
     return chain
 
@@ -141,7 +165,7 @@ def score_texts(chain: list[Link], texts: list[str | None]) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Link]:
-    """Fits the default chain on at most ``sample`` labelled texts; only their term hashes reach the driver."""
+    """Fits the default chain on at most ``sample`` labelled texts and MOST_TERMS of their terms; only term hashes reach the driver."""
     chosen = labelled_sample(labels.withColumn("both", F.col("quality") * 2 + F.col("toxic")), "both", sample)
 
     def make():
@@ -154,19 +178,31 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Link
         return kernel
 
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = sorted(map_texts(joined, make, "doc_id long, both int, terms binary").collect(), key=lambda r: (r.doc_id, r.terms))
-    features = [np.frombuffer(r.terms, np.uint32) for r in got]
+    made = cut(map_texts(joined, make, "doc_id long, both int, terms binary"))
+    if (made.agg(F.sum(F.length("terms"))).first()[0] or 0) > 4 * MOST_TERMS:
+        made = made.join(F.broadcast(_within(made)), "doc_id")
+    got = sorted(made.collect(), key=lambda r: (r.doc_id, r.terms))
+    release(made)
+    held = Terms.of([np.frombuffer(r.terms, np.uint32) for r in got])
     quality, toxic = np.array([r.both // 2 for r in got], int), np.array([r.both % 2 for r in got], int)
     if not got or not toxic.any():
         severe = toxic
     else:
-        rows = np.repeat(np.arange(len(got)), [len(f) for f in features])
-        flat = np.concatenate(features)
-        names, index = np.unique(flat, return_inverse=True)
-        a = np.bincount(index, weights=toxic[rows])
-        marks = (a >= max(3, 0.02 * toxic.sum())) & (a >= 0.9 * np.bincount(index))
-        severe = toxic * (np.bincount(rows, weights=marks[index], minlength=len(got)) >= 3)
-    return fit_chain(features, np.column_stack([1 - quality, toxic, severe]) if got else np.zeros((0, 3)))
+        a = held.count(toxic.astype(float))
+        marks = (a >= max(3, 0.02 * toxic.sum())) & (a >= 0.9 * held.count())
+        severe = toxic * (np.bincount(held.row, weights=marks[held.term], minlength=held.n) >= 3)
+    return fit_terms(held, np.column_stack([1 - quality, toxic, severe]) if got else np.zeros((0, 3)))
+
+
+def _within(made: DataFrame) -> DataFrame:
+    """doc_id of the training texts that are taken, whole, in hash order of their ids while their terms together are no more than MOST_TERMS."""
+    sizes = made.groupBy("doc_id").agg(F.sum(F.length("terms") / 4).cast("long").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    total, ids = 0, []
+    for r in sizes:
+        if total + r.n <= MOST_TERMS:
+            total += r.n
+            ids.append((r.doc_id,))
+    return made.sparkSession.createDataFrame(ids, "doc_id long")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -437,3 +437,41 @@ def test_extra_columns_survive(spark):
     lines = line_dedup.drop_repeated_lines(docs)
     assert lines.columns == docs.columns and {r.doc_id: r.text for r in lines.collect()} == {1: "a b c d e f", 2: "", 3: "mail me@x.org"}
     assert toxicity.drop_toxic(docs, _labels(spark)).columns == docs.columns
+
+
+def test_training_terms_are_bounded(spark, monkeypatch):
+    """Texts are taken whole, in an order of their ids alone, while their terms fit."""
+    made = spark.createDataFrame([(i, bytearray(4 * (i % 7 + 1))) for i in range(50)], "doc_id long, terms binary")
+    monkeypatch.setattr(toxicity, "MOST_TERMS", 40)
+    taken = [r.doc_id for r in toxicity._within(made).collect()]
+    assert 30 < sum(i % 7 + 1 for i in taken) <= 40 and taken == [r.doc_id for r in toxicity._within(made.repartition(3)).collect()]
+
+
+def test_terms_and_links_match_plain_python():
+    """The choice of terms, the matrix and the folds, one by one."""
+    rng = random.Random(6)
+    features = [np.unique(np.array([rng.randrange(40) * 3 for _ in range(rng.randint(0, 12))], np.uint32)) for _ in range(60)]
+    y = np.array([rng.random() < 0.2 + 0.5 * (9 in f) for f in features], float)
+    held = toxicity.Terms.of(features)
+    train = np.arange(60) % 5 != 2
+
+    def gain(t):
+        a = sum(y[i] for i in range(60) if train[i] and t in features[i])
+        every = sum(1 for i in range(60) if train[i] and t in features[i])
+        pos, neg = y[train].sum(), (1 - y[train]).sum()
+        return every, abs((a / pos) ** 0.5 - ((every - a) / neg) ** 0.5) * every**0.5
+
+    want = sorted([t for t in {int(t) for f in features for t in f} if gain(t)[0] >= 3], key=lambda t: (-round(gain(t)[1], 12), t))[:8]
+    chosen = held.choose(y, 8, train)
+    assert held.names[chosen].tolist() == sorted(want)
+    assert held.matrix(chosen).tolist() == [[float(t in f) for t in sorted(want)] for f in features]
+    chain = toxicity.fit_chain(features, np.column_stack([y, 1 - y]), terms=8)
+    out = np.zeros(60)
+    for k in range(5):
+        keep = np.arange(60) % 5 != k
+        x = held.matrix(held.choose(y, 8, keep))
+        w = toxicity._solve(x[keep], y[keep])
+        out[~keep] = toxicity.sigmoid(x[~keep] @ w[:-1] + w[-1])
+    second = held.choose(1 - y, 8, np.ones(60, bool))
+    w = toxicity._solve(np.hstack([held.matrix(second), out[:, None]]), 1 - y)
+    assert np.allclose(np.concatenate([chain[1].weights, chain[1].feed, [chain[1].bias]]), w)
