@@ -16,7 +16,7 @@ from .grid import GridMeta, densify, is_edge, neighbours, view
 from .operators import conditioning, export, regrid, routing, wetness
 from .plans import pipeline
 from .sources import gtiff, gtiff_source, store
-from .sources.catalogue import DATASETS, catalogue, layer_name_column, scan_band
+from .sources.catalogue import DATASETS, catalogue, download_path, layer_name_column, scan_band
 from .tiles import SIZE as TILE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -686,6 +686,14 @@ def layer_names(spark, sf_dir):
     return asked.select("p_partkey", "layer", layer_name_column(F.col("layer"), F.col("id"), F.col("flow")).alias("name"))
 
 
+@query(ORACLE_SQL["layer_names"].replace("SELECT p_partkey, layer, CASE", "SELECT p_partkey, 'runs/' || (p_partkey % 3) || '/' || CASE").replace("AS name FROM asked", "|| '.tif' AS path FROM asked"))
+def download_paths(spark, sf_dir):
+    """Where the file of each part's layer goes when it is copied under its name."""
+    named = layer_names(spark, sf_dir)
+    source = F.concat(F.lit("runs/"), (F.col("p_partkey") % 3).cast("string"), F.lit("/"), F.col("layer"), F.lit(".out"))
+    return named.select("p_partkey", download_path(source, F.col("name")).alias("path"))
+
+
 # --- files of a whole grid ----------------------------------------------------------------------------------
 
 

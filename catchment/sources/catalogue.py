@@ -50,3 +50,9 @@ def layer_name_column(layer: Column, dem: Column, flow: Column) -> Column:
     """``layer_name`` for columns."""
     both, own = F.concat_ws("_", layer, dem, flow), F.concat_ws("_", layer, dem)
     return F.when(layer.isin("flow_acc", "twi"), both).when(layer.isin("dem", "slope"), own).otherwise(layer)
+
+
+def download_path(source: Column, name: Column) -> Column:
+    """Where a layer's file goes under a name: a .tif beside the file it is copied from."""
+    folder = F.regexp_extract(source, r"^(.*/)?[^/]*$", 1)
+    return F.concat(folder, name, F.lit(".tif"))
