@@ -154,10 +154,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     if last is not None:
         sets = cut(_sets(docs, nodes, words))
         for r in range(last + 1):
-            now = members.join(comp, "node") if r else members.withColumn("comp", F.col("node"))
+            now = members.filter(F.col("tier") >= r).join(comp, "node") if r else members.withColumn("comp", F.col("node"))
             if r:
-                mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("tier").alias("top")).filter(f"lo < hi and top >= {r}").select("key")
-                now = cut(now.filter(F.col("tier") >= r).join(mixed, "key", "left_semi"))
+                # of a bucket only this round's hubs go on, and the members that a hub of another component still has to meet
+                seen = F.when(F.col("tier") == r, F.col("comp"))
+                mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(seen).alias("hub_lo"), F.max(seen).alias("hub_hi")).filter("lo < hi and hub_lo is not null")
+                mixed = mixed.select(F.col("key").alias("at"), "hub_lo", "hub_hi")
+                meets = (F.col("tier") == r) | (F.col("comp") != F.col("hub_lo")) | (F.col("comp") != F.col("hub_hi"))
+                now = cut(now.join(mixed, (F.col("key") == F.col("at")) & meets, "left_semi"))
             hub = now.filter(F.col("tier") == r).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("bits").alias("ba"))
             near = (F.col("comp") != F.col("ca")) & (100 * F.least("n", "na") >= percent * F.greatest("n", "na")) & ((F.col("tier") > r) | (F.col("node") > F.col("a")))
             differ = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("ba")[k])) for k in range(SKETCH // 64)), F.lit(0))

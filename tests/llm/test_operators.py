@@ -49,6 +49,25 @@ def test_near_duplicates_match_brute_force(spark, corpus):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(sets[i]), comp[i], comp[i] == i) for i in sets}
 
 
+def test_of_a_crowd_only_those_whom_a_hub_still_has_to_meet_go_on(spark, monkeypatch):
+    words = [f"w{i}" for i in range(120)]
+    crowd = [(i, " ".join(words[:119] + [f"x{i}"])) for i in range(300)]  # all near the first hub
+    others = [(1000 + i, " ".join(words[:90] + [f"y{i}_{j}" for j in range(30)])) for i in range(10)]  # near nobody, but often in one bucket
+    docs = spark.createDataFrame(crowd + others, "doc_id long, text string")
+    rounds, cut = [], near_dedup.cut
+
+    def counted(df):
+        out = cut(df)
+        if "tier" in out.columns and "comp" in out.columns:
+            rounds.append((out.count(), out.filter("node < 1000").count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "cut", counted)
+    got = near_dedup.near_duplicates(docs, 3, 85)
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(i, 0) for i, _ in crowd} | {(i, i) for i, _ in others}
+    assert rounds and rounds[0][0] < 1500, rounds
+
+
 def test_rows_of_one_id_are_one_document(spark):
     """An id's texts bring their groups together, also by way of several ids, and an empty text follows its id."""
     a, b, c, d = (" ".join(f"{x}{k}" for k in range(12)) for x in "abcd")
