@@ -14,6 +14,8 @@ from ..operators.regrid import crop_window
 
 #: Edge of a block in cells: some 16 million of them, a few hundred megabytes.
 BLOCK = 4096
+#: From so many folders on, small blocks share them, in squares of at most BLOCK cells along an edge.
+FOLDERS = 128
 #: Cells of a layer for each of its buckets.
 BUCKET_CELLS = 4_000_000
 
@@ -29,24 +31,40 @@ def z_order(r: Column, c: Column) -> Column:
     return F.shiftleft(spread(r.cast("long")), 1).bitwiseOR(spread(c.cast("long")))
 
 
+def _shelf(cells: DataFrame, block: int) -> int:
+    """Edge in cells of the squares that have a folder each: a block's, doubled while there would be more than FOLDERS of them."""
+    ends = cells.agg(*[f(F.floor(F.col(n) / block)).alias(f"{n}_{k}") for n in ("r", "c") for k, f in (("low", F.min), ("high", F.max))]).first()
+    shelf, spans = block, [(ends.r_low, ends.r_high), (ends.c_low, ends.c_high)]
+    if ends.r_low is None:
+        return shelf
+    many = lambda k: (spans[0][1] // k - spans[0][0] // k + 1) * (spans[1][1] // k - spans[1][0] // k + 1)
+    while shelf * 2 <= BLOCK and many(shelf // block) > FOLDERS:
+        shelf *= 2
+    return shelf
+
+
 def write_cells(cells: DataFrame, path: str, block: int = BLOCK) -> None:
     """Writes cells (r, c and values) under ``path``: a folder for each block of cells, in which they follow the Z-curve, and a table of the blocks' bounds.
 
-    A block is one task's at most; a file's parts then cover small squares, so that filters on r and c skip them too.
+    Of small blocks a square of some has one folder (br and bc count those), so that files do not multiply. A folder is one task's at most; a file's parts
+    then cover small squares, so that filters on r and c skip them too.
     """
     if not 0 < block <= 1 << 16:
         raise ValueError("a block has between 1 and 65536 cells along an edge")
-    spot = {"br": (F.col("r") / block).cast("int"), "bc": (F.col("c") / block).cast("int")}
-    placed = cells.withColumns(spot | {"_z": z_order(F.col("r") % block, F.col("c") % block)})
+    shelf = _shelf(cells, block)
+    spot = {"br": (F.col("r") / shelf).cast("int"), "bc": (F.col("c") / shelf).cast("int")}
+    placed = cells.withColumns(spot | {"_z": z_order(F.col("r") % shelf, F.col("c") % shelf)})
     placed.repartition("br", "bc").sortWithinPartitions("br", "bc", "_z").drop("_z").write.partitionBy("br", "bc").parquet(f"{path}/cells")
     stored = cells.sparkSession.read.parquet(f"{path}/cells")
     limits = [f(n).alias(f"{n}_{k}") for n in ("r", "c") for k, f in (("low", F.min), ("high", F.max))]
-    stored.groupBy("br", "bc").agg(*limits, F.count("*").alias("n")).withColumn("block", F.lit(block)).coalesce(1).write.parquet(f"{path}/bounds")
+    of = [(F.col(n) / block).cast("int").alias(f"b{n}") for n in ("r", "c")]
+    held = stored.select("r", "c", *[F.col(f"b{n}").alias(f"s{n}") for n in ("r", "c")]).groupBy("sr", "sc", *of).agg(*limits, F.count("*").alias("n"))
+    held.select("br", "bc", *[f"{n}_{k}" for n in ("r", "c") for k in ("low", "high")], "n", F.lit(block).alias("block"), F.lit(shelf).alias("shelf")).write.parquet(f"{path}/bounds")
 
 
 def bounds(spark: SparkSession, path: str) -> DataFrame:
     """br, bc, r_low, r_high, c_low, c_high, n, block: what each block holds."""
-    return spark.read.parquet(f"{path}/bounds")
+    return spark.read.parquet(f"{path}/bounds").drop("shelf")
 
 
 def read_cells(spark: SparkSession, path: str, window: tuple[int, int, int, int] | None = None) -> DataFrame:
@@ -54,10 +72,10 @@ def read_cells(spark: SparkSession, path: str, window: tuple[int, int, int, int]
     cells = spark.read.parquet(f"{path}/cells")
     if window is None:
         return cells.drop("br", "bc")
-    first = bounds(spark, path).select("block").first()
-    block = first.block if first else BLOCK
+    first = spark.read.parquet(f"{path}/bounds").select("shelf").first()
+    shelf = first.shelf if first else BLOCK
     r0, r1, c0, c1 = window
-    near = F.col("br").between(r0 // block, (r1 - 1) // block) & F.col("bc").between(c0 // block, (c1 - 1) // block)
+    near = F.col("br").between(r0 // shelf, (r1 - 1) // shelf) & F.col("bc").between(c0 // shelf, (c1 - 1) // shelf)
     return cells.filter(near & F.col("r").between(r0, r1 - 1) & F.col("c").between(c0, c1 - 1)).drop("br", "bc")
 
 

@@ -43,6 +43,20 @@ def test_a_window_opens_its_own_blocks(spark, tmp_path, z):
         store.write_cells(frame(spark, z), path, block=1 << 17)
 
 
+def test_small_blocks_share_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "FOLDERS", 16, raising=False)
+    path = f"file://{tmp_path}/grid"
+    z = np.arange(300.0 * 60).reshape(300, 60)
+    store.write_cells(frame(spark, z), path, block=4)  # 75 x 15 blocks
+    assert spark.read.parquet(f"{path}/cells").select("_metadata.file_path").distinct().count() <= 16
+    blocks = {(b.br, b.bc): (b.r_low, b.r_high, b.c_low, b.c_high, b.n, b.block) for b in store.bounds(spark, path).collect()}
+    assert blocks == {(i, j): (4 * i, 4 * i + 3, 4 * j, 4 * j + 3, 16, 4) for i in range(75) for j in range(15)}
+    got = store.read_cells(spark, path, (100, 141, 17, 30))
+    assert "PartitionFilters: [isnotnull(br" in plan_of(got)
+    assert {(r.r, r.c): r.z for r in got.collect()} == {(r, c): z[r, c] for r in range(100, 141) for c in range(17, 30)}
+    assert store.read_cells(spark, path).count() == z.size
+
+
 def test_the_curve_interleaves_bits(spark):
     got = spark.range(1).select(*[store.z_order(F.lit(r), F.lit(c)).alias(f"z{k}") for k, (r, c) in enumerate([(0, 0), (0, 1), (1, 0), (3, 5), (65535, 65535), (65535, 0)])]).first()
     assert list(got) == [0, 1, 2, 0b011011, 2**32 - 1, int("10" * 16, 2)]
