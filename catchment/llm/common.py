@@ -73,23 +73,30 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of a base (as halves) and of its inverse modulo PRIME, grown on demand and kept for a worker."""
+    """Powers of a base (as halves of 32 bits) and of its inverse modulo PRIME, grown on demand, by steps, and kept for a worker."""
+
+    STEP = 1 << 18
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, int(PRIME))
-        self.low = self.high = self.down = np.empty(0, np.uint64)
+        self.low = self.high = np.empty(0, np.uint32)
+        self.down = np.empty(0, np.uint64)
 
     def grow(self, n: int) -> None:
-        if n <= len(self.down):
+        had = len(self.down)
+        if n <= had:
             return
-        size = 1 << max(16, (n - 1).bit_length())
-        tables = []
-        for b in (self.base, self.inverse):
-            p = np.ones(1, np.uint64)
-            while len(p) < size:
-                p = np.concatenate([p, times(p, np.uint64(pow(b, len(p), int(PRIME))))])
-            tables.append(p)
-        self.low, self.high, self.down = tables[0] & _LOW31, tables[0] >> _S31, tables[1]
+        size = -(-n // self.STEP) * self.STEP if n > 1 << 16 else 1 << 16
+        low, high, down = np.empty(size, np.uint32), np.empty(size, np.uint32), np.empty(size, np.uint64)
+        low[:had], high[:had], down[:had] = self.low, self.high, self.down
+        first = np.ones(1, np.uint64), np.ones(1, np.uint64)
+        while len(first[0]) < min(size, 1 << 16):
+            first = tuple(np.concatenate([p, times(p, np.uint64(pow(b, len(p), int(PRIME))))]) for p, b in zip(first, (self.base, self.inverse)))
+        for at in range(had, size, len(first[0])):
+            end = min(size, at + len(first[0]))
+            up, back = (times(p[: end - at], np.uint64(pow(b, at, int(PRIME)))) for p, b in zip(first, (self.base, self.inverse)))
+            low[at:end], high[at:end], down[at:end] = up & _LOW31, up >> _S31, back
+        self.low, self.high, self.down = low, high, down
 
 
 # fixed values: two bases drawn once

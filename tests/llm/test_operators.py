@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from catchment.llm import fingerprints, line_dedup, near_dedup, packing, pieces_fst, pii, quality_crf, quality_rules, suffix_dedup, toxicity
+from catchment.llm.common import PRIME, Powers
 from catchment.llm.components import merge_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -49,6 +50,15 @@ def test_near_duplicates_match_brute_force(spark, corpus):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(sets[i]), comp[i], comp[i] == i) for i in sets}
 
 
+def test_powers_of_a_worker_stay_small():
+    p = Powers(12345)
+    for n in (10, 70_000, 600_001):
+        p.grow(n)
+        assert sum(x.nbytes for x in (p.low, p.high, p.down)) <= 16 * (n + Powers.STEP)
+        for k in (0, 1, 9, n // 2, n - 1):
+            assert int(p.low[k]) + (int(p.high[k]) << 31) == pow(12345, k, int(PRIME)) and int(p.down[k]) == pow(12345, -k, int(PRIME))
+
+
 def test_of_a_crowd_only_those_whom_a_hub_still_has_to_meet_go_on(spark, monkeypatch):
     words = [f"w{i}" for i in range(120)]
     crowd = [(i, " ".join(words[:119] + [f"x{i}"])) for i in range(300)]  # all near the first hub
