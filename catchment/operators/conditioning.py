@@ -298,14 +298,15 @@ def _flat_tiles(cells: DataFrame, meta: GridMeta, edges_drain: bool, size: int,
 
 def _spread(p: dict[str, np.ndarray]) -> np.ndarray:
     """Steps through open cells of equal elevation from the cells whose distance is known, for both distances: waves of cells."""
-    z = np.pad(p["zone" if "zone" in p else "z"], 1, constant_values=np.nan)
-    width = z.shape[1]
+    around = lambda a, fill: np.pad(a, [(0, 0)] * (a.ndim - 2) + [(1, 1)] * 2, constant_values=fill)
+    z = around(p["zone" if "zone" in p else "z"], np.nan)
+    padded_shape, width = z.shape, z.shape[-1]
     may = np.zeros(z.shape, bool)
-    may[2:-2, 2:-2] = (p["flags"][1:-1, 1:-1] & OPEN) > 0
+    may[..., 2:-2, 2:-2] = (p["flags"][..., 1:-1, 1:-1] & OPEN) > 0
     z, may = z.ravel(), may.ravel()
     out = []
     for plane in p["dist"]:
-        dist = np.pad(plane, 1, constant_values=_NEVER).ravel()
+        dist = around(plane, _NEVER).ravel()
         known = np.flatnonzero(dist < _NEVER)
         known = known[np.argsort(dist[known], kind="stable")]
         starts = dist[known]
@@ -323,7 +324,7 @@ def _spread(p: dict[str, np.ndarray]) -> np.ndarray:
                 dist[to[ok]] = d + 1
                 found.append(to[ok])
             front, d = np.unique(np.concatenate(found)), d + 1
-        out.append(dist.reshape(-1, width)[2:-2, 2:-2])
+        out.append(dist.reshape(padded_shape)[..., 2:-2, 2:-2])
     return np.stack(out)
 
 

@@ -79,21 +79,26 @@ class FlowCycleError(RuntimeError):
 
 
 def _padded_flow(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """(valid, own mass, outflow shares by direction, index step of each direction) of a padded tile, flat."""
+    """(valid, own mass, outflow shares by direction, index step of each direction) of padded tiles, flat."""
     valid = ~np.isnan(p["mass"])
-    width = valid.shape[1]
+    width = valid.shape[-1]
     share = np.stack([(p["dir"] == k) for k in range(8)]).astype(float) if "dir" in p else p["w"].astype(float)
     own = p["mass"] + p["inflow"] if "inflow" in p else p["mass"]
     return valid.ravel(), own.ravel(), (share * valid).reshape(8, -1), [dr * width + dc for dr, dc in DIRECTIONS]
 
 
+def _inside(padded: tuple[int, ...]) -> np.ndarray:
+    """Whether cells of padded tiles are the tiles' own, flat."""
+    own = np.zeros(padded, bool)
+    own[..., 1:-1, 1:-1] = True
+    return own.ravel()
+
+
 def _gather(p: dict[str, np.ndarray]) -> np.ndarray:
     """Totals of the cells whose inflow is complete, NaN elsewhere: cells are taken once each, in topological order."""
     valid, own, share, step = _padded_flow(p)
     total = p["total"].copy().ravel()
-    inside = np.zeros(p["mass"].shape, bool)
-    inside[1:-1, 1:-1] = True
-    inside = inside.ravel() & valid
+    inside = _inside(p["mass"].shape) & valid
     open_ = inside & np.isnan(total)
     waits = p["open"].ravel().astype(np.int16) if "open" in p else np.zeros(len(total), np.int16)
     cells = np.flatnonzero(open_)
@@ -116,22 +121,24 @@ def _gather(p: dict[str, np.ndarray]) -> np.ndarray:
             after.append(to)
         after = np.unique(np.concatenate(after))
         ready = after[(waits[after] == 0) & np.isnan(total[after])]
-    return total.reshape(p["total"].shape)[1:-1, 1:-1]
+    return total.reshape(p["total"].shape)[..., 1:-1, 1:-1]
 
 
 def _leftover(p: dict[str, np.ndarray]) -> np.ndarray:
     """``_gather``'s totals; a cell on or behind a cycle gets its own mass and the inflow that is complete."""
     valid, own, share, step = _padded_flow(p)
     total = p["total"].ravel()
-    cells = np.flatnonzero(valid & np.isnan(total))
-    height, width = p["mass"].shape
-    cells = cells[(cells // width > 0) & (cells // width < height - 1) & (cells % width > 0) & (cells % width < width - 1)]
+    cells = np.flatnonzero(_inside(p["mass"].shape) & valid & np.isnan(total))
     out = total.copy()
     out[cells] = own[cells]
     for k in range(8):
         source = cells - step[k]
         out[cells] += np.where(share[k, source] > 0, share[k, source] * np.nan_to_num(total[source]), 0.0)
-    return out.reshape(p["total"].shape)[1:-1, 1:-1]
+    return out.reshape(p["total"].shape)[..., 1:-1, 1:-1]
+
+
+def _open_cells(row: dict) -> dict:
+    return {"n": int((np.isnan(np.frombuffer(row["total"])) & ~np.isnan(np.frombuffer(row["mass"]))).sum())}
 
 
 _FLOW = {"mass": Field("f8", np.nan), "dir": Field("i2", NO_DATA)}
@@ -297,7 +304,8 @@ def accumulate(cells: DataFrame, meta: GridMeta, out: str = "cells", size: int =
         rows = cells.select("r", "c", mass.alias("mass"), weights.alias("w"), nan.alias("total"))
         tiles = relax(to_tiles(rows, meta, fields, size), meta, fields, "total", _gather, size)
         done = from_tiles(tiles, meta, shown, size)
-        if done.filter("isnan(total) and not isnan(mass)").take(1):
+        open_ = each_tile(tiles.select("mass", "total"), _open_cells, "n long")
+        if open_.agg(F.max("n")).first()[0]:
             if cycle_check:
                 raise FlowCycleError("flow directions form a cycle")
             done = from_tiles(relax(tiles, meta, fields, "total", _leftover, size, once=True), meta, shown, size)

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .checkpoints import scratch
+from .checkpoints import materialize, scratch
 from .functions import geo, projection
 from .grid import GridMeta, densify, is_edge, neighbours, view
 from .operators import conditioning, export, regrid, routing, wetness
@@ -418,7 +418,7 @@ acc AS (SELECT s.r, s.c, coalesce(sum(f.m), 0) AS acc FROM surface s LEFT JOIN f
 
 def _accumulated(spark, sf_dir, method, out="cells", steps=UNIT, size=TILE):
     surface, meta = _filled(spark, sf_dir, size)
-    drained = conditioning.resolve_flats(surface, meta, size=size).select("r", "c", F.col("resolved").alias("z"))
+    drained = materialize(conditioning.resolve_flats(surface, meta, size=size).select("r", "c", F.col("resolved").alias("z")))  # read twice
     flow = routing.route(drained, meta, method, steps).join(drained, ["r", "c"]).withColumn("area_m2", geo.pixel_area(meta))
     return routing.accumulate(flow, meta, out, size), meta
 

@@ -324,3 +324,29 @@ def test_multiple_flow_in_tiles(spark):
     whole, parts = (raster(routing.accumulate(flow, meta, size=s), "acc", z.shape) for s in (64, 4))
     np.testing.assert_allclose(parts, whole)
     assert flow.filter(F.col("z").isNull()).count() == int(np.isnan(z).sum())
+
+
+def test_small_tiles_are_solved_together(spark, monkeypatch):
+    """Kernels take stacks of tiles and give each what it gets alone; a stack holds a bounded number of cells, whatever the number of tiles."""
+    rng = np.random.default_rng(5)
+    mass, total = np.ones((3, 6, 7)), np.full((3, 6, 7), np.nan)
+    total[:, [0, -1]], total[:, :, [0, -1]] = 2.0, 2.0
+    down = rng.random((8, 3, 6, 7)) * (np.arange(8) < 3)[:, None, None, None]  # to the east alone: no circles
+    flow = {"mass": mass, "w": (down / down.sum(axis=0)).astype("f4"), "total": total}
+    whole = routing._gather(flow)
+    for i in range(3):
+        np.testing.assert_array_equal(whole[i], routing._gather({"mass": mass[i], "w": flow["w"][:, i], "total": total[i]}))
+    assert whole.shape == (3, 4, 5) and not np.isnan(whole).any()
+    z = rng.integers(0, 2, (3, 6, 7)).astype(float)
+    flat = {"z": z, "flags": np.full(z.shape, conditioning.OPEN, np.uint8), "dist": np.where(rng.random((2, 3, 6, 7)) < 0.1, 1, conditioning._NEVER).astype(np.int32)}
+    steps = conditioning._spread(flat)
+    for i in range(3):
+        np.testing.assert_array_equal(steps[:, i], conditioning._spread({"z": z[i], "flags": flat["flags"][i], "dist": flat["dist"][:, i]}))
+    meta = GridMeta(40, 4)
+    rows = spark.createDataFrame([(i, 0) for i in range(10)], "tr int, tc int").coalesce(1)
+    together = lambda most: sorted(r.n for r in tiles.each_stack(rows, lambda some: [{"n": len(some)}], "n long", meta, most).collect())
+    assert together(4) == [10]
+    monkeypatch.setattr(tiles, "STACK", 4 * 36)
+    assert together(4) == [2, 4, 4]
+    monkeypatch.setattr(tiles, "STACK", 1)
+    assert together(4) == [1] * 10
