@@ -29,8 +29,8 @@ SIZE = 512
 STACK = 1 << 15
 #: Edge in cells of what one task cuts into tiles, unless a tile is larger.
 CUT = 128
-#: Bytes and rows of an Arrow batch that leaves a task, about.
-BATCH_BYTES, BATCH_CELLS = 4 << 20, 1 << 16
+#: Bytes and rows of an Arrow batch that leaves a task, about, and bytes of one that enters it.
+BATCH_BYTES, BATCH_CELLS, BATCH_IN = 4 << 20, 1 << 16, 8 << 20
 
 
 @dataclass(frozen=True)
@@ -54,6 +54,12 @@ def shape(meta: GridMeta, tr: int, tc: int, size: int) -> tuple[int, int]:
     return min(size, meta.height - tr * size), min(size, meta.width - tc * size)
 
 
+def _lean(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends Python batches of BATCH_IN bytes from now on: else a worker would hold 64 MB of tiles beside the one it works on."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_IN)
+    return df
+
+
 def to_tiles(cells: DataFrame, meta: GridMeta, fields: dict[str, Field], size: int = SIZE) -> DataFrame:
     """Tiles of ``cells`` (r, c and a column for each field; NULL takes the field's fill)."""
 
@@ -79,7 +85,7 @@ def to_tiles(cells: DataFrame, meta: GridMeta, fields: dict[str, Field], size: i
         return pa.table(out, schema=pa.schema([("tr", pa.int32()), ("tc", pa.int32())] + [(n, pa.binary()) for n in fields]))
 
     keyed = cells.select("r", "c", *fields, (F.col("r") / edge).cast("int").alias("gr"), (F.col("c") / edge).cast("int").alias("gc"))
-    return keyed.groupBy("gr", "gc").applyInArrow(build, "tr int, tc int, " + ", ".join(f"{n} binary" for n in fields))
+    return _lean(keyed).groupBy("gr", "gc").applyInArrow(build, "tr int, tc int, " + ", ".join(f"{n} binary" for n in fields))
 
 
 def from_tiles(tiles: DataFrame, meta: GridMeta, fields: dict[str, tuple[Field, str]], size: int = SIZE) -> DataFrame:
@@ -104,7 +110,7 @@ def from_tiles(tiles: DataFrame, meta: GridMeta, fields: dict[str, tuple[Field,
         if held:
             yield joined(held)
 
-    return tiles.select("tr", "tc", *fields).mapInArrow(run, schema)
+    return _lean(tiles).select("tr", "tc", *fields).mapInArrow(run, schema)
 
 
 def many(meta: GridMeta, size: int) -> bool:
@@ -129,7 +135,7 @@ def _mapped(tiles: DataFrame, work: Callable[[Iterator[dict]], Iterator[dict]],
         if held:
             yield packed()
 
-    return tiles.mapInArrow(run, schema)
+    return _lean(tiles).mapInArrow(run, schema)
 
 
 def each_tile(tiles: DataFrame, work: Callable[[dict], dict], schema: str) -> DataFrame:

@@ -350,3 +350,11 @@ def test_small_tiles_are_solved_together(spark, monkeypatch):
     assert together(4) == [2, 4, 4]
     monkeypatch.setattr(tiles, "STACK", 1)
     assert together(4) == [1] * 10
+
+
+def test_a_worker_gets_few_megabytes_of_tiles_at_once(spark):
+    """A partition of many large tiles reaches Python in batches of bounded bytes."""
+    many = spark.range(0, 40, 1, 1).select(F.col("id").cast("int").alias("tr"), F.lit(0).alias("tc"), F.repeat(F.lit("x"), 1 << 20).cast("binary").alias("z"))
+    assert tiles.each_tile(many, lambda row: {"n": len(row["z"])}, "n long").agg(F.sum("n")).first()[0] == 40 << 20
+    count = many.mapInArrow(lambda batches: (b.select(["tr"]).slice(0, 1) for b in batches), "tr int").count()
+    assert count >= 4
