@@ -6,7 +6,8 @@ counts of 2**CLASS_BITS hash classes of words give each class a rank, and a word
 hash, so sorting tokens sorts by rarity. Equal sets are one class, led by its first line; only leads join:
 
 * prefix filter: similar sets share a token among the rarest n - ceil(t n) + 1 of each;
-* length filter: t times the larger set is at most the smaller;
+* of a pair the larger set looks for the smaller one, whose prefix is shorter then: n - ceil(2t / (1 + t) n) + 1;
+* length filter: t times the larger set is at most the smaller; the key of the join holds a band of sizes;
 * positional filter: the tokens behind the shared one must suffice;
 * parity filter: a token flips one of 64 bits of its line (128 where both lines have more than WIDE words),
   so the bits in which two lines differ are at most the tokens in which they differ.
@@ -23,6 +24,8 @@ are ordered by text, and rows equal in both are one document. All columns are ke
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,51 +60,78 @@ def _ranks(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(str(x - (1 << 64) if x >> 63 else x) for x in flip)), ",").cast("array<bigint>")
 
 
-def tokens(line: Column, ranks: Column) -> Column:
-    """The sorted distinct tokens of a line, the rarest first."""
-    hashes = F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
-    gaps = F.contains(line, F.lit("  ")) | line.startswith(" ") | line.endswith(" ")
-    hashes = F.when(gaps, F.array_remove(hashes, F.xxhash64(F.lit("")))).otherwise(hashes)
+def _hashes(line: Column) -> Column:
+    """The hashes of a line's distinct words; of the empty word too where spaces stand together or at an end."""
+    return F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
+
+
+def _sorted(hashes: str, ranks: Column) -> Column:
+    """The tokens of hashes, the rarest first."""
     flip = lambda h: F.coalesce(F.get(ranks, F.shiftrightunsigned(h, 64 - CLASS_BITS).cast("int")), F.lit(0).cast("long"))
     return F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(flip(h))))
 
 
 def _lines(docs: DataFrame, percent: int) -> DataFrame:
-    """doc, place (number of the line, then twin), n, d1, d2 (digest of the set), parity, upper (of the parity, the part of tokens with bit 6 set; 0 in short lines), rare (31 bits of each token of the prefix)."""
+    """doc, place (number of the line, then twin), n, d1, d2 (digest of the set), parity, upper (of the parity, the part of tokens with bit 6 set; 0 in short lines), rare (the tokens of the prefix)."""
     ranks = _ranks(docs)
     place = (F.col("no").cast("long") * _HALF + F.col("twin")).alias("place")
-    lines = docs.select("doc", "twin", F.posexplode(_lines_of(F.col("text"))).alias("no", "line")).filter(F.trim("line") != "").select("doc", place, tokens(F.col("line"), ranks).alias("t"))
-    n = F.size("t")
+    lines = docs.select("doc", "twin", F.posexplode(_lines_of(F.col("text"))).alias("no", "line")).filter(F.trim("line") != "")
+    gaps = F.contains("line", F.lit("  ")) | F.startswith("line", F.lit(" ")) | F.endswith("line", F.lit(" "))
+    # in steps: an array function inside another one's lambda or argument is interpreted, over boxed numbers; alone it is compiled
+    hashed = lines.select("doc", place, gaps.alias("gaps"), _hashes(F.col("line")).alias("h"))
+    clean = hashed.select("doc", "place", F.when(F.col("gaps"), F.array_remove("h", F.xxhash64(F.lit("")))).otherwise(F.col("h")).alias("h"))
+    lines = clean.select("doc", "place", F.size("h").alias("n"), _sorted("h", ranks).alias("t"))
+    n = F.col("n")
     parity = lambda ts: F.aggregate(ts, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t)))
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
-    size = n - F.ceil(n * percent / 100 - 1e-9).cast("int") + 1
     return lines.select(
-        "doc", "place", n.alias("n"), F.xxhash64("t").alias("d1"), F.xxhash64(F.lit(1), "t").alias("d2"),
+        "doc", "place", "n", F.xxhash64("t").alias("d1"), F.xxhash64(F.lit(1), "t").alias("d2"),
         parity(F.col("t")).alias("parity"), F.when(n > WIDE, parity(F.filter("t", lambda t: t.bitwiseAND(F.lit(64)) != 0))).otherwise(0).cast("long").alias("upper"),
-        F.transform(F.slice("t", F.lit(1), size), lambda t: t.bitwiseAND(F.lit(_HALF - 1)).cast("int")).alias("rare"),
+        F.slice("t", F.lit(1), _prefix(n, percent / 100)).alias("rare"),
     )
 
 
-def _index(leads: DataFrame) -> DataFrame:
-    """A row for each token of each prefix; size_rest holds n, the tokens from this one on, and shut (1 for a line known to repeat one)."""
-    size_rest = (F.col("n").cast("long") * _HALF + F.col("n") - F.col("at")) * 2 + F.col("shut")
-    return leads.select("doc", "place", "n", "parity", "upper", "shut", F.posexplode("rare").alias("at", "tok")).select("tok", "doc", "place", size_rest.alias("size_rest"), "parity", "upper")
+def _prefix(n: Column, share: float) -> Column:
+    """How many of the rarest of n tokens must hold one of those shared with a set that has at least this share of them."""
+    return n - F.ceil(n * share - 1e-9).cast("int") + 1
+
+
+def _band(n: Column) -> Column:
+    """The binary digits of a size: sizes of one length or of neighbours alone can be similar."""
+    return F.length(F.bin(n))
+
+
+def _index(leads: DataFrame, low: Column | None = None, high: Column | None = None, share: float | None = None) -> DataFrame:
+    """A row for each token of each prefix (for ``share`` if given), in each band of sizes from low to high (else the line's own).
+
+    tok holds band and 31 bits of the token; size_rest holds n, the tokens from this one on, and shut (1 for a line known to repeat one).
+    """
+    n = F.col("n")
+    size_rest = (n.cast("long") * _HALF + n - F.col("at")) * 2 + F.col("shut")
+    bands = _band(n).alias("band") if low is None else F.explode(F.sequence(_band(low), _band(high))).alias("band")
+    rare = F.col("rare") if share is None else F.slice("rare", F.lit(1), _prefix(n, share)).alias("rare")
+    rows = leads.select("doc", "place", "n", "parity", "upper", "shut", rare, bands)
+    rows = rows.select("doc", "place", "n", "parity", "upper", "shut", "band", F.posexplode("rare").alias("at", "tok"))
+    tok = F.col("band").cast("long") * _HALF + F.col("tok").bitwiseAND(F.lit(_HALF - 1))
+    return rows.select(tok.alias("tok"), "doc", "place", size_rest.alias("size_rest"), "parity", "upper")
 
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT, shares: tuple[int, ...] = SHARES) -> DataFrame:
     """doc, twin, no of every line to remove; ``docs`` has doc, twin, text (see ``keyed``). The last share must be 1."""
+    if docs.groupBy("doc", "twin").count().filter("count > 1").take(1):
+        docs = docs.dropDuplicates(["doc", "twin"])
     lines = cut(_lines(docs, percent))
-    # of a class only its first line joins
-    lead = F.min(F.struct("doc", "place", "n", "parity", "upper", "rare")).alias("lead")
-    classes = cut(lines.groupBy("d1", "d2").agg(lead).select("d1", "d2", "lead.*"))
-    first = classes.select("d1", "d2", F.col("doc").alias("l_doc"), F.col("place").alias("l_place"))
-    copy = (F.col("doc") != F.col("l_doc")) | (F.col("place") != F.col("l_place"))
-    copies = cut(lines.select("doc", "place", "d1", "d2").join(first, ["d1", "d2"]).filter(copy).select("doc", "place"))
-    release(lines)
+    # of a class only its first line joins; one number orders as (doc, place), so that hashes group it, without a sort
+    order = F.col("doc").cast("decimal(19,0)") * F.lit(Decimal(1 << 62)) + F.col("place")
+    first = cut(lines.groupBy("d1", "d2").agg(F.min(order).alias("first")))  # cut, so that Spark can split a very common line's rows
+    copy = order != F.col("first")
+    classes = cut(lines.join(first, ["d1", "d2"]).select("doc", "place", "n", "parity", "upper", F.when(~copy, F.col("rare")).alias("rare"), copy.alias("copy")))
+    release(lines, first)
     n, hn = F.shiftright("l_size_rest", 32), F.shiftright("h_size_rest", 32)
     rest, hrest = (F.shiftright(x, 1).bitwiseAND(F.lit(_HALF - 1)) for x in ("l_size_rest", "h_size_rest"))
-    # a shut line differs in more bits than there are; as a condition of its own it would part the two sides' plans
-    shut = F.col("l_size_rest").bitwiseAND(F.lit(1)) * _HALF
+    later = (F.col("l_doc") > F.col("h_doc")) | ((F.col("l_doc") == F.col("h_doc")) & (F.col("l_place") > F.col("h_place")))
+    # a later line that is shut differs in more bits than there are
+    shut = F.when(later, F.col("l_size_rest")).otherwise(F.col("h_size_rest")).bitwiseAND(F.lit(1)) * _HALF
     all_, upper = F.col("l_parity").bitwiseXOR(F.col("h_parity")), F.col("l_upper").bitwiseXOR(F.col("h_upper"))
     off = F.when(F.least(n, hn) > WIDE, F.bit_count(all_.bitwiseXOR(upper)) + F.bit_count(upper)).otherwise(F.bit_count(all_))
     # whole numbers alone: a shared count k suffices if k (100 + percent) >= percent (n + hn)
@@ -109,29 +139,34 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, shares: tuple[int, .
         (100 * F.least(n, hn) >= percent * F.greatest(n, hn)) & ((100 + percent) * F.least(rest, hrest) >= percent * (n + hn))
         & ((100 + percent) * F.shiftright(n + hn - off - shut, 1) >= percent * (n + hn))
     )
-    later = (F.col("l_doc") > F.col("h_doc")) | ((F.col("l_doc") == F.col("h_doc")) & (F.col("l_place") > F.col("h_place")))
     side = lambda index, k: index.toDF("tok", *[f"{k}_{c}" for c in ("doc", "place", "size_rest", "parity", "upper")])
     line = lambda k: F.struct(F.col(f"{k}_doc").alias("doc"), F.col(f"{k}_place").alias("place"))
     gone = None
     for share in shares:
-        leads = classes.select("doc", "place", "n", "parity", "upper", "rare")
+        leads = classes.filter(~F.col("copy")).select("doc", "place", "n", "parity", "upper", "rare")
         if gone is None:
             leads = leads.withColumn("shut", F.lit(0))
         else:
             leads = leads.join(gone.withColumn("gone", F.lit(True)), ["doc", "place"], "left").withColumn("shut", F.col("gone").isNotNull().cast("int"))
+        size = F.col("n")
+        largest = (size * 100 / percent + 1e-9).cast("int")
         if share > 1:  # most tokens belong to no hub: their rows need no shuffle
-            hub = _index(leads.filter(F.pmod(F.xxhash64("doc", "place"), F.lit(share)) == 0))
+            hub = _index(leads.filter(F.pmod(F.xxhash64("doc", "place"), F.lit(share)) == 0), F.ceil(size * percent / 100 - 1e-9), largest)
             open_ = seen_in(_index(leads.filter("shut = 0")), marks(hub, "tok"), "tok")
-        else:  # one shuffle serves both sides
-            hub = open_ = _index(leads)
-        met = side(open_, "l").join(side(hub, "h"), "tok").filter(fits & later)
-        pairs = cut(met.select(line("h").alias("a"), line("l").alias("b"), (n + hn).alias("n"), off.alias("off")).distinct())
+            once = later
+        else:  # of each pair the larger set (of equal ones the later line) looks for the smaller, whose share is larger, so fewer tokens do
+            hub = _index(leads, size, largest, 2 * percent / (100 + percent))
+            open_ = _index(leads)
+            once = (n > hn) | ((n == hn) & later)
+        met = side(open_, "l").join(side(hub, "h"), "tok").filter(fits & once)
+        a, b = F.when(later, line("h")).otherwise(line("l")), F.when(later, line("l")).otherwise(line("h"))
+        pairs = cut(met.select(a.alias("a"), b.alias("b"), (n + hn).alias("n"), off.alias("off")).distinct())
         new, used = _verified(docs, pairs, percent)
         whole = cut(new if gone is None else gone.union(new))
         release(pairs, gone, *used)
         gone = whole
-    removed = cut(copies.union(gone))
-    release(copies, gone, classes)
+    removed = cut(classes.filter("copy").select("doc", "place").union(gone))
+    release(gone, classes)
     return removed.select("doc", F.col("place").bitwiseAND(F.lit(_HALF - 1)).cast("int").alias("twin"), F.shiftright("place", 31).cast("int").alias("no"))
 
 

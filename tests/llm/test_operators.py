@@ -186,6 +186,46 @@ def test_line_dedup_matches_brute_force(spark, corpus, shares):
     assert {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs_of(spark, corpus).repartition(3), shares=shares).collect()} == want
 
 
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_lines_of_very_different_sizes_match_brute_force(spark, percent):
+    rng = random.Random(percent)
+    vocab = [f"v{i}" for i in range(3000)]
+    lines = [rng.sample(vocab, rng.choice([1, 2, 3, 5, 8, 15, 16, 17, 31, 33, 64, 95, 100, 130])) for _ in range(60)]
+    for s in list(lines):
+        for share in (0.03, 0.2, 0.5):
+            t = [w for w in s if rng.random() > share * rng.random()] + rng.sample(vocab, int(share * rng.random() * len(s)))
+            rng.shuffle(t)
+            lines.append(t)
+    rng.shuffle(lines)
+    texts = [rng.choice([" ", "  ", "\t"]).join(s) + rng.choice(["", " "]) for s in lines]
+    rows = [(i, "\n".join(texts[5 * i : 5 * i + 5])) for i in range(len(texts) // 5)]
+    rows += rows[3:5]  # rows equal in id and text are one document
+    seen, want = [], {}
+    for i, t in rows[:-2]:
+        kept = []
+        for line in t.split("\n"):
+            s = frozenset(WORD.findall(line))
+            if not s or not any(100 * len(s & o) >= percent * len(s | o) for o in seen):
+                kept.append(line)
+            seen += [s] if s else []
+        want[i] = "\n".join(kept)
+    got = line_dedup.drop_repeated_lines(docs_of(spark, rows).repartition(3), percent).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.text for r in got} == want and any(want[i] != t for i, t in rows)
+
+
+def test_line_dedup_compares_few_lines_and_compiles_its_arrays(spark):
+    docs = docs_of(spark, [(i, " ".join(f"w{i}x{k}" for k in range(40))) for i in range(20)]).selectExpr("doc_id doc", "0 twin", "text")
+    lines = line_dedup._lines(docs, 80)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "transform(array_distinct" not in plan and "transform(slice" not in plan and "transform(CASE" not in plan
+    lines = lines.selectExpr("*", "0 shut")
+    larger, smaller = line_dedup._index(lines), line_dedup._index(lines, lines.n, lines.n, 160 / 180)
+    assert larger.count() == 20 * 9 and smaller.count() == 20 * 5
+    longer = docs.selectExpr("doc + 100 doc", "twin", "concat(text, ' ', replace(text, 'w', 'u')) text")  # the same rare words, but too many others
+    mixed = line_dedup._lines(docs.union(longer), 80).selectExpr("*", "0 shut")
+    assert line_dedup._index(mixed.filter("doc >= 100")).join(line_dedup._index(mixed.filter("doc < 100"), mixed.n, mixed.n), "tok").count() == 0
+
+
 def test_pieces_are_the_models_own(spark, corpus):
     import sentencepiece
 
