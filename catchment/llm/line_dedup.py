@@ -126,6 +126,7 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, shares: tuple[int, .
     first = cut(lines.groupBy("d1", "d2").agg(F.min(order).alias("first")))  # cut, so that Spark can split a very common line's rows
     copy = order != F.col("first")
     classes = cut(lines.join(first, ["d1", "d2"]).select("doc", "place", "n", "parity", "upper", F.when(~copy, F.col("rare")).alias("rare"), copy.alias("copy")))
+    copies = cut(classes.filter("copy").select("doc", "place"))
     release(lines, first)
     n, hn = F.shiftright("l_size_rest", 32), F.shiftright("h_size_rest", 32)
     rest, hrest = (F.shiftright(x, 1).bitwiseAND(F.lit(_HALF - 1)) for x in ("l_size_rest", "h_size_rest"))
@@ -161,12 +162,14 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, shares: tuple[int, .
         met = side(open_, "l").join(side(hub, "h"), "tok").filter(fits & once)
         a, b = F.when(later, line("h")).otherwise(line("l")), F.when(later, line("l")).otherwise(line("h"))
         pairs = cut(met.select(a.alias("a"), b.alias("b"), (n + hn).alias("n"), off.alias("off")).distinct())
+        if share == 1:  # with it go the shuffle files of the join, the largest there are
+            release(classes)
         new, used = _verified(docs, pairs, percent)
         whole = cut(new if gone is None else gone.union(new))
         release(pairs, gone, *used)
         gone = whole
-    removed = cut(classes.filter("copy").select("doc", "place").union(gone))
-    release(gone, classes)
+    removed = cut(copies.union(gone))
+    release(copies, gone)
     return removed.select("doc", F.col("place").bitwiseAND(F.lit(_HALF - 1)).cast("int").alias("twin"), F.shiftright("place", 31).cast("int").alias("no"))
 
 
