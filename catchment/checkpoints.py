@@ -24,12 +24,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as Parquet under the shared checkpoint folder and reads it back."""
+#: Shuffle files go as soon as the write is done, and events hold the head of a plan alone (literals may be long).
+LEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "20000"}
+
+
+def materialize(df: DataFrame, lean: bool = False) -> DataFrame:
+    """Writes ``df`` as Parquet under the shared checkpoint folder and reads it back; ``lean``: under LEAN."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     _KEPT[path] = spark
-    df.write.parquet(path)
+    before = {k: spark.conf.get(k) for k in LEAN} if lean else {}
+    try:
+        for k in before:
+            spark.conf.set(k, LEAN[k])
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
     return out

@@ -210,7 +210,9 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     if base.groupBy("doc").count().filter("count > 1").take(1):
         w = Window.partitionBy("doc").orderBy(F.coalesce("text", F.lit("")))
         return base.withColumn("twin", F.dense_rank().over(w) - 1)
-    return base.withColumn("twin", F.lit(0))
+    out = base.withColumn("twin", F.lit(0))
+    out.one_each = True  # no two rows have the same key
+    return out
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

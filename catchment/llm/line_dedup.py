@@ -7,14 +7,16 @@ hash, so sorting tokens sorts by rarity. Equal sets are one class, led by its fi
 
 * prefix filter: similar sets share a token among the rarest n - ceil(t n) + 1 of each;
 * of a pair the larger set looks for the smaller one, whose prefix is shorter then: n - ceil(2t / (1 + t) n) + 1;
-* length filter: t times the larger set is at most the smaller; the key of the join holds a band of sizes;
+* length filter: t times the larger set is at most the smaller; the key of the join holds the larger one's band of
+  sizes, and the smaller set's prefix is shorter for bands above its own: n - ceil(t / (1 + t) (n + least size of the band)) + 1;
 * positional filter: the tokens behind the shared one must suffice;
 * parity filter: a token flips one of 64 bits of its line (128 where both lines have more than WIDE words),
   so the bits in which two lines differ are at most the tokens in which they differ.
 
 The join goes in rounds of hubs. In a round of share k the earlier line of a pair is one of those leads
-whose hash falls into one of k parts; the later line is any lead not yet known to repeat one. So a crowd of near copies ends with its first few hubs instead of meeting pair by pair, and
-the last round (share 1) leaves no pair untested: nothing is capped. What passes the filters is verified
+whose hash falls into one of k parts; the later line is any lead not yet known to repeat one. So a crowd of near copies ends with its first few hubs instead of meeting pair by pair
+(they share one of the FEW rarest tokens, and what does not is left to the last round), and the last round (share 1) leaves no pair untested: nothing is capped.
+That round goes by bands, in PARTS joins, so that the shuffle files of one are gone before the next. What passes the filters is verified
 on the words themselves, first for each later line the partner that differs in the fewest bits, then the
 other partners of lines still open. A token that very many lines share is one key of an inner join, which Spark splits.
 
@@ -24,40 +26,58 @@ are ordered by text, and rows equal in both are one document. All columns are ke
 
 from __future__ import annotations
 
+import functools
+import math
 from decimal import Decimal
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keyed, marks, release, seen_in
+from ..checkpoints import materialize
+from .common import keyed, marks, release, seen_in
+
+cut = functools.partial(materialize, lean=True)
 
 PERCENT = 80
 CLASS_BITS = 16
 #: Parts of the leads of which one serves as hubs in each round; about the size of the largest crowd of near copies is a good first number.
 SHARES = (80, 1)
+#: Tokens of a line that seek a hub in the rounds before the last.
+FEW = 4
+#: Sizes of a band differ by less than this factor.
+BAND = 1.25
+#: Joins of the last round.
+PARTS = 3
 #: Lines of more words have 128 parity bits.
 WIDE = 96
 #: Two numbers below 2**31 in one long.
 _HALF = 1 << 31
 
 
-def _lines_of(text: Column) -> Column:
-    """The lines of a text, their words parted by spaces alone."""
+def _spaced(text: Column) -> Column:
+    """A text whose lines have their words parted by spaces alone."""
     odd = F.lit(False)
     for c in "\t\v\f\r":
         odd = odd | F.contains(text, F.lit(c))
-    return F.split(F.when(odd, F.translate(text, "\t\v\f\r", "    ")).otherwise(text), "\n")
+    return F.when(odd, F.translate(text, "\t\v\f\r", "    ")).otherwise(text)
+
+
+def _lines_of(text: Column) -> Column:
+    return F.split(_spaced(text), "\n")
 
 
 def _ranks(docs: DataFrame) -> Column:
     """The rarity rank of each hash class of words, as an array of fixed size, from counts over all texts."""
-    words = docs.select(F.explode(_lines_of(F.col("text"))).alias("line")).select(F.explode(F.split("line", " ")).alias("w"))
-    counted = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - CLASS_BITS).alias("c")).count().collect()
-    n = {r.c: r["count"] for r in counted}
-    rank = {c: i for i, c in enumerate(sorted(range(1 << CLASS_BITS), key=lambda c: (n.get(c, 0), c)))}
+    words = docs.select(F.explode(F.split(F.replace(_spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counted = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - CLASS_BITS).alias("c")).count().toArrow()
+    n, each = np.zeros(1 << CLASS_BITS, np.int64), np.arange(1 << CLASS_BITS, dtype=np.int64)
+    n[counted["c"].to_numpy()] = counted["count"].to_numpy()
+    rank = np.empty_like(each)
+    rank[np.argsort(n, kind="stable")] = each
     # what turns the class in a hash's top bits into its rank, lowest rank first in the order of signed numbers
-    flip = [(rank[c] ^ c ^ (1 << (CLASS_BITS - 1))) << (64 - CLASS_BITS) for c in range(1 << CLASS_BITS)]
-    return F.split(F.lit(",".join(str(x - (1 << 64) if x >> 63 else x) for x in flip)), ",").cast("array<bigint>")
+    flip = (rank ^ each ^ (1 << (CLASS_BITS - 1))) << (64 - CLASS_BITS)
+    return F.split(F.lit(",".join(map(str, flip.tolist()))), ",").cast("array<bigint>")
 
 
 def _hashes(line: Column) -> Column:
@@ -97,35 +117,41 @@ def _prefix(n: Column, share: float) -> Column:
 
 
 def _band(n: Column) -> Column:
-    """The binary digits of a size: sizes of one length or of neighbours alone can be similar."""
-    return F.length(F.bin(n))
+    """The band of a size; it never falls as sizes grow."""
+    return F.floor(F.log(n) / math.log(BAND)).cast("int")
 
 
-def _index(leads: DataFrame, low: Column | None = None, high: Column | None = None, share: float | None = None) -> DataFrame:
-    """A row for each token of each prefix (for ``share`` if given), in each band of sizes from low to high (else the line's own).
+def _index(leads: DataFrame, low: Column | None = None, high: Column | None = None, share: float | None = None, most: int | None = None, part: tuple[int, int] = (0, 1)) -> DataFrame:
+    """A row for each token of each prefix (for ``share`` if given, of ``most`` tokens at most), in each band of sizes from low to high (else the line's own).
 
+    With ``share`` the other set has no fewer tokens and lies in the band. Only bands of ``part`` (number, of how many) are taken.
     tok holds band and 31 bits of the token; size_rest holds n, the tokens from this one on, and shut (1 for a line known to repeat one).
     """
-    n = F.col("n")
+    n, band = F.col("n"), F.col("band")
     size_rest = (n.cast("long") * _HALF + n - F.col("at")) * 2 + F.col("shut")
     bands = _band(n).alias("band") if low is None else F.explode(F.sequence(_band(low), _band(high))).alias("band")
-    rare = F.col("rare") if share is None else F.slice("rare", F.lit(1), _prefix(n, share)).alias("rare")
-    rows = leads.select("doc", "place", "n", "parity", "upper", "shut", rare, bands)
+    rows = leads.select("doc", "place", "n", "parity", "upper", "shut", "rare", bands)
+    rows = rows.filter(band % part[1] == part[0]) if part[1] > 1 else rows
+    if share is not None:
+        least = F.ceil(F.pow(F.lit(BAND), band) * (1 - 1e-9)).cast("int")
+        rows = rows.withColumn("rare", F.slice("rare", F.lit(1), n - F.ceil((n + F.greatest(n, least)) * (share / 2) - 1e-9).cast("int") + 1))
+    if most is not None:
+        rows = rows.withColumn("rare", F.slice("rare", 1, most))
     rows = rows.select("doc", "place", "n", "parity", "upper", "shut", "band", F.posexplode("rare").alias("at", "tok"))
-    tok = F.col("band").cast("long") * _HALF + F.col("tok").bitwiseAND(F.lit(_HALF - 1))
+    tok = band.cast("long") * _HALF + F.col("tok").bitwiseAND(F.lit(_HALF - 1))
     return rows.select(tok.alias("tok"), "doc", "place", size_rest.alias("size_rest"), "parity", "upper")
 
 
-def repeated_lines(docs: DataFrame, percent: int = PERCENT, shares: tuple[int, ...] = SHARES) -> DataFrame:
-    """doc, twin, no of every line to remove; ``docs`` has doc, twin, text (see ``keyed``). The last share must be 1."""
-    if docs.groupBy("doc", "twin").count().filter("count > 1").take(1):
+def repeated_lines(docs: DataFrame, percent: int = PERCENT, shares: tuple[int, ...] = SHARES, one_each: bool = False) -> DataFrame:
+    """doc, twin, no of every line to remove; ``docs`` has doc, twin, text (see ``keyed``), ``one_each``: each key once. The last share must be 1."""
+    if not one_each and docs.groupBy("doc", "twin").count().filter("count > 1").take(1):
         docs = docs.dropDuplicates(["doc", "twin"])
     lines = cut(_lines(docs, percent))
     # of a class only its first line joins; one number orders as (doc, place), so that hashes group it, without a sort
     order = F.col("doc").cast("decimal(19,0)") * F.lit(Decimal(1 << 62)) + F.col("place")
     first = cut(lines.groupBy("d1", "d2").agg(F.min(order).alias("first")))  # cut, so that Spark can split a very common line's rows
     copy = order != F.col("first")
-    classes = cut(lines.join(first, ["d1", "d2"]).select("doc", "place", "n", "parity", "upper", F.when(~copy, F.col("rare")).alias("rare"), copy.alias("copy")))
+    classes = cut(lines.join(first.hint("shuffle_hash"), ["d1", "d2"]).select("doc", "place", "n", "parity", "upper", F.when(~copy, F.col("rare")).alias("rare"), copy.alias("copy")))
     copies = cut(classes.filter("copy").select("doc", "place"))
     release(lines, first)
     n, hn = F.shiftright("l_size_rest", 32), F.shiftright("h_size_rest", 32)
@@ -151,22 +177,26 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, shares: tuple[int, .
             leads = leads.join(gone.withColumn("gone", F.lit(True)), ["doc", "place"], "left").withColumn("shut", F.col("gone").isNotNull().cast("int"))
         size = F.col("n")
         largest = (size * 100 / percent + 1e-9).cast("int")
-        if share > 1:  # most tokens belong to no hub: their rows need no shuffle
-            hub = _index(leads.filter(F.pmod(F.xxhash64("doc", "place"), F.lit(share)) == 0), F.ceil(size * percent / 100 - 1e-9), largest)
-            open_ = seen_in(_index(leads.filter("shut = 0")), marks(hub, "tok"), "tok")
-            once = later
-        else:  # of each pair the larger set (of equal ones the later line) looks for the smaller, whose share is larger, so fewer tokens do
-            hub = _index(leads, size, largest, 2 * percent / (100 + percent))
-            open_ = _index(leads)
-            once = (n > hn) | ((n == hn) & later)
-        met = side(open_, "l").join(side(hub, "h"), "tok").filter(fits & once)
-        a, b = F.when(later, line("h")).otherwise(line("l")), F.when(later, line("l")).otherwise(line("h"))
-        pairs = cut(met.select(a.alias("a"), b.alias("b"), (n + hn).alias("n"), off.alias("off")).distinct())
-        if share == 1:  # with it go the shuffle files of the join, the largest there are
+        found = []
+        for part in [(0, 1)] if share > 1 else [(k, PARTS) for k in range(PARTS)]:
+            if share > 1:  # most tokens belong to no hub: their rows need no shuffle
+                hub = _index(leads.filter(F.pmod(F.xxhash64("doc", "place"), F.lit(share)) == 0), F.ceil(size * percent / 100 - 1e-9), largest, most=FEW)
+                open_ = seen_in(_index(leads.filter("shut = 0"), most=FEW), marks(hub, "tok"), "tok")
+                once = later
+            else:  # of each pair the larger set (of equal ones the later line) looks for the smaller, whose share is larger, so fewer tokens do
+                hub = _index(leads, size, largest, 2 * percent / (100 + percent), part=part)
+                open_ = _index(leads, part=part)
+                once = (n > hn) | ((n == hn) & later)
+            met = side(open_, "l").join(side(hub, "h"), "tok").filter(fits & once)
+            a, b = F.when(later, line("h")).otherwise(line("l")), F.when(later, line("l")).otherwise(line("h"))
+            # a pair meets in one band alone, so the parts have no pair in common
+            found.append(cut(met.select(a.alias("a"), b.alias("b"), (n + hn).alias("n"), off.alias("off")).distinct()))
+        pairs = functools.reduce(DataFrame.union, found)
+        if share == 1:
             release(classes)
         new, used = _verified(docs, pairs, percent)
         whole = cut(new if gone is None else gone.union(new))
-        release(pairs, gone, *used)
+        release(*found, gone, *used)
         gone = whole
     removed = cut(copies.union(gone))
     release(copies, gone)
@@ -194,10 +224,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFram
 def drop_repeated_lines(docs: DataFrame, percent: int = PERCENT, counts: bool = False, shares: tuple[int, ...] = SHARES) -> DataFrame:
     """``docs`` with repeated lines removed from text; ``counts`` adds n_lines and n_removed."""
     names = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
-    base = keyed(docs.select("doc_id", "text"))
-    gone = repeated_lines(base, percent, shares).groupBy("doc", "twin").agg(F.collect_set("no").alias("gone"))
     rest = [c for c in names if c not in ("doc_id", "text")]
-    rows = keyed(docs, F.struct("doc_id", *rest).alias("row")).join(gone, ["doc", "twin"], "left")
+    base = keyed(docs, F.struct("doc_id", *rest).alias("row"))
+    gone = repeated_lines(base.select("doc", "twin", "text"), percent, shares, getattr(base, "one_each", False)).groupBy("doc", "twin").agg(F.collect_set("no").alias("gone"))
+    rows = base.join(gone, ["doc", "twin"], "left")
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda x, i: ~F.array_contains("gone", i))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

@@ -183,15 +183,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Link
         made = made.join(F.broadcast(_within(made)), "doc_id")
     got = sorted(made.collect(), key=lambda r: (r.doc_id, r.terms))
     release(made)
-    held = Terms.of([np.frombuffer(r.terms, np.uint32) for r in got])
     quality, toxic = np.array([r.both // 2 for r in got], int), np.array([r.both % 2 for r in got], int)
-    if not got or not toxic.any():
+    held = Terms.of([np.frombuffer(r.terms, np.uint32) for r in got])
+    del got  # as large as the terms, which are copied
+    if not toxic.any():
         severe = toxic
     else:
         a = held.count(toxic.astype(float))
         marks = (a >= max(3, 0.02 * toxic.sum())) & (a >= 0.9 * held.count())
         severe = toxic * (np.bincount(held.row, weights=marks[held.term], minlength=held.n) >= 3)
-    return fit_terms(held, np.column_stack([1 - quality, toxic, severe]) if got else np.zeros((0, 3)))
+    return fit_terms(held, np.column_stack([1 - quality, toxic, severe]) if len(toxic) else np.zeros((0, 3)))
 
 
 def _within(made: DataFrame) -> DataFrame:

@@ -544,3 +544,32 @@ def test_terms_and_links_match_plain_python():
     second = held.choose(1 - y, 8, np.ones(60, bool))
     w = toxicity._solve(np.hstack([held.matrix(second), out[:, None]]), 1 - y)
     assert np.allclose(np.concatenate([chain[1].weights, chain[1].feed, [chain[1].bias]]), w)
+
+
+def test_a_smaller_set_seeks_with_fewer_tokens_in_further_bands(spark):
+    """Every pair that may be similar meets in one band, of one part, within both prefixes; and no part leaves its shuffle files behind."""
+    lines = spark.range(1, 400).selectExpr("id doc", "0L place", "int(id) n", "0L parity", "0L upper", "0 shut", "transform(sequence(1L, id), x -> x) rare")
+    n = lines.n
+    for percent in (50, 80, 95):
+        whole = {r.doc for r in lines.collect()}
+        most, met = {}, {}
+        for part in range(line_dedup.PARTS):
+            smaller = line_dedup._index(lines, n, (n * 100 / percent + 1e-9).cast("int"), 2 * percent / (100 + percent), part=(part, line_dedup.PARTS))
+            for r in smaller.selectExpr("doc", "shiftright(tok, 31) band").groupBy("doc", "band").count().collect():
+                assert (r.doc, r.band) not in most
+                most[r.doc, r.band] = r["count"]
+            for r in line_dedup._index(lines, part=(part, line_dedup.PARTS)).selectExpr("doc", "shiftright(tok, 31) band").distinct().collect():
+                met[r.doc] = r.band
+        assert set(met) == whole
+        shorter = 0
+        for a in whole:
+            for b in range(a, min(max(whole), 100 * a // percent) + 1):
+                shared = -(-percent * (a + b) // (100 + percent))
+                assert most[a, met[b]] >= a - shared + 1
+            own = most[a, met[a]]
+            shorter += any(most[a, k] < own for d, k in most if d == a)
+        assert shorter > 100 or percent == 95
+    docs = docs_of(spark, [(i, f"a{i % 7} b c d e f{i}") for i in range(50)])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.maxPlanStringLength")}
+    kept = line_dedup.cut(docs.groupBy("text").count())
+    assert kept.count() == 50 and {k: spark.conf.get(k) for k in before} == before
